@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm import bpe, tokencount, tokenfile
+from stackwright.llm import bpe, exact, langid, quality, substrings, tokencount, tokenfile
+from stackwright.llm.common import LOWER, UPPER, crc_mod
 
 
 def _tokenizer() -> str:
@@ -18,6 +19,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    profiles = langid.learn(docs.select("doc_id", "text", "lang"), ~held_out)
+    return langid.predict(docs, profiles, "doc_id", held_out.alias("held_out"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(_docs(spark, sf_dir), _tokenizer())
     return coded.select(
@@ -31,9 +39,32 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_docs(spark, sf_dir), _tokenizer(), end_id=2)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    rules = quality.learn(docs, labels, ~held_out)
+    return quality.score(docs, rules).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.dedup(_docs(spark, sf_dir))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_docs(spark, sf_dir), _tokenizer(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_codec, op3_token_files, op8_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_token_files, op4_quality, op5_substring_dedup, op6_exact_dedup, op8_token_counts)}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": f"""
+        with t as (select doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) as text_sha256 from documents)
+        select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+               doc_id is not distinct from max(doc_id) over w as kept, text_sha256
+        from t window w as (partition by text_sha256)""",
+}
