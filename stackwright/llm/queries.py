@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm import bpe, decontam, exact, langid, minhash, quality, substrings, tokencount, tokenfile
+from stackwright.llm import bpe, decontam, exact, langid, minhash, pii, quality, substrings, tokencount, tokenfile
 from stackwright.llm.common import LOWER, UPPER, crc_mod
 
 
@@ -68,7 +68,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_token_files, op4_quality, op5_substring_dedup, op6_exact_dedup, op7_near_dedup, op8_token_counts, op9_decontaminate)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_docs(spark, sf_dir))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_token_files, op4_quality, op5_substring_dedup, op6_exact_dedup, op7_near_dedup, op8_token_counts, op9_decontaminate, op10_personal_data)}
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": f"""
         with t as (select doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) as text_sha256 from documents)
