@@ -168,6 +168,18 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
     return fit(rows[[f"_s_{s}" for s in STATS]].to_numpy(), rows["_y"].to_numpy())
 
 
+def accepted(docs: DataFrame, rules: Rules) -> DataFrame:
+    """The rows of good quality, with all their columns. Narrow: each row is judged where it is read."""
+
+    def work(batches):
+        for batch in batches:
+            stats = np.array([text_stats(x) for x in bytes_of(batch)], np.float64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(stats[:, i])) for i in range(len(STATS)))], names=[*batch.schema.names, *(f"_s_{s}" for s in STATS)])
+
+    schema = T.StructType(docs.schema.fields + [T.StructField(f"_s_{s}", T.DoubleType()) for s in STATS])
+    return docs.mapInArrow(work, schema).where(rules.score() >= CUT).select(*docs.columns)
+
+
 def score(docs: DataFrame, rules: Rules) -> DataFrame:
     """All columns but text, with score and predicted."""
     out = with_stats(docs).withColumn("score", rules.score())

@@ -9,7 +9,7 @@ from stackwright.llm import bpe, decontam, exact, langid, minhash, pii, quality,
 from stackwright.llm.common import LOWER, UPPER, crc_mod
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -27,7 +27,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(_docs(spark, sf_dir), _tokenizer())
+    coded = bpe.round_trip(_docs(spark, sf_dir), tokenizer_path())
     return coded.select(
         "doc_id", "n_tokens",
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
@@ -36,7 +36,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.round_trip(_docs(spark, sf_dir), _tokenizer(), end_id=2)
+    return tokenfile.round_trip(_docs(spark, sf_dir), tokenizer_path(), end_id=2)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(_docs(spark, sf_dir), _tokenizer(), limit=512)
+    return tokencount.count_tokens(_docs(spark, sf_dir), tokenizer_path(), limit=512)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
