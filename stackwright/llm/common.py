@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A-Z and a-z for F.translate: contracts lower ASCII letters only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The word separators of the contracts: space and \t\n\v\f\r.
@@ -33,7 +35,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, None)
+    if before is not None:
+        conf.set(CLEANUP, "true")  # nothing reads this write's shuffle files again
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import bytes_of, groups_of
+from stackwright.llm.common import bytes_of, groups_of, stage
 
 WINDOW, GRAM = 20, 4
 #: Bytes worked on at once, the longest slice of one document, and buckets per shuffle partition.
-GROUP_BYTES, SLICE_BYTES, BUCKETS_PER_PARTITION = 2_000_000, 1_000_000, 16
+GROUP_BYTES, SLICE_BYTES, BUCKETS_PER_PARTITION = 2_000_000, 1_000_000, 8
 #: Id that stands for null: sorts first.
 NULL_ID = -(1 << 63)
 
@@ -155,7 +155,7 @@ def slices(data: bytes):
 def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
     n = len(arrays[0])
     raw = np.array([n, len(text)], "<i8").tobytes() + b"".join(np.ascontiguousarray(a, "<i8").tobytes() for a in arrays) + text
-    return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array([len(raw)], "<i8").tobytes() + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, n_arrays: int) -> tuple[list[np.ndarray], bytes]:
@@ -291,6 +291,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     rows = rows.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_key": F.xxhash64("text")})
     spans = repeated_spans(rows.select("_id", "_key", "text"))
+    # a written table, so that the super-k-mers' shuffle files can go before the texts are joined
+    spans = stage(spans, "spans")
     by_doc = spans.groupBy("_id", "_key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     joined = rows.join(by_doc, ["_id", "_key"], "left").select("doc_id", "text", "starts", "stops")
 
