@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _radial_average(spark, sf_dir):
-    from stackwright.operators import radial
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL if there is one."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
 
-    return radial.radial_average_query(spark, sf_dir)
+    return add
 
 
-QUERIES["radial_average"] = _radial_average
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
