@@ -36,7 +36,7 @@ def read_star(spark: SparkSession, path: str) -> DataFrame:
     is numeric. Files are metadata of some megabytes each; each is parsed by one task."""
     import pyarrow as pa
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     labels = files.mapInArrow(_labels, "label array<string>").distinct().collect()
     names = [n for n in (labels[0]["label"] if labels else []) if all(n in r["label"] for r in labels)]
 
