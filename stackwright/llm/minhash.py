@@ -1,16 +1,17 @@
 """MinHash near-dedup with b-bit signatures.
 
 A document's set is that of its distinct shingles of `size` words (A-Z lower-cased); with fewer words
-the whole sequence is one shingle. Each of 288 hash functions gives the set's minimum, of which 8 bits
-are kept and packed. 48 bands of 6 lanes make candidates: a pair at the threshold of 0.8 shares no band
-with a probability of 5e-7. Documents with the same set are one class from the start, so copies are
+the whole sequence is one shingle. Each of 576 hash functions gives the set's minimum, of which 8 bits
+are kept and packed. 72 bands of 8 lanes make candidates: a pair at the threshold of 0.8 shares no band
+with a probability of 2e-6. Documents with the same set are one class from the start, so copies are
 never paired.
 
-Candidates are settled in two rounds. First each member of a band's bucket is held against the
-bucket's smallest member only: a group of n near copies has n pairs, not n squared. Links are joined
-to components. Then only buckets that still hold more than one component give pairs, across components
-alone. In both rounds the similarity estimated from equal lanes, corrected for the 1 in 256 that are
-equal by chance, must come within 0.15 (over six standard deviations) of the threshold; then the full
+Candidates are settled in rounds. First each member of a band's bucket is held against the bucket's
+smallest member only: a group of n near copies has n pairs, not n squared. Links are joined to
+components. In TURNS more rounds members outside a bucket's largest component are held against one
+member of it. Then only buckets that still hold more than one component give pairs, across components
+alone. In all rounds the similarity estimated from equal lanes, corrected for the 1 in 256 that are
+equal by chance, must come within 0.07 (over four standard deviations) of the threshold; then the full
 shingle sets are compared. So two classes that share a band are either compared or already connected.
 
 Null texts, texts without words and rows without doc_id are linked with nothing and kept. Repeated
@@ -28,18 +29,25 @@ from stackwright.llm.common import bytes_of, drop, groups_of, list_array, stage
 from stackwright.llm.graphs import components
 from stackwright.llm.substrings import Words, _mix
 
-BANDS, ROWS = 48, 6
+BANDS, ROWS = 72, 8
 LANES = BANDS * ROWS
 #: Bits kept of each minimum; bands that fit a 64-bit word, and words of a plane.
 BITS, PER_WORD = 8, 64 // ROWS
 WORDS = -(-BANDS // PER_WORD)
 #: Links have 100 * intersection >= PERCENT * union; estimates may fall short by MARGIN.
-PERCENT, MARGIN = 80, 0.15
-GROUP_BYTES, SLAB = 2_000_000, 4096
+PERCENT, MARGIN = 80, 0.07
+GROUP_BYTES, SLAB = 500_000, 2048
+#: Rounds of one comparison per bucket and member before all pairs across components.
+TURNS = 2
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+#: Finer signatures, for the last round only: lanes, bits of each, and the shortfall allowed (over four
+#: standard deviations).
+FINE_LANES, FINE_BITS, FINE_MARGIN = 3072, 1, 0.045
+
 _FACTORS = (np.random.default_rng(20_07).integers(0, 1 << 31, LANES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_FINE_FACTORS = (np.random.default_rng(20_08).integers(0, 1 << 31, FINE_LANES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,12 +75,13 @@ def shingle_sets(texts: list[bytes], size: int):
                 yield np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each of the LANES hash functions."""
-    low = np.full(LANES, 0xFFFFFFFF, np.uint32)
+def minima(shingles: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
+    """The minimum of each of the hash functions."""
+    low = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), SLAB):
-        np.minimum(low, (x[None, i : i + SLAB] * _FACTORS[:, None]).min(axis=1), out=low)
+    step = SLAB * LANES // len(factors)
+    for i in range(0, len(x), step):
+        np.minimum(low, (x[None, i : i + step] * factors[:, None]).min(axis=1), out=low)
     return low
 
 
@@ -87,6 +96,13 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.packbits(planes, axis=2, bitorder="little").reshape(len(low), -1).view("<i8")
 
 
+def packed_fine(low: np.ndarray) -> np.ndarray:
+    """As packed, with FINE_BITS planes and lanes in their order."""
+    lanes = ((low * np.uint32(0x9E3779B1)) >> np.uint32(32 - FINE_BITS)).astype(np.uint8)
+    bits = np.unpackbits(lanes[:, :, None], axis=2, count=FINE_BITS, bitorder="little").transpose(0, 2, 1)
+    return np.packbits(np.ascontiguousarray(bits), axis=2, bitorder="little").reshape(len(low), -1).view("<i8")
+
+
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set: sums of mixed members."""
     with np.errstate(over="ignore"):
@@ -135,8 +151,9 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, shingles array<long>) of the wanted classes (key, rep): read again from their texts."""
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int, fine: bool = False) -> DataFrame:
+    """(key, shingles array<long>) of the wanted classes (key, rep): read again from their texts. With
+    fine, the finer signatures instead of the sets."""
 
     def work(batches):
         for batch in batches:
@@ -144,7 +161,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for want, s in zip(batch.column("key").to_pylist(), shingle_sets(bytes_of(batch), size), strict=True):
                 if set_keys(s)[0] == want:
                     keys.append(want)
-                    sets.append(s.view(np.int64))
+                    sets.append(packed_fine(minima(s, _FINE_FACTORS)[None, :])[0] if fine else s.view(np.int64))
             lengths = np.array([len(s) for s in sets], np.int64)
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), list_array(values, lengths, pa.int64())], names=["key", "shingles"])
@@ -178,7 +195,8 @@ def near_components(docs: DataFrame, size: int = 4) -> DataFrame:
     classes = stage(rows.where(linkable).groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).drop("key2"), "classes")
     bands = band_keys(classes.select("key", "sig")).select("band", "key")
     centres = bands.groupBy("band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "centre")
-    stars = bands.join(centres, "band").where("key != centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
+    buckets = stage(bands.join(centres, "band"), "buckets")  # of two members and more
+    stars = buckets.where("key != centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
     few = classes.select("key", "n", "sig")
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -189,21 +207,38 @@ def near_components(docs: DataFrame, size: int = 4) -> DataFrame:
     tested = stage(plausible(stars), "stars")
     links = confirm(docs, tested, classes, size)
     first = components(links)
-    # second round: buckets that hold several components, pairs across them
-    labelled = stage(classes.join(first, classes["key"] == first["node"], "left").select("key", "n", "sig", F.coalesce("component", "key").alias("component")), "labelled")
-    spread = band_keys(labelled)
-    mixed = spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    members = stage(spread.join(mixed, "band", "left_semi"), "mixed")
+    # further rounds: buckets that still hold several components. Their members outside the bucket's
+    # largest component are held against one member of it, another one each round
+    for turn in range(TURNS):
+        buckets = mixed_buckets(buckets, first, turn)
+        sizes = buckets.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("order"), "key")).alias("pick"))
+        chosen = sizes.groupBy("band").agg(F.max(F.struct("n", "component", F.col("pick.key").alias("centre"))).alias("c")).select("band", F.col("c.component").alias("largest"), F.col("c.centre").alias("centre"))
+        held = buckets.join(chosen, "band").where("component != largest").select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct()
+        fresh = stage(plausible(held.join(tested, ["a", "b"], "left_anti")), "held")
+        tested = tested.unionByName(fresh)
+        if not fresh.isEmpty():
+            links = links.unionByName(confirm(docs, fresh, classes, size))
+            first = components(links)
+    # last round: all pairs across the components that remain in a bucket, each in its first common band
+    buckets = mixed_buckets(buckets, first, TURNS)
+    wanted = stage(buckets.select("key").distinct().join(classes.select("key", "rep"), "key"), "members")
+    fine = stage(sets_of(docs, wanted, size, fine=True), "fine").dropDuplicates(["key"]).withColumnRenamed("shingles", "fine")
+    mine = buckets.groupBy("key").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # BANDS at most
+    # words as plain columns: the join's condition stays small enough to be compiled
+    words = {f"f{i}": F.coalesce(F.col("fine")[i], F.lit(0)) for i in range(FINE_LANES // 64)}
+    members = buckets.join(mine, "key").join(classes.select("key", "n"), "key").join(fine.withColumns(words).drop("fine"), "key")
     x, y = members.alias("x"), members.alias("y")
-    across = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    near = estimate(F.col("x.sig"), F.col("y.sig")) >= PERCENT / 100 - MARGIN
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & across & sizes_allow(F.col("x.n"), F.col("y.n")) & near)
-    pairs = pairs.select(F.col("y.key").alias("a"), F.col("x.key").alias("b")).distinct()
+    across = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes_allow(F.col("x.n"), F.col("y.n"))
+    unequal = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+    # one bit a lane: equal by chance in half of the cases
+    close = unequal <= int(FINE_LANES * (1 - (PERCENT / 100 - FINE_MARGIN)) / 2)
+    leads = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & F.when(~across, False).when(~close, False).otherwise(leads))
+    pairs = pairs.select(F.col("y.key").alias("a"), F.col("x.key").alias("b"))
     fresh = stage(pairs.join(tested, ["a", "b"], "left_anti"), "across")
-    drop(members)
     if not fresh.isEmpty():
-        more = confirm(docs, fresh, classes, size)
-        first = components(links.unionByName(more))
+        links = links.unionByName(confirm(docs, fresh, classes, size))
+        first = components(links)
     found = classes.select("key", "rep").join(first, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = found.join(least, "component").select("key", "component_id")
@@ -212,6 +247,14 @@ def near_components(docs: DataFrame, size: int = 4) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def mixed_buckets(buckets: DataFrame, first: DataFrame, turn: int) -> DataFrame:
+    """(band, key, component) of the buckets that hold several components, staged."""
+    names = buckets.select("band", "key").join(first, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    names = stage(names, f"components-{turn}")
+    mixed = names.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
+    return stage(names.join(mixed, "band", "left_semi"), f"mixed-{turn}")
+
+
 def sizes_allow(m: Column, n: Column) -> Column:
     """Sets whose sizes differ too much can't reach the threshold."""
     return F.least(m, n) * 100 >= F.greatest(m, n) * PERCENT
