@@ -69,6 +69,20 @@ def cell_corners(cells: DataFrame, dims: int, n: int) -> DataFrame:
     return rows.groupBy("id", *AXES[:dims]).agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "v"))), lambda s: s["v"]).alias("corners"))
 
 
+def cells_from_corners(layout: DataFrame, dims: int, n: int) -> DataFrame:
+    """The transpose of cell_corners: every corner's value is added to the cell it came from."""
+    half = n // 2
+    rows = layout.select("id", *AXES[:dims], F.posexplode("corners").alias("corner", "v"))
+    moved = {AXES[k]: (F.pmod(F.col(AXES[k]) + F.floor(F.col("corner") / 2**k) % 2 + half, F.lit(n)) - half).cast("int") for k in range(dims)}
+    return rows.select("id", *[c.alias(a) for a, c in moved.items()], "v").groupBy("id", *AXES[:dims]).agg(F.sum("v").alias("v"))
+
+
+def rotate_volume(cells: DataFrame, grid_points: DataFrame, rotation: list[list[float]], n: int, key: str) -> DataFrame:
+    """(key, id, v): volumes turned by a matrix, trilinear, 0 outside."""
+    turned = grid_points.select("id", *[sum((F.lit(rotation[i][j]) * F.col(f"p{j}") for j in (1, 2)), F.lit(rotation[i][0]) * F.col("p0")).alias(f"p{i}") for i in range(3)])
+    return sample_at(cells, turned, 3, n, key=key)
+
+
 def hermitian_part(cells: DataFrame, dims: int, n: int) -> DataFrame:
     """The mean of each coefficient and the conjugate of its mirror, wrapped around."""
     half = n // 2

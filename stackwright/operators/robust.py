@@ -97,3 +97,13 @@ def moments(cells: DataFrame, keys: list[str]) -> DataFrame:
     mean = {f"m{a}": F.try_divide(F.col(a), F.col("w")) for a in axes}
     cov = {f"c{a}{b}": F.try_divide(F.col(a + b), F.col("w")) - mean[f"m{a}"] * mean[f"m{b}"] for i, a in enumerate(axes) for b in axes[i:]}
     return sums.select(*keys, *[c.alias(k) for k, c in (mean | cov).items()])
+
+
+def principal_axes(covariance: list[list[float]]):
+    """Eigenvectors of a 3 x 3 covariance as columns, by rising eigenvalue, turned to a right hand."""
+    import numpy as np
+
+    _, vectors = np.linalg.eigh(np.array(covariance, float))
+    if np.linalg.det(vectors) < 0:
+        vectors[:, 0] = -vectors[:, 0]
+    return vectors

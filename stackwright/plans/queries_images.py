@@ -275,3 +275,30 @@ def prior_neighbours(spark, d):
 @query(f"with {CELLS3} select vec_id as id, round(sum(2.0*(0.5*v*v/0.25 + ln(0.5) + 0.5*ln(2*pi())) + 0.5*3.0*abs(v)), 5) as loss from c group by vec_id")
 def prior_sum(spark, d):
     return _loss(objectives.total(_volume_cells(spark, d), [(2.0, objectives.gaussian(0.5)), (0.5, objectives.sparsity(3.0)), (1.0, objectives.null_prior())]))
+
+
+@query(f"with {CELLS2}, m as (select vec_id, sum(v*4) as t from c group by 1) select vec_id as id, x, y, round(4*v, 6) as v from c join m using (vec_id)")
+def cell_layout_transposed(spark, d):
+    """Summed back, every cell counts once for each of the four cells that gathered it."""
+    layout = linear.cell_corners(images(spark, d).withColumnRenamed("vec_id", "id"), 2, 8)
+    return linear.cells_from_corners(layout, 2, 8).withColumn("v", F.round("v", 6))
+
+
+@query(f"with {CELLS3} select c.vec_id, (k.x + 2)*16 + (k.y + 2)*4 + k.z + 2 as id, round(c.v, 6) as v from c join (select distinct x, y, z from c) k on c.x = -k.y and c.y = k.x and c.z = k.z")
+def rotate_volume(spark, d):
+    at = grid.grid(spark, 4, 3).select(((F.col("x") + 2) * 16 + (F.col("y") + 2) * 4 + F.col("z") + 2).alias("id"), *[F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate("xyz")])
+    turn = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+    return linear.rotate_volume(volumes(spark, d), at, turn, 4, "vec_id").withColumn("v", F.round("v", 6))
+
+
+@query(f"with {CELLS2}, t(id, x, y, w) as (values (0, 1, -2, 0.375), (0, 2, -2, 0.125), (0, 1, -1, 0.375), (0, 2, -1, 0.125), (1, -4, 3, 0.25)) select vec_id, id, round(sum(w*v), 6)::double as v from c join t using (x, y) group by all")
+def bilinear_sample(spark, d):
+    points = spark.createDataFrame([(0, 1.25, -1.5), (1, -4.5, 3.5)], "id int, p0 double, p1 double")
+    return linear.sample_at(images(spark, d), points, 2, 8, key="vec_id").withColumn("v", F.round("v", 6))
+
+
+@query(f"with {CELLS2} select vec_id, x, y, round(case when x*x + y*y < 9 then v else 0 end, 6) as v from c")
+def truncated_to_full(spark, d):
+    cells = images(spark, d)
+    part = cells.where(grid.inside(8, 2, 0.75))
+    return grid.truncated_to_full(spark, part, 8, 2, cells.select("vec_id").distinct(), "vec_id").withColumn("v", F.round("v", 6))

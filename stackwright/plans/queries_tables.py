@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from stackwright.functions import geometry, kernels
-from stackwright.operators import likelihood, pairs, probability, quadrature, robust, sequence
+from stackwright.operators import likelihood, pairs, probability, quadrature, robust, sampler_state, sequence
 from stackwright.plans.registry import query, table
 
 PI = 3.141592653589793
@@ -447,3 +447,37 @@ def timing_unpivot(spark, d):
     wide = table(spark, d, "events").withColumn("m", F.col("user_id") % 3).groupBy("event_type").pivot("m", [0, 1, 2]).agg(F.avg("value"))
     long = wide.unpivot(["event_type"], ["0", "1", "2"], "prefix", "mean").where("mean is not null")
     return long.select("event_type", F.col("prefix").cast("long").alias("prefix"), F.round("mean", 6).alias("mean"))
+
+
+UPDATE = "select image, point, v/sum(v) over (partition by image) as p from (select user_id as image, event_id % 8 as point, sqrt(sum(abs(value) + 1)) as v from events where user_id % 2 = 0 group by all)"
+KEPT = "select image, point, n/sum(n) over (partition by image) as p from (select user_id as image, event_id % 8 as point, count(*) as n from events group by all)"
+
+
+def _sampler(spark, d):
+    e = table(spark, d, "events").withColumns({"image": F.col("user_id"), "point": F.col("event_id") % 8})
+    counts = e.groupBy("image", "point").agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("weight", F.lit(1.0))
+    state = sampler_state.record_update(counts)
+    fresh = e.where("image % 2 = 0").groupBy("image", "point").agg(F.sum(F.abs("value") + 1).alias("value")).withColumn("weight", F.lit(1.0))
+    return sampler_state.commit(state, sampler_state.record_update(fresh, 2.0))
+
+
+@query(f"with u as ({UPDATE}), k as ({KEPT}) select image, point, round(p, 6) as p from u union all select image, point, round(p, 6) from k where image % 2 = 1")
+def sampler_commit(spark, d):
+    return _sampler(spark, d).withColumn("p", F.round("p", 6))
+
+
+@query(f"with u as ({UPDATE}), k as ({KEPT}), s as (select * from u union all select * from k where image % 2 = 1), m as (select point, sum(p) + 1.0/8 as m from s where image % 5 <> 0 group by 1) select point, round(m/sum(m) over (), 6) as p from m")
+def sampler_global(spark, d):
+    points = spark.range(8).withColumnRenamed("id", "point")
+    tests = table(spark, d, "events").where("user_id % 5 = 0").select(F.col("user_id").alias("image")).distinct()
+    return sampler_state.global_distribution(_sampler(spark, d), points, 1.0, tests).withColumn("p", F.round("p", 6))
+
+
+@query(f"with u as ({UPDATE}), k as ({KEPT}), s as (select * from u union all select * from k where image % 2 = 1) select image, (point//4)::bigint as slice, round(sum(p), 6) as p from s group by all")
+def sampler_marginal(spark, d):
+    return sampler_state.marginals(_sampler(spark, d), 4)[0].withColumn("p", F.round("p", 6))
+
+
+@query("select s.i*5 + t.i as point, s.i as slice, t.i as turn, round(4*pi()/12*2*pi()/5, 6) as weight from (select unnest(range(12))::int as i) s, (select unnest(range(5))::int as i) t")
+def product_domain(spark, d):
+    return sampler_state.product_domain(quadrature.spiral_sphere(spark, 12), quadrature.circle_grid(spark, 1.5)).withColumn("weight", F.round("weight", 6))
