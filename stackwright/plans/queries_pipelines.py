@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackwright.functions import kernels  # noqa: F401
 from stackwright.operators import fourier
 from stackwright.plans.registry import query, table
 

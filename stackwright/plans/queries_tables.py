@@ -75,11 +75,9 @@ def moving_average(spark, d):
 
 @query("""with r as (select user_id, event_id, value, row_number() over w as i, count(*) over (partition by user_id) as n from events window w as (partition by user_id order by ts, event_id)),
  k as (select unnest([-2,-1,0,1,2]) as k), w as (select k, 0.5 - 0.5*cos(2*pi()/4*(k+2)) as w from k)
- select r.user_id, r.event_id, round(sum(w.w*o.value)/2.0, 5) as smooth from r, w, r o where r.n >= 5 and o.user_id = r.user_id and o.i = case when r.i + k < 1 then 2 - r.i - k when r.i + k > r.n then 2*r.n - r.i - k else r.i + k end group by all""")
+ select r.user_id, r.event_id, round(sum(w.w*o.value)/2.0, 5) as smooth from r, w, r o where o.user_id = r.user_id and o.i = least(greatest(case when r.i + k < 1 then 2 - r.i - k when r.i + k > r.n then 2*r.n - r.i - k else r.i + k end, 1), r.n) group by all""")
 def smooth_hanning(spark, d):
-    e = table(spark, d, "events")
-    big = e.groupBy("user_id").count().where("count >= 5").select("user_id")
-    return sequence.smooth(e.join(big, "user_id"), "value", 5, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.round("smooth", 5).alias("smooth"))
+    return sequence.smooth(table(spark, d, "events"), "value", 5, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.round("smooth", 5).alias("smooth"))
 
 
 @query("select user_id, event_id, round((event_id - lag(event_id) over w)/nullif(epoch(ts) - lag(epoch(ts)) over w, 0), 6) as rate from events window w as (partition by user_id order by ts, event_id)")
@@ -260,16 +258,16 @@ def _unit(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[(x / n).alias(f"p{i}") for i, x in enumerate(e)])
 
 
-@query(f"with {UNIT}, k as (select a.id, sum(exp(8*(a.p0*b.p0 + a.p1*b.p1 + a.p2*b.p2 - 1))) as s from u a, u b where b.id % 10 = 0 group by 1) select id, round(s/sum(s) over (), 7) as p from k")
+@query(f"with {UNIT}, k as (select a.id, sum(exp(8*(a.p0*b.p0 + a.p1*b.p1 + a.p2*b.p2 - 1))) as s from u a, u b group by 1) select id, round(s/sum(s) over (), 7) as p from k")
 def fisher_kde(spark, d):
     u = _unit(spark, d)
-    return pairs.fisher_density(u, u.where("id % 10 = 0").withColumn("w", F.lit(1.0)), 8.0).withColumn("p", F.round("p", 7))
+    return pairs.fisher_density(u, u.withColumn("w", F.lit(1.0)), 8.0).withColumn("p", F.round("p", 7))
 
 
-@query(f"with {UNIT}, s as (select * from u where id % 25 = 0), n as (select a.id, sqrt(min(case when a.id <> b.id then power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2) end)) as h from s a, s b group by 1), e as (select u.id, -(power(u.p0 - s.p0, 2) + power(u.p1 - s.p1, 2))/(2*power(5*h, 2)) as e from u, s join n using (id)), l as (select id, max(e) + ln(sum(exp(e - m))) as l from (select *, max(e) over (partition by id) as m from e) group by 1) select id, round(l - (select max(l) + ln(sum(exp(l - (select max(l) from l)))) from l), 4) as logp from l")
+@query(f"with {UNIT}, s as (select * from u), n as (select a.id, sqrt(min(case when a.id <> b.id then power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2) end)) as h from s a, s b group by 1), e as (select u.id, -(power(u.p0 - t.p0, 2) + power(u.p1 - t.p1, 2))/(2*power(5*t.h, 2)) as e from u, (select s.*, h from s join n using (id)) t), l as (select id, max(e) + ln(sum(exp(e - m))) as l from (select *, max(e) over (partition by id) as m from e) group by 1) select id, round(l - (select max(l) + ln(sum(exp(l - (select max(l) from l)))) from l), 4) as logp from l")
 def gaussian_kde(spark, d):
     u = _unit(spark, d).select("id", "p0", "p1")
-    return pairs.gaussian_density(u, u.where("id % 25 = 0").withColumn("w", F.lit(1.0)), 2, 5.0).withColumn("logp", F.round("logp", 4))
+    return pairs.gaussian_density(u, u.withColumn("w", F.lit(1.0)), 2, 5.0).withColumn("logp", F.round("logp", 4))
 
 
 @query(f"with {UNIT} select a.id, b.id as id2, round(power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2) + power(a.p2 - b.p2, 2), 6) as d2 from u a, u b where power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2) + power(a.p2 - b.p2, 2) <= 0.01")
@@ -278,15 +276,15 @@ def pair_radius_join(spark, d):
     return pairs.near_pairs(u, u, 3, 0.1).select("id", "id2", F.round("d2", 6).alias("d2"))
 
 
-@query(f"with {UNIT}, s as (select * from u where id % 5 = 0) select a.id, round(sqrt(min(power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2))), 6) as spacing from s a join s b on a.id <> b.id group by 1")
+@query(f"with {UNIT}, s as (select * from u) select a.id, round(sqrt(min(power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2))), 6) as spacing from s a join s b on a.id <> b.id group by 1")
 def nearest_spacing(spark, d):
-    return pairs.nearest_spacing(_unit(spark, d).where("id % 5 = 0"), 2, 1.0).withColumn("spacing", F.round("spacing", 6))
+    return pairs.nearest_spacing(_unit(spark, d), 2, 1.0).withColumn("spacing", F.round("spacing", 6))
 
 
-@query(f"with {UNIT} select a.id, b.id as id2, round(power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2), 6) as d2 from u a, u b where b.id % 50 = 0")
+@query(f"with {UNIT} select a.id, b.id as id2, round(power(a.p0 - b.p0, 2) + power(a.p1 - b.p1, 2), 6) as d2 from u a, u b")
 def squared_distances(spark, d):
     u = _unit(spark, d)
-    return pairs.squared_distances(u, u.where("id % 50 = 0"), 2).select("id", "id2", F.round("d2", 6).alias("d2"))
+    return pairs.squared_distances(u, u, 2).select("id", "id2", F.round("d2", 6).alias("d2"))
 
 
 SPIRAL = "h as (select i, -1 + i*2.0::double/199 as h from (select unnest(range(200)) as i)), t as (select i, h, sum(case when i between 1 and 198 then 3.6/sqrt(200)/sqrt(1 - h*h) else 0 end) over (order by i) as t from h), s as (select i, cos(case when i between 1 and 198 then t else 0 end)*sqrt(greatest(1 - h*h, 0)) as x, sin(case when i between 1 and 198 then t else 0 end)*sqrt(greatest(1 - h*h, 0)) as y, h as z, 4*pi()/200 as weight from t)"
@@ -339,9 +337,9 @@ def euler_rotation(spark, d):
     return table(spark, d, "customer").select("c_custkey", *[F.round(m[i][j], 6).alias(f"r{i}{j}") for i, j in ((0, 0), (0, 1), (0, 2), (1, 2), (2, 0), (2, 1), (2, 2))])
 
 
-@query(f"with {UNIT} select id, round(p0, 6) as r02, round(1 - p0*p0/(1 + p2), 6) as r00, round(-p0*p1/(1 + p2), 6) as r01, round(atan2(p1, p0), 6) as phi, round(atan2(sqrt(p0*p0 + p1*p1), p2), 6) as theta from u where p2 > -0.99")
+@query(f"with {UNIT} select id, round(p0, 6) as r02, round(1 - p0*p0/(1 + p2), 6) as r00, round(-p0*p1/(1 + p2), 6) as r01, round(atan2(p1, p0), 6) as phi, round(atan2(sqrt(p0*p0 + p1*p1), p2), 6) as theta from u")
 def direction_rotation(spark, d):
-    u = _unit(spark, d).where("p2 > -0.99")
+    u = _unit(spark, d)
     m = geometry.from_direction(F.col("p0"), F.col("p1"), F.col("p2"))
     e = geometry.to_euler(F.col("p0"), F.col("p1"), F.col("p2"))
     return u.select("id", F.round(m[0][2], 6).alias("r02"), F.round(m[0][0], 6).alias("r00"), F.round(m[0][1], 6).alias("r01"), F.round(e[0], 6).alias("phi"), F.round(e[1], 6).alias("theta"))
@@ -376,7 +374,7 @@ def noise_and_envelope(spark, d):
     return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("envelope", "noise", "noise_prior")])
 
 
-PROJ = [(r, i, s, c, round(math.sin(1 + r + 2 * i + 3 * s + c), 6), round(math.cos(r * i + s + c), 6), round(-math.log(24) + 0.01 * s, 9)) for r in range(2) for i in range(4) for s in range(3) for c in range(16)]
+PROJ = [(r, i, s, c, round(math.sin(1 + r + 2 * i + 3 * s + c), 6), round(math.cos(r * i + s + c), 6), round(-math.log(24) + 0.01 * s, 9)) for r in range(2) for i in range(4) for s in range(3) for c in range(32)]
 
 
 def _projections(spark):
@@ -384,14 +382,14 @@ def _projections(spark):
 
 
 RIS = f"""with p0(r, i, s, c, re, im, logw) as (values {', '.join(map(str, PROJ))}), p as (select r, i, s, c, re::double as re, im::double as im, logw::double as logw from p0),
- d as (select vec_id, k as c, embedding[k + 1]::double as re, embedding[k + 17]::double as im from embeddings, (select unnest(range(16)) as k)),
+ d as (select vec_id, k as c, embedding[k + 1]::double as re, embedding[k + 33]::double as im from embeddings, (select unnest(range(32)) as k)),
  e as (select vec_id, r, i, s, first(logw) - sum(power(d.re - p.re, 2) + power(d.im - p.im, 2))/(2*1.5) as e from d join p using (c) group by all)"""
 
 
 @query(f"{RIS} select vec_id, round(-(max(e) + ln(sum(exp(e - m)))), 5) as nll from (select *, max(e) over (partition by vec_id) as m from e) group by 1")
 def marginal_likelihood(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("c", "re"), "embedding")
-    e = e.select("vec_id", "c", F.col("re").cast("double").alias("re"), F.col("embedding")[F.col("c") + 16].cast("double").alias("im"))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 32)).alias("c", "re"), "embedding")
+    e = e.select("vec_id", "c", F.col("re").cast("double").alias("re"), F.col("embedding")[F.col("c") + 32].cast("double").alias("im"))
     return likelihood.marginal_sql(e, _projections(spark), "vec_id", 1.5).withColumn("nll", F.round("nll", 5))
 
 
@@ -399,9 +397,9 @@ def marginal_likelihood(spark, d):
 def marginal_likelihood_arrow(spark, d):
     import numpy as np
 
-    images = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("re"), F.transform(F.slice("embedding", 17, 16), lambda x: x.cast("double")).alias("im"))
-    p = np.array([complex(*x[4:6]) for x in PROJ]).reshape(2, 4, 3, 16)
-    logw = np.array([x[6] for x in PROJ]).reshape(2, 4, 3, 16)[..., 0]
+    images = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("re"), F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("im"))
+    p = np.array([complex(*x[4:6]) for x in PROJ]).reshape(2, 4, 3, 32)
+    logw = np.array([x[6] for x in PROJ]).reshape(2, 4, 3, 32)[..., 0]
     out = likelihood.marginal_arrow(images, "vec_id", p, logw, 1.5)
     return out.select("vec_id", F.round("nll", 5).alias("nll"), F.round("ess_r", 5).alias("ess_r"))
 
@@ -419,9 +417,9 @@ def parameter_overlay(spark, d):
     return pairs.latest(rows, "k", "v", F.col("level"))
 
 
-@query("select count(*) filter (event_id % 7 = 0)*100 as n from events")
+@query("select count(*) filter (event_type = 'click')*100 as n from events")
 def dataset_size(spark, d):
-    return table(spark, d, "events").agg((F.count_if(F.col("event_id") % 7 == 0) * 100).alias("n"))
+    return table(spark, d, "events").agg((F.count_if(F.col("event_type") == "click") * 100).alias("n"))
 
 
 @query("select event_id, case when s >= 86400 then lpad((s//86400)::varchar, 2, '0') || ':' else '' end || lpad((s//3600 % 24)::varchar, 2, '0') || ':' || lpad((s//60 % 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') || 's' as elapsed from (select event_id, event_id*977 as s from events)")
@@ -449,7 +447,7 @@ def timing_unpivot(spark, d):
     return long.select("event_type", F.col("prefix").cast("long").alias("prefix"), F.round("mean", 6).alias("mean"))
 
 
-UPDATE = "select image, point, v/sum(v) over (partition by image) as p from (select user_id as image, event_id % 8 as point, sqrt(sum(abs(value) + 1)) as v from events where user_id % 2 = 0 group by all)"
+UPDATE = "select image, point, v/sum(v) over (partition by image) as p from (select user_id as image, event_id % 8 as point, sqrt(sum(abs(value) + 1)) as v from events where event_type = 'click' group by all)"
 KEPT = "select image, point, n/sum(n) over (partition by image) as p from (select user_id as image, event_id % 8 as point, count(*) as n from events group by all)"
 
 
@@ -457,23 +455,23 @@ def _sampler(spark, d):
     e = table(spark, d, "events").withColumns({"image": F.col("user_id"), "point": F.col("event_id") % 8})
     counts = e.groupBy("image", "point").agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("weight", F.lit(1.0))
     state = sampler_state.record_update(counts)
-    fresh = e.where("image % 2 = 0").groupBy("image", "point").agg(F.sum(F.abs("value") + 1).alias("value")).withColumn("weight", F.lit(1.0))
+    fresh = e.where("event_type = 'click'").groupBy("image", "point").agg(F.sum(F.abs("value") + 1).alias("value")).withColumn("weight", F.lit(1.0))
     return sampler_state.commit(state, sampler_state.record_update(fresh, 2.0))
 
 
-@query(f"with u as ({UPDATE}), k as ({KEPT}) select image, point, round(p, 6) as p from u union all select image, point, round(p, 6) from k where image % 2 = 1")
+@query(f"with u as ({UPDATE}), k as ({KEPT}) select image, point, round(p, 6) as p from u union all select image, point, round(p, 6) from k where image not in (select image from u)")
 def sampler_commit(spark, d):
     return _sampler(spark, d).withColumn("p", F.round("p", 6))
 
 
-@query(f"with u as ({UPDATE}), k as ({KEPT}), s as (select * from u union all select * from k where image % 2 = 1), m as (select point, sum(p) + 1.0/8 as m from s where image % 5 <> 0 group by 1) select point, round(m/sum(m) over (), 6) as p from m")
+@query(f"with u as ({UPDATE}), k as ({KEPT}), s as (select * from u union all select * from k where image not in (select image from u)), m as (select point, coalesce(sum(p), 0) + 0.125::double as m from (select unnest(range(8)) as point) left join (select * from s where image not in (select user_id from events where value > 400)) using (point) group by 1) select point, round(m/sum(m) over (), 6) as p from m")
 def sampler_global(spark, d):
     points = spark.range(8).withColumnRenamed("id", "point")
-    tests = table(spark, d, "events").where("user_id % 5 = 0").select(F.col("user_id").alias("image")).distinct()
+    tests = table(spark, d, "events").where("value > 400").select(F.col("user_id").alias("image")).distinct()
     return sampler_state.global_distribution(_sampler(spark, d), points, 1.0, tests).withColumn("p", F.round("p", 6))
 
 
-@query(f"with u as ({UPDATE}), k as ({KEPT}), s as (select * from u union all select * from k where image % 2 = 1) select image, (point//4)::bigint as slice, round(sum(p), 6) as p from s group by all")
+@query(f"with u as ({UPDATE}), k as ({KEPT}), s as (select * from u union all select * from k where image not in (select image from u)) select image, (point//4)::bigint as slice, round(sum(p), 6) as p from s group by all")
 def sampler_marginal(spark, d):
     return sampler_state.marginals(_sampler(spark, d), 4)[0].withColumn("p", F.round("p", 6))
 
