@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A-Z and a-z for F.translate: contracts lower ASCII letters only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The word separators of the contracts: space and \t\n\v\f\r.
-SPACES = np.zeros(256, bool)
-SPACES[[32, 9, 10, 11, 12, 13]] = True
+
+
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Falls back to a temporary one only where none is named."""
+    """The folder that driver and executors share. A temporary one only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="stackwright-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        named = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="stackwright-")
     return named.rstrip("/")
 
 
