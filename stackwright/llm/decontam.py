@@ -7,8 +7,8 @@ each weighted by how often it occurs.
 
 1. Every document's shingles are looked up among the items' shingles. A window that is similar enough
    shares at least 0.8 of the item's shingles, so documents with fewer hits are out, and the hits tell
-   where windows can begin: at a hit's position less its place in the item, give or take a fifth of the
-   item's length.
+   where windows can begin: at a hit's position less its place in the item, give or take the
+   shingles of the item that may be missing, a ninth of them.
 2. Each of those item-sized windows gets a 64-bit SimHash of its weighted shingles. The items'
    fingerprints are indexed by RADIUS + 1 blocks of bits: two fingerprints within the radius agree in
    at least one block, so probing all blocks finds every one. Similar pairs differ in 9.7 of 64 bits on
@@ -41,21 +41,39 @@ def shingles(name: str, size: int = SIZE) -> Column:
     return F.expr(f"CASE WHEN size({name}) = 0 THEN cast(array() AS array<bigint>) WHEN size({name}) < {size} THEN array(xxhash64({name})) ELSE transform(sequence(1, size({name}) - {size - 1}), i -> xxhash64(slice({name}, i, {size}))) END")
 
 
-def simhash(name: str) -> Column:
-    """Bit b is set if more than half of the shingles, by weight, have it set."""
-    # coalesce: never null, so that no join infers a filter that computes it again
-    return F.expr(f"coalesce(aggregate(sequence(0, 63), 0L, (f, b) -> f | CASE WHEN 2 * aggregate({name}, 0, (n, h) -> n + cast(shiftrightunsigned(h, b) & 1L AS int)) > size({name}) THEN shiftleft(1L, b) ELSE 0L END), 0L)")
+def with_simhash(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Adds the fingerprint of an array of shingles: bit b is set if more than half of them, by weight,
+    have it set. Sixteen sums count four bits each, in 16-bit lanes."""
+    lane = sum(1 << 16 * j for j in range(4))
+    sums = {f"_sum{k}": F.expr(f"coalesce(aggregate({name}, 0L, (n, h) -> n + (shiftrightunsigned(h, {k}) & {lane}L)), 0L)") for k in range(16)}
+    bits = F.lit(0).cast("long")
+    for k in range(16):
+        for j in range(4):
+            count = F.shiftrightunsigned(F.col(f"_sum{k}"), 16 * j).bitwiseAND(F.lit(0xFFFF))
+            bit = 1 << (16 * j + k)
+            bits = bits.bitwiseOR(F.when(2 * count > F.size(name), F.lit(bit - (1 << 64) if bit >> 63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return df.withColumns(sums).withColumn(out, bits).drop(*sums)
+
+
+def _block(fingerprint: Column, i: int) -> Column:
+    a, b = 64 * i // (RADIUS + 1), 64 * (i + 1) // (RADIUS + 1)
+    return F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
 
 
 def blocks(fingerprint: Column) -> Column:
     """The fingerprint's RADIUS + 1 blocks as (block number, bits)."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    return F.array(*[F.struct(F.lit(i).alias("block"), _block(fingerprint, i).alias("bits")) for i in range(RADIUS + 1)])
+
+
+def first_equal_block(a: Column, b: Column) -> Column:
+    return F.coalesce(*[F.when(_block(a, i) == _block(b, i), F.lit(i)) for i in range(RADIUS + 1)])
 
 
 def shared_weight(a: str, b: str) -> Column:
     """Shingles in both arrays, each as often as in the array that has it less often."""
-    return F.expr(f"aggregate(array_distinct({a}), 0, (n, s) -> n + least(size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s))))")
+    plain = f"size(array_distinct({a})) = size({a}) AND size(array_distinct({b})) = size({b})"
+    counted = f"aggregate(array_distinct({a}), 0, (n, s) -> n + least(size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s))))"
+    return F.expr(f"CASE WHEN {plain} THEN size(array_intersect({a}, {b})) ELSE {counted} END")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -66,7 +84,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start_word): the best window of each contaminated document and item."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
     items = items.select("item_id", F.size("w").alias("n_words"), shingles("w").alias("item"))
-    items = stage(items.withColumn("item_print", simhash("item")), "items")
+    items = stage(with_simhash(items, "item", "item_print"), "items")
     places = items.select("item_id", "n_words", F.size("item").alias("n_item"), F.posexplode("item").alias("place", "shingle"))
     n_places, n_items = places.count(), items.count()
 
@@ -76,7 +94,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for size in [r["n_words"] for r in items.where(F.col("n_words") < SIZE).select("n_words").distinct().collect()]:
         short = places.where(F.col("n_words") == size)
         hits = hits.unionByName(rows.where(F.size("w") >= SIZE).select("doc_id", F.posexplode(shingles("w", size)).alias("at", "shingle")).join(small(short, n_places), "shingle"))
-    slack = F.ceil(F.col("n_words") * (100 - PERCENT) / 100).cast("int")
+    # of two sets of n shingles, similar by p / 100, at most n * (100 - p) / (100 + p) are not shared
+    slack = F.ceil(F.col("n_words") * (100 - PERCENT) / (100 + PERCENT)).cast("int")
     pairs = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n_item").alias("n_item"), F.first("n_words").alias("n_words"), F.collect_set(F.col("at") - F.col("place")).alias("begins"))
     pairs = pairs.where(F.col("hits") * 100 >= F.col("n_item") * PERCENT)
     pairs = stage(pairs.select("doc_id", "item_id", "n_words", slack.alias("slack"), "begins"), "pairs")
@@ -88,14 +107,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = texts.join(pairs, "doc_id").select("doc_id", "n_words", "w", F.explode(begins).alias("start_word"))
     windows = windows.select("doc_id", "n_words", "start_word", F.expr("slice(w, start_word + 1, n_words)").alias("w"))
     windows = windows.select("doc_id", "n_words", "start_word", F.when(F.col("n_words") < SIZE, F.expr("array(xxhash64(w))")).otherwise(shingles("w")).alias("window"))
-    windows = windows.withColumn("print", simhash("window"))
+    windows = with_simhash(windows, "window", "print")
 
     index = items.select("item_id", "n_words", "item", "item_print", F.inline(blocks(F.col("item_print"))))
     probes = windows.select("doc_id", "n_words", "start_word", "window", "print", F.inline(blocks(F.col("print"))))
-    near = probes.join(small(index, n_items * (RADIUS + 1)), ["n_words", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    # a pair may agree in several blocks: the first one speaks for it
-    first = F.expr("block = array_min(transform(filter(arrays_zip(mine, theirs), x -> x.mine.bits = x.theirs.bits), x -> x.mine.block))")
-    near = near.withColumns({"mine": blocks(F.col("print")), "theirs": blocks(F.col("item_print"))}).where(first)
+    # within the radius; a pair that agrees in several blocks is spoken for by the first of them
+    within = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
+    near = probes.join(small(index, n_items * (RADIUS + 1)), ["n_words", "block", "bits"])
+    near = near.where(within & (F.col("block") == first_equal_block(F.col("print"), F.col("item_print"))))
     scored = near.select("doc_id", "item_id", "start_word", shared_weight("item", "window").alias("shared"), F.size("item").alias("n"), F.size("window").alias("m"))
     scored = scored.where(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * PERCENT)
     similarity = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))
