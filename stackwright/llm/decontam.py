@@ -6,9 +6,8 @@ weighted 5-word-shingle similarity of 0.8 or more with the item: shared shingles
 each weighted by how often it occurs.
 
 1. Every document's shingles are looked up among the items' shingles. A window that is similar enough
-   shares at least 0.8 of the item's shingles, so documents with fewer hits are out, and the hits tell
-   where windows can begin: at a hit's position less its place in the item, give or take the
-   shingles of the item that may be missing, a ninth of them.
+   shares at least 8/9 of the item's shingles (0.8 if the document is shorter than the item), in any
+   order, so each hit counts for the windows that cover it, and windows with fewer hits are out.
 2. Each of those item-sized windows gets a 64-bit SimHash of its weighted shingles. The items'
    fingerprints are indexed by RADIUS + 1 blocks of bits: two fingerprints within the radius agree in
    at least one block, so probing all blocks finds every one. Similar pairs differ in 9.7 of 64 bits on
@@ -88,23 +87,25 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = items.select("item_id", "n_words", F.size("item").alias("n_item"), F.posexplode("item").alias("place", "shingle"))
     n_places, n_items = places.count(), items.count()
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).withColumn("n_doc", F.size("w"))
     # short items are found as whole sequences of their own length, one pass for each such length
-    hits = rows.select("doc_id", F.posexplode(shingles("w")).alias("at", "shingle")).join(small(places, n_places), "shingle")
+    hits = rows.select("doc_id", "n_doc", F.posexplode(shingles("w")).alias("at", "shingle")).join(small(places, n_places), "shingle")
     for size in [r["n_words"] for r in items.where(F.col("n_words") < SIZE).select("n_words").distinct().collect()]:
         short = places.where(F.col("n_words") == size)
-        hits = hits.unionByName(rows.where(F.size("w") >= SIZE).select("doc_id", F.posexplode(shingles("w", size)).alias("at", "shingle")).join(small(short, n_places), "shingle"))
-    # of two sets of n shingles, similar by p / 100, at most n * (100 - p) / (100 + p) are not shared
-    slack = F.ceil(F.col("n_words") * (100 - PERCENT) / (100 + PERCENT)).cast("int")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n_item").alias("n_item"), F.first("n_words").alias("n_words"), F.collect_set(F.col("at") - F.col("place")).alias("begins"))
-    pairs = pairs.where(F.col("hits") * 100 >= F.col("n_item") * PERCENT)
-    pairs = stage(pairs.select("doc_id", "item_id", "n_words", slack.alias("slack"), "begins"), "pairs")
+        hits = hits.unionByName(rows.where(F.size("w") >= SIZE).select("doc_id", "n_doc", F.posexplode(shingles("w", size)).alias("at", "shingle")).join(small(short, n_places), "shingle"))
+    # every hit counts for each window of the item's size that covers it; of two sets of n shingles,
+    # similar by p / 100, at least n * 2p / (100 + p) are shared, and p / 100 of n if one is smaller
+    start = F.explode(F.expr("sequence(at - n_item + 1, at)"))
+    counts = hits.select("doc_id", "item_id", "n_item", "n_words", "n_doc", start.alias("start"))
+    counts = counts.withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("n_doc") - F.col("n_words"))))
+    counts = counts.groupBy("doc_id", "item_id", "n_item", "n_words", "n_doc", "start").agg(F.count(F.lit(1)).alias("hits"))
+    enough = F.when(F.col("n_doc") >= F.col("n_words"), F.col("hits") * (100 + PERCENT) >= F.col("n_item") * 2 * PERCENT).otherwise(F.col("hits") * 100 >= F.col("n_item") * PERCENT)
+    pairs = stage(counts.where(enough).select("doc_id", "n_words", F.col("start").alias("start_word")).distinct(), "pairs")
 
     wanted = pairs.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, pairs.count()), "doc_id", "left_semi")
     texts = texts.select("doc_id", words(F.col("text")).alias("w"))
-    begins = F.expr("array_distinct(transform(flatten(transform(begins, b -> sequence(b - slack, b + slack))), b -> greatest(0, least(b, size(w) - n_words))))")
-    windows = texts.join(pairs, "doc_id").select("doc_id", "n_words", "w", F.explode(begins).alias("start_word"))
+    windows = texts.join(pairs, "doc_id").select("doc_id", "n_words", "w", "start_word")
     windows = windows.select("doc_id", "n_words", "start_word", F.expr("slice(w, start_word + 1, n_words)").alias("w"))
     windows = windows.select("doc_id", "n_words", "start_word", F.when(F.col("n_words") < SIZE, F.expr("array(xxhash64(w))")).otherwise(shingles("w")).alias("window"))
     windows = with_simhash(windows, "window", "print")
