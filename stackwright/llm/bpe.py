@@ -29,6 +29,8 @@ from stackwright.llm.pieces import PieceEncoder
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Texts are worked on in groups of about so many characters, and decoded in groups of so many ids.
 GROUP_CHARS, GROUP_IDS = 4_000_000, 1_000_000
+#: Entries of the pair-compatibility table and of each generation of the memo that a worker keeps.
+PAIRS, MEMO = 2_000_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,7 +91,7 @@ class BpeTable:
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._compatible(left, right)
         return known
@@ -192,7 +194,7 @@ def load(path: str) -> BpeTable:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(load(path).encode_many)
+    return PieceEncoder(load(path).encode_many, entries=MEMO)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,13 +208,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts, doc_ids = texts_of(batch), batch.column(id_col)
             for a, b in groups_of([len(t) for t in texts], GROUP_CHARS):
-                coded = pieces.encode(texts[a:b])
-                counts = np.array([len(x) // 4 for x in coded], np.int64)
-                ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+                ids, counts = pieces.encode(texts[a:b])
                 stops = np.cumsum(counts)
                 decoded = [table.decode(ids[e - n : e]) for n, e in zip(counts, stops, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(a, b - a), pa.array(counts), list_array(ids, counts, pa.int32()), pa.array(decoded, pa.string())],
+                    [doc_ids.slice(a, b - a), pa.array(counts), list_array(ids.astype(np.int32), counts, pa.int32()), pa.array(decoded, pa.string())],
                     names=[id_col, "n_tokens", "ids", "decoded"],
                 )
 

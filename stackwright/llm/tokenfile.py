@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackwright.llm.bpe import byte_letters
 from stackwright.llm.common import fresh_path, groups_of, stage, texts_of
 from stackwright.llm.pieces import PieceEncoder
 
@@ -50,24 +51,23 @@ def library(path: str):
 
 @lru_cache(maxsize=2)
 def library_pieces(path: str) -> PieceEncoder:
-    """Pieces encoded by the library: many that start with a space are sent as one text and parted
-    again where a token starts with that space, the only one in a piece."""
+    """Pieces encoded by the library."""
     tok = library(path)
-    spaced = np.zeros(tok.get_vocab_size(), bool)
-    for token, i in tok.get_vocab().items():
-        spaced[i] = token.startswith("Ġ")
 
     def many(pieces: list[str]) -> list[bytes]:
-        if not pieces or pieces[0][:1] != " " or any(p.count(" ") != 1 or p[0] != " " for p in pieces):
-            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        out: list[bytes] = []
-        for i in range(0, len(pieces), 20_000):
-            ids = np.array(tok.encode_batch_fast(["".join(pieces[i : i + 20_000])], add_special_tokens=False)[0].ids, "<u4")
-            raw, cuts = ids.tobytes(), [*(np.flatnonzero(spaced[ids]) * 4).tolist(), len(ids) * 4]
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    tokenize, space, letters = tok.model.tokenize, chr(256 + 32), {b: c for c, b in byte_letters().items()}
+
+    def words(runs: list[str]) -> list[bytes]:
+        """A letter run after a space is one pre-token: it goes to the library's model as it is."""
+        out = []
+        for w in runs:
+            mapped = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            out.append(array("I", [t.id for t in tokenize(space + mapped)]).tobytes())
         return out
 
-    return PieceEncoder(many)
+    return PieceEncoder(many, words)
 
 
 def widths_of(values: np.ndarray) -> np.ndarray:
@@ -195,12 +195,15 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, partiti
         for batch in batches:
             texts, doc_ids = texts_of(batch), batch.column("doc_id").to_pylist()
             for a, b in groups_of([len(t) for t in texts], GROUP_CHARS):
-                for d, c in zip(doc_ids[a:b], pieces.encode(texts[a:b]), strict=True):
+                flat, counts = pieces.encode(texts[a:b])
+                raw, stops = memoryview(flat.tobytes()), (4 * np.cumsum(counts)).tolist()
+                for d, x, y in zip(doc_ids[a:b], [0, *stops], stops, strict=False):
+                    c = raw[x:y]
                     if total and total + len(c) // 4 > SEGMENT_IDS:
                         yield pa.RecordBatch.from_arrays([pa.array([build_segment(ids, coded)], pa.binary())], names=["segment"])
                         ids, coded, total = [], [], 0
                     ids.append(d)
-                    coded.append(c + end)
+                    coded.append(b"".join((c, end)))
                     total += len(c) // 4 + 1
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([build_segment(ids, coded)], pa.binary())], names=["segment"])
