@@ -30,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: Texts are worked on in groups of about so many characters, and decoded in groups of so many ids.
 GROUP_CHARS, GROUP_IDS = 4_000_000, 1_000_000
 #: Entries of the pair-compatibility table and of each generation of the memo that a worker keeps.
-PAIRS, MEMO = 2_000_000, 500_000
+PAIRS, MEMO = 200_000, 120_000
 
 
 def byte_letters() -> dict[str, int]:
