@@ -200,7 +200,7 @@ def encoder(path: str) -> PieceEncoder:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each text and decode its ids: (doc_id, n_tokens long, ids array<int>, decoded string).
 
-    One narrow Arrow pass, no shuffle. A worker keeps the tables and a bounded memo of pieces.
+    One narrow Arrow pass, no shuffle. A task keeps the tables and a bounded memo of pieces.
     """
 
     def work(batches):
@@ -215,6 +215,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     [doc_ids.slice(a, b - a), pa.array(counts), list_array(ids.astype(np.int32), counts, pa.int32()), pa.array(decoded, pa.string())],
                     names=[id_col, "n_tokens", "ids", "decoded"],
                 )
+        # workers are used again: what they remember should not crowd out later stages
+        encoder(path).forget()
+        load(path).pairs.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, docs[text_col].alias("text")).mapInArrow(work, f"{id_col} {kind}, n_tokens long, ids array<int>, decoded string")

@@ -38,6 +38,10 @@ class PieceEncoder:
         marks = list(".,;:!?")
         self.marks = dict(zip(marks, encode_many(marks), strict=True))
 
+    def forget(self) -> None:
+        """Give the memo's memory back, for what the worker does next."""
+        self.young, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each text has."""
         if len(self.young) > self.entries:
