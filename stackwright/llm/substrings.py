@@ -28,7 +28,7 @@ from stackwright.llm.common import bytes_of, groups_of, stage
 
 WINDOW, GRAM = 20, 4
 #: Bytes worked on at once, the longest slice of one document, and buckets per shuffle partition.
-GROUP_BYTES, SLICE_BYTES, BUCKETS_PER_PARTITION = 2_000_000, 1_000_000, 8
+GROUP_BYTES, SLICE_BYTES, BUCKETS_PER_PARTITION = 1_500_000, 750_000, 12
 #: Id that stands for null: sorts first.
 NULL_ID = -(1 << 63)
 
