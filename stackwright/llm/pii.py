@@ -6,11 +6,15 @@ Positions are code points, end exclusive.
 
 Contextual: tokens with a digit are instances; the word before a token, or the name before = or : in
 it, is its lexical pattern. Base matches are the seeds. Over the graph of patterns and instances,
-Spark scores in ROUNDS turns: a pattern's confidence is the mean confidence of its distinct instances,
-and an unseen instance's confidence that of its patterns together. Patterns that stand before at
-least SUPPORT different seeds and reach CONFIDENT then discover the identifiers before which they
-stand elsewhere: tokens of at least LENGTH characters that no base match covers get a span of the kind
-of the pattern's seeds, named `like_<kind>`. Base spans always stay.
+Spark scores in ROUNDS turns. A pattern's confidence is the mean confidence of what follows it, taken
+over its distinct instances and over all tokens that follow it, ordinary words too, whichever is less.
+Seeds are certain. An unseen instance of at least LENGTH characters is, for a pattern, as likely as its
+other uses: the mean over them of the confidence of seeded patterns that reach CONFIDENT, none for
+others; all else counts as none. Both are shares, so a table of the same make decides alike at any size,
+and a pattern needs nine different seeds for each instance that nothing else speaks for. Seeded patterns
+that reach CONFIDENT then discover the identifiers before which they stand elsewhere: tokens of at least
+LENGTH characters that no base match covers get a span of the kind of the pattern's seeds, named
+`like_<kind>`. Base spans always stay.
 
 Null texts count as empty and have no spans. Patterns are written so that a text's length costs in
 proportion, with neither backtracking over a run nor recursion. Rows are told apart by (doc_id, hash of
@@ -35,7 +39,14 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-SUPPORT, CONFIDENT, LENGTH, ROUNDS = 20, 0.9, 8, 3
+#: Instances with a name; other tokens with a letter after a name; the last letters of a word that
+#: something else than an instance of its own follows. \0 stands for instances, \1 for those with a name.
+OWN_NAME = r"(?<!\S)[\p{L}_]++[=:][^\s0-9]*+[0-9]\S*+"
+NAMED = r"(?<!\S)([\p{L}_]++)[=:][^\p{L}\s\x00]*+\p{L}"
+FOLLOWED = r"(?<!\p{L})\p{L}++(?=[^\p{L}\s\x00\x01]*+\s[^\p{L}\x00\x01]*+[\p{L}\x01])"
+CONFIDENT, LENGTH, ROUNDS = 0.9, 8, 3
+#: Most patterns that are broadcast to where words are counted; more are shuffled.
+BROADCAST_PATTERNS = 500_000
 #: Matches whose positions are summed up in one go.
 RUN = 256
 
@@ -138,20 +149,39 @@ def candidates(base: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", F.col("begin").alias("start"), F.col("stop").alias("end"), "pattern", "instance", "kind")
 
 
-def learn_patterns(found: DataFrame) -> DataFrame:
+def ordinary(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, others): how often each of the patterns stands before a token that is no instance."""
+    text = F.translate(F.coalesce(docs["text"], F.lit("")), "\0\1", "  ")
+    text = F.lower(F.regexp_replace(F.regexp_replace(text, OWN_NAME, "\1"), TOKEN, "\0"))
+    names = F.transform(F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)), lambda n: F.concat(n, F.lit("=")))
+    words = docs.select(F.explode(F.concat(F.regexp_extract_all(text, F.lit(FOLLOWED), F.lit(0)), names)).alias("pattern"))
+    wanted = F.broadcast(patterns) if patterns.count() <= BROADCAST_PATTERNS else patterns
+    return words.join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("others"))
+
+
+def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(pattern, kind) of the patterns that are trusted."""
-    edges = stage(found.where((F.length("instance") >= LENGTH) | F.col("kind").isNotNull()).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    known = edges.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("confidence"))
-    scores = None
-    for _ in range(ROUNDS):
-        scores = stage(edges.join(known, "instance").groupBy("pattern").agg(F.avg("confidence").alias("score"), F.count("kind").alias("seeds")), "pii-patterns")
-        usable = scores.where(F.col("seeds") >= SUPPORT).select("pattern", "score")
-        # an unseen instance is as likely as its patterns are together; a seed is certain
-        joint = 1 - F.exp(F.sum(F.ln(1 - F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.99)))))
-        known = edges.join(usable, "pattern", "left").groupBy("instance").agg(F.when(F.count("kind") > 0, F.lit(1.0)).otherwise(joint).alias("confidence"))
-    trusted = scores.where((F.col("seeds") >= SUPPORT) & (F.col("score") >= CONFIDENT)).select("pattern")
+    edges = found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    edges = stage(edges, "pii-edges")
+    uses = edges.groupBy("instance").agg(F.sum("n").alias("uses"), (F.count("kind") > 0).alias("seed"))
+    edges = edges.join(uses, "instance").withColumn("open", ~F.col("seed") & (F.length("instance") >= LENGTH))
+    # only seeded patterns with an unseen instance can discover one or speak for one
+    able = edges.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.max("open").alias("any")).where((F.col("seeds") > 0) & F.col("any"))
+    able = stage(able.select("pattern"), "pii-able")
+    edges = stage(edges.join(able, "pattern", "left_semi"), "pii-graph")
+    others = stage(ordinary(docs, able), "pii-ordinary")
+    rated = edges.withColumn("confidence", F.col("seed").cast("double"))
+    for turn in range(ROUNDS):
+        sums = rated.groupBy("pattern").agg(F.avg("confidence").alias("distinct"), F.sum(F.col("n") * F.col("confidence")).alias("sure"), F.sum("n").alias("n"))
+        score = F.least("distinct", F.col("sure") / (F.col("n") + F.coalesce("others", F.lit(0))))
+        trusted = stage(sums.join(others, "pattern", "left").select("pattern", score.alias("score")).where(F.col("score") >= CONFIDENT), f"pii-patterns-{turn}")
+        # a pattern's own score is left out of what speaks for the instances that it judges
+        said = edges.where("open").join(trusted, "pattern").groupBy("instance").agg(F.sum(F.col("n") * F.col("score")).alias("said"))
+        rated = edges.join(trusted, "pattern", "left").join(said, "instance", "left")
+        rest = (F.coalesce("said", F.lit(0.0)) - F.col("n") * F.coalesce("score", F.lit(0.0))) / (F.col("uses") - F.col("n"))
+        rated = rated.withColumn("confidence", F.when(F.col("seed"), 1.0).when(F.col("open") & (F.col("uses") > F.col("n")), rest).otherwise(0.0))
     kinds = edges.where("kind is not null").groupBy("pattern", "kind").count().groupBy("pattern").agg(F.max_by("kind", F.struct("count", "kind")).alias("kind"))
-    return trusted.join(kinds, "pattern")
+    return trusted.select("pattern").join(kinds, "pattern")
 
 
 def _listed(spans: Column) -> Column:
@@ -163,7 +193,7 @@ def find(docs: DataFrame) -> DataFrame:
     of base spans and of all spans as kind:start:end."""
     base = stage(find_base(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))), "pii-base")
     found = stage(candidates(base), "pii-candidates")
-    trusted = learn_patterns(found)
+    trusted = learn_patterns(found, docs)
     # numbered kinds sort as they are listed: base kinds, then what was discovered
     extra = found.where(F.col("kind").isNull() & (F.length("instance") >= LENGTH)).drop("kind").join(trusted, "pattern")
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1 + len(KINDS)

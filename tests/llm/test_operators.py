@@ -320,6 +320,36 @@ def test_contextual_discovery(spark):
     assert got[0][0].startswith("email:")
 
 
+def discovered(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: re.findall(r"like_[^,]*", r["spans"]) for r in pii.find(rows).collect() if "like_" in r["spans"]}
+
+
+def test_ordinary_words_count_against_a_pattern(spark):
+    seeds = [f"to nick{i}@mail.example.org" for i in range(60)]
+    assert discovered(spark, [*seeds, "to 77abc-99xyz"]) == {60: ["like_email:3:14"]}
+    assert discovered(spark, [*seeds, "to 77abc-99xyz", "we go to town " * 7]) == {}
+    assert discovered(spark, [*["to=" + s[3:] for s in seeds], "to=77abc-99xyz", "to=town " * 7]) == {}
+    assert discovered(spark, [*seeds, "to 77abc-99xyz", "so to id=5 go " * 7]) == {}
+    assert discovered(spark, [*seeds, "to 77abc-99xyz", *[f"to {i}" for i in range(7)]]) == {}
+
+
+def test_a_pattern_does_not_speak_for_itself(spark):
+    seeds, unseen = [f"the nick{i}@mail.example.org" for i in range(24)], [f"the {i}abc-99xyz" for i in range(10)]
+    assert discovered(spark, seeds + unseen) == {}
+    # what a trusted pattern is for speaks for the same instance elsewhere, unless that is mostly used otherwise
+    sure = [f"mail {i}ick@mail.example.org" for i in range(90)] + [f"mail {i}abc-99xyz" for i in range(10)]
+    assert set(discovered(spark, seeds + unseen + sure)) == {*range(24, 34), *range(124, 134)}
+    assert set(discovered(spark, seeds + unseen + sure + [f"so {i}abc-99xyz" for i in range(10)])) == {*range(124, 134)}
+
+
+def test_patterns_are_trusted_alike_at_every_size(spark):
+    good = [f"mail nick{i}@mail.example.org" for i in range(9)] + ["mail 77abc-99xyz"]
+    bad = [f"on nick{i}@mail.example.org" for i in range(8)] + ["on 88abc-99xyz"]
+    for times in (1, 5):
+        assert set(discovered(spark, (good + bad) * times)) == {9 + 19 * k for k in range(times)}
+
+
 def test_long_documents_have_no_quadratic_patterns(spark):
     long = "a" * 200_000 + " " + "1." * 50_000 + "+1" + "(" * 50_000
     assert pii.find(spark.createDataFrame([(1, long)], "doc_id long, text string")).count() == 1
