@@ -4,8 +4,9 @@ Base: email, ip, card and phone by their patterns, leftmost and non-overlapping
 that fail their kind's test (parts up to 255, length and Luhn sum, number of digits) are dropped.
 Positions are code points, end exclusive.
 
-Contextual: tokens with a digit are instances; the word before a token, or the name before = or : in
-it, is its lexical pattern. Base matches are the seeds. Over the graph of patterns and instances,
+Contextual: base matches, whole, and the tokens with a digit or @ that none covers are instances; the
+word before an instance or before the run of instances that it stands in, or the name before = or : in
+its token, is its lexical pattern. Base matches are the seeds. Over the graph of patterns and instances,
 Spark scores in ROUNDS turns. A pattern's confidence is the mean confidence of what follows it, taken
 over its distinct instances and over all tokens that follow it, ordinary words too, whichever is less.
 Seeds are certain. An unseen instance of at least LENGTH characters is, for a pattern, as likely as its
@@ -38,10 +39,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Every base match starts in such a token.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+LAST_WORD = r"(?<!\p{L})\p{L}++(?=\P{L}*+$)"
 #: Instances with a name; other tokens with a letter after a name; the last letters of a word that
 #: something else than an instance of its own follows. \0 stands for instances, \1 for those with a name.
-OWN_NAME = r"(?<!\S)[\p{L}_]++[=:][^\s0-9]*+[0-9]\S*+"
+OWN_NAME = r"(?<!\S)[\p{L}_]++[=:][^\s0-9@]*+[0-9@]\S*+"
 NAMED = r"(?<!\S)([\p{L}_]++)[=:][^\p{L}\s\x00]*+\p{L}"
 FOLLOWED = r"(?<!\p{L})\p{L}++(?=[^\p{L}\s\x00\x01]*+\s[^\p{L}\x00\x01]*+[\p{L}\x01])"
 CONFIDENT, LENGTH, ROUNDS = 0.9, 8, 3
@@ -62,27 +65,30 @@ def gaps_and_hits(text: Column, matches: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, pairs)
 
 
-def placed(matches: Column, zipped: str) -> Column:
-    """array<start, end, value, left>: the gaps between matches tell where each stands. left: what
-    precedes the match, 80 characters at most."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
+def placed(matches: Column, zipped: str, worded: bool = False) -> Column:
+    """array<start, end, value, word>: the gaps between matches tell where each stands. word: if asked
+    for, the last word before the match that lies in no match."""
+    kind = "array<struct<start:int,end:int,value:string,word:string>>"
+    empty, none = F.array().cast(kind), F.lit(None).cast("string")
 
     def step(state, pair):
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
-        span = F.named_struct(F.lit("start"), start, F.lit("end"), end, F.lit("value"), pair["hit"], F.lit("left"), F.right(pair["gap"], F.lit(80)))
-        return F.when(pair["hit"].isNull(), state).otherwise(F.named_struct(F.lit("at"), end, F.lit("out"), F.array_append(state["out"], span)))
+        last = F.regexp_extract(pair["gap"], LAST_WORD, 0)
+        word = F.when(last == "", state["word"]).otherwise(F.lower(last)) if worded else none
+        span = F.named_struct(F.lit("start"), start, F.lit("end"), end, F.lit("value"), pair["hit"], F.lit("word"), word)
+        return F.when(pair["hit"].isNull(), state).otherwise(F.named_struct(F.lit("at"), end, F.lit("word"), word, F.lit("out"), F.array_append(state["out"], span)))
 
     # in runs of RUN matches, whose lengths then shift the runs after them: costs stay near linear
     def walk(run):
-        return F.aggregate(run, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+        return F.aggregate(run, F.struct(F.lit(0).alias("at"), none.alias("word"), empty.alias("out")), step)
 
     def shift(state, run):
-        moved = F.transform(run["out"], lambda s: F.named_struct(F.lit("start"), s["start"] + state["at"], F.lit("end"), s["end"] + state["at"], F.lit("value"), s["value"], F.lit("left"), s["left"]))
-        return F.named_struct(F.lit("at"), state["at"] + run["at"], F.lit("out"), F.array_append(state["out"], moved))
+        moved = F.transform(run["out"], lambda s: F.named_struct(F.lit("start"), s["start"] + state["at"], F.lit("end"), s["end"] + state["at"], F.lit("value"), s["value"], F.lit("word"), F.coalesce(s["word"], state["word"])))
+        return F.named_struct(F.lit("at"), state["at"] + run["at"], F.lit("word"), F.coalesce(run["word"], state["word"]), F.lit("out"), F.array_append(state["out"], moved))
 
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda i: i * RUN + 1)
-    several = F.aggregate(F.transform(runs, lambda i: walk(F.slice(F.col(zipped), i, F.lit(RUN)))), F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string,left:string>>>").alias("out")), shift, lambda s: F.flatten(s["out"]))
+    several = F.aggregate(F.transform(runs, lambda i: walk(F.slice(F.col(zipped), i, F.lit(RUN)))), F.struct(F.lit(0).alias("at"), none.alias("word"), F.array().cast(f"array<{kind}>").alias("out")), shift, lambda s: F.flatten(s["out"]))
     return F.when(F.size(matches) == 0, empty).when(F.size(matches) <= RUN, walk(F.col(zipped))["out"]).otherwise(several)
 
 
@@ -121,7 +127,7 @@ def find_base(docs: DataFrame) -> DataFrame:
     df = df.withColumns({f"m_{k}": matches_of(F.col("text"), PATTERNS[k], NEEDS.get(k)) for k in KINDS} | {"m_tokens": matches_of(F.col("text"), TOKEN, None)})
     df = df.withColumns({f"z_{k}": gaps_and_hits(F.col("text"), F.col(f"m_{k}"), p) for k, p in (PATTERNS | {"tokens": TOKEN}).items()})
     arrays = {k: F.filter(placed(F.col(f"m_{k}"), f"z_{k}"), _passes(k)) for k in KINDS}
-    return df.select("doc_id", F.xxhash64("text").alias("key"), *[v.alias(k) for k, v in arrays.items()], placed(F.col("m_tokens"), "z_tokens").alias("tokens"))
+    return df.select("doc_id", F.xxhash64("text").alias("key"), *[v.alias(k) for k, v in arrays.items()], placed(F.col("m_tokens"), "z_tokens", worded=True).alias("tokens"))
 
 
 def all_spans() -> Column:
@@ -134,19 +140,23 @@ def all_spans() -> Column:
 
 
 def candidates(base: DataFrame) -> DataFrame:
-    """(doc_id, key, start, end, pattern, instance, kind): tokens with their lexical pattern; kind of the
-    base match that overlaps, null if none."""
-    spans = all_spans()
-    t = base.select("doc_id", "key", spans.alias("spans"), F.explode("tokens").alias("t"))
+    """(doc_id, key, start, end, pattern, instance, kind): base matches with their kind, and tokens that
+    none covers without, each with its lexical pattern."""
+
+    def seed(kind: str):
+        return lambda s: F.named_struct(F.lit("start"), s["start"], F.lit("end"), s["end"], F.lit("instance"), s["value"], F.lit("kind"), F.lit(kind))
+
+    seeds = F.concat(*[F.transform(F.col(k), seed(k)) for k in KINDS])
+    t = base.select("doc_id", "key", seeds.alias("seeds"), F.explode("tokens").alias("t"))
     name = F.regexp_extract(F.col("t.value"), r"^([\p{L}_]++)[=:]", 1)
     begin = F.col("t.start") + F.when(name == "", 0).otherwise(F.length(name) + 1)
     core = F.regexp_replace(F.substring(F.col("t.value"), F.col("begin") - F.col("t.start") + 1, F.length("t.value")), r"[^\p{L}\p{N}]+$", "")
-    before = F.lower(F.regexp_extract(F.col("t.left"), r"(\p{L}+)\P{L}*$", 1))
-    t = t.withColumns({"name": name, "begin": begin}).withColumns({"instance": core, "pattern": F.when(F.col("name") == "", before).otherwise(F.concat(F.lower("name"), F.lit("=")))})
-    t = t.withColumn("stop", F.col("begin") + F.length("instance"))
-    over = F.filter("spans", lambda s: (s["start"] < F.col("stop")) & (s["end"] > F.col("begin")))
-    out = t.where(F.col("pattern") != "").withColumn("kind", F.when(F.size(over) > 0, over[0]["kind"]))
-    return out.select("doc_id", "key", F.col("begin").alias("start"), F.col("stop").alias("end"), "pattern", "instance", "kind")
+    t = t.withColumns({"name": name, "begin": begin}).withColumns({"core": core, "pattern": F.when(F.col("name") == "", F.col("t.word")).otherwise(F.concat(F.lower("name"), F.lit("=")))})
+    t = t.where("pattern is not null").withColumn("over", F.filter("seeds", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))))
+    # each base match once, by the token that it starts in
+    token = F.array(F.struct(F.col("begin").alias("start"), (F.col("begin") + F.length("core")).alias("end"), F.col("core").alias("instance"), F.lit(None).cast("string").alias("kind")))
+    rows = F.when(F.size("over") == 0, token).otherwise(F.filter("over", lambda s: s["start"] >= F.col("t.start")))
+    return t.select("doc_id", "key", "pattern", F.explode(rows).alias("r")).select("doc_id", "key", "r.start", "r.end", "pattern", "r.instance", "r.kind")
 
 
 def ordinary(docs: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -350,6 +350,22 @@ def test_patterns_are_trusted_alike_at_every_size(spark):
         assert set(discovered(spark, (good + bad) * times)) == {9 + 19 * k for k in range(times)}
 
 
+def test_every_base_match_is_a_seed(spark):
+    names = [f"nick{chr(97 + i)}" for i in range(20)]
+    assert discovered(spark, [*[f"mail {n}@mail.example.org now" for n in names], "mail 77abc-99xyz"]) == {20: ["like_email:5:16"]}
+    phones = [f"call: +1 (982) 555-{2100 + i} now" for i in range(20)]
+    assert discovered(spark, [*phones, "call 77abc-99xyz"]) == {20: ["like_phone:5:16"]}
+    pairs = [f"mail {n}@a.example.org,{n}@b.example.org" for n in names[:5]]
+    assert discovered(spark, [*pairs, "mail 77abc-99xyz"]) == {5: ["like_email:5:16"]}
+
+
+def test_a_word_is_the_pattern_of_all_in_the_run_after_it(spark):
+    runs = [f"mail {' ' * 90}nick{i}@a.example.org nick{i}@b.example.org" for i in range(20)]
+    assert discovered(spark, [*runs, "mail 77abc-99xyz 88abc-99xyz"]) == {20: ["like_email:5:16", "like_email:17:28"]}
+    long = "mail " + " ".join(f"nick{i}@a.example.org" for i in range(3 * pii.RUN)) + " 77abc-99xyz"
+    assert discovered(spark, [long]) == {0: [f"like_email:{len(long) - 11}:{len(long)}"]}
+
+
 def test_long_documents_have_no_quadratic_patterns(spark):
     long = "a" * 200_000 + " " + "1." * 50_000 + "+1" + "(" * 50_000
     assert pii.find(spark.createDataFrame([(1, long)], "doc_id long, text string")).count() == 1
