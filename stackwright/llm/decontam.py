@@ -88,11 +88,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_places, n_items = places.count(), items.count()
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).withColumn("n_doc", F.size("w"))
-    # short items are found as whole sequences of their own length, one pass for each such length
+    # short items are found as whole sequences of their own length, one pass for each such length; in a
+    # document of that length by the first pass, whose only shingle is the whole
     hits = rows.select("doc_id", "n_doc", F.posexplode(shingles("w")).alias("at", "shingle")).join(small(places, n_places), "shingle")
     for size in [r["n_words"] for r in items.where(F.col("n_words") < SIZE).select("n_words").distinct().collect()]:
         short = places.where(F.col("n_words") == size)
-        hits = hits.unionByName(rows.where(F.size("w") >= SIZE).select("doc_id", "n_doc", F.posexplode(shingles("w", size)).alias("at", "shingle")).join(small(short, n_places), "shingle"))
+        hits = hits.unionByName(rows.where(F.size("w") > size).select("doc_id", "n_doc", F.posexplode(shingles("w", size)).alias("at", "shingle")).join(small(short, n_places), "shingle"))
     # every hit counts for each window of the item's size that covers it; of two sets of n shingles,
     # similar by p / 100, at least n * 2p / (100 + p) are shared, and p / 100 of n if one is smaller
     start = F.explode(F.expr("sequence(at - n_item + 1, at)"))

@@ -288,6 +288,15 @@ def test_decontamination(spark, sf):
     assert decontam.matches(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_short_items_in_short_documents(spark):
+    texts = ["b c d", "a b c d", "b c d a", "b c", "c d b", "a b", "b", "a a b c d", "b c d b c d"]
+    items = [(1, "b c d"), (2, "b"), (3, "a b c d"), (4, "b c")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = {(d, i, f" {t} ".index(f" {x} ") // 2, 1.0) for d, t in enumerate(texts) for i, x in items if f" {x} " in f" {t} "}
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["similarity"]) for r in found} == expected and len(found) == len(expected)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
