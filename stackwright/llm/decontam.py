@@ -8,10 +8,11 @@ each weighted by how often it occurs.
 1. Every document's shingles are looked up among the items' shingles. A window that is similar enough
    shares at least 8/9 of the item's shingles (0.8 if the document is shorter than the item), in any
    order, so each hit counts for the windows that cover it, and windows with fewer hits are out.
-2. Each of those item-sized windows gets a 64-bit SimHash of its weighted shingles. The items'
+2. Each of those item-sized windows gets a 64-bit SimHash of its weighted shingles: a shingle that
+   occurs n times counts as n different ones, so that none outweighs the others. The items'
    fingerprints are indexed by RADIUS + 1 blocks of bits: two fingerprints within the radius agree in
    at least one block, so probing all blocks finds every one. Similar pairs differ in 9.7 of 64 bits on
-   average (standard deviation 2.9), so the radius of 23 leaves none out.
+   average (standard deviation 2.9); the radius of 23 lies 4.6 deviations above.
 3. Candidates within the radius are compared by their full shingles, exactly.
 
 Items with fewer than five words are one shingle, their whole sequence; items without words and null
@@ -40,18 +41,24 @@ def shingles(name: str, size: int = SIZE) -> Column:
     return F.expr(f"CASE WHEN size({name}) = 0 THEN cast(array() AS array<bigint>) WHEN size({name}) < {size} THEN array(xxhash64({name})) ELSE transform(sequence(1, size({name}) - {size - 1}), i -> xxhash64(slice({name}, i, {size}))) END")
 
 
+def numbered(name: str) -> Column:
+    """Shingles with their second and later occurrences hashed with their number, in any order."""
+    later = "transform(s, (h, i) -> if(i + 1 = array_position(s, h), h, xxhash64(h, i + 1 - array_position(s, h))))"
+    return F.expr(f"CASE WHEN size(array_distinct({name})) = size({name}) THEN {name} ELSE transform(array(array_sort({name})), s -> {later})[0] END")
+
+
 def with_simhash(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Adds the fingerprint of an array of shingles: bit b is set if more than half of them, by weight,
+    """Adds the fingerprint of an array of shingles: bit b is set if more than half of them, numbered,
     have it set. Sixteen sums count four bits each, in 16-bit lanes."""
     lane = sum(1 << 16 * j for j in range(4))
-    sums = {f"_sum{k}": F.expr(f"coalesce(aggregate({name}, 0L, (n, h) -> n + (shiftrightunsigned(h, {k}) & {lane}L)), 0L)") for k in range(16)}
+    sums = {f"_sum{k}": F.expr(f"coalesce(aggregate(_numbered, 0L, (n, h) -> n + (shiftrightunsigned(h, {k}) & {lane}L)), 0L)") for k in range(16)}
     bits = F.lit(0).cast("long")
     for k in range(16):
         for j in range(4):
             count = F.shiftrightunsigned(F.col(f"_sum{k}"), 16 * j).bitwiseAND(F.lit(0xFFFF))
             bit = 1 << (16 * j + k)
             bits = bits.bitwiseOR(F.when(2 * count > F.size(name), F.lit(bit - (1 << 64) if bit >> 63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.withColumns(sums).withColumn(out, bits).drop(*sums)
+    return df.withColumn("_numbered", numbered(name)).withColumns(sums).withColumn(out, bits).drop("_numbered", *sums)
 
 
 def _block(fingerprint: Column, i: int) -> Column:

@@ -297,6 +297,14 @@ def test_short_items_in_short_documents(spark):
     assert {(r["doc_id"], r["item_id"], r["start_word"], r["similarity"]) for r in found} == expected and len(found) == len(expected)
 
 
+def test_items_that_repeat_a_shingle(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join([f"w{rng.random():.9f}"[3:] for _ in range(184)] + ["a"] * 20)) for i in range(12)]
+    docs = [(i, " ".join(t.split()[:184] + (["b"] * 20 if i % 2 else [f"v{i}x{k}" for k in range(20)]))) for i, t in items]
+    found = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], round(r["similarity"], 6)) for r in found) == [(i, i, round(180 / 220, 6)) for i in range(12)]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
