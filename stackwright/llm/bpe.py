@@ -7,13 +7,15 @@ tokens that reaches the end is the exact result of the merges, and no position i
 Decoding gathers token bytes through an offset table.
 
 Null texts count as empty and give no ids. Repeated rows are encoded each on its own; texts of any
-length are encoded whole. Other columns of the input are not looked at, so their names cannot clash.
+length are encoded whole. Other columns of the input are not looked at, so their names cannot clash. A
+table without rows gives none.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -23,14 +25,16 @@ import regex
 from pyspark.sql import DataFrame
 
 from stackwright.llm.common import groups_of, list_array, texts_of
-from stackwright.llm.pieces import PieceEncoder
+from stackwright.llm.pieces import Ids, PieceEncoder
 
 #: The public pre-tokenizer pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Texts are worked on in groups of about so many characters, and decoded in groups of so many ids.
-GROUP_CHARS, GROUP_IDS = 4_000_000, 1_000_000
-#: Entries of the pair-compatibility table and of each generation of the memo that a worker keeps.
-PAIRS, MEMO = 200_000, 120_000
+GROUP_CHARS, GROUP_IDS = 2_000_000, 500_000
+#: Entries of the pair-compatibility table that a worker keeps.
+PAIRS = 200_000
+#: Words beside marks or digits that are remembered: their number and their longest length.
+SHORT_WORDS, SHORT = 50_000, 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,7 +83,9 @@ class BpeTable:
                     break
         self.automaton.make_automaton()
         self.one_token = {data: i for data, i in ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.size = size
+        self.pairs: dict[int, bool] = {}
+        self.short: dict[str, list[int]] = {}
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         for content, i in self.special.items():
@@ -89,11 +95,10 @@ class BpeTable:
         self.bytes = np.frombuffer(b"".join(self.data), np.uint8)
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._compatible(left, right)
+        """The pair's entry in the table, made when it is first asked for."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left * self.size + right] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -120,18 +125,23 @@ class BpeTable:
         whole = self.one_token.get(data)
         if whole is not None and self._reachable(whole):
             return [whole]
-        n, lengths, shorter = len(data), self.lengths, self.shorter
+        n, lengths, shorter, known, size = len(data), self.lengths, self.shorter, self.pairs.get, self.size
         longest = [-1] * n
         for end, i in self.automaton.iter(data.decode("latin-1")):
             longest[end + 1 - lengths[i]] = i  # later ends are longer
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < n:
             end = at + lengths[token]
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
+            fits = not dead[end]
+            if fits and last >= 0:
+                fits = known(last * size + token)
+                if fits is None:
+                    fits = self.compatible(last, token)
+            if fits:
                 out.append(token)
-                at = end
+                at, last = end, token
                 if at < n:
                     token = longest[at]
             elif shorter[token] >= 0:
@@ -139,6 +149,7 @@ class BpeTable:
             else:
                 dead[at] = 1
                 token = out.pop()
+                last = out[-1] if out else -1
                 at -= lengths[token]
         return out
 
@@ -158,7 +169,7 @@ class BpeTable:
         finally:
             self.merged[left, right] = blocked
 
-    def encode_piece(self, text: str) -> bytes:
+    def encode_piece(self, text: str) -> list[int]:
         ids: list[int] = []
         for part in self.cut.split(text) if self.cut and any(s in text for s in self.special) else (text,):
             special = self.special.get(part)
@@ -168,11 +179,24 @@ class BpeTable:
                 ids += self.encode_word(part.encode("utf-8"))
             else:
                 for word in self.words.findall(part):
-                    ids += self.encode_word(word.encode("utf-8", "surrogatepass"))
-        return array("I", ids).tobytes()
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        return [self.encode_piece(t) for t in texts]
+                    found = self.short.get(word)
+                    if found is None:
+                        found = self.encode_word(word.encode("utf-8", "surrogatepass"))
+                        if len(word) <= SHORT:
+                            if len(self.short) > SHORT_WORDS:
+                                self.short.clear()
+                            self.short[word] = found
+                    ids += found
+        return ids
+
+    def encode_many(self, texts: Iterable[str]) -> Ids:
+        """The ids of texts in one array, and how many each has."""
+        ids, counts = array("I"), []
+        for t in texts:
+            found = self.encode_piece(t)
+            ids.extend(found)
+            counts.append(len(found))
+        return np.array(ids, np.uint32), np.array(counts, np.int64)
 
     def decode_flat(self, ids: np.ndarray) -> bytes:
         """The bytes of all ids, through the offset table."""
@@ -194,7 +218,8 @@ def load(path: str) -> BpeTable:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(load(path).encode_many, entries=MEMO)
+    table = load(path)
+    return PieceEncoder(lambda pieces: table.encode_many(" " + p for p in pieces), table.encode_many, table.data)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,9 +240,6 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     [doc_ids.slice(a, b - a), pa.array(counts), list_array(ids.astype(np.int32), counts, pa.int32()), pa.array(decoded, pa.string())],
                     names=[id_col, "n_tokens", "ids", "decoded"],
                 )
-        # workers are used again: what they remember should not crowd out later stages
-        encoder(path).forget()
-        load(path).pairs.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, docs[text_col].alias("text")).mapInArrow(work, f"{id_col} {kind}, n_tokens long, ids array<int>, decoded string")

@@ -8,8 +8,13 @@ index has each block's start, so any block can be read alone.
 Files are written through Spark's committer into the shared folder, so a lost executor's half-written
 file is never seen, and any file system that Spark writes will do. A byte 0x0A follows each segment.
 
-Null texts count as empty. Documents are ordered by (doc_id, text), null ids first; repeated rows are
-written each on its own. A document is never split between segments.
+A file holds what FILE_BYTES of text encode to, whatever the table's size, so no task and no file grows
+with it. Texts are shuffled, not ids: four bytes an id are 1.6 bytes for a byte of text.
+
+Null and empty texts give the end id alone. Documents are ordered by doc_id, null ids first; rows that
+share one stand in order of their texts' hashes, so a hot id spreads over files; repeated rows are written
+each on its own. Texts of any length are encoded whole and a document is never split between segments. A
+table without rows gives no files' rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stackwright.llm.bpe import byte_letters
 from stackwright.llm.common import fresh_path, groups_of, stage, texts_of
-from stackwright.llm.pieces import PieceEncoder
+from stackwright.llm.pieces import Ids, PieceEncoder
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -34,6 +39,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: A segment is closed when it has this many ids; texts are encoded in groups of so many characters.
 SEGMENT_IDS, GROUP_CHARS = 2_000_000, 4_000_000
+#: Bytes of text that go into one file, about.
+FILE_BYTES = 48 << 20
+#: Files whose sizes one task adds up.
+FILES_PER_SUM = 2_000
 HEADER = np.dtype([("magic", "S4"), ("n_docs", "<u4"), ("n_ids", "<u8"), ("n_blocks", "<u4"), ("size", "<u8")])
 DOC = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("n_ids", "<u4")])
 
@@ -49,25 +58,39 @@ def library(path: str):
     return tok
 
 
+#: Pieces that the library encodes in one text.
+JOINED = 20_000
+
+
 @lru_cache(maxsize=2)
 def library_pieces(path: str) -> PieceEncoder:
-    """Pieces encoded by the library."""
+    """Pieces encoded by the library, many at once: joined by single spaces they encode as they do alone,
+    and the tokens that start with a space tell where each begins."""
     tok = library(path)
-
-    def many(pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    tokenize, space, letters = tok.model.tokenize, chr(256 + 32), {b: c for c, b in byte_letters().items()}
-
-    def words(runs: list[str]) -> list[bytes]:
-        """A letter run after a space is one pre-token: it goes to the library's model as it is."""
-        out = []
-        for w in runs:
-            mapped = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
-            out.append(array("I", [t.id for t in tokenize(space + mapped)]).tobytes())
-        return out
-
-    return PieceEncoder(many, words)
+    letters = byte_letters()
+    data = [b""] * tok.get_vocab_size(with_added_tokens=True)
+    special = tok.get_added_tokens_decoder()
+    for token, i in tok.get_vocab(with_added_tokens=True).items():
+        data[i] = token.encode() if i in special else bytes(letters[c] for c in token)
+    begins = np.array([t[:1] == b" " for t in data])
+
+    def whole(texts: list[str]) -> Ids:
+        found = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+    def spaced(pieces: list[str]) -> Ids:
+        ids, counts = [], []
+        for i in range(0, len(pieces), JOINED):
+            part = pieces[i : i + JOINED]
+            found = np.array(tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(begins[found])
+            if len(at) != len(part):
+                raise ValueError("pieces must not hold spaces")
+            ids.append(found)
+            counts.append(np.diff(np.append(at, len(found))))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    return PieceEncoder(spaced, whole, data)
 
 
 def widths_of(values: np.ndarray) -> np.ndarray:
@@ -208,9 +231,13 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, partiti
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([build_segment(ids, coded)], pa.binary())], names=["segment"])
 
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    if not partitions:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    order = ["doc_id", "_key", "_nth"]  # the last spreads repeated rows
+    rows = rows.withColumns({"_key": F.xxhash64("text"), "_nth": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(work, "segment binary").select(F.col("segment").cast("string")).write.text(path)
 
 
@@ -250,8 +277,14 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_files(docs, path, tokenizer, end_id)
     back = stage(read_files(spark, path), "token-rows")
-    # one row per segment: some thousands for a terabyte, so one task orders them
-    totals = back.groupBy("file", "segment").agg(F.sum("n_tokens").alias("ids"))
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("file", "segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("file", "segment", before.alias("base"))
+    # part numbers follow the order of rows. One row per segment; files are added up in groups, then groups
+    totals = back.groupBy("file", "segment").agg(F.sum("n_tokens").alias("ids")).withColumn("part", F.regexp_extract("file", r"part-([0-9]+)", 1).cast("long"))
+    totals = stage(totals.withColumn("many", F.floor(F.col("part") / FILES_PER_SUM)), "token-totals")
+
+    def before(w):
+        return F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = totals.groupBy("many").agg(F.sum("ids").alias("ids")).select("many", before(Window.orderBy("many")).alias("base"))
+    inner = totals.select("file", "segment", "many", before(Window.partitionBy("many").orderBy("part", "segment")).alias("inner"))
+    bases = inner.join(F.broadcast(groups), "many").select("file", "segment", (F.col("base") + F.col("inner")).alias("base"))
     return back.join(bases, ["file", "segment"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
