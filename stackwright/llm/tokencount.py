@@ -1,15 +1,16 @@
 """Token counts with the tokenizers library: overlap resynchronisation for huge documents.
 
-Documents up to `whole` characters are encoded as they are. Longer ones are cut into chunks that
-overlap by `margin` characters on both sides; each chunk is a row of its own, so one huge document
+Documents up to `whole` characters are encoded where they are read, each distinct piece between stable
+boundaries once. Longer ones are cut into chunks that overlap by `margin` characters on both sides; each chunk is a row of its own, so one huge document
 spreads over many tasks. Neighbouring chunks are spliced at the first stable boundary at or after
 their border: a single space between two non-space characters, at which the pre-tokenizer always
 starts a token whatever stands before or after. Both neighbours find the same place, and each checks
 with its own offsets that a token starts there. Where the overlap holds no such place, the document is
 encoded again with overlaps eight times as wide, and in the end whole.
 
-Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are counted each on its own. Other columns
-are not looked at.
+Null and empty texts have 0 bytes and 0 tokens. Texts of any length are counted whole. Repeated rows, and
+rows without doc_id, are counted each on its own. A table without rows gives none. Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackwright.llm.common import groups_of, stage, texts_of
-from stackwright.llm.tokenfile import library
+from stackwright.llm.tokenfile import library, library_pieces
 
 WHOLE, CHUNK, MARGIN = 32_768, 16_384, 256
 GROUP_CHARS = 2_000_000
@@ -51,11 +52,11 @@ def count_chunk(tok, text: str, left: int, right: int, first: bool, last: bool)
 
 def _library_counts(df: DataFrame, tokenizer: str) -> DataFrame:
     def work(batches):
-        tok = library(tokenizer)
+        pieces = library_pieces(tokenizer)
         for batch in batches:
             texts, rest = texts_of(batch), [batch.column(n) for n in ("doc_id", "n_bytes")]
             for a, b in groups_of([len(t) for t in texts], GROUP_CHARS):
-                counts = [len(e) for e in tok.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+                _, counts = pieces.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in rest), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return df.mapInArrow(work, "doc_id long, n_bytes long, n_tokens long")
