@@ -9,12 +9,16 @@ it covers go.
 
 Before anything is sent, equal windows of one working group are reduced to the first of them, so a
 passage that a third of all documents share reaches its bucket once per group and not once per row.
-Packed strings of a group and bucket travel compressed in one row.
+Packed strings of a group and bucket travel in one row. Buckets and partitions grow in number with the
+table's bytes. A bucket is worked through in runs of HELD_BYTES, of which only the first of equal windows
+are kept; where the distinct windows alone are more than that, as under a minimiser that many share, they
+are dealt again by bits of their own hashes, so equal windows still meet, until all buckets are settled.
 
-Null texts have no words. Documents with fewer words than a window lose nothing. Texts of any length
-are worked on in bounded slices that overlap by a window less one word. Rows are told apart by
+Null and empty texts have no words. Documents with fewer words than a window lose nothing. Texts of any
+length are worked on in bounded slices that overlap by a window less one word. Rows are told apart by
 (doc_id, hash of text), null ids first; rows that repeat both are the same document and get the same
-result. Other columns are not looked at.
+result, of equal ids the smaller hash comes first. A table without rows gives none. Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -25,40 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackwright.llm.common import bytes_of, groups_of, stage
+from stackwright.llm.hashing import Powers, mix, range_hashes
 
 WINDOW, GRAM = 20, 4
-#: Bytes worked on at once, the longest slice of one document, and buckets per shuffle partition.
-GROUP_BYTES, SLICE_BYTES, BUCKETS_PER_PARTITION = 1_500_000, 750_000, 12
+#: Bytes worked on at once, and the longest slice of one document.
+GROUP_BYTES, SLICE_BYTES = 1_500_000, 750_000
+#: Text bytes of a partition, buckets of a partition, and most partitions (beyond, partitions grow).
+PART_BYTES, BUCKETS, MOST_PARTS = 8 << 20, 8, 100_000
+#: Unpacked bytes of a bucket that are settled at once, and buckets that a larger one is dealt to.
+HELD_BYTES, FAN = 10_000_000, 1 << 10
 #: Id that stands for null: sorts first.
 NULL_ID = -(1 << 63)
 
-_P, _Q, _A = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = int(base), pow(int(base), -1, 1 << 64)
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
-            for name, value in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(m, value, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_P), _Powers(_Q)
+_A = np.uint64(0x94D049BB133111EB)
+_WORD_POWERS = Powers(0xBF58476D1CE4E5B9)
 
 
 class Words:
@@ -72,10 +56,7 @@ class Words:
         ends = np.concatenate([gap, [len(raw)]])
         full = ends > starts
         self.starts, self.ends = starts[full], ends[full]
-        up, down = _BYTE_POWERS.get(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-        self.hashes = _mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self.hashes = range_hashes(raw, self.starts, self.ends)
 
     def window_hashes(self) -> np.ndarray:
         """A hash of the WINDOW words from each word on."""
@@ -85,14 +66,14 @@ class Words:
         up, down = _WORD_POWERS.get(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.hashes * up[:n], out=sums[1:])
-        return _mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: n - WINDOW + 1])
+        return mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: n - WINDOW + 1])
 
     def minimisers(self) -> np.ndarray:
         h = self.hashes
         g = h[: len(h) - GRAM + 1]
         for k in range(1, GRAM):
             g = g * _A + h[k : len(h) - GRAM + 1 + k]
-        g, n = _mix(g), WINDOW - GRAM + 1
+        g, n = mix(g), WINDOW - GRAM + 1
         low, size = g, 1
         while size * 2 <= n:
             low, size = np.minimum(low[:-size], low[size:]), size * 2
@@ -153,13 +134,21 @@ def slices(data: bytes):
 
 
 def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
+    """The unpacked size, negative if the rest is not compressed, and the arrays and text."""
     n = len(arrays[0])
     raw = np.array([n, len(text)], "<i8").tobytes() + b"".join(np.ascontiguousarray(a, "<i8").tobytes() for a in arrays) + text
+    if len(raw) < 256:
+        return np.array([-len(raw)], "<i8").tobytes() + raw
     return np.array([len(raw)], "<i8").tobytes() + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
+def _size(blob: bytes) -> int:
+    return abs(int.from_bytes(blob[:8], "little", signed=True))
+
+
 def _unpack(blob: bytes, n_arrays: int) -> tuple[list[np.ndarray], bytes]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    size = int.from_bytes(blob[:8], "little", signed=True)
+    raw = blob[8:] if size < 0 else pa.decompress(blob[8:], size, codec="zstd", asbytes=True)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     return [np.frombuffer(raw, "<i8", n, 16 + 8 * n * k) for k in range(n_arrays)], raw[16 + 8 * n * n_arrays :]
 
@@ -173,67 +162,132 @@ def _spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[np.nd
     return ids[cut], keys[cut], starts[cut], starts[last] + WINDOW
 
 
+class Items:
+    """Stretches of words (id, key, words before, bytes), in order, and the first of their equal windows."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, before: np.ndarray, texts: list[bytes]):
+        order = np.lexsort((before, keys, ids))
+        self.ids, self.keys, self.before = ids[order], keys[order], before[order]
+        texts = [texts[k] for k in order.tolist()]
+        self.words = Words(b"\n".join(texts))
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        item = np.searchsorted(ends, self.words.starts, side="right")
+        begins = np.searchsorted(item, np.arange(len(texts)))
+        n = max(0, len(item) - WINDOW + 1)
+        self.windows = np.flatnonzero(item[:n] == item[WINDOW - 1 :]) if n else np.zeros(0, np.int64)
+        self.owner = item[self.windows]
+        self.place = self.windows - begins[self.owner] + self.before[self.owner]
+        self.hashes = self.words.window_hashes()
+        source = first_equal(self.words, self.hashes, self.windows)
+        self.first = source == np.arange(len(self.windows))
+        id_, key = self.ids[self.owner], self.keys[self.owner]
+        gone = (id_ != id_[source]) | (key != key[source]) | (self.place != self.place[source])
+        self.spans = _spans(id_[gone], key[gone], self.place[gone]) if gone.any() else None
+
+    def runs(self, label: np.ndarray):
+        """(label, ids, keys, words before, bytes) of runs of first windows with one label, by label."""
+        kept, owner, place, label = self.windows[self.first], self.owner[self.first], self.place[self.first], label[self.first]
+        if not len(kept):
+            return
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(kept) != 1) | (owner[1:] != owner[:-1]) | (label[1:] != label[:-1])]))
+        last = np.append(cut[1:], len(kept)) - 1
+        order = np.argsort(label[cut], kind="stable")
+        a, b = self.words.starts[kept[cut]][order].tolist(), self.words.ends[kept[last] + WINDOW - 1][order].tolist()
+        texts = [self.words.data[x:y] for x, y in zip(a, b, strict=True)]
+        who, where, names = owner[cut][order], place[cut][order], label[cut][order]
+        bounds = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])).tolist() + [len(order)]
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            yield int(names[x]), self.ids[who[x:y]], self.keys[who[x:y]], where[x:y], texts[x:y]
+
+
 def pack_group(items: list[tuple[int, int, int, bytes]], n_buckets: int):
     """(bucket, is_spans, payload) rows of one working group; items: (id, key, words before, bytes)."""
-    items = sorted(items, key=lambda x: x[:3])
-    words = Words(b"\n".join(x[3] for x in items))
-    if len(words.starts) < WINDOW:
-        return
-    ends = np.cumsum([len(x[3]) + 1 for x in items])
-    item = np.searchsorted(ends, words.starts, side="right")
-    begins = np.searchsorted(item, np.arange(len(items)))
-    n = len(item) - WINDOW + 1
-    windows = np.flatnonzero(item[:n] == item[WINDOW - 1 :])
-    if not len(windows):
-        return
     ids, keys, before = (np.array([x[k] for x in items], np.int64) for k in range(3))
-    owner = item[windows]
-    place = windows - begins[owner] + before[owner]
-    source = first_equal(words, words.window_hashes(), windows)
-    same = (ids[owner] == ids[owner[source]]) & (keys[owner] == keys[owner[source]]) & (place == place[source])
-    gone, sent = ~same, source == np.arange(len(windows))
-    if gone.any():
-        spans = _spans(ids[owner[gone]], keys[owner[gone]], place[gone])
-        yield int(ids[0] % n_buckets), True, _pack(*spans)
-    mins = words.minimisers()[windows][sent]
-    kept, owner, place = windows[sent], owner[sent], place[sent]
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(kept) != 1) | (owner[1:] != owner[:-1]) | (mins[1:] != mins[:-1])]))
-    last = np.append(cut[1:], len(kept)) - 1
-    bucket = (mins[cut] % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    a, b = words.starts[kept[cut]][order].tolist(), words.ends[kept[last] + WINDOW - 1][order].tolist()
-    texts = [words.data[x:y] for x, y in zip(a, b, strict=True)]
-    who, where = owner[cut][order], place[cut][order]
-    bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])).tolist() + [len(order)]
-    for x, y in zip(bounds, bounds[1:], strict=False):
-        yield int(bucket[order[x]]), False, _pack(ids[who[x:y]], keys[who[x:y]], where[x:y], text=b"\n".join(texts[x:y]))
-
-
-def settle_bucket(payloads: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """The word ranges that repeat earlier windows, from a bucket's super-k-mers."""
-    parts = [_unpack(p, 3) for p in payloads]
-    ids, keys, starts = (np.concatenate([p[0][k] for p in parts]) for k in range(3))
-    texts = [t for p in parts for t in p[1].split(b"\n")]
-    order = np.lexsort((starts, keys, ids))
-    ids, keys, starts = ids[order], keys[order], starts[order]
-    texts = [texts[k] for k in order.tolist()]
-    words = Words(b"\n".join(texts))
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    item = np.searchsorted(ends, words.starts, side="right")
-    begins = np.searchsorted(item, np.arange(len(texts)))
-    n = len(item) - WINDOW + 1
-    windows = np.flatnonzero(item[:n] == item[WINDOW - 1 :])
-    owner = item[windows]
-    place = windows - begins[owner] + starts[owner]
-    source = first_equal(words, words.window_hashes(), windows)
-    gone = (ids[owner] != ids[owner[source]]) | (keys[owner] != keys[owner[source]]) | (place != place[source])
-    return _spans(ids[owner[gone]], keys[owner[gone]], place[gone]) if gone.any() else None
+    found = Items(ids, keys, before, [x[3] for x in items])
+    if not len(found.windows):
+        return
+    if found.spans:
+        yield int(found.ids[0] % n_buckets), True, _pack(*found.spans)
+    bucket = found.words.minimisers()[found.windows] % np.uint64(n_buckets)
+    for name, ids, keys, before, texts in found.runs(bucket.astype(np.int64)):
+        yield name, False, _pack(ids, keys, before, text=b"\n".join(texts))
+
+
+class Bucket:
+    """Settles a bucket's windows as its payloads come in, holding the first of equal windows only. What
+    has to be dealt again comes out as (bucket, payload) rows."""
+
+    def __init__(self, name: int, level: int):
+        self.name, self.level = name, level
+        self.parts: list[tuple] = []
+        self.size, self.over = 0, False
+
+    def add(self, payload: bytes):
+        arrays, text = _unpack(payload, 3)
+        self.parts.append((*arrays, text.split(b"\n")))
+        self.size += _size(payload)
+        if self.size > HELD_BYTES:
+            yield from self.settle()
+
+    def settle(self, last: bool = False):
+        """(spans, None) and (None, (bucket, payload))."""
+        if not self.parts:
+            return
+        found = Items(*(np.concatenate([p[k] for p in self.parts]) for k in range(3)), [t for p in self.parts for t in p[3]])
+        self.parts, self.size = [], 0
+        if found.spans:
+            yield found.spans, None
+        if last and not self.over:
+            return
+        if not self.over:
+            held = list(found.runs(np.zeros(len(found.windows), np.int64)))
+            size = sum(24 * len(h[1]) + sum(map(len, h[4])) for h in held)
+            if size <= HELD_BYTES // 2 or len(found.windows[found.first]) < 2:
+                self.parts, self.size = [h[1:] for h in held], size
+                return
+            self.over = True
+        part = (found.hashes[found.windows] >> np.uint64(10 * (self.level % 6))) % np.uint64(FAN)
+        for name, ids, keys, before, texts in found.runs(part.astype(np.int64)):
+            yield None, ((self.name * FAN + name) % (1 << 62), _pack(ids, keys, before, text=b"\n".join(texts)))
+
+
+SETTLED = "_id long, _key long, start long, stop long, bucket long, payload binary"
+
+
+def _settler(level: int):
+    """For mapInArrow over (bucket, is_spans, payload) sorted by bucket: spans, and rows to be dealt again."""
+
+    def rows(found):
+        for spans, again in found:
+            if spans is not None:
+                n = len(spans[0])
+                yield pa.RecordBatch.from_arrays([*(pa.array(s.astype(np.int64)) for s in spans), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["_id", "_key", "start", "stop", "bucket", "payload"])
+            else:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([again[0]], pa.int64()), pa.array([again[1]], pa.binary())], names=["_id", "_key", "start", "stop", "bucket", "payload"])
+
+    def settle(batches):
+        bucket = None
+        for batch in batches:
+            for k, is_spans, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "is_spans", "payload")), strict=True):
+                if is_spans:
+                    yield from rows([(_unpack(payload, 4)[0], None)])
+                    continue
+                if bucket is None or bucket.name != k:
+                    if bucket is not None:
+                        yield from rows(bucket.settle(last=True))
+                    bucket = Bucket(k, level)
+                yield from rows(bucket.add(payload))
+        if bucket is not None:
+            yield from rows(bucket.settle(last=True))
+
+    return settle
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(_id, _key, start, stop) word ranges, from (_id, _key, text)."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = n * BUCKETS_PER_PARTITION
+    """(_id, _key, start, stop) word ranges, from (_id, _key, text); ranges may come up several times."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+    n_buckets = max(n * BUCKETS, -(-size * BUCKETS // PART_BYTES))
 
     def send(batches):
         for batch in batches:
@@ -246,32 +300,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.bool_()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "is_spans", "payload"])
 
-    def settle(batches):
-        bucket, payloads = None, []
-
-        def out(spans):
-            return pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)) for s in spans], names=["_id", "_key", "start", "stop"])
-
-        for batch in batches:
-            for k, is_spans, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "is_spans", "payload")), strict=True):
-                if is_spans:
-                    yield out(_unpack(payload, 4)[0])
-                    continue
-                if k != bucket and payloads:
-                    spans = settle_bucket(payloads)
-                    if spans:
-                        yield out(spans)
-                    payloads = []
-                bucket = k
-                payloads.append(payload)
-        if payloads:
-            spans = settle_bucket(payloads)
-            if spans:
-                yield out(spans)
-
-    packed = rows.mapInArrow(send, "bucket long, is_spans boolean, payload binary")
-    dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle, "_id long, _key long, start long, stop long")
+    packed, out, level = rows.mapInArrow(send, "bucket long, is_spans boolean, payload binary"), None, 0
+    while True:
+        dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
+        # a written table, so that the super-k-mers' shuffle files can go before the texts are joined
+        settled = stage(dealt.mapInArrow(_settler(level), SETTLED), "spans")
+        spans = settled.where("payload is null").select("_id", "_key", "start", "stop")
+        out = spans if out is None else out.unionByName(spans)
+        again = settled.where("payload is not null").select("bucket", F.lit(False).alias("is_spans"), "payload")
+        if again.isEmpty():
+            return out
+        packed, level = again, level + 1
 
 
 def _cut(data: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple[int, int, bytes]:
@@ -291,9 +330,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     rows = rows.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_key": F.xxhash64("text")})
     spans = repeated_spans(rows.select("_id", "_key", "text"))
-    # a written table, so that the super-k-mers' shuffle files can go before the texts are joined
-    spans = stage(spans, "spans")
-    by_doc = spans.groupBy("_id", "_key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    # sets: a document that stands in many rows has its spans once
+    by_doc = spans.groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    by_doc = by_doc.select("_id", "_key", F.col("_spans.start").alias("starts"), F.col("_spans.stop").alias("stops"))
     joined = rows.join(by_doc, ["_id", "_key"], "left").select("doc_id", "text", "starts", "stops")
 
     def work(batches):
