@@ -1,8 +1,9 @@
 """The corpus pipeline: stages that each keep, drop or encode documents.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
-next one's docs. All but the last return the columns they were given. Null texts count as empty.
-Repeated rows share each other's fate. Tables without rows pass through every stage.
+next one's docs. All but the last return the columns they were given, whatever their names. Null texts
+count as empty. Repeated rows share each other's fate, as do rows without doc_id. Tables without rows pass
+through every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.llm import bpe, decontam, exact, minhash, quality
-from stackwright.llm.common import stage
+from stackwright.llm.common import free_name, stage
 from stackwright.llm.queries import tokenizer_path
 
 #: Words of a shingle in the near-dedup stage.
@@ -39,9 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     found = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = stage(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    leak = free_name(docs.columns, "_leak")
+    leaks = stage(found.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
     small = F.broadcast(leaks) if leaks.count() <= minhash.BROADCAST_IDS else leaks
-    return docs.join(small, docs["doc_id"] == F.col("_leak"), "left_anti")
+    return docs.join(small, docs["doc_id"] == small[leak], "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +54,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents whose doc_id is among those found: an equi-join on ids alone, no text is grouped."""
-    ids = found.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    name = free_name(docs.columns, "_keep")
+    ids = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), "left_semi")
 
 
 STAGES = [

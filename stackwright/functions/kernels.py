@@ -27,10 +27,10 @@ def lanczos(x: Column, size: int) -> Column:
     return F.when(F.abs(x) < size / 2, _sinc(x) * _sinc(x / (size / 2))).otherwise(F.lit(0.0))
 
 
-def quadratic(x: Column, size: int = 3) -> Column:
-    """Quadratic B-spline."""
+def quadratic(x: Column, size: int = 2) -> Column:
+    """Two parabolas that meet at half a unit; 1 at 0 and 0 from one unit on."""
     a = F.abs(x)
-    return F.when(a <= 0.5, 0.75 - a * a).when(a <= 1.5, 0.5 * (1.5 - a) * (1.5 - a)).otherwise(F.lit(0.0))
+    return F.when(a <= 0.5, 1 - 2 * a * a).when(a < 1, 2 * (1 - a) * (1 - a)).otherwise(F.lit(0.0))
 
 
 KERNELS: dict[str, Callable[..., Column]] = {"linear": linear, "sinc": sinc, "lanczos": lanczos, "quad": quadratic}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,21 @@ def envelope(freq: Column, bfactor: Column) -> Column:
     return F.exp(-(bfactor / 4) * freq * freq)
 
 
+def envelope_curve(spark: SparkSession, n: int, pixel_size: float, bfactor: float) -> DataFrame:
+    """(i, freq, envelope) from 0 to the highest frequency of an n x n image."""
+    freq = F.col("id") / (n * pixel_size)
+    return spark.range(n // 2 + 1).select(F.col("id").cast("int").alias("i"), freq.alias("freq"), envelope(freq, F.lit(bfactor)).alias("envelope"))
+
+
+def scaled(optics: DataFrame, factor: float) -> DataFrame:
+    """Optics whose amplitude, dscale, is multiplied; -1 flips the sign."""
+    return optics.withColumn("dscale", F.col("dscale") * factor)
+
+
+def with_sign(optics: DataFrame, sign: int) -> DataFrame:
+    return optics.withColumn("dscale", sign * F.abs("dscale"))
+
+
 def contrast_transfer(freq: Column, angle: Column, akv: Column, cs: Column, wgh: Column, df1: Column, df2: Column, angast: Column, dscale: Column, bfactor: Column | None = None, turned: Column | None = None) -> Column:
     """Contrast transfer function. freq in 1/Angstrom, angles in radians, cs in mm, defocus in Angstrom;
     turned: in-plane rotation added to the angle."""

@@ -20,9 +20,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one only where none is named, as in tests."""
+    """The folder that driver and executors share. A temporary one only where none is named and the
+    executors are the driver, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         named = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="stackwright-")
     return named.rstrip("/")
@@ -59,6 +62,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """A name that starts with base and starts no column's name."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base += "_"
+    return base
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

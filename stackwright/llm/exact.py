@@ -9,7 +9,7 @@ bytes of the slot. Members join the history's group, nonmembers are grouped amon
 
 Null texts count as empty. Of equal texts the row with the largest doc_id stays, null ids last. Rows
 that repeat both doc_id and text all count in the group's size; they are one document and share its
-fate. Other columns are not looked at.
+fate. Texts of any length are hashed whole. A table without rows gives none. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -163,11 +163,12 @@ def look_up(groups: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Each row's (doc_id, keep_id, group_size, kept, digest, is_member); the rows up to the middle of
-    the range of doc_id are the history, the later ones the delivery that is looked up in it."""
+    """Each row's (doc_id, keep_id, group_size, kept, digest, is_member); the rows up to the middle doc_id
+    (an approximate median, so that outlying ids don't matter) are the history, the later ones the delivery
+    that is looked up in it. The result is the same wherever the history ends."""
     rows = stage(digests(docs), "digests")
-    ends = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    middle = (ends["a"] + ends["b"]) // 2 if ends["a"] is not None else 0
+    ends = rows.agg(F.percentile_approx("doc_id", 0.5, 100).alias("middle"), F.count(F.lit(1)).alias("n")).first()
+    middle = ends["middle"] if ends["middle"] is not None else 0
     n_buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ends["n"] // BUCKET))
     old = F.col("doc_id") <= middle
     index = stage(build_index(group_rows(rows.where(old)), n_buckets), "digest-index")

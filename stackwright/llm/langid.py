@@ -8,7 +8,7 @@ whose name sorts first. The score is 1 minus the distance as a share of the larg
 
 Null texts and texts without a letter give `und` with score 0, as do all texts where no labelled
 training row exists. Texts of any length are counted whole, in bounded slices. Repeated rows are
-scored each on its own; other columns are not looked at.
+scored each on its own; other columns are not looked at. A table without rows gives none.
 """
 
 from __future__ import annotations

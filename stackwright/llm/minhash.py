@@ -14,8 +14,14 @@ alone. In all rounds the similarity estimated from equal lanes, corrected for th
 equal by chance, must come within 0.07 (over four standard deviations) of the threshold; then the full
 shingle sets are compared. So two classes that share a band are either compared or already connected.
 
-Null texts, texts without words and rows without doc_id are linked with nothing and kept. Repeated
-rows are one class. Texts of any length are shingled whole. Other columns are not looked at.
+A class is told by 128 bits of its set; in the few cases where two share the first 64, which name it in
+joins, they are named anew. In the last round the members of a large bucket are dealt into blocks, and
+each two blocks are one key of the join, so that a bucket is spread over many tasks.
+
+Null texts, empty ones, texts without words and rows without doc_id are linked with nothing and kept.
+Repeated rows are one class. Texts of any length are shingled whole. A group's smallest doc_id stands for
+it; rows that share a doc_id but not the text are classes of their own. A table without rows gives none.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 
 from stackwright.llm.common import bytes_of, drop, groups_of, list_array, stage
 from stackwright.llm.graphs import components
-from stackwright.llm.substrings import Words, _mix
+from stackwright.llm.hashing import mix
+from stackwright.llm.substrings import Words
 
 BANDS, ROWS = 72, 8
 LANES = BANDS * ROWS
@@ -39,6 +46,8 @@ PERCENT, MARGIN = 80, 0.07
 GROUP_BYTES, SLAB = 500_000, 2048
 #: Rounds of one comparison per bucket and member before all pairs across components.
 TURNS = 2
+#: Members of a block of a bucket in the last round.
+BLOCK = 2_000
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -61,7 +70,7 @@ def shingle_sets(texts: list[bytes], size: int):
         g = h[: max(0, len(h) - size + 1)]
         for k in range(1, size):
             g = g * _STEP + h[k : len(h) - size + 1 + k]
-        g = _mix(g)
+        g = mix(g)
         for n, stop in zip(counts.tolist(), stops.tolist(), strict=True):
             if n >= size:
                 yield np.unique(g[stop - n : stop - size + 1])
@@ -70,7 +79,7 @@ def shingle_sets(texts: list[bytes], size: int):
                 with np.errstate(over="ignore"):
                     for x in h[stop - n : stop]:
                         whole = whole * _STEP + x
-                yield _mix(np.array([whole], np.uint64))
+                yield mix(np.array([whole], np.uint64))
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -106,7 +115,7 @@ def packed_fine(low: np.ndarray) -> np.ndarray:
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set: sums of mixed members."""
     with np.errstate(over="ignore"):
-        a, b = _mix(shingles ^ np.uint64(0xA5A5)).sum(dtype=np.uint64), _mix(shingles + np.uint64(0x5A5A)).sum(dtype=np.uint64)
+        a, b = mix(shingles ^ np.uint64(0xA5A5)).sum(dtype=np.uint64), mix(shingles + np.uint64(0x5A5A)).sum(dtype=np.uint64)
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
@@ -152,29 +161,30 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int, fine: bool = False) -> DataFrame:
-    """(key, shingles array<long>) of the wanted classes (key, rep): read again from their texts. With
-    fine, the finer signatures instead of the sets."""
+    """(key, shingles array<long>) of the wanted classes (key, half, key2, rep): read again from their texts.
+    With fine, the finer signatures instead of the sets."""
 
     def work(batches):
         for batch in batches:
             keys, sets = [], []
-            for want, s in zip(batch.column("key").to_pylist(), shingle_sets(bytes_of(batch), size), strict=True):
-                if set_keys(s)[0] == want:
-                    keys.append(want)
+            wants = zip(*(batch.column(c).to_pylist() for c in ("key", "half", "key2")), strict=True)
+            for (key, *want), s in zip(wants, shingle_sets(bytes_of(batch), size), strict=True):
+                if set_keys(s) == tuple(want):
+                    keys.append(key)
                     sets.append(packed_fine(minima(s, _FINE_FACTORS)[None, :])[0] if fine else s.view(np.int64))
             lengths = np.array([len(s) for s in sets], np.int64)
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), list_array(values, lengths, pa.int64())], names=["key", "shingles"])
 
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    rows = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].alias("text")).join(ids, "rep").select("key", "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].alias("text")).join(ids, "rep").select("key", "half", "key2", "text")
     return rows.mapInArrow(work, "key long, shingles array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = stage(ends.join(classes.select("key", "rep"), "key"), "wanted")
+    wanted = stage(ends.join(classes.select("key", "half", "key2", "rep"), "key"), "wanted")
     # a text may stand in several rows with one doc_id; equal keys have equal sets
     sets = stage(sets_of(docs, wanted, size), "sets")
     if sets.count() > wanted.count():
@@ -192,7 +202,8 @@ def near_components(docs: DataFrame, size: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = stage(signatures(docs, size), "signatures")
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = stage(rows.where(linkable).groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).drop("key2"), "classes")
+    classes = stage(rows.where(linkable).groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumn("half", F.col("key")), "classes")
+    rows, classes = told_apart(rows, classes)
     bands = band_keys(classes.select("key", "sig")).select("band", "key")
     centres = bands.groupBy("band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "centre")
     buckets = stage(bands.join(centres, "band"), "buckets")  # of two members and more
@@ -221,32 +232,63 @@ def near_components(docs: DataFrame, size: int = 4) -> DataFrame:
             first = components(links)
     # last round: all pairs across the components that remain in a bucket, each in its first common band
     buckets = mixed_buckets(buckets, first, TURNS)
-    wanted = stage(buckets.select("key").distinct().join(classes.select("key", "rep"), "key"), "members")
+    wanted = stage(buckets.select("key").distinct().join(classes.select("key", "half", "key2", "rep"), "key"), "members")
     fine = stage(sets_of(docs, wanted, size, fine=True), "fine").dropDuplicates(["key"]).withColumnRenamed("shingles", "fine")
-    mine = buckets.groupBy("key").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # BANDS at most
-    # words as plain columns: the join's condition stays small enough to be compiled
-    words = {f"f{i}": F.coalesce(F.col("fine")[i], F.lit(0)) for i in range(FINE_LANES // 64)}
-    members = buckets.join(mine, "key").join(classes.select("key", "n"), "key").join(fine.withColumns(words).drop("fine"), "key")
-    x, y = members.alias("x"), members.alias("y")
-    across = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes_allow(F.col("x.n"), F.col("y.n"))
-    unequal = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-    # one bit a lane: equal by chance in half of the cases
-    close = unequal <= int(FINE_LANES * (1 - (PERCENT / 100 - FINE_MARGIN)) / 2)
-    leads = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & F.when(~across, False).when(~close, False).otherwise(leads))
-    pairs = pairs.select(F.col("y.key").alias("a"), F.col("x.key").alias("b"))
+    pairs = pairs_across(buckets.join(classes.select("key", "n"), "key"), fine)
     fresh = stage(pairs.join(tested, ["a", "b"], "left_anti"), "across")
     if not fresh.isEmpty():
         links = links.unionByName(confirm(docs, fresh, classes, size))
         first = components(links)
     found = classes.select("key", "rep").join(first, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
-    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    # written, so that adaptive execution can split a large component in the join
+    least = stage(found.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     by_class = found.join(least, "component").select("key", "component_id")
     # last: one row per class against all rows, so that adaptive execution can split a hot class
     out = rows.select("doc_id", "n_shingles", F.when(linkable, F.col("key")).alias("key")).join(by_class, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def told_apart(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with a key that one class alone has: where classes share a key, it is hashed with key2."""
+    for turn in range(1, 9):
+        shared = stage(classes.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.lit(True).alias("_shared")), "shared-keys")
+        n = shared.count()
+        if not n:
+            drop(shared)
+            return rows, classes
+
+        def named(df: DataFrame) -> DataFrame:
+            found = df.join(F.broadcast(shared) if n <= BROADCAST_IDS else shared, "key", "left")
+            return found.withColumn("key", F.when(F.col("_shared"), F.xxhash64(F.lit(turn), "key", "key2")).otherwise(F.col("key"))).drop("_shared")
+
+        rows, classes = stage(named(rows), "signatures"), stage(named(classes), "classes")
+    raise ValueError("128-bit keys of different sets are equal")
+
+
+def pairs_across(buckets: DataFrame, fine: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a > b, of a bucket's members (band, key, component, n) in different components whose sizes and
+    finer signatures (key, fine) allow a link, once for each pair in its first common band."""
+    mine = buckets.groupBy("key").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # BANDS at most
+    # words as plain columns: the join's condition stays small enough to be compiled
+    words = {f"f{i}": F.coalesce(F.col("fine")[i], F.lit(0)) for i in range(FINE_LANES // 64)}
+    many = buckets.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    members = buckets.join(many, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
+    members = members.join(mine, "key").join(fine.withColumns(words).drop("fine"), "key")
+    x, y = members.alias("x"), members.alias("y")
+    # within a block by key, between two from the lower one to the higher
+    once = F.when(F.col("x.lo") == F.col("x.hi"), F.col("x.key") < F.col("y.key")).otherwise((F.col("x.own") == F.col("x.lo")) & (F.col("y.own") == F.col("x.hi")))
+    across = once & (F.col("x.component") != F.col("y.component")) & sizes_allow(F.col("x.n"), F.col("y.n"))
+    unequal = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+    # one bit a lane: equal by chance in half of the cases
+    close = unequal <= int(FINE_LANES * (1 - (PERCENT / 100 - FINE_MARGIN)) / 2)
+    leads = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    pairs = x.join(y, same & F.when(~across, False).when(~close, False).otherwise(leads))
+    return pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))
+
+
 def mixed_buckets(buckets: DataFrame, first: DataFrame, turn: int) -> DataFrame:
     """(band, key, component) of the buckets that hold several components, staged."""
     names = buckets.select("band", "key").join(first, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("component"))

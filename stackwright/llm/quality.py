@@ -6,8 +6,10 @@ and fits a logistic model over the rules with a lasso penalty, so most weights a
 remain are compiled into one Spark column expression that scores all rows on the JVM.
 
 Null texts count as empty; empty texts have all statistics zero and are scored like any other. Texts
-of any length are read whole. Repeated rows are scored each on its own. Where no labelled row exists,
-or all have one label, the score is the share of label 1 (0.5 without labels).
+of any length are read whole. Repeated rows are scored each on its own; a document that stands in several
+rows or labels is learned from as often. Of splits that gain alike the first statistic and lowest cut is
+taken. Where no labelled row exists, or all have one label, the score is the share of label 1 (0.5 without
+labels). A table without rows gives none. Statistics' columns get names that no column of the input has.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackwright.llm.common import bytes_of, unit_hash
+from stackwright.llm.common import bytes_of, free_name, unit_hash
 
 #: About so many labelled rows are learned from; the sample is picked by a hash of doc_id.
 TRAIN_ROWS = 12_000
@@ -53,17 +55,19 @@ def text_stats(data: bytes) -> list[float]:
     ]
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """All columns but text, and a struct `_stats`. Narrow: no shuffle."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+def with_stats(docs: DataFrame, prefix: str, keep_text: bool = False) -> DataFrame:
+    """All columns (but text, unless asked for) and one per statistic, named with the prefix. Narrow: no
+    shuffle, each row is measured where it is read."""
+    keep = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    names = [f.name for f in keep] + [prefix + s for s in STATS]
 
     def work(batches):
         for batch in batches:
             stats = np.array([text_stats(x) for x in bytes_of(batch)], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *(pa.array(np.ascontiguousarray(stats[:, i])) for i in range(len(STATS)))], names=[*(f.name for f in keep), *(f"_s_{s}" for s in STATS)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *(pa.array(np.ascontiguousarray(stats[:, i])) for i in range(len(STATS)))], names=names)
 
-    schema = T.StructType(keep + [T.StructField(f"_s_{s}", T.DoubleType()) for s in STATS])
-    return docs.select(*(f.name for f in keep), "text").mapInArrow(work, schema)
+    schema = T.StructType(keep + [T.StructField(n, T.DoubleType()) for n in names[len(keep) :]])
+    return docs.mapInArrow(work, schema)
 
 
 @dataclass
@@ -73,13 +77,13 @@ class Rules:
     base: float
     rules: list[tuple[tuple[tuple[int, bool, float], ...], float]] = field(default_factory=list)
 
-    def score(self) -> Column:
-        """The model as one expression over the statistics' columns."""
+    def score(self, prefix: str) -> Column:
+        """The model as one expression over the statistics' columns, named with the prefix."""
         total = F.lit(self.base)
         for conditions, weight in self.rules:
             test = F.lit(True)
             for stat, at_most, cut in conditions:
-                value = F.col(f"_s_{STATS[stat]}")
+                value = F.col(prefix + STATS[stat])
                 test = test & ((value <= F.lit(cut)) if at_most else (value > F.lit(cut)))
             total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -160,27 +164,23 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> Rules:
     """Rules from labelled rows (quality not null) for which `usable` (over doc_id) holds. The sample's
     ids, about train_rows of them, are broadcast: a bound that does not grow with the corpus."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col("quality").cast("double").alias("_y"))
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("double").alias("_y"))
     n = marked.count()
     sample = marked.where(unit_hash(F.col("doc_id")) < F.lit(min(1.0, train_rows / max(n, 1))))
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).toPandas()
-    rows = rows.sort_values(["doc_id", "_y"])
-    return fit(rows[[f"_s_{s}" for s in STATS]].to_numpy(), rows["_y"].to_numpy())
+    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "s_").toPandas()
+    rows = rows.sort_values(["doc_id", "_y", *(f"s_{s}" for s in STATS)])
+    return fit(rows[[f"s_{s}" for s in STATS]].to_numpy(), rows["_y"].to_numpy())
 
 
 def accepted(docs: DataFrame, rules: Rules) -> DataFrame:
-    """The rows of good quality, with all their columns. Narrow: each row is judged where it is read."""
-
-    def work(batches):
-        for batch in batches:
-            stats = np.array([text_stats(x) for x in bytes_of(batch)], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(stats[:, i])) for i in range(len(STATS)))], names=[*batch.schema.names, *(f"_s_{s}" for s in STATS)])
-
-    schema = T.StructType(docs.schema.fields + [T.StructField(f"_s_{s}", T.DoubleType()) for s in STATS])
-    return docs.mapInArrow(work, schema).where(rules.score() >= CUT).select(*docs.columns)
+    """The rows of good quality, with all their columns and no others."""
+    prefix = free_name(docs.columns, "_s_")
+    return with_stats(docs, prefix, keep_text=True).where(rules.score(prefix) >= CUT).select(*docs.columns)
 
 
 def score(docs: DataFrame, rules: Rules) -> DataFrame:
-    """All columns but text, with score and predicted."""
-    out = with_stats(docs).withColumn("score", rules.score())
-    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop(*(f"_s_{s}" for s in STATS))
+    """All columns but text, with score and predicted, which take the place of columns of these names."""
+    docs = docs.drop("score", "predicted")
+    prefix = free_name(docs.columns, "_s_")
+    out = with_stats(docs, prefix).withColumn("score", rules.score(prefix))
+    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop(*(prefix + s for s in STATS))

@@ -65,21 +65,32 @@ def premultiplier(n: int, kernel, half: int, oversampling: int = 64) -> np.ndarr
     return 1 / falloff[m // 2 - n // 2 : m // 2 - n // 2 + n]
 
 
+def blur_taps(zoom: float) -> np.ndarray:
+    """A Gaussian of width 0.66 / zoom, cut at four widths."""
+    sigma = 0.66 / zoom
+    radius = int(4 * sigma + 0.5)
+    taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    return taps / taps.sum()
+
+
+def nearest(n: int, target: int) -> np.ndarray:
+    """The element of n that each of `target` places takes, ends on ends, half up."""
+    return np.minimum(np.floor(np.arange(target) * (n - 1) / max(target - 1, 1) + 0.5).astype(int), n - 1)
+
+
 def resize(df: DataFrame, key: str, values: str, n: int, target: int, dims: int) -> DataFrame:
-    """Blur by 0.66 of the shrinking factor, then take the nearest element."""
-    zoom = target / n
+    """Blur by 0.66 of the shrinking factor, with zeros around the array, then take the nearest element."""
+    taps, pick = blur_taps(target / n), nearest(n, target)
 
     def work(batches):
-        radius = max(1, int(4 * 0.66 / zoom + 0.5))
-        taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / (0.66 / zoom)) ** 2)
-        taps /= taps.sum()
-        pick = np.minimum(np.round(np.arange(target) * (n - 1) / max(target - 1, 1)).astype(int), n - 1)
+        radius = len(taps) // 2
         for batch in batches:
             a = _stack(batch.column(values), n, dims)
             for axis in range(1, dims + 1):
-                padded = np.pad(a, [(radius, radius) if k == axis else (0, 0) for k in range(dims + 1)], mode="symmetric")
+                padded = np.pad(a, [(radius, radius) if k == axis else (0, 0) for k in range(dims + 1)])
                 a = sum(t * np.take(padded, np.arange(i, i + n), axis=axis) for i, t in enumerate(taps))
-                a = np.take(a, pick, axis=axis) if zoom < 1 else a
+            for axis in range(1, dims + 1):
+                a = np.take(a, pick, axis=axis)
             yield pa.RecordBatch.from_arrays([batch.column(key), _lists(a)], names=[key, "v"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 AXES = "xyz"
 
@@ -40,7 +41,28 @@ def inside(n: int, dims: int, rad: float, kind: str = "circ") -> Column:
     return F.greatest(*[F.abs(AXES[k]) for k in range(dims)]) < rad * n / 2
 
 
+#: Rows of tables that describe the grid or the domain, not the data, up to which they are broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table with a broadcast hint if it has few rows (counted, unless the number is known)."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
+
+
+def numbered_inside(spark: SparkSession, n: int, dims: int, rad: float) -> DataFrame:
+    """(x.., at): the cells inside the radius, numbered in the order of the packed array."""
+    cells = grid(spark, n, dims).where(inside(n, dims, rad))
+    w = W.orderBy(*AXES[:dims])  # a grid's cells, whatever the data
+    return cells.withColumn("at", F.row_number().over(w) - 1)
+
+
+def full_to_truncated(spark: SparkSession, cells: DataFrame, n: int, dims: int, rad: float, key: str, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(key, at, values): the cells inside the radius as a vector."""
+    return cells.join(small(numbered_inside(spark, n, dims, rad), n**dims), list(AXES[:dims])).select(key, "at", *values)
+
+
 def truncated_to_full(spark: SparkSession, values: DataFrame, n: int, dims: int, keys: DataFrame, key: str) -> DataFrame:
     """Scatter coefficients inside a mask to the whole grid, 0 elsewhere."""
     axes = list(AXES[:dims])
-    return keys.crossJoin(F.broadcast(grid(spark, n, dims))).join(values, [key, *axes], "left").select(key, *axes, F.coalesce("v", F.lit(0.0)).alias("v"))
+    return keys.crossJoin(small(grid(spark, n, dims), n**dims)).join(values, [key, *axes], "left").select(key, *axes, F.coalesce("v", F.lit(0.0)).alias("v"))

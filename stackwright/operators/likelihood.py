@@ -8,11 +8,14 @@ statistics are reduced by Spark's partial aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackwright.operators.grid import small
 from stackwright.operators.probability import log_sum_exp
 
 
@@ -21,7 +24,7 @@ def residuals(images: DataFrame, projections: DataFrame, key: str, sigma2: float
     (r, i, s, c, re, im, logw). Coefficients meet by an equi-join on c."""
     p = projections.select("r", "i", "s", "c", F.col("re").alias("pre"), F.col("im").alias("pim"), "logw")
     d2 = (F.col("re") - F.col("pre")) ** 2 + (F.col("im") - F.col("pim")) ** 2
-    return images.join(F.broadcast(p), "c").groupBy(key, "r", "i", "s").agg((F.first("logw") - F.sum(d2) / (2 * sigma2)).alias("logp"))
+    return images.join(small(p), "c").groupBy(key, "r", "i", "s").agg((F.first("logw") - F.sum(d2) / (2 * sigma2)).alias("logp"))
 
 
 def marginal_sql(images: DataFrame, projections: DataFrame, key: str, sigma2: float) -> DataFrame:
@@ -77,28 +80,71 @@ def summed_gradient(results: DataFrame) -> DataFrame:
     return rows.groupBy("at").agg(F.avg("g.grad_re").alias("re"), F.avg("g.grad_im").alias("im"))
 
 
+def summed(images: DataFrame, projections: np.ndarray, logw: np.ndarray, sigma2: float, spread: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(at, re, im): the sums over images of the gradients by each projection (P x C), handed to `spread` (linear)
+    in the task, and in the row at -1 the sum of nll and the number of images. Each image is looked at once, each
+    task gives one row per element, and Spark adds them up."""
+    energy = (np.abs(projections) ** 2).sum(axis=1)
+
+    def work(batches):
+        total, nll_sum, n = np.zeros(projections.shape, complex), 0.0, 0
+        for batch in batches:
+            f = np.stack([np.array(batch.column(c).to_pylist(), np.float64).reshape(batch.num_rows, -1) for c in ("re", "im")])
+            d = f[0] + 1j * f[1]
+            d2 = (np.abs(d) ** 2).sum(axis=1)[:, None] - 2 * (d @ projections.conj().T).real + energy[None, :]
+            e = logw[None, :] - d2 / (2 * sigma2)
+            nll = -_lse(e, 1)
+            p = np.exp(e + nll[:, None])
+            total += p.sum(axis=0)[:, None] * projections - p.T @ d
+            nll_sum, n = nll_sum + float(nll.sum()), n + len(nll)
+        if n:
+            out = spread(total / sigma2).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(out))), pa.array(np.concatenate([[nll_sum], out.real])), pa.array(np.concatenate([[float(n)], out.imag]))], names=["at", "re", "im"])
+
+    parts = images.select("re", "im").mapInArrow(work, "at long, re double, im double")
+    return parts.groupBy("at").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
 def outside_power(coefficients: DataFrame, key: str, inside: Column) -> DataFrame:
     """(key, n, power) of the coefficients beyond the truncation radius: they enter as a constant."""
     out = coefficients.where(~inside)
     return out.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("power"))
 
 
+def running_moments(coefficients: DataFrame, at: list[str]) -> DataFrame:
+    """(at, re, im, power): mean and mean power of the images' coefficients at each place."""
+    return coefficients.groupBy(*at).agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("power"))
+
+
 def envelope_mle(df: DataFrame) -> DataFrame:
-    """corr / power where the mask is set and power is positive, else 1."""
-    return df.withColumn("envelope", F.when((F.col("mask") > 0) & (F.col("power") > 0), F.col("corr") / F.col("power")).otherwise(1.0))
+    """corr / power where the mask is set, else 1."""
+    return df.withColumn("envelope", F.when(F.col("mask") > 0, F.try_divide("corr", "power")).otherwise(1.0))
+
+
+def noise_mle(df: DataFrame, data_variance: Column | float) -> DataFrame:
+    """mask * sigma2 + (1 - mask) * the variance of the data."""
+    variance = F.lit(data_variance) if isinstance(data_variance, float) else data_variance
+    return df.withColumn("noise", F.col("mask") * F.col("sigma2") + (1 - F.col("mask")) * variance)
 
 
-def noise_mle(df: DataFrame, data_variance: float) -> DataFrame:
-    return df.withColumn("noise", F.col("mask") * F.col("sigma2") + (1 - F.col("mask")) * data_variance)
+def white(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, value): the mean over frequencies, for noise of one colour."""
+    return df.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def noise_map(df: DataFrame, prior: float, prior_variance: float, data_variance: float) -> DataFrame:
-    """The noise with `prior` observations of the prior variance added to n of the estimate."""
-    mle = F.col("mask") * F.col("sigma2") + (1 - F.col("mask")) * data_variance
-    return df.withColumn("noise", (F.col("n") * mle + prior * prior_variance) / (F.col("n") + prior))
+def noise_map(df: DataFrame, prior: float, base_variance: float, images: float) -> DataFrame:
+    """The noise estimate drawn to the base variance: it weighs as much as `prior` observations, the estimate
+    as often as a coefficient was inside the mask, mask times the number of images."""
+    weight = F.col("mask") * images
+    return df.withColumn("noise", (F.col("sigma2") * weight + prior * base_variance) / (weight + prior))
 
 
-def envelope_map(df: DataFrame, weight: float, low: float, high: float, prior: Column) -> DataFrame:
-    """The envelope drawn to its prior and held within bounds."""
-    raw = (F.when(F.col("mask") > 0, F.col("corr")).otherwise(0.0) + weight * prior) / (F.when(F.col("mask") > 0, F.col("power")).otherwise(0.0) + weight)
-    return df.withColumn("envelope", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))
+def envelope_map(df: DataFrame, prior: float, images: float, expected: Column | None = None, low: float | None = None, high: float | None = None, fixed: Column | None = None) -> DataFrame:
+    """The envelope drawn to the expected one (1 if none): observations weigh mask times the number of images
+    over the noise. Where `fixed` holds (low frequencies) it is 1; it is held within bounds."""
+    weight = F.col("mask") * images / F.col("noise")
+    expected = F.lit(1.0) if expected is None else expected
+    out = (F.col("corr") * weight + expected * prior) / (F.col("power") * weight + prior)
+    out = out if fixed is None else F.when(fixed, 1.0).otherwise(out)
+    out = out if low is None else F.greatest(out, F.lit(low))
+    return df.withColumn("envelope", out if high is None else F.least(out, F.lit(high)))

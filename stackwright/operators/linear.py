@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwright.functions import geometry
 from stackwright.functions.kernels import KERNELS, taps
-from stackwright.operators.grid import AXES
+from stackwright.operators.grid import AXES, numbered_inside, small
 
 
 def matvec(matrix: DataFrame, vector: DataFrame, transposed: bool = False, values: tuple[str, ...] = ("x",)) -> DataFrame:
@@ -30,11 +31,20 @@ def interpolation_taps(points: DataFrame, dims: int, n: int, kernel: str = "line
     return rows.withColumn("weight", weight).where("weight != 0").select(*keep, *AXES[:dims], "weight")
 
 
+def held(points: DataFrame, dims: int, n: int) -> DataFrame:
+    """The points that lie in the grid, its outermost cells included."""
+    ok = F.lit(True)
+    for k in range(dims):
+        ok = ok & F.col(f"p{k}").between(-(n // 2), n - n // 2 - 1)
+    return points.where(ok)
+
+
 def sample_at(cells: DataFrame, points: DataFrame, dims: int, n: int, kernel: str = "linear", size: int = 2, key: str | None = None, values: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Interpolated values at points, 0 outside the grid. With key, for each volume of a stack: the taps
-    are a property of the points, so they are computed once and joined to all volumes."""
+    """Interpolated values at points, taps beyond the grid left out; complex cells have two values. With key,
+    for each volume of a stack: the taps are a property of the points, so they are computed once and joined
+    to all volumes."""
     t = interpolation_taps(points, dims, n, kernel, size)
-    found = cells.join(F.broadcast(t), list(AXES[:dims]))
+    found = cells.join(small(t), list(AXES[:dims]))
     return found.groupBy(*([key] if key else []), "id").agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
 
 
@@ -44,14 +54,39 @@ def turned_points(points: DataFrame, rotations: DataFrame, dims: int = 3) -> Dat
     return rows.select("id", "op", *[sum((F.col(f"r{i}{j}") * F.col(f"p{j}") for j in range(1, dims)), F.col(f"r{i}0") * F.col("p0")).alias(f"p{i}") for i in range(dims)])
 
 
-def symmetrise(cells: DataFrame, grid_points: DataFrame, rotations: DataFrame, dims: int, n: int, key: str, kernel: str = "linear", size: int = 2, normalise: bool = True) -> DataFrame:
-    """Sum (mean if normalised) of a volume over the group's rotations: (key, id, v)."""
+def symmetrise(cells: DataFrame, grid_points: DataFrame, rotations: DataFrame, dims: int, n: int, key: str, kernel: str = "linear", size: int = 2, normalise: bool = True, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Sum (mean if normalised) of a volume over the group's rotations: (key, id, values). A point that a
+    rotation takes out of the grid gets nothing from that rotation. With two dimensions, volumes are turned
+    plane by plane about z, which the result has too."""
     order = rotations.count()
-    turned = turned_points(grid_points, rotations, dims)
+    turned = held(turned_points(grid_points, rotations, dims), dims, n)
     t = interpolation_taps(turned, dims, n, kernel, size, ["id"])
     # taps of all rotations on one cell are added before they meet the volumes
     t = t.groupBy("id", *AXES[:dims]).agg((F.sum("weight") / (order if normalise else 1)).alias("weight"))
-    return cells.join(F.broadcast(t), list(AXES[:dims])).groupBy(key, "id").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
+    planes = ["z"] if dims == 2 and "z" in cells.columns else []
+    return cells.join(small(t), list(AXES[:dims])).groupBy(key, "id", *planes).agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
+
+
+def projection_matrix(spark: SparkSession, directions: DataFrame, n: int, rad: float, kernel: str = "linear", size: int = 2) -> DataFrame:
+    """(id, row, x, y, z, weight): for each direction (id, dx, dy, dz) the weights of a volume's coefficients in
+    each coefficient of its central slice inside the radius."""
+    m = geometry.from_direction(F.col("dx"), F.col("dy"), F.col("dz"))
+    return _slices(spark, directions, m, 3, n, n, rad, kernel, size)
+
+
+def inplane_matrix(spark: SparkSession, angles: DataFrame, n: int, rad: float, kernel: str = "linear", size: int = 2, n_source: int | None = None) -> DataFrame:
+    """(id, row, x, y, weight): the same for in-plane turns (id, theta) of an image, whose source may be padded
+    to n_source."""
+    scale = (n_source or n) / n
+    m = [[c * scale for c in row] for row in geometry.plane_turn(F.col("theta"))]
+    return _slices(spark, angles, m, 2, n, n_source or n, rad, kernel, size)
+
+
+def _slices(spark: SparkSession, turns: DataFrame, m: geometry.Matrix, dims: int, n: int, n_source: int, rad: float, kernel: str, size: int) -> DataFrame:
+    cells = numbered_inside(spark, n, 2, rad).select(F.col("at").alias("row"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    points = turns.crossJoin(small(cells, n * n)).select("id", "row", *[(m[k][0] * F.col("gx") + m[k][1] * F.col("gy")).alias(f"p{k}") for k in range(dims)])
+    t = interpolation_taps(points, dims, n_source, kernel, size, ["id", "row"])
+    return t.withColumn("weight", F.col("weight") * projection_scale(n_source, n, dims, 2))
 
 
 def projection_scale(n_source: int, n_target: int, source_dims: int, target_dims: int, symmetry: int = 1) -> float:
@@ -77,10 +112,14 @@ def cells_from_corners(layout: DataFrame, dims: int, n: int) -> DataFrame:
     return rows.select("id", *[c.alias(a) for a, c in moved.items()], "v").groupBy("id", *AXES[:dims]).agg(F.sum("v").alias("v"))
 
 
-def rotate_volume(cells: DataFrame, grid_points: DataFrame, rotation: list[list[float]], n: int, key: str) -> DataFrame:
-    """(key, id, v): volumes turned by a matrix, trilinear, 0 outside."""
-    turned = grid_points.select("id", *[sum((F.lit(rotation[i][j]) * F.col(f"p{j}") for j in (1, 2)), F.lit(rotation[i][0]) * F.col("p0")).alias(f"p{i}") for i in range(3)])
-    return sample_at(cells, turned, 3, n, key=key)
+def rotate_volume(cells: DataFrame, grid_points: DataFrame, rotation: list[list[float]], n: int, key: str, shift: tuple[float, float, float] = (0.0, 0.0, 0.0), upsampling: float = 1.0) -> DataFrame:
+    """(key, id, v): volumes turned by a matrix about a shifted centre, trilinear, 0 outside. Grid points are
+    those of the result, whose cells are 1 / upsampling wide."""
+    p = [F.col(f"p{j}") / upsampling for j in range(3)]
+    turned = grid_points.select("id", *[(sum((F.lit(rotation[i][j]) * p[j] for j in (1, 2)), F.lit(rotation[i][0]) * p[0]) + shift[i]).alias(f"p{i}") for i in range(3)])
+    keys = cells.select(key).distinct()
+    found = sample_at(cells, held(turned, 3, n), 3, n, key=key)
+    return keys.crossJoin(small(turned.select("id"))).join(found, [key, "id"], "left").select(key, "id", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def hermitian_part(cells: DataFrame, dims: int, n: int) -> DataFrame:
@@ -91,13 +130,23 @@ def hermitian_part(cells: DataFrame, dims: int, n: int) -> DataFrame:
     return both.groupBy("id", *AXES[:dims]).agg((F.sum("re") / 2).alias("re"), (F.sum("im") / 2).alias("im"))
 
 
-def separable_window(dims: int, n: int, kind: str) -> Column:
-    """Window of a volume: a product of tapers, a circle, or a box that zeroes the outer planes."""
+def hermitian_residual(cells: DataFrame, dims: int, n: int) -> DataFrame:
+    """(id, residual): the norm of what hermitian_part takes away."""
+    part = hermitian_part(cells, dims, n).withColumnsRenamed({"re": "_re", "im": "_im"})
+    rows = cells.join(part, ["id", *AXES[:dims]])
+    return rows.groupBy("id").agg(F.sqrt(F.sum((F.col("re") - F.col("_re")) ** 2 + (F.col("im") - F.col("_im")) ** 2)).alias("residual"))
+
+
+def separable_window(dims: int, n: int, kind: str, radius: float | None = None) -> Column:
+    """Window of a volume: a product of tapers, a circle (of radius * n / 2, n / 2 - 1 by default), or a box
+    that zeroes the three lines along the axes through the grid's first cell."""
     axes = [F.col(AXES[k]) for k in range(dims)]
     if kind == "circle":
-        return F.when(sum((a * a for a in axes[1:]), axes[0] * axes[0]) < (n / 2 - 1) ** 2, 1.0).otherwise(0.0)
+        edge = n // 2 - 1 if radius is None else radius * (n // 2)
+        return F.when(sum((a * a for a in axes[1:]), axes[0] * axes[0]) < edge**2, 1.0).otherwise(0.0)
     if kind == "box":
-        return F.when(F.greatest(*[F.abs(a + 0.5) for a in axes]) < (n - 1) / 2, 1.0).otherwise(0.0)
+        first = [(a == -(n // 2)).cast("int") for a in axes]
+        return F.when(sum(first[1:], first[0]) >= dims - 1, 0.0).otherwise(1.0)
     a, b = {"hanning": (0.5, 0.5), "hamming": (0.54, 0.46)}[kind]
     out = F.lit(1.0)
     for axis in axes:

@@ -33,9 +33,11 @@ def gaussian(sigma: float) -> Prior:
 
 
 def sparsity(rate: float, positive: bool = False) -> Prior:
+    """Exponential of the size (of the value itself if it is taken to be positive), with its normaliser."""
+    log_rate = math.log(rate) if rate > 0 else 0.0
     if positive:
-        return Prior(lambda v: rate * v, lambda v: F.lit(rate))
-    return Prior(lambda v: rate * F.abs(v), lambda v: rate * F.signum(v))
+        return Prior(lambda v: rate * v - log_rate, lambda v: F.lit(rate))
+    return Prior(lambda v: rate * F.abs(v) - log_rate, lambda v: rate * F.signum(v))
 
 
 def negative(power: int, penalty: float, scale: float, n: int) -> Prior:
@@ -44,29 +46,28 @@ def negative(power: int, penalty: float, scale: float, n: int) -> Prior:
     return Prior(lambda v: F.when(v < 0, factor * F.pow(v, F.lit(float(power)))).otherwise(0.0), lambda v: F.when(v < 0, factor * power * F.pow(v, F.lit(float(power - 1)))).otherwise(0.0))
 
 
-def exponential_gaussian(share: float, rate: float, sigma: float) -> Prior:
-    """Mixture of an exponential over v >= 0 and a Gaussian about 0."""
+def _mixture(v: Column, share: float, gamma: float, mu: float, sigma: float) -> tuple[Column, Column]:
+    e = math.log(share) - math.log(2 * gamma) - v / gamma
+    return e, math.log(1 - share) - 0.5 * math.log(2 * math.pi * sigma**2) - 0.5 * (v - mu) ** 2 / sigma**2
 
-    def parts(v: Column) -> tuple[Column, Column]:
-        e = F.when(v >= 0, math.log(share) + math.log(rate) - rate * v).otherwise(F.lit(float("-inf")))
-        g = math.log(1 - share) - 0.5 * v * v / sigma**2 - math.log(sigma) - 0.5 * math.log(2 * math.pi)
-        return e, g
+
+def exponential_gaussian(share: float, gamma: float, mu: float, sigma: float) -> Prior:
+    """Mixture of 1 / (2 gamma) * exp(-v / gamma), over all values, and a Gaussian about mu."""
 
     def grad(v: Column) -> Column:
-        e, g = parts(v)
+        e, g = _mixture(v, share, gamma, mu, sigma)
         both = log_add_exp(e, g)
-        return rate * F.exp(e - both) + v / sigma**2 * F.exp(g - both)
+        return F.exp(e - both) / gamma + (v - mu) / sigma**2 * F.exp(g - both)
 
-    return Prior(lambda v: -log_add_exp(*parts(v)), grad)
+    return Prior(lambda v: -log_add_exp(*_mixture(v, share, gamma, mu, sigma)), grad)
 
 
-def mixture_sigma(cells: DataFrame, share: float, rate: float, sigma: float) -> DataFrame:
+def mixture_sigma(cells: DataFrame, share: float, gamma: float, mu: float, sigma: float) -> DataFrame:
     """One EM step for the Gaussian's width: (sigma)."""
     v = F.col("v")
-    e = F.when(v >= 0, share * rate * F.exp(-rate * v)).otherwise(0.0)
-    g = (1 - share) / (sigma * math.sqrt(2 * math.pi)) * F.exp(-0.5 * v * v / sigma**2)
-    r = g / (e + g)
-    return cells.agg(F.sqrt(F.try_divide(F.sum(r * v * v), F.sum(r))).alias("sigma"))
+    e, g = _mixture(v, share, gamma, mu, sigma)
+    r = F.exp(g - log_add_exp(e, g))
+    return cells.agg(F.sqrt(F.try_divide(F.sum(r * (v - mu) ** 2), F.sum(r))).alias("sigma"))
 
 
 def sparsity_rate(cells: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -87,17 +88,31 @@ def centre_gradient(cells: DataFrame, weight: float, key: str = "id") -> DataFra
     return rows.withColumn("g", weight * sum((F.col(f"m{a}") * (F.col(a) - F.col(f"m{a}")) for a in "xyz"), F.lit(0.0)) / F.col("w"))
 
 
-def neighbour_prior(cells: DataFrame, n: int, sigma: float, width: float = 1.0, key: str = "id") -> DataFrame:
-    """(key, loss): each cell is predicted by the Gaussian-weighted mean of its 26 neighbours that lie in
-    the grid; the loss is the squared error over 2 sigma^2. Cells meet by an equi-join on moved coordinates."""
-    moves = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(math.exp(-(a * a + b * b + c * c) / (2 * width**2))).alias("w")) for a, b, c in moves]))
-    sent = cells.withColumn("o", offsets).select(key, (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), (F.col("z") + F.col("o.c")).alias("z"), (F.col("o.w") * F.col("v")).alias("wv"), F.col("o.w").alias("w"))
+def neighbour_errors(cells: DataFrame, n: int, width: float, key: str = "id") -> DataFrame:
+    """Adds err: the value less its prediction, the Gaussian-weighted sum of the neighbours within three
+    widths (rounded, half up). The kernel, without its centre, sums to 1; neighbours beyond the grid count as
+    0. Cells meet by an equi-join on moved coordinates."""
+    r = math.floor(3 * width + 0.5)
+    span = range(-r, r + 1)
+    kernel = {(a, b, c): math.exp(-(a * a + b * b + c * c) / (2 * width**2)) for a in span for b in span for c in span if (a, b, c) != (0, 0, 0)}
+    whole = sum(kernel.values())
+    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(w / whole).alias("w")) for (a, b, c), w in kernel.items()]))
+    sent = cells.withColumn("o", offsets).select(key, (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), (F.col("z") + F.col("o.c")).alias("z"), (F.col("o.w") * F.col("v")).alias("wv"))
     low, high = -(n // 2), n - n // 2 - 1
     sent = sent.where(F.col("x").between(low, high) & F.col("y").between(low, high) & F.col("z").between(low, high))
-    predicted = sent.groupBy(key, "x", "y", "z").agg((F.sum("wv") / F.sum("w")).alias("p"))
-    rows = cells.join(predicted, [key, "x", "y", "z"])
-    return rows.groupBy(key).agg(F.sum((F.col("v") - F.col("p")) ** 2 / (2 * sigma**2)).alias("loss"))
+    predicted = sent.groupBy(key, "x", "y", "z").agg(F.sum("wv").alias("_p"))
+    return cells.join(predicted, [key, "x", "y", "z"], "left").withColumn("err", F.col("v") - F.coalesce("_p", F.lit(0.0))).drop("_p")
+
+
+def neighbour_prior(cells: DataFrame, n: int, tau: float, width: float = 1.0, key: str = "id") -> DataFrame:
+    """(key, loss): half the sum of value times error, over tau^2."""
+    rows = neighbour_errors(cells, n, width, key)
+    return rows.groupBy(key).agg((0.5 * F.sum(F.col("v") * F.col("err")) / tau**2).alias("loss"))
+
+
+def neighbour_gradient(cells: DataFrame, n: int, tau: float, width: float = 1.0, key: str = "id") -> DataFrame:
+    """Derivative by each cell: the error over tau^2, as the kernel is symmetric."""
+    return neighbour_errors(cells, n, width, key).withColumn("g", F.col("err") / tau**2).drop("err")
 
 
 def null_prior() -> Prior:

@@ -56,20 +56,47 @@ def common_union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def union_optics(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """UNION ALL of optics (ctf_id, ...) and images (image_id, ctf_id, ...) of several stacks, both ids
+    re-based; columns that a stack lacks are null. Equal optics of different stacks stay apart."""
+    optics, images, ctfs, rows = None, None, 0, 0
+    for ctf, image in parts:
+        ctf_part = ctf.withColumn("ctf_id", F.col("ctf_id") + ctfs)
+        image_part = image.withColumns({"image_id": F.col("image_id") + rows, "ctf_id": F.col("ctf_id") + ctfs})
+        optics = ctf_part if optics is None else optics.unionByName(ctf_part, allowMissingColumns=True)
+        images = image_part if images is None else images.unionByName(image_part, allowMissingColumns=True)
+        ctfs, rows = ctfs + ctf.count(), rows + image.count()
+    return optics, images
+
+
 def squared_distances(a: DataFrame, b: DataFrame, dims: int) -> DataFrame:
     """All pairs of two point sets (id, p0..): a product by definition, for quadrature domains of some
-    thousand points; the smaller side is broadcast after a look at its size."""
+    thousand points. The second side is broadcast after a look at its size; a larger one meets the first in
+    blocks of both."""
     right = b.select(F.col("id").alias("id2"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(dims)])
-    if b.count() > DIMENSION_ROWS:
-        raise ValueError(f"a domain of more than {DIMENSION_ROWS} points; use near_pairs")
     d2 = sum(((F.col(f"p{k}") - F.col(f"q{k}")) ** 2 for k in range(dims)), F.lit(0.0))
-    return a.crossJoin(F.broadcast(right)).withColumn("d2", d2)
+    return a.crossJoin(F.broadcast(right) if b.count() <= DIMENSION_ROWS else right).withColumn("d2", d2)
 
 
 def nearest_spacing(points: DataFrame, dims: int, alone: float) -> DataFrame:
-    """(id, spacing): distance to the nearest other point; `alone` where there is none."""
-    pairs = squared_distances(points, points, dims)
-    return pairs.groupBy("id").agg(F.coalesce(F.sqrt(F.min(F.when(F.col("id") != F.col("id2"), F.col("d2")))), F.lit(alone)).alias("spacing"))
+    """(id, spacing): distance to the nearest other point; `alone` where there is none. Points look around
+    themselves in cells that double in width until each has found one: a neighbour within the width is the
+    nearest, so most points meet a few others only."""
+    box = points.agg(F.count(F.lit(1)), *[F.max(f"p{k}") - F.min(f"p{k}") for k in range(dims)]).first()
+    n, sides = box[0], [s or 0.0 for s in box[1:]]
+    reach = math.sqrt(sum(s * s for s in sides))
+    radius, left, out = max(reach / max(n, 1) ** (1 / dims), reach * 1e-6, 1e-12), points, None
+    while n > 1:
+        pairs = near_pairs(left, points, dims, radius).where("id != id2")
+        found = pairs.groupBy("id").agg(F.sqrt(F.min("d2")).alias("spacing"))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found, "id", "left_anti").persist()
+        if radius >= reach or left.isEmpty():
+            break
+        radius *= 2
+    if out is None:
+        return points.select("id", F.lit(float(alone)).alias("spacing"))
+    return points.select("id").join(out, "id", "left").select("id", F.coalesce("spacing", F.lit(float(alone))).alias("spacing"))
 
 
 def near_pairs(a: DataFrame, b: DataFrame, dims: int, radius: float) -> DataFrame:
@@ -87,13 +114,35 @@ def fisher_kappa(resolution: float, dims: int, scale: float = 1.0) -> float:
     return math.log(2**dims * scale) / (1 - math.cos(resolution))
 
 
-def fisher_density(points: DataFrame, samples: DataFrame, kappa: float, both_hands: bool = False) -> DataFrame:
+def fisher_density(points: DataFrame, samples: DataFrame, kappa: float, both_hands: bool = False, images: list[list[list[float]]] | None = None, log: bool = False) -> DataFrame:
     """(id, p) over directions (id, p0, p1, p2): each sample (id, p0.., w) spreads with the Fisher kernel
-    exp(kappa * (cos - 1)); with both_hands the opposite direction counts as the same."""
+    exp(kappa * (cos - 1)); with both_hands the opposite direction counts as the same, and with images
+    (rotations of a symmetry group) the nearest of a sample's images. log: (id, logp), added in log space."""
     right = samples.select(F.col("w"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(3)])
-    cos = sum((F.col(f"p{k}") * F.col(f"q{k}") for k in range(1, 3)), F.col("p0") * F.col("q0"))
-    cos = F.greatest(cos, -cos) if both_hands else cos
-    sums = points.crossJoin(F.broadcast(right)).groupBy("id").agg(F.sum(F.col("w") * F.exp(kappa * (cos - 1))).alias("s"))
+    cosines = []
+    for r in images or [[[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]]:
+        cosines.append(sum((F.col(f"p{i}") * sum((float(r[i][j]) * F.col(f"q{j}") for j in range(3)), F.lit(0.0)) for i in range(3)), F.lit(0.0)))
+    cosines += [-c for c in cosines] if both_hands else []
+    cos = F.greatest(*cosines) if len(cosines) > 1 else cosines[0]
+    both = points.crossJoin(F.broadcast(right) if samples.count() <= DIMENSION_ROWS else right)
+    if log:
+        rows = both.where("w > 0").select("id", (F.ln("w") + kappa * (cos - 1)).alias("e"))
+        raw = log_sum_exp(rows, "e", ["id"], out="l")
+        return raw.crossJoin(F.broadcast(log_sum_exp(raw, "l", [], out="_all"))).select("id", (F.col("l") - F.col("_all")).alias("logp"))
+    sums = both.groupBy("id").agg(F.sum(F.col("w") * F.exp(kappa * (cos - 1))).alias("s"))
+    return sums.crossJoin(F.broadcast(sums.agg(F.sum("s").alias("_all")))).select("id", (F.col("s") / F.col("_all")).alias("p"))
+
+
+def fisher_density_near(points: DataFrame, samples: DataFrame, kappa: float, eps: float = 1e-14, both_hands: bool = False) -> DataFrame:
+    """(id, p): the same with the kernel cut off where it falls below eps, so that directions meet only those
+    around them; sums are eps at least. With both_hands each sample has its opposite beside it."""
+    all_samples = samples
+    if both_hands:
+        all_samples = samples.unionByName(samples.select("id", *[(-F.col(f"p{k}")).alias(f"p{k}") for k in range(3)], "w"))
+    numbered = all_samples.select(F.struct("id", "w").alias("id"), "p0", "p1", "p2")
+    pairs = near_pairs(points, numbered, 3, math.sqrt(-2 / kappa * math.log(eps)))
+    sums = pairs.groupBy("id").agg(F.sum(F.col("id2.w") * F.exp(-kappa / 2 * F.col("d2"))).alias("s"))
+    sums = points.select("id").join(sums, "id", "left").select("id", F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(eps)).alias("s"))
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("s").alias("_all")))).select("id", (F.col("s") / F.col("_all")).alias("p"))
 
 
@@ -101,7 +150,8 @@ def gaussian_density(points: DataFrame, samples: DataFrame, dims: int, scale: fl
     """(id, logp) over points: each sample (id, p0.., w) spreads with a Gaussian whose width is the scale
     times the spacing at the sample. In log space."""
     spacing = nearest_spacing(samples.drop("w"), dims, 1.0).withColumnRenamed("id", "id2")
-    pairs = squared_distances(points, samples.drop("w"), dims).join(F.broadcast(spacing), "id2").join(F.broadcast(samples.select(F.col("id").alias("id2"), "w")), "id2")
+    wide = spacing.join(samples.select(F.col("id").alias("id2"), "w"), "id2")
+    pairs = squared_distances(points, samples.drop("w"), dims).join(F.broadcast(wide) if samples.count() <= DIMENSION_ROWS else wide, "id2")
     pairs = pairs.where("w > 0").withColumn("e", F.ln("w") - F.col("d2") / (2 * (scale * F.col("spacing")) ** 2))
     raw = log_sum_exp(pairs, "e", ["id"], out="l")
     total = log_sum_exp(raw, "l", [], out="_t")

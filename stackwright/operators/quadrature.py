@@ -114,13 +114,14 @@ def symmetry_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def in_asymmetric_unit(name: str, x: Column, y: Column, z: Column, eps: float = 1e-8) -> Column:
-    """True for the directions of one unit: azimuth within half a turn's share, upper half for Dn; C1 has
-    no limit."""
+    """True for the directions of one unit: azimuth within half a turn's share, both edges included, upper
+    half for Dn; C1 has no limit."""
     kind, n = parse_symmetry(name)
     azimuth = F.atan2(y, x)
     half = math.pi / n
-    wedge = F.lit(True) if n == 1 else (azimuth >= -half + eps) & (azimuth < half + eps)
-    return wedge & (z >= -eps) if kind == "d" else wedge
+    wedge = F.lit(True) if n == 1 else azimuth.between(-half - eps, half + eps)
+    length = F.sqrt(x * x + y * y + z * z)
+    return wedge & (F.acos(z / length) <= math.pi / 2 + eps) if kind == "d" else wedge
 
 
 def asymmetric_points(points: DataFrame, name: str) -> DataFrame:
@@ -130,6 +131,31 @@ def asymmetric_points(points: DataFrame, name: str) -> DataFrame:
     return part.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("weight") * F.col("_all") / F.sum("weight").over(W.partitionBy())).drop("_all")
 
 
+def asymmetric_labels(points: np.ndarray, name: str, resolution: float) -> np.ndarray:
+    """1 for points kept as the asymmetric unit, -1 for those that a rotation of the group brings within the
+    resolution of a kept one. Points are taken in turn, always the one nearest to those kept so far. For
+    domains of some thousand points, on the driver."""
+    turns, near = symmetry_rotations(name)[1:], math.cos(resolution)
+    labels = np.zeros(len(points), np.int64)
+    closeness = np.full(len(points), -np.inf)
+    at = 0
+    for _ in range(len(points)):
+        kept = points[labels == 1]
+        seen = len(kept) and any((kept @ (r @ points[at]) >= near).any() for r in turns)
+        labels[at] = -1 if seen else 1
+        if not seen:
+            closeness = np.maximum(closeness, points @ points[at])
+        at = int(np.where(labels == 0, closeness, -np.inf).argmax())
+    return labels
+
+
+def symmetry_columns(name: Column) -> tuple[Column, Column]:
+    """parse_symmetry as columns: class letter and order; an empty name is C1, others that don't parse null."""
+    text = F.when(F.trim(name) == "", "c1").otherwise(F.lower(F.trim(name)))
+    ok = F.regexp_like(text, F.lit("^[cd]0*[1-9][0-9]*$"))
+    return F.when(ok, F.substring(text, 1, 1)), F.when(ok, F.regexp_extract(text, "([0-9]+)$", 1).cast("int"))
+
+
 def domain_version(points: list) -> str:
     """A content hash: domains with equal points have equal operators."""
     return hashlib.sha256(repr(points).encode()).hexdigest()[:16]

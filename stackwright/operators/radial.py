@@ -37,11 +37,11 @@ def radial_average_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expand_profile(profile: DataFrame, cells: DataFrame, key: str, dims: int) -> DataFrame:
     """A radial profile (key, bin, mean) laid back on the grid, linear between bins, the last bin beyond."""
     r = F.sqrt(radius2(dims).cast("double"))
-    last = profile.groupBy(key).agg(F.max("bin").alias("top"))
-    at = cells.join(last, key).withColumn("lo", F.least(F.floor(r).cast("int"), F.col("top")))
-    at = at.withColumns({"hi": F.least(F.col("lo") + 1, F.col("top")), "f": r - F.floor(r)})
-    a, b = (profile.select(key, F.col("bin").alias(c), F.col("mean").alias(f"m_{c}")) for c in ("lo", "hi"))
-    return at.join(a, [key, "lo"]).join(b, [key, "hi"]).withColumn("v", (1 - F.col("f")) * F.col("m_lo") + F.col("f") * F.col("m_hi"))
+    # a profile is one short array per image, so cells need one join and no look-up by bin
+    line = profile.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mean"))), lambda s: s["mean"]).alias("_line"))
+    at = cells.join(line, key).withColumn("_lo", F.least(F.floor(r).cast("int"), F.size("_line") - 1))
+    f, high = r - F.floor(r), F.least(F.col("_lo") + 1, F.size("_line") - 1)
+    return at.withColumn("v", (1 - f) * F.get("_line", F.col("_lo")) + f * F.get("_line", high)).drop("_line", "_lo")
 
 
 def shell_correlation(pairs: DataFrame, key: str, dims: int, shells: int) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stackwright.operators.grid import radius2
+from stackwright.operators.pairs import look_up
+from stackwright.operators.sequence import order_statistics
 
 #: Scales a median absolute deviation to a standard deviation of a normal distribution (fixed value).
 MAD_TO_STD = 1.4826
@@ -16,9 +20,42 @@ def mean_std(df: DataFrame, value: str, keys: list[str], kind: str = "robust") -
     """(keys, mean, std): median and scaled MAD, or mean and population standard deviation."""
     if kind == "mle":
         return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    middle = df.groupBy(*keys).agg(F.median(value).alias("mean"))
-    rows = df.join(middle, keys) if keys else df.crossJoin(F.broadcast(middle))
-    return rows.groupBy(*keys, "mean").agg((MAD_TO_STD * F.median(F.abs(F.col(value) - F.col("mean")))).alias("std"))
+    middle = median(df, value, keys, "mean")
+    rows = df.select(*keys, value)
+    rows = rows.join(middle, keys) if keys else rows.crossJoin(F.broadcast(middle))
+    off = rows.select(*keys, "mean", F.abs(F.col(value) - F.col("mean")).alias("off"))
+    return median(off, "off", [*keys, "mean"], "std").withColumn("std", MAD_TO_STD * F.col("std"))
+
+
+def median(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
+    """(keys, out): the exact median, by a distributed sort."""
+    return order_statistics(df, value, keys, [0.5]).select(*keys, F.col("quantile").alias(out))
+
+
+def dc_observations(means: DataFrame, responses: DataFrame, key: str, n: int) -> DataFrame:
+    """(dc): each image's mean (key, mean) times sqrt(n), over its optics' response at frequency 0 (key, dc),
+    which is computed once for each optics and looked up."""
+    return look_up(means, responses, key).select((F.col("mean") * math.sqrt(n) / F.col("dc")).alias("dc"))
+
+
+def dc_estimate(observations: DataFrame, kind: str = "robust") -> DataFrame:
+    """(mean, std, error) of the observations: one row, which a run keeps for later."""
+    return mean_std(observations, "dc", [], kind).crossJoin(observations.agg(F.count(F.lit(1)).alias("n"))).withColumn("error", F.col("std") / F.sqrt("n")).drop("n")
+
+
+def scale_images(cells: DataFrame, factor: float) -> DataFrame:
+    return cells.withColumn("v", F.col("v") * factor)
+
+
+def clamp(cells: DataFrame, low: float, high: float, scale: float = 1.0) -> DataFrame:
+    """Values held within bounds that are given in units of the scale."""
+    return cells.withColumn("v", F.least(F.greatest("v", F.lit(low * scale)), F.lit(high * scale)))
+
+
+def to_mass(cells: DataFrame, keys: list[str], mass: float = 1.0) -> DataFrame:
+    """Negative values become 0, and each volume's sum the mass."""
+    rows = cells.withColumn("v", F.greatest("v", F.lit(0.0)))
+    return rows.withColumn("v", F.try_divide(F.col("v") * mass, F.sum("v").over(W.partitionBy(*keys))))
 
 
 def corners(n: int, rad: float) -> Column:
@@ -50,8 +87,8 @@ def noise_variance(cells: DataFrame, n: int, kind: str = "robust", centred: bool
         return rows.agg(out.alias("variance"))
     if centred:
         return mean_std(rows, "v", []).select((F.col("std") * F.col("std")).alias("variance"))
-    scale = MAD_TO_STD * F.median(F.abs("v"))
-    return rows.agg((scale * scale).alias("variance"))
+    scale = MAD_TO_STD * F.col("off")
+    return median(rows.select(F.abs("v").alias("off")), "off", [], "off").select((scale * scale).alias("variance"))
 
 
 def snr(data: DataFrame, noise: DataFrame) -> DataFrame:
@@ -77,10 +114,10 @@ def density_stats(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, parts: int = 100) -> DataFrame:
-    """Exact quantiles of the finite values in one aggregation: (percent, quantile)."""
+    """Exact quantiles of the finite values: (percent, quantile)."""
     finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    levels = F.array(*[F.lit(i / parts) for i in range(parts + 1)])
-    return finite.agg(F.percentile(value, levels).alias("q")).select(F.posexplode("q").alias("percent", "quantile"))
+    found = order_statistics(finite, value, [], [i / parts for i in range(parts + 1)])
+    return found.select(F.round(F.col("level") * parts).cast("int").alias("percent"), "quantile")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -89,16 +126,31 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.where(F.col(value).between(low, high)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def moments(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre of mass and covariance weighted by the square of the value, in one pass over sums."""
+def moments(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Centre of mass and covariance weighted by the square of the value, in one pass over sums. The
+    covariance is over n**3, the number of cells of a volume."""
     w = F.col("v") * F.col("v")
     axes = "xyz"
     sums = cells.groupBy(*keys).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(a) for a in axes], *[F.sum(w * F.col(a) * F.col(b)).alias(a + b) for i, a in enumerate(axes) for b in axes[i:]])
     mean = {f"m{a}": F.try_divide(F.col(a), F.col("w")) for a in axes}
-    cov = {f"c{a}{b}": F.try_divide(F.col(a + b), F.col("w")) - mean[f"m{a}"] * mean[f"m{b}"] for i, a in enumerate(axes) for b in axes[i:]}
+    cov = {f"c{a}{b}": (F.try_divide(F.col(a + b), F.col("w")) - mean[f"m{a}"] * mean[f"m{b}"]) / n**3 for i, a in enumerate(axes) for b in axes[i:]}
     return sums.select(*keys, *[c.alias(k) for k, c in (mean | cov).items()])
 
 
+def update_norms(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, step_size, grad_size, norm_density, inc_ratio) of cells with the value before, after and the
+    gradient."""
+    norms = cells.groupBy(*keys).agg(F.sqrt(F.sum((F.col("after") - F.col("before")) ** 2)).alias("step_size"), F.sqrt(F.sum(F.col("gradient") ** 2)).alias("grad_size"), F.sqrt(F.sum(F.col("after") ** 2)).alias("norm_density"))
+    return norms.withColumn("inc_ratio", F.try_divide("step_size", "norm_density"))
+
+
+def batch_info(results: DataFrame, keys: list[str], noise_variance: float) -> DataFrame:
+    """(keys, n, like, rmse, signal, ess, speedup) of images' results: nll, error and signal power, effective
+    size, and the share of the domain that was sampled. In one aggregation."""
+    n, noise = F.count(F.lit(1)), math.sqrt(noise_variance)
+    return results.groupBy(*keys).agg(n.alias("n"), F.avg("nll").alias("like"), (F.sqrt(F.avg("error")) / noise).alias("rmse"), (F.sqrt(F.avg("signal")) / noise).alias("signal"), F.avg("ess").alias("ess"), F.try_divide(n, F.sum("sampled")).alias("speedup"))
+
+
 def principal_axes(covariance: list[list[float]]):
     """Eigenvectors of a 3 x 3 covariance as columns, by rising eigenvalue, turned to a right hand."""
     import numpy as np

@@ -11,10 +11,24 @@ from pyspark.sql import Window as W
 
 def runs(df: DataFrame, order: list[str], same: list[str], keys: list[str] | None = None, out: str = "run_id") -> DataFrame:
     """Number the runs of rows with equal values: a value that comes back later starts a new run. Without
-    keys the order is global and one task numbers all rows; pass keys where the data has them."""
-    w = W.partitionBy(*keys or []).orderBy(*order)
-    changed = (~F.struct(*same).eqNullSafe(F.lag(F.struct(*same)).over(w))).cast("int")
-    return df.withColumn("_c", changed).withColumn(out, F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_c")
+    keys the order is global: rows are range-partitioned, numbered in each part, and a table of one row per
+    part carries the numbers over its edges."""
+    if keys:
+        w = W.partitionBy(*keys).orderBy(*order)
+        changed = (~F.struct(*same).eqNullSafe(F.lag(F.struct(*same)).over(w))).cast("int")
+        return df.withColumn("_c", changed).withColumn(out, F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_c")
+    placed = numbered(df, order, "_at", part="_part")
+    w = W.partitionBy("_part").orderBy("_at")
+    before = F.lag(F.struct(F.struct(*same).alias("s"))).over(w)  # null in the first row alone
+    local = placed.withColumn("_c", F.when(before.isNull(), 0).otherwise((~F.struct(*same).eqNullSafe(before["s"])).cast("int")))
+    local = local.withColumn("_run", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = placed.groupBy("_part").agg(F.min_by(F.struct(*same), "_at").alias("first"), F.max_by(F.struct(*same), "_at").alias("last"))
+    ends = ends.join(local.groupBy("_part").agg(F.max("_run").alias("inner")), "_part")
+    line = W.orderBy("_part")  # one row per part
+    previous = F.lag(F.struct(F.col("last").alias("s"))).over(line)
+    ends = ends.withColumn("edge", F.when(previous.isNull(), 0).otherwise((~F.col("first").eqNullSafe(previous["s"])).cast("int")))
+    base = F.sum(F.col("edge") + F.col("inner")).over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("inner")
+    return local.join(F.broadcast(ends.select("_part", base.alias("_base"))), "_part").withColumn(out, F.col("_run") + F.col("_base")).drop("_c", "_run", "_base", "_part", "_at")
 
 
 def moving_average(df: DataFrame, value: str, size: int, keys: list[str], order: list[str], out: str = "smooth") -> DataFrame:
@@ -36,27 +50,34 @@ def taper(size: int, kind: str) -> list[float]:
 
 
 def smooth(df: DataFrame, value: str, size: int, keys: list[str], order: list[str], kind: str = "hanning", boundary: str = "reflect", out: str = "smooth") -> DataFrame:
-    """Centred weighted mean over an odd window. Beyond the ends the series is mirrored (reflect), goes on
-    with its last value (extend) or is 0 (zeros)."""
+    """Centred weighted mean. Beyond the ends the series is turned about its end values (reflect: k places
+    before the start stands 2 * first - the value k + 1 places after it, k places past the end 2 * last - the
+    value k - 1 places before it), goes on with its end values (extend), or is 0 before and 1 after it (zeros).
+    Windows of less than three rows change nothing."""
+    if size < 3:
+        return df.withColumn(out, F.col(value).cast("double"))
     half, weights = size // 2, taper(size, kind)
     total = sum(weights)
     w = W.partitionBy(*keys).orderBy(*order)
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    df = df.withColumns({"_n": n, "_i": F.row_number().over(w)})
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    df = df.withColumns({"_n": F.count(F.lit(1)).over(W.partitionBy(*keys)), "_i": F.row_number().over(w) - 1, "_first": F.first(value).over(whole), "_last": F.last(value).over(whole)})
     # only rows within half a window of an end need mirrored values
     near = F.collect_list(value).over(w.rowsBetween(-2 * half, 2 * half))
-    begin = F.greatest(F.col("_i") - 2 * half, F.lit(1))
-    df = df.withColumns({"_near": near, "_b": begin})
+    df = df.withColumns({"_near": near, "_b": F.greatest(F.col("_i") - 2 * half, F.lit(0))})
+
+    def held(at: Column) -> Column:
+        return F.get("_near", (F.least(F.greatest(at, F.lit(0)), F.col("_n") - 1) - F.col("_b")).cast("int"))
+
     acc = F.lit(0.0)
-    for k, weight in zip(range(-half, half + 1), weights, strict=True):
-        at = F.col("_i") + k
-        if boundary == "reflect":
-            at = F.when(at < 1, 2 - at).when(at > F.col("_n"), 2 * F.col("_n") - at).otherwise(at)
-        v = F.get("_near", (F.least(F.greatest(at, F.lit(1)), F.col("_n")) - F.col("_b")).cast("int"))
-        if boundary == "zeros":
-            v = F.when((at < 1) | (at > F.col("_n")), F.lit(0.0)).otherwise(v)
-        acc = acc + weight * v
-    return df.withColumn(out, acc / total).drop("_n", "_i", "_near", "_b")
+    for k, weight in enumerate(weights):
+        at = F.col("_i") + ((size - 1) // 2 - k)
+        ends = {
+            "reflect": (2 * F.col("_first") - held(1 - at), 2 * F.col("_last") - held(2 * F.col("_n") - 1 - at)),
+            "extend": (F.col("_first"), F.col("_last")),
+            "zeros": (F.lit(0.0), F.lit(1.0)),
+        }[boundary]
+        acc = acc + weight * F.when(at < 0, ends[0]).when(at >= F.col("_n"), ends[1]).otherwise(held(at))
+    return df.withColumn(out, acc / total).drop("_n", "_i", "_first", "_last", "_near", "_b")
 
 
 def throughput(df: DataFrame, count: str, time: str, keys: list[str], order: list[str]) -> DataFrame:
@@ -75,16 +96,57 @@ def shuffle_key(row_id: Column, seed: int) -> Column:
     return F.pmod((row_id + seed) * 2654435761, F.lit(1 << 32))
 
 
-def numbered(df: DataFrame, order: list[Column | str], out: str, buckets: int | None = None) -> DataFrame:
-    """Global row numbers from 0 without a global task: rows are range-partitioned and sorted, and each
-    partition starts at the number of rows in those before it."""
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"), F.min("_m").alias("_low"))
-    before = F.coalesce(F.sum("_k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select("_p", (before - F.col("_low")).alias("_base"))
-    return parts.join(F.broadcast(bases), "_p").withColumn(out, F.col("_m") + F.col("_base")).drop("_p", "_m", "_base")
+#: Distinct sort keys that are looked at for each part, to tell where parts begin.
+SAMPLE_PER_PART = 200
+
+
+def _cuts(keys: DataFrame, n: int) -> list[tuple]:
+    """At most n - 1 sort keys that cut the rows into parts of about equal size. The keys looked at are
+    picked by their hash, so a plan that runs again cuts at the same places."""
+    every = max(1, keys.count() // (SAMPLE_PER_PART * n))
+    some = keys.where(F.pmod(F.xxhash64(*keys.columns), F.lit(every)) == 0).distinct().collect()  # bounded, see every
+    found = sorted((tuple(r) for r in some), key=lambda r: [(v is not None, v) for v in r])
+    return sorted({found[len(found) * i // n]: 0 for i in range(1, n)}, key=found.index) if len(found) >= n else found[1:]
+
+
+def _part_of(key: Column, cuts: list[Column]) -> Column:
+    """How many of the cuts are not after the key: a look at every so many first, then at those between."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts))
+    coarse = F.size(F.filter(F.array(*cuts[step - 1 :: step]), lambda c: c <= key))
+    return coarse * step + F.size(F.filter(F.slice(F.array(*cuts), coarse * step + 1, F.lit(step)), lambda c: c <= key))
+
+
+def numbered(df: DataFrame, order: list[Column | str], out: str, buckets: int | None = None, part: str | None = None) -> DataFrame:
+    """Global row numbers from 0 without a global task: rows are cut into ranges of the order, numbered in
+    each, and each range starts at the number of rows in those before it. part: a column for the range's
+    number. Rows with equal sort keys are in one range and numbered in any order."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exprs = [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = df.select(*[e.alias(f"_o{i}") for i, e in enumerate(exprs)])
+    kinds = [f.dataType for f in keys.schema.fields]
+    cuts = [F.struct(*[F.lit(v).cast(t).alias(f"_o{i}") for i, (v, t) in enumerate(zip(c, kinds, strict=True))]) for c in _cuts(keys, n)]
+    parts = df.withColumn("_p", _part_of(F.struct(*[e.alias(f"_o{i}") for i, e in enumerate(exprs)]), cuts))
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    placed = parts.withColumn("_m", F.row_number().over(W.partitionBy("_p").orderBy(*exprs)))
+    placed = placed.join(F.broadcast(counts.select("_p", before.alias("_base"))), "_p").withColumn(out, F.col("_m") - 1 + F.col("_base")).drop("_m", "_base")
+    return placed.withColumnRenamed("_p", part) if part else placed.drop("_p")
+
+
+def order_statistics(df: DataFrame, value: str, keys: list[str], levels: list[float]) -> DataFrame:
+    """(keys, level, quantile): exact quantiles of the values that are not null, linear between ranks. Rows
+    are numbered by a distributed sort, then those at the wanted ranks are picked: no group is held in one
+    task, however large."""
+    placed = numbered(df.where(F.col(value).isNotNull()).select(*keys, value), [*keys, value], "_at")
+    bounds = placed.groupBy(*keys).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    wanted = bounds.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level")).withColumn("_r", F.col("level") * (F.col("_n") - 1))
+    part = F.col("_r") - F.floor("_r")
+    ends = F.array(F.struct(F.floor("_r").alias("_k"), (1 - part).alias("_w")), F.struct((F.floor("_r") + 1).alias("_k"), part.alias("_w")))
+    wanted = wanted.select("level", "_low", F.inline(ends)).where("_w > 0").select("level", (F.col("_low") + F.col("_k")).alias("_at"), "_w")
+    rows = placed.join(wanted if keys else F.broadcast(wanted), "_at")
+    return rows.groupBy(*keys, "level").agg(F.sum(F.col("_w") * F.col(value)).alias("quantile"))
 
 
 def split_test(df: DataFrame, row_id: str, n_test: int, seed: int) -> DataFrame:
@@ -101,6 +163,28 @@ def batch_of(place: Column, n_rows: int, batch_size: int) -> Column:
     return F.when(place < small, F.floor(place / max(base, 1))).otherwise((n_batches - extra) + F.floor((place - small) / (base + 1))).cast("int")
 
 
+def epochs(batches: DataFrame, size: str, n_epochs: int, seed: int) -> DataFrame:
+    """(epoch, turn, batch_id, size, visits, progress): the batches (batch_id, size) in a new order each epoch,
+    by a hash of batch, epoch and seed; visits counts rows since the start, progress runs on from the epoch's
+    number. One row per batch and epoch, numbered within its epoch."""
+    rows = batches.select("batch_id", F.col(size).alias("size"), F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))).alias("epoch"))
+    key = shuffle_key(F.col("batch_id") * n_epochs + F.col("epoch"), seed)
+    w = W.partitionBy("epoch").orderBy(key, "batch_id")
+    seen, all_rows = F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)), F.sum("size").over(W.partitionBy("epoch"))
+    return rows.select("epoch", (F.row_number().over(w) - 1).alias("turn"), "batch_id", "size", (F.col("epoch") * all_rows + seen).alias("visits"), (F.col("epoch") + seen / all_rows).alias("progress"))
+
+
+def gather(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, once each however often it is."""
+    return rows.join(wanted.select(key), key, "left_semi")
+
+
+def minibatch(images: DataFrame, batches: DataFrame, key: str, batch: int | None) -> DataFrame:
+    """The images of one batch of the training set, or of the test set (batch None), from (key, split,
+    batch_id)."""
+    return gather(images, batches.where("split = 'test'" if batch is None else f"split = 'train' AND batch_id = {int(batch)}"), key)
+
+
 def epoch_fraction(batches: DataFrame, size: str, order: str) -> DataFrame:
     """How far through the training set each batch ends; a handful of rows per epoch."""
     w = W.orderBy(order)

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import json
 import subprocess
+import threading
+import time
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +31,81 @@ def series(stat: DataFrame, x: str, y: str, smooth: int = 1) -> DataFrame:
     return rows if smooth <= 1 else sequence.moving_average(rows, y, smooth, [], [x], y)
 
 
+def dataset_size(batches: DataFrame, size: int) -> DataFrame:
+    """(n): the batches of the first epoch times their size."""
+    return batches.agg((F.count_if(F.col("epoch") == 0) * size).alias("n"))
+
+
+def sampling_speedups(stat: DataFrame, dataset: str, x: str = "iteration") -> DataFrame:
+    """(x, name, value): how many times fewer points than the domain's were evaluated, for each domain."""
+    prefix = f"{dataset}_is_speedup_"
+    return by_prefix(stat, prefix, [x]).select(x, F.regexp_replace("name", f"^{prefix}", "").alias("name"), "value")
+
+
+def likelihood_quantiles(stat: DataFrame, dataset: str, x: str = "iteration") -> DataFrame:
+    """(x, percent, full, mini): quantiles over all images seen and over the minibatch, a row for each."""
+    both = F.arrays_zip(F.col(f"{dataset}_full_like_quantiles").alias("full"), F.col(f"{dataset}_mini_like_quantiles").alias("mini"))
+    return stat.select(x, F.posexplode(both).alias("percent", "q")).select(x, "percent", "q.full", "q.mini")
+
+
+def save_latest(spark: SparkSession, path: str, rows: list[dict]) -> None:
+    """State of which the last value alone counts: a new version is written whole and then named as current,
+    so a reader sees the old one or the new one."""
+    version = f"{path}/{time.time_ns():020d}"
+    spark.createDataFrame(rows).write.parquet(version)
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def load_latest(spark: SparkSession, path: str) -> DataFrame:
+    version = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    return spark.read.parquet(version)
+
+
+def newer_files(spark: SparkSession, path: str, since: datetime) -> DataFrame:
+    """(path, modificationTime, length) of the files written after a moment, in any store that Spark lists."""
+    files = spark.read.format("binaryFile").option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S")).load(path)
+    return files.select("path", "modificationTime", "length")
+
+
+class Background:
+    """Calls `turn` until it returns False, in a thread of its own, which can be paused. Results go to `sink`
+    in a second thread, one after the other; an error in either is raised by `end`."""
+
+    def __init__(self, turn: Callable[[], object], sink: Callable[[object], None] | None = None):
+        self.turn, self.sink = turn, sink
+        self.going, self.stopped = threading.Event(), False
+        self.pool = ThreadPoolExecutor(2)
+        self.jobs: list[Future] = []
+
+    def begin(self) -> None:
+        self.going.set()
+        self.loop = self.pool.submit(self._run)
+
+    def _run(self) -> None:
+        while not self.stopped:
+            self.going.wait()
+            found = None if self.stopped else self.turn()
+            if found is False or found is None:
+                return
+            if self.sink:
+                self.jobs.append(self.pool.submit(self.sink, found))
+
+    def pause(self) -> None:
+        self.going.clear()
+
+    def resume(self) -> None:
+        self.going.set()
+
+    def end(self, wait: bool = True) -> None:
+        """Wait for the last turn (wait: for all turns) and for what was handed to the sink."""
+        self.stopped = not wait
+        self.going.set()
+        self.loop.result()
+        for job in self.jobs:
+            job.result()
+        self.pool.shutdown()
+
+
 def by_prefix(stat: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     """Columns whose names share a prefix, as (keys, name, value)."""
     names = [c for c in stat.columns if c.startswith(prefix)]
@@ -41,6 +121,17 @@ def parameters(defaults: dict, *files: str, overrides: dict | None = None) -> di
     return out | (overrides or {})
 
 
+def typed(defaults: dict, values: dict) -> dict:
+    """The defaults with the values laid over them: unknown names and values of another type are errors, so a
+    parameter has one default and one type wherever it is read."""
+    for k, v in values.items():
+        if k not in defaults:
+            raise KeyError(f"unknown parameter {k!r}")
+        if defaults[k] is not None and not isinstance(v, (int, float) if isinstance(defaults[k], float) else type(defaults[k])):
+            raise TypeError(f"parameter {k!r} is {type(v).__name__}, not {type(defaults[k]).__name__}")
+    return defaults | values
+
+
 def key_values(arguments: list[str]) -> dict:
     """key=value arguments; values are JSON where they can be read as such."""
     out = {}

@@ -125,13 +125,13 @@ def pack_round_trip(spark, d):
     return grid.pack_array(images(spark, d), 8, 2, ["vec_id"]).select("vec_id", F.transform("v", lambda e: F.round(e, 6)).alias("v"))
 
 
-MOMENTS = ", ".join([f"round(sum(v*v*{a})/sum(v*v), 6) as m{a}" for a in "xyz"] + [f"round(sum(v*v*{a}*{b})/sum(v*v) - sum(v*v*{a})/sum(v*v)*sum(v*v*{b})/sum(v*v), 6) as c{a}{b}" for i, a in enumerate("xyz") for b in "xyz"[i:]])
+MOMENTS = ", ".join([f"round(sum(v*v*{a})/sum(v*v), 6) as m{a}" for a in "xyz"] + [f"round((sum(v*v*{a}*{b})/sum(v*v) - sum(v*v*{a})/sum(v*v)*sum(v*v*{b})/sum(v*v))/64, 8) as c{a}{b}" for i, a in enumerate("xyz") for b in "xyz"[i:]])
 
 
 @query(f"with {CELLS3} select vec_id, {MOMENTS} from c group by vec_id")
 def moments(spark, d):
-    out = robust.moments(volumes(spark, d), ["vec_id"])
-    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "vec_id"])
+    out = robust.moments(volumes(spark, d), ["vec_id"], 4)
+    return out.select("vec_id", *[F.round(c, 6 if c[0] == "m" else 8).alias(c) for c in out.columns if c != "vec_id"])
 
 
 @query(f"with {CELLS3} select vec_id, round(sum(v), 6) as total, count(*) filter (v = 0) as zeros, round(avg(v), 6) as mean, round(max(v), 6) as most, round(min(v), 6) as least, round(sqrt(sum(v*v)), 6) as norm from c group by vec_id")
@@ -142,10 +142,7 @@ def density_stats(spark, d):
 
 @query(f"with {CELLS3}, m as (select vec_id, x, y, z, greatest(least(greatest(v, -0.1), 0.2), 0) as v from c) select vec_id, x, y, z, round(v / sum(v) over (partition by vec_id), 6) as v from m")
 def clamp_and_mass(spark, d):
-    from pyspark.sql import Window as W
-
-    rows = volumes(spark, d).withColumn("v", F.greatest(F.least(F.greatest("v", F.lit(-0.1)), F.lit(0.2)), F.lit(0.0)))
-    return rows.select("vec_id", "x", "y", "z", F.round(F.try_divide(F.col("v"), F.sum("v").over(W.partitionBy("vec_id"))), 6).alias("v"))
+    return robust.to_mass(robust.clamp(volumes(spark, d), -0.1, 0.2), ["vec_id"]).select("vec_id", "x", "y", "z", F.round("v", 6).alias("v"))
 
 
 @query(f"with {CELLS3} select floor(least((v + 1)/2*20, 19))::int as bin, count(*) as n from c where v between -1 and 1 group by all")
@@ -239,7 +236,7 @@ def prior_gaussian(spark, d):
     return _loss(objectives.gaussian(0.5).evaluate(_volume_cells(spark, d)))
 
 
-@query(f"with {CELLS3} select vec_id as id, round(sum(3.0*abs(v)), 5) as loss from c group by vec_id")
+@query(f"with {CELLS3} select vec_id as id, round(sum(3.0*abs(v) - ln(3.0)), 5) as loss from c group by vec_id")
 def prior_sparsity(spark, d):
     return _loss(objectives.sparsity(3.0).evaluate(_volume_cells(spark, d)))
 
@@ -249,15 +246,23 @@ def prior_negative(spark, d):
     return _loss(objectives.negative(2, 2.0, 2.0, 100).evaluate(_volume_cells(spark, d)))
 
 
-@query(f"with {CELLS3} select vec_id as id, round(sum(-ln((case when v >= 0 then 0.6*2.0*exp(-2.0*v) else 0 end) + 0.4/(0.3*sqrt(2*pi()))*exp(-0.5*v*v/0.09))), 5) as loss from c group by vec_id")
+MIX = "0.6/(2*0.25)*exp(-v/0.25)", "0.4/sqrt(2*pi()*0.09)*exp(-0.5*power(v - 0.1, 2)/0.09)"
+
+
+@query(f"with {CELLS3} select vec_id as id, round(sum(-ln({MIX[0]} + {MIX[1]})), 5) as loss from c group by vec_id")
 def prior_mixture(spark, d):
-    return _loss(objectives.exponential_gaussian(0.6, 2.0, 0.3).evaluate(_volume_cells(spark, d)))
+    return _loss(objectives.exponential_gaussian(0.6, 0.25, 0.1, 0.3).evaluate(_volume_cells(spark, d)))
+
+
+@query(f"with {CELLS3} select vec_id as id, x, y, z, round(({MIX[0]}/0.25 + {MIX[1]}*(v - 0.1)/0.09)/({MIX[0]} + {MIX[1]}), 5) as g from c")
+def prior_mixture_gradient(spark, d):
+    return objectives.exponential_gaussian(0.6, 0.25, 0.1, 0.3).with_gradient(_volume_cells(spark, d)).select("id", "x", "y", "z", F.round("g", 5).alias("g"))
 
 
-@query(f"with {CELLS3}, r as (select v, case when v >= 0 then 1.2*exp(-2.0*v) else 0 end as e, 0.4/(0.3*sqrt(2*pi()))*exp(-0.5*v*v/0.09) as g from c) select round(sqrt(sum(g/(e+g)*v*v)/sum(g/(e+g))), 6) as sigma, round((select 1/avg(v) from c where v > 0), 6) as rate from r")
+@query(f"with {CELLS3}, r as (select v, {MIX[0]} as e, {MIX[1]} as g from c) select round(sqrt(sum(g/(e+g)*power(v - 0.1, 2))/sum(g/(e+g))), 6) as sigma, round((select 1/avg(v) from c where v > 0), 6) as rate from r")
 def prior_learning(spark, d):
     cells = _volume_cells(spark, d)
-    a, b = objectives.mixture_sigma(cells, 0.6, 2.0, 0.3), objectives.sparsity_rate(cells)
+    a, b = objectives.mixture_sigma(cells, 0.6, 0.25, 0.1, 0.3), objectives.sparsity_rate(cells)
     return a.crossJoin(b).select(F.round("sigma", 6).alias("sigma"), F.round("rate", 6).alias("rate"))
 
 
@@ -266,13 +271,21 @@ def prior_centre(spark, d):
     return _loss(objectives.centre_penalty(_volume_cells(spark, d).withColumn("v", F.abs("v")), 1.5))
 
 
-@query(f"""with {CELLS3}, o as (select unnest([-1, 0, 1]) as o), n as (select c.vec_id, c.x + a.o as x, c.y + b.o as y, c.z + e.o as z, exp(-(a.o*a.o + b.o*b.o + e.o*e.o)/2.0) as w, v from c, o a, o b, o e where (a.o, b.o, e.o) <> (0, 0, 0)),
- p as (select vec_id, x, y, z, sum(w*v)/sum(w) as p from n group by all) select c.vec_id as id, round(sum(power(v - p, 2)/(2*0.25)), 5) as loss from c join p using (vec_id, x, y, z) group by all""")
+CAR = f"""with {CELLS3}, o as (select unnest(range(-2, 3)) as o), k0 as (select a.o as a, b.o as b, e.o as e, exp(-(a.o*a.o + b.o*b.o + e.o*e.o)/(2*0.36)) as w from o a, o b, o e where (a.o, b.o, e.o) <> (0, 0, 0)), k as (select a, b, e, w/sum(w) over () as w from k0),
+ p as (select vec_id, x + a as x, y + b as y, z + e as z, sum(w*v) as p from c, k group by all), r as (select c.*, v - coalesce(p, 0) as err from c left join p using (vec_id, x, y, z))"""
+
+
+@query(f"{CAR} select vec_id as id, round(0.5*sum(v*err)/0.25, 5) as loss from r group by all")
 def prior_neighbours(spark, d):
-    return _loss(objectives.neighbour_prior(_volume_cells(spark, d), 4, 0.5))
+    return _loss(objectives.neighbour_prior(_volume_cells(spark, d), 4, 0.5, 0.6))
+
+
+@query(f"{CAR} select vec_id as id, x, y, z, round(err/0.25, 5) as g from r")
+def prior_neighbours_gradient(spark, d):
+    return objectives.neighbour_gradient(_volume_cells(spark, d), 4, 0.5, 0.6).select("id", "x", "y", "z", F.round("g", 5).alias("g"))
 
 
-@query(f"with {CELLS3} select vec_id as id, round(sum(2.0*(0.5*v*v/0.25 + ln(0.5) + 0.5*ln(2*pi())) + 0.5*3.0*abs(v)), 5) as loss from c group by vec_id")
+@query(f"with {CELLS3} select vec_id as id, round(sum(2.0*(0.5*v*v/0.25 + ln(0.5) + 0.5*ln(2*pi())) + 0.5*(3.0*abs(v) - ln(3.0))), 5) as loss from c group by vec_id")
 def prior_sum(spark, d):
     return _loss(objectives.total(_volume_cells(spark, d), [(2.0, objectives.gaussian(0.5)), (0.5, objectives.sparsity(3.0)), (1.0, objectives.null_prior())]))
 
@@ -284,7 +297,7 @@ def cell_layout_transposed(spark, d):
     return linear.cells_from_corners(layout, 2, 8).withColumn("v", F.round("v", 6))
 
 
-@query(f"with {CELLS3} select c.vec_id, (k.x + 2)*16 + (k.y + 2)*4 + k.z + 2 as id, round(c.v, 6) as v from c join (select distinct x, y, z from c) k on c.x = -k.y and c.y = k.x and c.z = k.z")
+@query(f"with {CELLS3}, a as (select i.vec_id, k.* from (select distinct vec_id from c) i, (select distinct x, y, z from c) k) select a.vec_id, (a.x + 2)*16 + (a.y + 2)*4 + a.z + 2 as id, round(coalesce(c.v, 0), 6) as v from a left join c on c.vec_id = a.vec_id and c.x = -a.y and c.y = a.x and c.z = a.z")
 def rotate_volume(spark, d):
     at = grid.grid(spark, 4, 3).select(((F.col("x") + 2) * 16 + (F.col("y") + 2) * 4 + F.col("z") + 2).alias("id"), *[F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate("xyz")])
     turn = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]

@@ -33,11 +33,6 @@ def padded_fourier(spark, d):
     return fourier.to_fourier(_packed(spark, d), "vec_id", "px", 8, 2, pad=2, multiplier=m)
 
 
-@query()
-def resized_images(spark, d):
-    return fourier.resize(_packed(spark, d), "vec_id", "px", 8, 4, 2)
-
-
 @query("select user_id, arg_max(value, (ts, event_id)) as value from events group by 1")
 def running_sum_stream(spark, d):
     """The keyed state of a stream that has read the whole table, in micro-batches."""
@@ -48,8 +43,14 @@ def running_sum_stream(spark, d):
 
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*").option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")
-    name = f"running_{uuid.uuid4().hex[:8]}"
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()) + f"/{name}"
-    q = latest_per_key(stream, "user_id", "value", ["ts", "event_id"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = f"{shared or 'file://' + tempfile.mkdtemp()}/running_{uuid.uuid4().hex[:8]}"
+
+    def keep(batch, _):  # the whole state, written where executors are: nothing is held by the driver
+        batch.write.mode("overwrite").parquet(f"{where}/state")
+
+    q = latest_per_key(stream, "user_id", "value", ["ts", "event_id"]).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{where}/state")

@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from stackwright.functions import geometry, kernels
+from stackwright.functions import geometry, kernels, text
 from stackwright.operators import likelihood, pairs, probability, quadrature, robust, sampler_state, sequence
+from stackwright.plans import monitor
 from stackwright.plans.registry import query, table
 
 PI = 3.141592653589793
@@ -34,8 +35,9 @@ DC = "with m as (select l_orderkey, avg(l_quantity)*sqrt(8.0)/(1 + s_nationkey %
 
 def _dc(spark, d):
     joined = pairs.look_up(table(spark, d, "lineitem"), table(spark, d, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey")
-    sums = joined.groupBy("l_orderkey", (F.col("s_nationkey") % 3).alias("c")).agg((F.avg("l_quantity") * math.sqrt(8.0) / (1 + F.first("s_nationkey") % 3)).alias("dc"))
-    return robust.mean_std(sums, "dc", []).crossJoin(sums.agg(F.count(F.lit(1)).alias("n"))).withColumn("error", F.col("std") / F.sqrt("n"))
+    means = joined.groupBy("l_orderkey", (F.col("s_nationkey") % 3).alias("c")).agg(F.avg("l_quantity").alias("mean"))
+    responses = spark.range(3).select(F.col("id").cast("int").alias("c"), (1 + F.col("id")).cast("double").alias("dc"))
+    return robust.dc_estimate(robust.dc_observations(means, responses, "c", 8))
 
 
 @query(f"{DC} select round(mean, 6) as mean, round(std, 6) as std, round(std/sqrt(n), 6) as error from b")
@@ -73,13 +75,30 @@ def moving_average(spark, d):
     return sequence.moving_average(table(spark, d, "events"), "value", 5, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
-@query("""with r as (select user_id, event_id, value, row_number() over w as i, count(*) over (partition by user_id) as n from events window w as (partition by user_id order by ts, event_id)),
- k as (select unnest([-2,-1,0,1,2]) as k), w as (select k, 0.5 - 0.5*cos(2*pi()/4*(k+2)) as w from k)
- select r.user_id, r.event_id, round(sum(w.w*o.value)/2.0, 5) as smooth from r, w, r o where o.user_id = r.user_id and o.i = least(greatest(case when r.i + k < 1 then 2 - r.i - k when r.i + k > r.n then 2*r.n - r.i - k else r.i + k end, 1), r.n) group by all""")
+def _smooth_sql(kind: str, edge: str) -> str:
+    before, after = {"reflect": ("2*f.v0 - (select value from r o where o.user_id = r.user_id and o.i = least(1 - r.i - k, r.n - 1))", "2*f.v1 - (select value from r o where o.user_id = r.user_id and o.i = greatest(2*r.n - 1 - r.i - k, 0))"), "extend": ("f.v0", "f.v1"), "zeros": ("0", "1")}[edge]
+    weight = {"hanning": "0.5 - 0.5*cos(2*pi()/4*(k+2))", "hamming": "0.54 - 0.46*cos(2*pi()/4*(k+2))", "flat": "1"}[kind]
+    return f"""with r as (select user_id, event_id, value, row_number() over w - 1 as i, count(*) over (partition by user_id) as n from events window w as (partition by user_id order by ts, event_id)),
+     f as (select user_id, arg_min(value, i) as v0, arg_max(value, i) as v1 from r group by 1), k as (select unnest([-2,-1,0,1,2]) as k), w as (select k, ({weight})::double as w from k),
+     t as (select r.user_id, event_id, w, case when r.i + k < 0 then {before} when r.i + k >= r.n then {after} else (select value from r o where o.user_id = r.user_id and o.i = r.i + k) end as v from r join f using (user_id), w)
+     select user_id, event_id, round(sum(w*v)/sum(w), 5) as smooth from t group by all"""
+
+
+@query(_smooth_sql("hanning", "reflect"))
 def smooth_hanning(spark, d):
     return sequence.smooth(table(spark, d, "events"), "value", 5, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.round("smooth", 5).alias("smooth"))
 
 
+@query(_smooth_sql("hamming", "extend"))
+def smooth_extend(spark, d):
+    return sequence.smooth(table(spark, d, "events"), "value", 5, ["user_id"], ["ts", "event_id"], "hamming", "extend").select("user_id", "event_id", F.round("smooth", 5).alias("smooth"))
+
+
+@query(_smooth_sql("flat", "zeros"))
+def smooth_flat(spark, d):
+    return sequence.smooth(table(spark, d, "events"), "value", 5, ["user_id"], ["ts", "event_id"], "flat", "zeros").select("user_id", "event_id", F.round("smooth", 5).alias("smooth"))
+
+
 @query("select user_id, event_id, round((event_id - lag(event_id) over w)/nullif(epoch(ts) - lag(epoch(ts)) over w, 0), 6) as rate from events window w as (partition by user_id order by ts, event_id)")
 def throughput(spark, d):
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
@@ -296,7 +315,7 @@ def spiral_points(spark, d):
     return out.select("i", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "weight")])
 
 
-@query(f"with {SPIRAL}, a as (select * from s where atan2(y, x) >= -pi()/3 + 1e-8 and atan2(y, x) < pi()/3 + 1e-8 and z >= -1e-8) select i, round(weight*(select sum(weight) from s)/sum(weight) over (), 6) as weight from a")
+@query(f"with {SPIRAL}, a as (select * from s where atan2(y, x) >= -pi()/3 + 1e-8 and atan2(y, x) <= pi()/3 + 1e-8 and acos(greatest(-1, least(1, z/sqrt(x*x + y*y + z*z)))) <= pi()/2 + 1e-8) select i, round(weight*(select sum(weight) from s)/sum(weight) over (), 6) as weight from a")
 def asymmetric_unit(spark, d):
     return quadrature.asymmetric_points(quadrature.spiral_sphere(spark, 200), "d3").select("i", F.round("weight", 6).alias("weight"))
 
@@ -353,7 +372,7 @@ def quaternion_round_trip(spark, d):
     return _unit(spark, d).select("id", F.round(q[0] * q[0] * 2, 6).alias("trace_ok"), *[F.round(q[k + 1] / q[0], 6).alias(a) for k, a in enumerate("xyz")])
 
 
-@query("select p_partkey, round(greatest(1 - abs(t), 0), 6) as linear, round(case when abs(t) <= 0.5 then 0.75 - t*t when abs(t) <= 1.5 then 0.5*power(1.5 - abs(t), 2) else 0 end, 6) as quad, round(case when abs(t) >= 2 then 0 when abs(t) < 1e-9 then 1 else sin(pi()*t)/(pi()*t)*sin(pi()*t/2)/(pi()*t/2) end, 6) as lanczos4, round(case when abs(t) >= 3 then 0 when abs(t) < 1e-9 then 1 else sin(pi()*t)/(pi()*t) end, 6) as sinc6 from (select p_partkey, (p_partkey % 61)/10.0::double - 3.05 as t from part)")
+@query("select p_partkey, round(greatest(1 - abs(t), 0), 6) as linear, round(case when abs(t) <= 0.5 then 1 - 2*t*t when abs(t) < 1 then 2*power(1 - abs(t), 2) else 0 end, 6) as quad, round(case when abs(t) >= 2 then 0 when abs(t) < 1e-9 then 1 else sin(pi()*t)/(pi()*t)*sin(pi()*t/2)/(pi()*t/2) end, 6) as lanczos4, round(case when abs(t) >= 3 then 0 when abs(t) < 1e-9 then 1 else sin(pi()*t)/(pi()*t) end, 6) as sinc6 from (select p_partkey, (p_partkey % 61)/10.0::double - 3.05 as t from part)")
 def interpolation_kernels(spark, d):
     t = (F.col("p_partkey") % 61) / 10.0 - 3.05
     return table(spark, d, "part").select("p_partkey", F.round(kernels.linear(t), 6).alias("linear"), F.round(kernels.quadratic(t), 6).alias("quad"), F.round(kernels.lanczos(t, 4), 6).alias("lanczos4"), F.round(kernels.sinc(t, 6), 6).alias("sinc6"))
@@ -365,13 +384,13 @@ def map_projection(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("select p_partkey, round(case when p_size % 4 > 0 then case when p_retailprice > 0 then p_size/p_retailprice else 1 end else 1 end, 6) as envelope, round(m*2.5 + (1 - m)*p_size, 6) as noise, round((10*(m*2.5 + (1 - m)*p_size) + 5*4.0)/15, 6) as noise_prior from (select *, (p_size % 4)/4.0::double as m from part)")
+@query("select p_partkey, round(case when m > 0 then p_size/p_retailprice else 1 end, 6) as envelope, round(m*2.5 + (1 - m)*p_size, 6) as noise, round((2.5*m*40 + 5*4.0)/(m*40 + 5), 6) as noise_prior, round(least(greatest(case when p_size < 6 then 1 else (p_size*m*40/2.5 + exp(-p_size/8.0)*3)/(p_retailprice*m*40/2.5 + 3) end, 0.02), 0.9), 6) as envelope_prior from (select *, (p_size % 4)/4.0::double as m from part)")
 def noise_and_envelope(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", ((F.col("p_size") % 4) / 4.0).alias("mask"), F.col("p_size").cast("double").alias("corr"), F.col("p_retailprice").alias("power"), F.lit(2.5).alias("sigma2"), F.lit(10).alias("n"))
-    # the data variance differs by row here, so the columns are combined as the operators do
-    mle = F.col("mask") * F.col("sigma2") + (1 - F.col("mask")) * F.col("corr")
-    out = likelihood.envelope_mle(rows).withColumn("noise", mle).withColumn("noise_prior", (F.col("n") * mle + 5 * 4.0) / (F.col("n") + 5))
-    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("envelope", "noise", "noise_prior")])
+    rows = table(spark, d, "part").select("p_partkey", ((F.col("p_size") % 4) / 4.0).alias("mask"), F.col("p_size").cast("double").alias("corr"), F.col("p_retailprice").alias("power"), F.lit(2.5).alias("sigma2"))
+    out = likelihood.noise_mle(likelihood.envelope_mle(rows), F.col("corr"))
+    out = likelihood.noise_map(out.withColumnsRenamed({"noise": "mle", "envelope": "env_mle"}), 5.0, 4.0, 40.0).withColumnRenamed("noise", "noise_prior")
+    out = likelihood.envelope_map(out.withColumn("noise", F.col("sigma2")), 3.0, 40.0, F.exp(-F.col("corr") / 8), 0.02, 0.9, F.col("corr") < 6).withColumnRenamed("envelope", "envelope_prior")
+    return out.select("p_partkey", F.round("env_mle", 6).alias("envelope"), F.round("mle", 6).alias("noise"), *[F.round(c, 6).alias(c) for c in ("noise_prior", "envelope_prior")])
 
 
 PROJ = [(r, i, s, c, round(math.sin(1 + r + 2 * i + 3 * s + c), 6), round(math.cos(r * i + s + c), 6), round(-math.log(24) + 0.01 * s, 9)) for r in range(2) for i in range(4) for s in range(3) for c in range(32)]
@@ -419,32 +438,26 @@ def parameter_overlay(spark, d):
 
 @query("select count(*) filter (event_type = 'click')*100 as n from events")
 def dataset_size(spark, d):
-    return table(spark, d, "events").agg((F.count_if(F.col("event_type") == "click") * 100).alias("n"))
+    return monitor.dataset_size(table(spark, d, "events").withColumn("epoch", F.when(F.col("event_type") == "click", 0).otherwise(1)), 100)
 
 
 @query("select event_id, case when s >= 86400 then lpad((s//86400)::varchar, 2, '0') || ':' else '' end || lpad((s//3600 % 24)::varchar, 2, '0') || ':' || lpad((s//60 % 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') || 's' as elapsed from (select event_id, event_id*977 as s from events)")
 def elapsed_format(spark, d):
-    s = F.col("event_id") * 977
-
-    def two(c):
-        return F.lpad(c.cast("long").cast("string"), 2, "0")
-
-    text = F.concat(F.when(s >= 86400, F.concat(two(F.floor(s / 86400)), F.lit(":"))).otherwise(""), two(F.floor(s / 3600) % 24), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60), F.lit("s"))
-    return table(spark, d, "events").select("event_id", text.alias("elapsed"))
+    return table(spark, d, "events").select("event_id", text.elapsed(F.col("event_id") * 977).alias("elapsed"))
 
 
 @query("select s_suppkey, 'c' as class, (s_suppkey % 9 + 1)::int as n from supplier where s_suppkey % 2 = 0 union all select s_suppkey, 'd', (s_suppkey % 9 + 1)::int from supplier where s_suppkey % 2 = 1")
 def symmetry_parse(spark, d):
-    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "c").otherwise("D"), (F.col("s_suppkey") % 9 + 1).cast("string"))
-    rows = table(spark, d, "supplier").select("s_suppkey", F.lower(name).alias("s"))
-    return rows.select("s_suppkey", F.regexp_extract("s", "([a-z])([0-9]+)", 1).alias("class"), F.regexp_extract("s", "([a-z])([0-9]+)", 2).cast("int").alias("n"))
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "c").otherwise(" D"), (F.col("s_suppkey") % 9 + 1).cast("string"))
+    letter, order = quadrature.symmetry_columns(name)
+    return table(spark, d, "supplier").select("s_suppkey", letter.alias("class"), order.alias("n"))
 
 
 @query("select event_type, user_id % 3 as prefix, round(avg(value), 6) as mean from events group by all")
 def timing_unpivot(spark, d):
-    wide = table(spark, d, "events").withColumn("m", F.col("user_id") % 3).groupBy("event_type").pivot("m", [0, 1, 2]).agg(F.avg("value"))
-    long = wide.unpivot(["event_type"], ["0", "1", "2"], "prefix", "mean").where("mean is not null")
-    return long.select("event_type", F.col("prefix").cast("long").alias("prefix"), F.round("mean", 6).alias("mean"))
+    wide = table(spark, d, "events").withColumn("m", F.concat(F.lit("mean_"), F.col("user_id") % 3)).groupBy("event_type").pivot("m", ["mean_0", "mean_1", "mean_2"]).agg(F.avg("value"))
+    long = monitor.by_prefix(wide, "mean_", ["event_type"]).where("value is not null")
+    return long.select("event_type", F.substring("name", 6, 9).cast("long").alias("prefix"), F.round("value", 6).alias("mean"))
 
 
 UPDATE = "select image, point, v/sum(v) over (partition by image) as p from (select user_id as image, event_id % 8 as point, sqrt(sum(abs(value) + 1)) as v from events where event_type = 'click' group by all)"

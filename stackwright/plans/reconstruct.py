@@ -7,6 +7,7 @@ evaluation is one Spark job over the minibatch, whose gradient comes back as one
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,32 +44,52 @@ def scatter(turns: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def reconstruct(images: DataFrame, n: int, sigma: float, n_directions: int, n_turns: int, start: np.ndarray, iterations: int, n_batches: int = 4, seed: int = 0, prior_sigma: float = 10.0) -> tuple[np.ndarray, list[dict]]:
-    """(volume, statistics) from (image_id, px). Images are transformed once and persisted."""
+def reconstruct(images: DataFrame, n: int, sigma: float, n_directions: int, n_turns: int, start: np.ndarray, iterations: int, n_batches: int = 4, seed: int = 0, prior_sigma: float = 10.0, radius: Callable[[int], float] | None = None, each: Callable[[dict, np.ndarray], None] | None = None) -> tuple[np.ndarray, list[dict]]:
+    """(volume, statistics) from (image_id, px). Images are transformed once and persisted.
+
+    An evaluation is one job: tasks add up their images' gradients and lay them back on the volume, and n**3
+    sums come to the driver. radius: the share of the band that is used in an iteration, for frequency marching.
+    each: called with every iteration's statistics and volume, to keep them."""
     packed = to_fourier(images, "image_id", "px", n, 2).withColumn("batch", F.pmod(F.xxhash64("image_id"), F.lit(n_batches)).cast("int")).persist()
-    sizes = {r["batch"]: r["count"] for r in packed.groupBy("batch").count().collect()}
-    turns = direction_turns(n_directions, n_turns)
-    logw = np.full((n_directions, n_turns, 1), -math.log(n_directions * n_turns))
+    turns = direction_turns(n_directions, n_turns).reshape(-1, 3, 3)
+    logw = np.full(len(turns), -math.log(len(turns)))
+    axis = np.arange(n) - n // 2
+    far = (axis[:, None] ** 2 + axis[None, :] ** 2).ravel()
+    turn = [0]
 
     def objective(x: np.ndarray, batch: int) -> tuple[float, np.ndarray]:
         f = centred_fft(x.reshape(n, n, n), 3)
-        slices = np.array([[slice_of(f, t).ravel() for t in row] for row in turns])[:, :, None, :]
-        found = likelihood.marginal_arrow(packed.where(F.col("batch") == batch), "image_id", slices, logw, sigma**2)
-        # the gradient by slice needs the posterior of each turn, so directions and turns are one axis
-        flat = likelihood.marginal_arrow(packed.where(F.col("batch") == batch), "image_id", slices.reshape(-1, 1, 1, n * n), logw.reshape(-1, 1, 1), sigma**2)
-        loss = found.agg(F.avg("nll")).first()[0] if sizes.get(batch) else 0.0
-        grad = np.zeros(turns.shape[0] * turns.shape[1] * n * n, complex)
-        for r in likelihood.summed_gradient(flat).collect():  # one row per coefficient of the grid, not per image
-            grad[r["at"]] = r["re"] + 1j * r["im"]
-        g = centred_ifft(scatter(turns, grad, n), 3).real
-        return float(loss or 0.0), g.ravel()
+        slices = np.array([slice_of(f, t).ravel() for t in turns])
+        used = np.flatnonzero(far < ((radius(turn[0]) if radius else 2.0) * n / 2) ** 2)
+
+        def spread(grad: np.ndarray) -> np.ndarray:
+            whole = np.zeros((len(turns), n * n), complex)
+            whole[:, used] = grad
+            return scatter(turns, whole, n)
+
+        keep = F.array(*[F.lit(int(i)) for i in used]) if len(used) < n * n else None
+        rows = packed.where(F.col("batch") == batch)
+        if keep is not None:
+            rows = rows.select(*[F.transform(keep, lambda i, c=c: F.get(F.col(c), i)).alias(c) for c in ("re", "im")])
+        found = likelihood.summed(rows, slices[:, used], logw, sigma**2, spread).toPandas()  # n**3 + 1 rows
+        if not len(found):
+            return 0.0, np.zeros(n**3)
+        found = found.sort_values("at")
+        nll, count = found["re"].iloc[0], found["im"].iloc[0]
+        grad = (found["re"].to_numpy()[1:] + 1j * found["im"].to_numpy()[1:]).reshape(n, n, n) / count
+        return float(nll / count), centred_ifft(grad, 3).real.ravel()
 
     def prior(x: np.ndarray) -> tuple[float, np.ndarray]:
         return float((x**2).sum() / (2 * prior_sigma**2)), x / prior_sigma**2
 
+    def noted(row: dict, x: np.ndarray) -> None:
+        turn[0] = row["iteration"] + 1
+        if each:
+            each(row, x.reshape(n, n, n))
+
     algorithm = optimizer.AverageGradient(search_every=5)
     try:
-        x, stats = optimizer.minimise(objective, prior, start.ravel().astype(float), n_batches, iterations, algorithm, seed)
+        x, stats = optimizer.minimise(objective, prior, start.ravel().astype(float), n_batches, iterations, algorithm, seed, each=noted)
     finally:
         packed.unpersist()
     return x.reshape(n, n, n), stats

@@ -7,6 +7,7 @@ mean, 52 'MAP ', 53 machine stamp; then the data, x fastest.
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from stackwright.operators.fourier import resize
+
 HEADER_BYTES = 1024
 MODES = {1: np.dtype("<i2"), 2: np.dtype("<f4")}
-IMAGES_PER_PARTITION = 1000
+IMAGES_PER_PARTITION, IMAGES_PER_BATCH = 1000, 64
 
 
 def parse_header(data: bytes) -> dict:
@@ -75,12 +78,18 @@ class _Reader(DataSourceReader):
         return [_Range(i, min(i + self.per, self.high)) for i in range(self.low, self.high, self.per)] or [_Range(0, 0)]
 
     def read(self, part):
+        """Arrow batches of images."""
+        import pyarrow as pa
+
         kind = MODES[self.head["mode"]]
         size = self.head["nx"] * self.head["ny"]
         with open(self.path, "rb") as f:
             f.seek(HEADER_BYTES + part.start * size * kind.itemsize)
-            for i in range(part.start, part.stop):
-                yield i, np.frombuffer(f.read(size * kind.itemsize), kind).astype(np.float32).tolist()
+            for i in range(part.start, part.stop, IMAGES_PER_BATCH):
+                k = min(IMAGES_PER_BATCH, part.stop - i)
+                values = np.frombuffer(f.read(k * size * kind.itemsize), kind).astype(np.float32)
+                px = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * size), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + k)), px], names=["image_id", "px"])
 
 
 class MrcDataSource(DataSource):
@@ -120,6 +129,28 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "path string, image_id long, px array<float>")
 
 
+def read_stack(spark: SparkSession, path: str, scale: float = 1.0, pixel_size: float | None = None) -> tuple[DataFrame, dict]:
+    """A stack of square images, (image_id, px), resized by the scale, and what it is: images, pixels (of a
+    side) and pixel_size, which the header gives unless it is named."""
+    with open(path.removeprefix("file://"), "rb") as f:
+        head = parse_header(f.read(HEADER_BYTES))
+    if head["nx"] != head["ny"] or (pixel_size is None and head["lengths"][0] != head["lengths"][1]):
+        raise ValueError(f"{path}: images are not square")
+    register(spark)
+    images, n = spark.read.format("mrc").load(path), head["nx"]
+    size = head["pixel_size"] if pixel_size is None else pixel_size
+    target = int(math.floor(scale * n + 0.5))
+    if target != n:
+        wide = images.select("image_id", F.col("px").cast("array<double>").alias("px"))
+        images = resize(wide, "image_id", "px", n, target, 2).withColumnRenamed("v", "px")
+    return images, {"images": head["nz"], "pixels": target, "pixel_size": size * n / target}
+
+
+def image(stack: DataFrame, image_id: int) -> DataFrame:
+    """One image of a stack: the filter reaches the source, which reads its bytes alone."""
+    return stack.where(F.col("image_id") == image_id)
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, nx, ny, nz, mode) without the data, in column expressions."""
     files = spark.read.format("binaryFile").load(path)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwright.operators.sequence import numbered, runs
+
 #: Column widths of fixed-width parameter lines (fixed values of the format).
 PAR_WIDTHS = [7, 8, 8, 8, 8, 8, 8, 6, 9, 9, 8, 7]
 PAR_NAMES = ["IDX", "PSI", "THETA", "PHI", "SHX", "SHY", "MAG", "FILM", "DF1", "DF2", "ANGAST", "CCMAX"]
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their order in the file."""
-    return spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    """Lines numbered from 0 in the order of files and of places in them, however the files are split."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"))
+    return numbered(rows, ["_file", "_start", "_nth"], "_line").drop("_file", "_start", "_nth")
 
 
 def _limited(df: DataFrame, num: int | None) -> DataFrame:
@@ -76,8 +79,15 @@ def write_poses(df: DataFrame, order: str, path: str) -> None:
 def ctf_ids(rows: DataFrame) -> DataFrame:
     """Adds image_id by file order and ctf_id: a new one wherever the optics differ from the row before."""
     order = ["_line", "_copy"] if "_copy" in rows.columns else ["_line"]
-    w = Window.orderBy(*order)
-    same = F.struct("DF1", "DF2", "ANGAST")
-    new = (~same.eqNullSafe(F.lag(same).over(w))).cast("int")
-    out = rows.withColumns({"image_id": F.row_number().over(w) - 1, "_new": new})
-    return out.withColumn("ctf_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new", *order)
+    return runs(numbered(rows, order, "image_id").drop(*order), ["image_id"], ["DF1", "DF2", "ANGAST"], out="ctf_id")
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """(ctfs, images) of a table with ctf_id."""
+    return rows.agg(F.count_distinct("ctf_id").alias("ctfs"), F.count(F.lit(1)).alias("images"))
+
+
+def generated(ctfs: DataFrame, posed: DataFrame, fields: list[str]) -> DataFrame:
+    """Images (image_id, ctf_id, fields) with the optics (ctf_id, ...) they were made with, as a reader gives
+    them."""
+    return posed.select("image_id", "ctf_id", *fields).join(ctfs, "ctf_id")

@@ -167,18 +167,60 @@ def test_substrings_in_small_slices(spark, plain):
             items += [(i, 0, w, p) for w, p in parts]
     finally:
         substrings.SLICE_BYTES = before
-    gone = defaultdict(set)
-    buckets = defaultdict(list)
-    for bucket, is_spans, payload in substrings.pack_group(items, 3):
+    assert settled(items, 3) == {i: x[1] for i, x in expected.items() if x[1]}
+    before = substrings.HELD_BYTES
+    for held in (200, 3000):  # every bucket is settled in runs, and most are dealt again
+        substrings.HELD_BYTES = held
+        try:
+            assert settled(items, 3) == {i: x[1] for i, x in expected.items() if x[1]}
+        finally:
+            substrings.HELD_BYTES = before
+
+
+def settled(items, n_buckets):
+    """Words gone of each document: the operator's steps without Spark."""
+    gone, rows, level = defaultdict(set), [], 0
+    for bucket, is_spans, payload in substrings.pack_group(items, n_buckets):
         if is_spans:
-            for i, _, a, b in zip(*substrings._unpack(payload, 4)[0]):
-                gone[int(i)].update(range(a, b))
+            rows.append((substrings._unpack(payload, 4)[0], None))
         else:
-            buckets[bucket].append(payload)
-    for payloads in buckets.values():
-        for i, _, a, b in zip(*(substrings.settle_bucket(payloads) or ([], [], [], []))):
-            gone[int(i)].update(range(a, b))
-    assert {i: len(g) for i, g in gone.items()} == {i: x[1] for i, x in expected.items() if x[1]}
+            rows.append((None, (bucket, payload)))
+    while True:
+        dealt = defaultdict(list)
+        for spans, again in rows:
+            if spans is None:
+                dealt[again[0]].append(again[1])
+            else:
+                for i, _, a, b in zip(*spans):
+                    gone[int(i)].update(range(a, b))
+        if not dealt:
+            return {i: len(g) for i, g in gone.items()}
+        rows = []
+        for name, payloads in dealt.items():
+            bucket = substrings.Bucket(name, level)
+            for p in payloads[::-1]:
+                rows += bucket.add(p)
+            rows += bucket.settle(last=True)
+        level += 1
+
+
+def test_one_minimiser_in_all_documents(spark, monkeypatch):
+    # every window starts with the same run of words, so that all are in one bucket
+    rng = random.Random(2)
+    blocks = ["a a a a " + " ".join(f"w{rng.randint(0, 3000)}" for _ in range(16)) for _ in range(900)]
+    plain = {i: " ".join(rng.choice(blocks) for _ in range(30)) for i in range(60)}
+    items = [(i, 0, 0, t.encode()) for i, t in plain.items()]
+    expected = {i: x[1] for i, x in brute_substrings(plain, substrings.WINDOW).items() if x[1]}
+    monkeypatch.setattr(substrings, "HELD_BYTES", 20_000)
+    assert settled(items, 1) == expected and expected
+
+
+def test_substrings_of_repeated_and_null_ids(spark, plain):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, long), (1, long), (1, long), (2, "x " + long + " y"), (None, None), (3, "")]
+    got = sorted(map(tuple, substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1))).select("doc_id", "n_words", "n_removed").collect()), key=repr)
+    assert got == sorted([(None, 50, 0), (1, 50, 50), (1, 50, 50), (2, 52, 50), (None, 0, 0), (3, 0, 0)], key=repr)
+    assert substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
 def test_hash_collisions_are_settled_by_bytes():

@@ -52,7 +52,9 @@ def test_every_stage_against_plain_python(spark, sf, tmp_path):
     spark.createDataFrame(list(plain.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     labels.where(F.col("doc_id").isin(list(plain))).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clash = {n: F.lit(1) for n in ("_keep", "_leak", "_s_n_words", "_y", "score", "key", "item_id", "n_tokens")}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns(clash)
+    columns = docs.columns
     rules = quality.learn(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), F.lit(True))
 
     def good(t):
@@ -85,6 +87,7 @@ def test_every_stage_against_plain_python(spark, sf, tmp_path):
         before, docs = docs.count(), corpus_pipeline.stage(step(spark, docs, str(tmp_path)), name)
         assert {r[0] for r in docs.select("doc_id").collect()} == set(expected[name]), name
         assert docs.count() < before or name == "encode", name
+        assert docs.columns == columns or name == "encode"
     tok = Tokenizer.from_file(queries.tokenizer_path())
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         text = left.pop(r["doc_id"]) or ""

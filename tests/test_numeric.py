@@ -103,7 +103,7 @@ def test_batches_differ_by_one_at_most(spark):
     assert spark.range(3).select(sequence.batch_of(F.col("id"), 3, 10).alias("b")).distinct().count() == 1
 
 
-@pytest.mark.parametrize("prior", [objectives.gaussian(0.7), objectives.sparsity(2.0), objectives.negative(2, 1.5, 2.0, 10), objectives.exponential_gaussian(0.6, 2.0, 0.3)])
+@pytest.mark.parametrize("prior", [objectives.gaussian(0.7), objectives.sparsity(2.0), objectives.negative(2, 1.5, 2.0, 10), objectives.exponential_gaussian(0.6, 0.25, 0.1, 0.3)])
 def test_gradients_match_differences(spark, prior):
     h = 1e-5
     v = F.col("v")
@@ -240,3 +240,180 @@ def test_stream_decays_as_the_batch_does(spark, tmp_path):
     got = {r["k"]: r["total"] for r in spark.table("decayed").collect()}
     batch = {r["k"]: r["total"] for r in pairs.decayed_sum(rows, "k", "v", ["t"], 0.5).collect()}
     assert got == pytest.approx(batch)
+
+
+def test_quantiles_of_groups_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 5000), rng.normal(size=5000).round(2))] + [(9, 1.0)]
+    got = {(r["k"], r["level"]): r["quantile"] for r in sequence.order_statistics(spark.createDataFrame(rows, "k int, v double").repartition(5), "v", ["k"], [0.0, 0.25, 0.5, 1.0]).collect()}
+    for k in (0, 1, 2, 9):
+        for q in (0.0, 0.25, 0.5, 1.0):
+            assert got[k, q] == pytest.approx(np.quantile([v for i, v in rows if i == k], q))
+
+
+def test_row_numbers_of_a_wide_table(spark):
+    df = spark.range(30_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"), "id", F.lit("x" * 50).alias("wide")).repartition(6)
+    rows = sequence.numbered(df, ["a", "id"], "at", buckets=7).select("at", "a", "id").orderBy("at").collect()
+    assert [r["at"] for r in rows] == list(range(30_000)) and [(r["a"], r["id"]) for r in rows] == sorted((r["a"], r["id"]) for r in rows)
+    cuts = [F.struct(F.lit(c).alias("k")) for c in range(0, 200, 2)]
+    placed = spark.range(-3, 205).select("id", sequence._part_of(F.struct(F.col("id").cast("int").alias("k")), cuts).alias("p"))
+    assert all(r["p"] == min(100, max(0, r["id"] // 2 + 1)) for r in placed.collect())
+
+
+def test_runs_over_many_parts(spark):
+    values = [v for k in range(400) for v in [k % 3 if k % 7 else None] * (1 + k % 5)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v int").repartition(5)
+    expected, run = [], -1
+    for i, v in enumerate(values):
+        run += i == 0 or v != values[i - 1]
+        expected.append(run)
+    assert [r["run_id"] for r in sequence.runs(df, ["i"], ["v"]).orderBy("i").collect()] == expected
+
+
+@pytest.mark.parametrize("kind,edge,size", [("hanning", "reflect", 7), ("flat", "zeros", 4), ("blackman", "extend", 5), ("flat", "reflect", 2)])
+def test_smoothing_is_a_convolution(spark, kind, edge, size):
+    x = np.random.default_rng(1).normal(size=20)
+    got = [r["smooth"] for r in sequence.smooth(spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "k int, i int, v double"), "v", size, ["k"], ["i"], kind, edge).orderBy("i").collect()]
+    if size < 3:
+        assert np.allclose(got, x)
+        return
+    m = size - 1
+    left = {"reflect": [2 * x[0] - x[k + 1] for k in range(m, 0, -1)], "zeros": [0.0] * m, "extend": [x[0]] * m}[edge]
+    right = {"reflect": [2 * x[-1] - x[len(x) - k] for k in range(1, m + 1)], "zeros": [1.0] * m, "extend": [x[-1]] * m}[edge]
+    w = np.ones(size) if kind == "flat" else getattr(np, kind)(size)
+    assert np.allclose(got, np.convolve(w / w.sum(), np.r_[left, x, right], mode="same")[m:-m])
+
+
+def test_resize_blurs_with_zeros_outside(spark):
+    a = np.random.default_rng(2).normal(size=(6, 6))
+    got = np.array(fourier.resize(spark.createDataFrame([(0, a.ravel().tolist())], "id int, px array<double>"), "id", "px", 6, 3, 2).first()["v"]).reshape(3, 3)
+    sigma = 0.66 * 2
+    r = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    w /= w.sum()
+    blur = np.apply_along_axis(lambda v: np.convolve(v, w)[r : r + 6], 0, np.apply_along_axis(lambda v: np.convolve(v, w)[r : r + 6], 1, a))
+    assert np.allclose(got, blur[np.ix_([0, 3, 5], [0, 3, 5])])
+
+
+def test_neighbour_gradient_is_the_loss_derivative(spark):
+    rng = np.random.default_rng(0)
+    rows = [(0, x, y, z, float(rng.normal())) for x in range(-1, 2) for y in range(-1, 2) for z in range(-1, 2)]
+    cols = "id int, x int, y int, z int, v double"
+    g = {(r["x"], r["y"], r["z"]): r["g"] for r in objectives.neighbour_gradient(spark.createDataFrame(rows, cols), 3, 0.7, 0.5).collect()}
+
+    def loss(h):
+        return objectives.neighbour_prior(spark.createDataFrame([(i, x, y, z, v + h * ((x, y, z) == (0, 1, -1))) for i, x, y, z, v in rows], cols), 3, 0.7, 0.5).first()["loss"]
+
+    assert g[0, 1, -1] == pytest.approx((loss(1e-4) - loss(-1e-4)) / 2e-4, abs=1e-6)
+
+
+def test_principal_axes():
+    v = robust.principal_axes([[2.0, 0.3, 0.1], [0.3, 1.0, 0.2], [0.1, 0.2, 3.0]])
+    d = v.T @ np.array([[2.0, 0.3, 0.1], [0.3, 1.0, 0.2], [0.1, 0.2, 3.0]]) @ v
+    assert np.allclose(d, np.diag(np.diag(d))) and (np.diff(np.diag(d)) > 0).all() and np.linalg.det(v) == pytest.approx(1)
+
+
+def test_asymmetric_labels_leave_one_of_each_orbit():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 3))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turns = quadrature.symmetry_rotations("c3")
+    points = np.vstack([base @ r.T for r in turns])
+    labels = quadrature.asymmetric_labels(points, "c3", 1e-6)
+    assert labels[0] == 1 and sorted(labels.reshape(3, 12).sum(axis=0)) == [-1] * 12
+
+
+def test_nearest_in_clusters(spark):
+    rng = np.random.default_rng(6)
+    p = np.vstack([rng.normal(size=(60, 2)) * 1e-3, rng.normal(size=(40, 2)) * 50, [[1e4, 1e4]], [[0.5, 0.5]] * 2])
+    got = dict(map(tuple, pairs.nearest_spacing(spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id int, p0 double, p1 double"), 2, 1.0).collect()))
+    d = np.linalg.norm(p[:, None] - p[None], axis=2) + np.diag([np.inf] * len(p))
+    assert np.allclose([got[i] for i in range(len(p))], d.min(axis=1))
+
+
+def test_poses_do_not_depend_on_the_layout(spark):
+    a, b = (sorted(map(tuple, synthetic.poses(spark, 50, 3, 2.0).repartition(k).collect())) for k in (1, 7))
+    assert a == b and np.std([r[4] for r in a]) > 0.5
+
+
+def test_optics_of_synthetic_images(spark):
+    ctf = {"akv": 200.0, "cs": 2.0, "wgh": 0.07, "dscale": 1.0, "bfactor": 50.0, "df1": 15000.0, "df2": 12000.0, "angast": 0.4}
+    axis = np.arange(8) - 4
+    gx, gy = np.meshgrid(axis, axis, indexing="ij")
+    cells = grid.grid(spark, 8, 2)
+    f, a = F.sqrt(grid.radius2(2).cast("double")) / (8 * 2.8), F.atan2(F.col("y").cast("double"), F.col("x").cast("double"))
+    own = optics.contrast_transfer(f, a, *[F.lit(ctf[k]) for k in ("akv", "cs", "wgh", "df1", "df2", "angast", "dscale", "bfactor")])
+    got = {(r["x"], r["y"]): r["c"] for r in cells.select("x", "y", own.alias("c")).collect()}
+    assert np.allclose(synthetic.transfer(gx, gy, 2.8, ctf), [[got[x, y] for y in axis] for x in axis])
+    volume = synthetic.blob_volume(8, 6, 1.0, 3)
+    posed = synthetic.poses(spark, 2, 1, 0.0).withColumn("df1", F.lit(15000.0))
+    with_ctf, without = (np.array(synthetic.project(posed, volume, 0.0, 1, o, 2.8).orderBy("image_id").first()["px"]) for o in (ctf, None))
+    expected = fourier.centred_ifft(fourier.centred_fft(without.reshape(8, 8), 2) * synthetic.transfer(gx, gy, 2.8, ctf), 2).real
+    assert np.allclose(fourier.centred_ifft(fourier.centred_fft(with_ctf.reshape(8, 8), 2), 2).real, expected, atol=0.2)
+
+
+def test_stacks_and_generated_tables(spark, tmp_path):
+    data = np.random.default_rng(0).normal(size=(5, 6, 6)).astype(np.float32)
+    path = str(tmp_path / "s.mrc")
+    mrc.write(data, path, 2.0)
+    stack, info = mrc.read_stack(spark, path)
+    assert info == {"images": 5, "pixels": 6, "pixel_size": 2.0} and np.allclose(mrc.image(stack, 3).first()["px"], data[3].ravel())
+    small, info = mrc.read_stack(spark, path, scale=0.5)
+    assert info == {"images": 5, "pixels": 3, "pixel_size": 4.0} and len(small.first()["px"]) == 9
+    ctfs = spark.createDataFrame([(0, 15000.0, 14000.0, 0.5), (1, 16000.0, 14000.0, 0.5)], "ctf_id int, DF1 double, DF2 double, ANGAST double")
+    posed = spark.createDataFrame([(i, i % 2, 0.1, 0.2, 0.3, 1.0, 2.0, 7) for i in range(4)], "image_id int, ctf_id int, PHI double, THETA double, PSI double, SHX double, SHY double, FILM int")
+    rows = text_tables.generated(ctfs, posed, ["PHI", "THETA", "PSI", "SHX", "SHY", "FILM"])
+    assert tuple(text_tables.counts(rows).first()) == (2, 4)
+    text_tables.write_poses(rows, "image_id", str(tmp_path / "poses"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "poses")).collect()]
+    assert len(lines) == 5 and lines[0].startswith("C") and lines[2].split()[:2] == ["1", "0.100"]
+
+
+def test_state_and_background(spark, tmp_path):
+    import datetime
+
+    for v in (1, 2):
+        monitor.save_latest(spark, str(tmp_path / "diag"), [{"a": v}])
+    assert [r["a"] for r in monitor.load_latest(spark, str(tmp_path / "diag")).collect()] == [2]
+    assert monitor.newer_files(spark, str(tmp_path / "diag/versions"), datetime.datetime(2000, 1, 1)).count() >= 2
+    assert monitor.newer_files(spark, str(tmp_path / "diag/versions"), datetime.datetime(2100, 1, 1)).count() == 0
+    kept, turns = [], iter([1, 2, 3])
+    run = monitor.Background(lambda: next(turns, False), kept.append)
+    run.begin()
+    run.pause()
+    run.resume()
+    run.end()
+    assert kept == [1, 2, 3]
+    broken = monitor.Background(lambda: 1 / 0)
+    broken.begin()
+    with pytest.raises(ZeroDivisionError):
+        broken.end()
+    assert monitor.typed({"rate": 0.5, "name": "x"}, {"rate": 1}) == {"rate": 1, "name": "x"}
+    with pytest.raises(TypeError):
+        monitor.typed({"rate": 0.5}, {"rate": "fast"})
+    with pytest.raises(KeyError):
+        monitor.typed({"rate": 0.5}, {"rat": 1})
+
+
+def test_schedules_are_evaluated(spark):
+    terms = {"rate": "CASE WHEN epoch < 2 THEN 0.5 ELSE 0.1 END", "size": "least(iteration * 2, 10)"}
+    assert [float(v) for v in monitor.schedule(spark, terms, {"epoch": 3, "iteration": 4}).values()] == [0.1, 8.0]
+    assert [float(v) for v in monitor.schedule(spark, terms, {"epoch": 1, "iteration": 9}).values()] == [0.5, 10.0]
+
+
+def test_frequency_marching_and_held_out_images(spark):
+    volume = synthetic.blob_volume(8, 8, 1.2, 2)
+    images = synthetic.project(synthetic.poses(spark, 60, 1, 0.0), volume, 0.05, 1)
+    kept = []
+    x, stats = reconstruct.reconstruct(images.where("image_id < 48"), 8, 0.5, 12, 4, np.zeros((8, 8, 8)), 10, 2, radius=lambda i: 0.5 if i < 4 else 2.0, each=lambda row, v: kept.append(v))
+    assert len(kept) == 10 and np.abs(x).max() > 0
+    turns = reconstruct.direction_turns(12, 4).reshape(-1, 3, 3)
+    held = fourier.to_fourier(images.where("image_id >= 48"), "image_id", "px", 8, 2)
+
+    def loss(v):
+        f = fourier.centred_fft(v, 3)
+        slices = np.array([synthetic.slice_of(f, t).ravel() for t in turns])
+        row = likelihood.summed(held, slices, np.full(len(turns), -math.log(len(turns))), 0.25, lambda g: g).where("at = -1").first()
+        return row["re"] / row["im"]
+
+    assert loss(x) < loss(np.zeros((8, 8, 8)))

@@ -3,7 +3,7 @@
 import pytest
 
 import compare
-from stackwright.plans import queries_images, queries_pipelines, queries_tables, registry  # noqa: F401
+from stackwright.plans import queries_images, queries_more, queries_pipelines, queries_tables, registry  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
