@@ -74,7 +74,8 @@ class Background:
     def __init__(self, turn: Callable[[], object], sink: Callable[[object], None] | None = None):
         self.turn, self.sink = turn, sink
         self.going, self.stopped = threading.Event(), False
-        self.pool = ThreadPoolExecutor(2)
+        # one thread each: what is handed to the sink stays in order
+        self.pool, self.saver = ThreadPoolExecutor(1), ThreadPoolExecutor(1)
         self.jobs: list[Future] = []
 
     def begin(self) -> None:
@@ -88,7 +89,7 @@ class Background:
             if found is False or found is None:
                 return
             if self.sink:
-                self.jobs.append(self.pool.submit(self.sink, found))
+                self.jobs.append(self.saver.submit(self.sink, found))
 
     def pause(self) -> None:
         self.going.clear()
@@ -104,6 +105,7 @@ class Background:
         for job in self.jobs:
             job.result()
         self.pool.shutdown()
+        self.saver.shutdown()
 
 
 def by_prefix(stat: DataFrame, prefix: str, keys: list[str]) -> DataFrame:

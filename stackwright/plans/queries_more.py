@@ -48,10 +48,10 @@ def scaled_images(spark, d):
     return robust.scale_images(images(spark, d), 2.5).select("vec_id", "x", "y", F.round("v", 6).alias("v"))
 
 
-INSIDE = "g as (select x, y, row_number() over (order by x, y) - 1 as at from (select i // 8 - 4 as x, i % 8 - 4 as y from (select unnest(range(64)) as i)) where x*x + y*y < 9)"
+INSIDE = 'g as (select x, y, row_number() over (order by x, y) - 1 as "at" from (select i // 8 - 4 as x, i % 8 - 4 as y from (select unnest(range(64)) as i)) where x*x + y*y < 9)'
 
 
-@query(f"with {CELLS2}, {INSIDE} select vec_id, at, round(v, 6) as v from c join g using (x, y)")
+@query(f'with {CELLS2}, {INSIDE} select vec_id, "at", round(v, 6) as v from c join g using (x, y)')
 def full_to_truncated(spark, d):
     return grid.full_to_truncated(spark, images(spark, d), 8, 2, 0.75, "vec_id").withColumn("v", F.round("v", 6))
 
@@ -121,7 +121,7 @@ TAPS3 = "t as (select id, row, floor(p0) + a.o as x, floor(p1) + b.o as y, floor
 
 
 @query(f"""with d0(id, dx, dy, dz) as (values {", ".join(map(str, DIRS))}), d as (select id, dx::double as dx, dy::double as dy, dz::double as dz from d0), {INSIDE},
- q as (select id, at as row, case when dz <= -1 then g.x else (1 - dx*dx/(1 + dz))*g.x - dx*dy/(1 + dz)*g.y end as p0, case when dz <= -1 then -g.y else -dx*dy/(1 + dz)*g.x + (1 - dy*dy/(1 + dz))*g.y end as p1, case when dz <= -1 then 0 else -dx*g.x - dy*g.y end as p2 from d, g),
+ q as (select id, "at" as row, case when dz <= -1 then g.x else (1 - dx*dx/(1 + dz))*g.x - dx*dy/(1 + dz)*g.y end as p0, case when dz <= -1 then -g.y else -dx*dy/(1 + dz)*g.x + (1 - dy*dy/(1 + dz))*g.y end as p1, case when dz <= -1 then 0 else -dx*g.x - dy*g.y end as p2 from d, g),
  o as (select unnest([0, 1]) as o), {TAPS3} select id, row, x::int as x, y::int as y, z::int as z, round(w*sqrt(8), 6) as weight from t where abs(w) > 1e-9 and x between -4 and 3 and y between -4 and 3 and z between -4 and 3""")
 def projection_matrix(spark, d):
     dirs = spark.createDataFrame(DIRS, "id int, dx double, dy double, dz double")
@@ -129,7 +129,7 @@ def projection_matrix(spark, d):
     return out.where("abs(weight) > 3e-9").select("id", "row", "x", "y", "z", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""with a0(id, t) as (values (0, 0.0), (1, 0.3), (2, 2.1)), a as (select id, t::double as t from a0), {INSIDE}, q as (select id, at as row, cos(t)*g.x - sin(t)*g.y as p0, sin(t)*g.x + cos(t)*g.y as p1 from a, g), o as (select unnest([0, 1]) as o),
+@query(f"""with a0(id, t) as (values (0, 0.0), (1, 0.3), (2, 2.1)), a as (select id, t::double as t from a0), {INSIDE}, q as (select id, "at" as row, cos(t)*g.x - sin(t)*g.y as p0, sin(t)*g.x + cos(t)*g.y as p1 from a, g), o as (select unnest([0, 1]) as o),
  t as (select id, row, floor(p0) + a.o as x, floor(p1) + b.o as y, (1 - abs(p0 - floor(p0) - a.o))*(1 - abs(p1 - floor(p1) - b.o)) as w from q, o a, o b) select id, row, x::int as x, y::int as y, round(w, 6) as weight from t where abs(w) > 1e-9 and x between -4 and 3 and y between -4 and 3""")
 def inplane_matrix(spark, d):
     angles = spark.createDataFrame([(0, 0.0), (1, 0.3), (2, 2.1)], "id int, theta double")
@@ -185,7 +185,7 @@ TAPS, PICK = fourier.blur_taps(0.5), fourier.nearest(8, 4)
 BLUR = ", ".join(f"({i - len(TAPS) // 2}, {float(t)!r}::double)" for i, t in enumerate(TAPS))
 
 
-@query(f"with {CELLS2}, k(d, w) as (values {BLUR}), a as (select vec_id, x + d as x, y, sum(w*v) as v from c, k group by all), b as (select vec_id, x, y + d as y, sum(w*v) as v from a, k group by all), p(i, at) as (values {', '.join(f'({i}, {int(a)})' for i, a in enumerate(PICK))}) select vec_id, list(round(v, 5) order by r.i*4 + s.i) as v from b join p r on b.x + 4 = r.at join p s on b.y + 4 = s.at group by 1")
+@query(f"with {CELLS2}, k(d, w) as (values {BLUR}), a as (select vec_id, x + d as x, y, sum(w*v) as v from c, k group by all), b as (select vec_id, x, y + d as y, sum(w*v) as v from a, k group by all), p(i, place) as (values {', '.join(f'({i}, {int(a)})' for i, a in enumerate(PICK))}) select vec_id, list(round(v, 5) order by r.i*4 + s.i) as v from b join p r on b.x + 4 = r.place join p s on b.y + 4 = s.place group by 1")
 def resized_images(spark, d):
     px = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("px"))
     return fourier.resize(px, "vec_id", "px", 8, 4, 2).select("vec_id", F.transform("v", lambda e: F.round(e, 5)).alias("v"))

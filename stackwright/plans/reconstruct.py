@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackwright.operators import likelihood
@@ -44,6 +44,11 @@ def scatter(turns: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _taken(name: str, places: Column) -> Column:
+    """The array's values at the places."""
+    return F.transform(places, lambda i: F.get(F.col(name), i))
+
+
 def reconstruct(images: DataFrame, n: int, sigma: float, n_directions: int, n_turns: int, start: np.ndarray, iterations: int, n_batches: int = 4, seed: int = 0, prior_sigma: float = 10.0, radius: Callable[[int], float] | None = None, each: Callable[[dict, np.ndarray], None] | None = None) -> tuple[np.ndarray, list[dict]]:
     """(volume, statistics) from (image_id, px). Images are transformed once and persisted.
 
@@ -70,7 +75,7 @@ def reconstruct(images: DataFrame, n: int, sigma: float, n_directions: int, n_tu
         keep = F.array(*[F.lit(int(i)) for i in used]) if len(used) < n * n else None
         rows = packed.where(F.col("batch") == batch)
         if keep is not None:
-            rows = rows.select(*[F.transform(keep, lambda i, c=c: F.get(F.col(c), i)).alias(c) for c in ("re", "im")])
+            rows = rows.select(*[_taken(c, keep).alias(c) for c in ("re", "im")])
         found = likelihood.summed(rows, slices[:, used], logw, sigma**2, spread).toPandas()  # n**3 + 1 rows
         if not len(found):
             return 0.0, np.zeros(n**3)
