@@ -10,26 +10,32 @@ from pyspark.sql import Window as W
 
 from stackwright.operators.grid import radius2
 from stackwright.operators.pairs import look_up
-from stackwright.operators.sequence import order_statistics
+from stackwright.operators.sequence import order_statistics, share_of_quantile, value_counts
 
 #: Scales a median absolute deviation to a standard deviation of a normal distribution (fixed value).
 MAD_TO_STD = 1.4826
 
 
-def mean_std(df: DataFrame, value: str, keys: list[str], kind: str = "robust") -> DataFrame:
-    """(keys, mean, std): median and scaled MAD, or mean and population standard deviation."""
+def mean_std(df: DataFrame, value: str, keys: list[str], kind: str = "robust", weight: str | None = None) -> DataFrame:
+    """(keys, mean, std, n): median and scaled MAD, or mean and population standard deviation, of the values that are
+    not null, and their number. The robust kind reads the rows once: the deviations come from the counts of
+    distinct values. weight (robust): a column with how often each row counts."""
     if kind == "mle":
-        return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    middle = median(df, value, keys, "mean")
-    rows = df.select(*keys, value)
-    rows = rows.join(middle, keys) if keys else rows.crossJoin(F.broadcast(middle))
-    off = rows.select(*keys, "mean", F.abs(F.col(value) - F.col("mean")).alias("off"))
-    return median(off, "off", [*keys, "mean"], "std").withColumn("std", MAD_TO_STD * F.col("std"))
+        return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+    counts = value_counts(df, value, keys, weight)
+    part = share_of_quantile(0.5)
+    middle = counts.where(part > 0).groupBy(*keys).agg(F.sum(part * F.col(value)).alias("mean"), F.max("_all").alias("n"))
+    renamed = middle.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], "mean", "n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_m{i}"))
+    off = counts.join(renamed if keys else F.broadcast(renamed), same).select(*keys, "mean", "n", F.abs(F.col(value) - F.col("mean")).alias("off"), F.col("_n").alias("_times"))
+    return median(off, "off", [*keys, "mean", "n"], "std", "_times").select(*keys, "mean", (MAD_TO_STD * F.col("std")).alias("std"), "n")
 
 
-def median(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
-    """(keys, out): the exact median, by a distributed sort."""
-    return order_statistics(df, value, keys, [0.5]).select(*keys, F.col("quantile").alias(out))
+def median(df: DataFrame, value: str, keys: list[str], out: str, weight: str | None = None) -> DataFrame:
+    """(keys, out): the exact median."""
+    return order_statistics(df, value, keys, [0.5], weight).select(*keys, F.col("quantile").alias(out))
 
 
 def dc_observations(means: DataFrame, responses: DataFrame, key: str, n: int) -> DataFrame:
@@ -40,7 +46,7 @@ def dc_observations(means: DataFrame, responses: DataFrame, key: str, n: int) ->
 
 def dc_estimate(observations: DataFrame, kind: str = "robust") -> DataFrame:
     """(mean, std, error) of the observations: one row, which a run keeps for later."""
-    return mean_std(observations, "dc", [], kind).crossJoin(observations.agg(F.count(F.lit(1)).alias("n"))).withColumn("error", F.col("std") / F.sqrt("n")).drop("n")
+    return mean_std(observations, "dc", [], kind).withColumn("error", F.col("std") / F.sqrt("n")).drop("n")
 
 
 def scale_images(cells: DataFrame, factor: float) -> DataFrame:

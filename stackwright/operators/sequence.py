@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stackwright.staging import stage
+
 
 def runs(df: DataFrame, order: list[str], same: list[str], keys: list[str] | None = None, out: str = "run_id") -> DataFrame:
     """Number the runs of rows with equal values: a value that comes back later starts a new run. Without
@@ -96,56 +98,67 @@ def shuffle_key(row_id: Column, seed: int) -> Column:
     return F.pmod((row_id + seed) * 2654435761, F.lit(1 << 32))
 
 
-#: Distinct sort keys that are looked at for each part, to tell where parts begin.
-SAMPLE_PER_PART = 200
-
-
-def _cuts(keys: DataFrame, n: int) -> list[tuple]:
-    """At most n - 1 sort keys that cut the rows into parts of about equal size. The keys looked at are
-    picked by their hash, so a plan that runs again cuts at the same places."""
-    every = max(1, keys.count() // (SAMPLE_PER_PART * n))
-    some = keys.where(F.pmod(F.xxhash64(*keys.columns), F.lit(every)) == 0).distinct().collect()  # bounded, see every
-    found = sorted((tuple(r) for r in some), key=lambda r: [(v is not None, v) for v in r])
-    return sorted({found[len(found) * i // n]: 0 for i in range(1, n)}, key=found.index) if len(found) >= n else found[1:]
-
-
-def _part_of(key: Column, cuts: list[Column]) -> Column:
-    """How many of the cuts are not after the key: a look at every so many first, then at those between."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts))
-    coarse = F.size(F.filter(F.array(*cuts[step - 1 :: step]), lambda c: c <= key))
-    return coarse * step + F.size(F.filter(F.slice(F.array(*cuts), coarse * step + 1, F.lit(step)), lambda c: c <= key))
-
-
 def numbered(df: DataFrame, order: list[Column | str], out: str, buckets: int | None = None, part: str | None = None) -> DataFrame:
-    """Global row numbers from 0 without a global task: rows are cut into ranges of the order, numbered in
-    each, and each range starts at the number of rows in those before it. part: a column for the range's
-    number. Rows with equal sort keys are in one range and numbered in any order."""
+    """Global row numbers from 0 without a global task: rows go to ranges of the order, are sorted and numbered in
+    each, and written once, so that the numbers stand; each range starts at the number of rows in those
+    before it. part: a column for the range's number. Rows with equal sort keys share a range and are numbered in any
+    order, so orders end in an id."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exprs = [F.col(o) if isinstance(o, str) else o for o in order]
-    keys = df.select(*[e.alias(f"_o{i}") for i, e in enumerate(exprs)])
-    kinds = [f.dataType for f in keys.schema.fields]
-    cuts = [F.struct(*[F.lit(v).cast(t).alias(f"_o{i}") for i, (v, t) in enumerate(zip(c, kinds, strict=True))]) for c in _cuts(keys, n)]
-    parts = df.withColumn("_p", _part_of(F.struct(*[e.alias(f"_o{i}") for i, e in enumerate(exprs)]), cuts))
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
+    names = [f"_o{i}" for i in range(len(exprs))]
+    ranged = df.select("*", *[e.alias(o) for o, e in zip(names, exprs, strict=True)]).repartitionByRange(n, *names).sortWithinPartitions(*names).drop(*names)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    placed = stage(ranged.withColumns({"_p": F.spark_partition_id(), "_m": nth}), "numbered")
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
     before = F.coalesce(F.sum("_k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per range
-    placed = parts.withColumn("_m", F.row_number().over(W.partitionBy("_p").orderBy(*exprs)))
-    placed = placed.join(F.broadcast(counts.select("_p", before.alias("_base"))), "_p").withColumn(out, F.col("_m") - 1 + F.col("_base")).drop("_m", "_base")
+    placed = placed.join(F.broadcast(counts.select("_p", before.alias("_base"))), "_p").withColumn(out, F.col("_m") + F.col("_base")).drop("_m", "_base")
     return placed.withColumnRenamed("_p", part) if part else placed.drop("_p")
 
 
-def order_statistics(df: DataFrame, value: str, keys: list[str], levels: list[float]) -> DataFrame:
-    """(keys, level, quantile): exact quantiles of the values that are not null, linear between ranks. Rows
-    are numbered by a distributed sort, then those at the wanted ranks are picked: no group is held in one
-    task, however large."""
-    placed = numbered(df.where(F.col(value).isNotNull()).select(*keys, value), [*keys, value], "_at")
-    bounds = placed.groupBy(*keys).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
-    wanted = bounds.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level")).withColumn("_r", F.col("level") * (F.col("_n") - 1))
-    part = F.col("_r") - F.floor("_r")
-    ends = F.array(F.struct(F.floor("_r").alias("_k"), (1 - part).alias("_w")), F.struct((F.floor("_r") + 1).alias("_k"), part.alias("_w")))
-    wanted = wanted.select("level", "_low", F.inline(ends)).where("_w > 0").select("level", (F.col("_low") + F.col("_k")).alias("_at"), "_w")
-    rows = placed.join(wanted if keys else F.broadcast(wanted), "_at")
+#: Distinct values up to which one window may cumulate their counts; beyond, ranges of them are cumulated apart.
+WINDOW_ROWS = 1 << 20
+
+
+def value_counts(df: DataFrame, value: str, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, value, _n, _before, _all): how often each value that is not null stands in its group, and how many rows of
+    the group come before it and in all. Equal values are counted before any shuffle, so neither a group nor
+    a value is held in one task, however often it comes. The counts are staged: the rows are read once."""
+    held = df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+    seen = Observation()
+    counts = held.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+    counts = stage(counts.observe(seen, F.count(F.lit(1)).alias("rows")), "counts")
+    group = W.partitionBy(*keys)
+    if seen.get["rows"] <= WINDOW_ROWS:
+        w = group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        return counts.withColumns({"_before": F.sum("_n").over(w) - F.col("_n"), "_all": F.sum("_n").over(group)})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(counts.repartitionByRange(n, *keys, value).withColumn("_p", F.spark_partition_id()), "ranges")
+    w = W.partitionBy("_p", *keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    placed = placed.withColumn("_inner", F.sum("_n").over(w) - F.col("_n"))
+    # one row per group and range
+    totals = placed.groupBy("_p", *keys).agg(F.sum("_n").alias("_t"))
+    earlier = F.coalesce(F.sum("_t").over(group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], earlier.alias("_base"), F.sum("_t").over(group).alias("_all"))
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(totals, same).select(*keys, value, "_n", (F.col("_inner") + F.col("_base")).alias("_before"), "_all")
+
+
+def share_of_quantile(level: Column | float) -> Column:
+    """How much a row of value_counts has in its group's quantile, linear between ranks."""
+    rank = F.lit(level) * (F.col("_all") - 1)
+    low, above = F.floor(rank), rank - F.floor(rank)
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_n"))
+    return F.when(holds(low), 1 - above).otherwise(0.0) + F.when(holds(low + 1), above).otherwise(0.0)
+
+
+def order_statistics(df: DataFrame, value: str, keys: list[str], levels: list[float], weight: str | None = None) -> DataFrame:
+    """(keys, level, quantile): exact quantiles of the values that are not null, linear between ranks, from the
+    cumulated counts of distinct values. weight: a column with how often each row counts."""
+    counts = value_counts(df, value, keys, weight)
+    shares = F.transform(F.array(*map(F.lit, levels)), lambda q: F.struct(q.alias("level"), share_of_quantile(q).alias("_w")))
+    rows = counts.select(*keys, value, F.inline(F.filter(shares, lambda s: s["_w"] > 0)))
     return rows.groupBy(*keys, "level").agg(F.sum(F.col("_w") * F.col(value)).alias("quantile"))
 
 

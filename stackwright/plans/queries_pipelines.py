@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stackwright.operators import fourier
 from stackwright.plans.registry import query, table
+from stackwright.staging import fresh_path
 
 
 def _packed(spark, d):
@@ -36,17 +37,11 @@ def padded_fourier(spark, d):
 @query("select user_id, arg_max(value, (ts, event_id)) as value from events group by 1")
 def running_sum_stream(spark, d):
     """The keyed state of a stream that has read the whole table, in micro-batches."""
-    import tempfile
-    import uuid
-
     from stackwright.streaming.running_sum import latest_per_key
 
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*").option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    where = f"{shared or 'file://' + tempfile.mkdtemp()}/running_{uuid.uuid4().hex[:8]}"
+    where = fresh_path(spark, "running")
 
     def keep(batch, _):  # the whole state, written where executors are: nothing is held by the driver
         batch.write.mode("overwrite").parquet(f"{where}/state")

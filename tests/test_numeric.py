@@ -255,9 +255,41 @@ def test_row_numbers_of_a_wide_table(spark):
     df = spark.range(30_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"), "id", F.lit("x" * 50).alias("wide")).repartition(6)
     rows = sequence.numbered(df, ["a", "id"], "at", buckets=7).select("at", "a", "id").orderBy("at").collect()
     assert [r["at"] for r in rows] == list(range(30_000)) and [(r["a"], r["id"]) for r in rows] == sorted((r["a"], r["id"]) for r in rows)
-    cuts = [F.struct(F.lit(c).alias("k")) for c in range(0, 200, 2)]
-    placed = spark.range(-3, 205).select("id", sequence._part_of(F.struct(F.col("id").cast("int").alias("k")), cuts).alias("p"))
-    assert all(r["p"] == min(100, max(0, r["id"] // 2 + 1)) for r in placed.collect())
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_order_statistics_of_hot_values(spark, monkeypatch, most):
+    """One value in nearly all rows, groups without key, nulls: through one window and through ranges of values."""
+    monkeypatch.setattr(sequence, "WINDOW_ROWS", most)
+    rng = np.random.default_rng(5)
+    rows = [(1, 7.0)] * 3000 + [(k, float(v)) for k in (1, 2, None) for v in rng.normal(size=301).round(1)] + [(3, None), (4, 1.0), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    groups = {k: np.array([v for i, v in rows if i == k and v is not None]) for k in (1, 2, None, 4)}
+    got = {r["k"]: (r["mean"], r["std"], r["n"]) for r in robust.mean_std(df, "v", ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        middle = np.median(v)
+        assert got[k] == pytest.approx((middle, 1.4826 * np.median(np.abs(v - middle)), len(v)))
+    found = {(r["k"], r["level"]): r["quantile"] for r in sequence.order_statistics(df, "v", ["k"], [0.0, 0.1, 0.999, 1.0]).collect()}
+    assert found == pytest.approx({(k, q): np.quantile(v, q) for k, v in groups.items() for q in (0.0, 0.1, 0.999, 1.0)})
+    alone = robust.mean_std(df.select("v"), "v", []).first()
+    every = np.array([v for _, v in rows if v is not None])
+    assert (alone["mean"], alone["n"]) == pytest.approx((np.median(every), len(every)))
+    counted = df.groupBy("k", "v").count()
+    assert sorted(map(str, sequence.order_statistics(counted, "v", ["k"], [0.3], "count").collect())) == sorted(map(str, sequence.order_statistics(df, "v", ["k"], [0.3]).collect()))
+    assert sequence.order_statistics(df.limit(0), "v", ["k"], [0.5]).count() == 0
+
+
+def test_robust_statistics_read_their_rows_once(spark, tmp_path):
+    """One job reads the rows; all that follows works on counts."""
+    from stackwright.staging import clear
+
+    path = str(tmp_path / "rows")
+    spark.range(20_000).select((F.col("id") % 7).alias("k"), (F.col("id") % 101).cast("double").alias("v")).write.parquet(path)
+    out = robust.mean_std(spark.read.parquet(path), "v", ["k"])
+    assert path not in out._jdf.queryExecution().toString()
+    assert out.count() == 7
+    clear(spark)
 
 
 def test_runs_over_many_parts(spark):
