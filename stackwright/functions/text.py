@@ -22,3 +22,14 @@ def named(template: str, **values: Column) -> Column:
     for k, v in values.items():
         out = F.replace(out, F.lit("{" + k + "}"), v.cast("string"))
     return out
+
+
+def n_words(text: Column) -> Column:
+    """Runs of characters that are not white space (space, U+0009 to U+000D)."""
+    return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))
+
+
+def n_lines(text: Column) -> Column:
+    """Lines of a text, the last one counted also without a line end; an empty text has none."""
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(F.length(text) == 0, 0).otherwise(ends + F.when(text.endswith("\n"), 0).otherwise(1))

@@ -105,14 +105,22 @@ def numbered(df: DataFrame, order: list[Column | str], out: str, buckets: int |
     order, so orders end in an id."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exprs = [F.col(o) if isinstance(o, str) else o for o in order]
-    names = [f"_o{i}" for i in range(len(exprs))]
+    own = free_name([*df.columns, out], "_n")  # no column of the input starts so
+    names, at, rank, base, rows = [f"{own}o{i}" for i in range(len(exprs))], f"{own}p", f"{own}m", f"{own}b", f"{own}k"
     ranged = df.select("*", *[e.alias(o) for o, e in zip(names, exprs, strict=True)]).repartitionByRange(n, *names).sortWithinPartitions(*names).drop(*names)
     nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
-    placed = stage(ranged.withColumns({"_p": F.spark_partition_id(), "_m": nth}), "numbered")
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
-    before = F.coalesce(F.sum("_k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per range
-    placed = placed.join(F.broadcast(counts.select("_p", before.alias("_base"))), "_p").withColumn(out, F.col("_m") + F.col("_base")).drop("_m", "_base")
-    return placed.withColumnRenamed("_p", part) if part else placed.drop("_p")
+    placed = stage(ranged.withColumns({at: F.spark_partition_id(), rank: nth}), "numbered")
+    counts = placed.groupBy(at).agg(F.count(F.lit(1)).alias(rows))
+    before = F.coalesce(F.sum(rows).over(W.orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    placed = placed.join(F.broadcast(counts.select(at, before.alias(base))), at).withColumn(out, F.col(rank) + F.col(base)).drop(rank, base)
+    return placed.withColumnRenamed(at, part) if part else placed.drop(at)
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """A name that starts with base and starts no column's name."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base += "_"
+    return base
 
 
 #: Distinct values up to which one window may cumulate their counts; beyond, ranges of them are cumulated apart.

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,15 @@ def clear(spark: SparkSession) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was staged inside: for jobs that have written their output by then."""
+    staged = _STAGED.setdefault(spark.sparkContext.applicationId, [])
+    before = len(staged)
+    try:
+        yield
+    finally:
+        while len(staged) > before:
+            delete(spark, staged.pop())

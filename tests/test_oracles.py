@@ -3,6 +3,7 @@
 import pytest
 
 import compare
+from jobs import queries as job_queries  # noqa: F401
 from stackwright.plans import queries_images, queries_more, queries_pipelines, queries_tables, registry  # noqa: F401
 
 
