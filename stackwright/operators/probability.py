@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stackwright.operators.sequence import cumulated, staged_count
+
 
 def log_sum_exp(df: DataFrame, value: str, keys: list[str], weight: str | None = None, out: str = "lse") -> DataFrame:
     """log(sum(weight * exp(value))) of each group, by the group's maximum, so that nothing overflows.
@@ -63,36 +63,32 @@ def residual_counts(n: Column, p: Column) -> tuple[Column, Column]:
     return sure, n * p - sure
 
 
+def portable_unit(*parts: Column | str | int) -> Column:
+    """A pseudo-random number in [0, 1) that any engine can state: the first 32 bits of the md5 of the parts as text, with
+    colons between them."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") if isinstance(p, str) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
 def draw(df: DataFrame, keys: list[str], item: str, p: str, n: str, seed: int, residual: bool = False) -> DataFrame:
-    """(keys, item, count, weight): a multinomial draw of n items per group, weight count / (p * n).
-
-    The generator is seeded by the seed and the group's key, so a task that runs again draws the same."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def work(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(item)
-        probs = rows.column(p).to_numpy().astype(np.float64)
-        probs = probs / probs.sum()
-        total = int(rows.column(n)[0].as_py())
-        rng = np.random.default_rng([seed, *(abs(hash_of(k.as_py())) for k in key)])
-        if residual:
-            counts = np.floor(total * probs).astype(np.int64)
-            rest = total * probs - counts
-            left = total - int(counts.sum())
-            if left:
-                counts += rng.multinomial(left, rest / rest.sum())
-        else:
-            counts = rng.multinomial(total, probs)
-        hit = counts > 0
-        out = {k: rows.column(k).filter(pa.array(hit)) for k in keys} | {item: rows.column(item).filter(pa.array(hit))}
-        return pa.table(out | {"count": pa.array(counts[hit]), "weight": pa.array(counts[hit] / (probs[hit] * total))})
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, item]) + ", count long, weight double"
-    return df.groupBy(*keys).applyInArrow(work, schema)
-
-
-def hash_of(value) -> int:
-    """An integer that is the same in every process."""
-    if isinstance(value, int):
-        return value
-    return int.from_bytes(str(value).encode()[:16].ljust(16, b"\0"), "little")
+    """(keys, item, count, weight): n items of each group drawn in proportion to p, weight count / (share * n).
+
+    A systematic draw: the group's items lie one after the other on a line of length n, and every whole number plus a
+    hash of seed and group picks the item it falls on. Each item is drawn n times its share on average, and at most
+    once more or less; residual: the whole part of n times the share is certain, what is left over is drawn. A draw
+    needs the sums before each item alone, which ranges of a large group find apart, so no group is held in one task,
+    and a run that is repeated draws the same. Items with a null or no p are never drawn."""
+    rows = df.where(F.col(p) > 0).select(*keys, item, F.col(p).cast("double").alias("_p"), F.col(n).alias("_draws"))
+    placed = cumulated(*staged_count(rows, "draw"), keys, [item], "_p").withColumn("_share", F.col("_p") / F.col("_all"))
+    if residual:
+        sure, rest = residual_counts(F.lit(1), F.round(F.col("_draws") * F.col("_share"), 9))
+        rows = placed.select(*keys, item, "_share", "_draws", sure.alias("_sure"), rest.alias("_rest"))
+        placed = cumulated(*staged_count(rows, "draw"), keys, [item], "_rest")
+        low, width, certain = F.col("_before"), F.col("_rest"), F.col("_sure")
+    else:
+        low, width, certain = F.col("_before") / F.col("_all") * F.col("_draws"), F.col("_share") * F.col("_draws"), F.lit(0)
+    start = portable_unit(seed, *keys)
+    # rounded, so that sums of shares end in whole numbers
+    hits = F.ceil(F.round(low + width, 9) - start) - F.ceil(F.round(low, 9) - start)
+    out = placed.withColumn("count", (certain + hits).cast("long")).where("count > 0")
+    return out.select(*keys, item, "count", (F.col("count") / (F.col("_share") * F.col("_draws"))).alias("weight"))

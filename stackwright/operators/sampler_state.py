@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stackwright.operators.pairs import fisher_density
+from stackwright.operators.probability import posterior
 
 
-def record_update(samples: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """(image, point, p): posterior values at sampled points (image, point, value, weight), divided by how
-    likely they were drawn, tempered and normalised per image."""
-    raw = F.pow(F.col("value") * F.col("weight"), F.lit(1.0 / temperature))
-    return samples.select("image", "point", (raw / F.sum(raw).over(W.partitionBy("image"))).alias("p"))
+def record_update(samples: DataFrame, temperature: float = 1.0, log: bool = False) -> DataFrame:
+    """(image, point, p): posterior values at sampled points (image, point, value, weight), freed of the weights they
+    were sampled with, tempered and normalised per image. log: value is a logarithm."""
+    value = F.col("value") if log else F.ln(F.abs("value"))
+    rows = samples.select("image", "point", ((value - F.ln("weight")) / temperature).alias("_e"))
+    return posterior(rows, "_e", ["image"]).select("image", "point", "p")
 
 
 def commit(state: DataFrame, updates: DataFrame) -> DataFrame:

@@ -123,34 +123,48 @@ def free_name(columns: list[str], base: str) -> str:
     return base
 
 
-#: Distinct values up to which one window may cumulate their counts; beyond, ranges of them are cumulated apart.
+#: Rows up to which one window may cumulate; beyond, ranges of the order are cumulated apart.
 WINDOW_ROWS = 1 << 20
 
 
-def value_counts(df: DataFrame, value: str, keys: list[str], weight: str | None = None) -> DataFrame:
-    """(keys, value, _n, _before, _all): how often each value that is not null stands in its group, and how many rows of
-    the group come before it and in all. Equal values are counted before any shuffle, so neither a group nor
-    a value is held in one task, however often it comes. The counts are staged: the rows are read once."""
-    held = df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+def staged_count(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """The staged table and its number of rows, counted while it is written."""
     seen = Observation()
-    counts = held.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-    counts = stage(counts.observe(seen, F.count(F.lit(1)).alias("rows")), "counts")
+    table = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), tag)
+    return table, seen.get["rows"]
+
+
+def cumulated(table: DataFrame, rows: int, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds _before and _all: the sum of a value over the rows of the group before a row, and over the whole group. table is
+    staged and has so many rows. Beyond WINDOW_ROWS a group spans ranges of the order: each is summed by itself
+    and starts at the sum of those before it, so no group is held in one task. Sums run in the order, so that a run that is
+    repeated gives the same last digits."""
     group = W.partitionBy(*keys)
-    if seen.get["rows"] <= WINDOW_ROWS:
-        w = group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        return counts.withColumns({"_before": F.sum("_n").over(w) - F.col("_n"), "_all": F.sum("_n").over(group)})
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(counts.repartitionByRange(n, *keys, value).withColumn("_p", F.spark_partition_id()), "ranges")
-    w = W.partitionBy("_p", *keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("_inner", F.sum("_n").over(w) - F.col("_n"))
+    if rows <= WINDOW_ROWS:
+        w = group.orderBy(*order)
+        return table.withColumns({"_before": F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col(value), "_all": F.sum(value).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(table.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    w = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    placed = placed.withColumn("_inner", F.sum(value).over(w) - F.col(value))
     # one row per group and range
-    totals = placed.groupBy("_p", *keys).agg(F.sum("_n").alias("_t"))
-    earlier = F.coalesce(F.sum("_t").over(group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], earlier.alias("_base"), F.sum("_t").over(group).alias("_all"))
-    same = F.col("_p") == F.col("_q")
+    totals = placed.groupBy("_part", *keys).agg(F.max_by(F.col("_inner") + F.col(value), F.struct(*order)).alias("_t"))
+    line = group.orderBy("_part")
+    earlier = F.coalesce(F.sum("_t").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col("_part").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], earlier.alias("_base"), F.sum("_t").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"))
+    same = F.col("_part") == F.col("_q")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return placed.join(totals, same).select(*keys, value, "_n", (F.col("_inner") + F.col("_base")).alias("_before"), "_all")
+    return placed.join(totals, same).select(*table.columns, (F.col("_inner") + F.col("_base")).alias("_before"), "_all")
+
+
+def value_counts(df: DataFrame, value: str, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, value, _n, _before, _all): how often each value that is not null stands in its group, and how many rows of
+    the group come before it and in all. Equal values are counted before any shuffle, so neither a group nor
+    a value is held in one task, however often it comes. The counts are staged: the rows are read once."""
+    held = df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+    counts, rows = staged_count(held.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")), "counts")
+    return cumulated(counts, rows, keys, [value], "_n")
 
 
 def share_of_quantile(level: Column | float) -> Column:

@@ -200,14 +200,23 @@ def residual_floor(spark, d):
     return _posterior(spark, d).select("user_id", "event_type", sure.cast("long").alias("sure"), F.round(rest, 5).alias("rest"))
 
 
-@query()
+START = "('0x' || substr(md5('5:' || user_id), 1, 8))::ubigint/4294967296.0"
+
+
+@query(f"""with {SCORES}, c as (select user_id, event_type, p, sum(p) over (partition by user_id order by event_type) as hi, sum(p) over (partition by user_id) as t, {START} as u from p),
+ k as (select *, (ceil(round(hi/t*20, 9) - u) - ceil(round((hi - p)/t*20, 9) - u))::bigint as count from c)
+ select user_id, event_type, count, round(count/(p/t*20), 6) as weight from k where count > 0""")
 def importance_sample(spark, d):
-    return probability.draw(_posterior(spark, d).withColumn("n", F.lit(20)), ["user_id"], "event_type", "p", "n", seed=5)
+    return probability.draw(_posterior(spark, d).withColumn("n", F.lit(20)), ["user_id"], "event_type", "p", "n", seed=5).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"""with {SCORES}, c as (select user_id, event_type, p/sum(p) over (partition by user_id) as share, {START} as u from p),
+ f as (select *, floor(round(20*share, 9))::bigint as sure, round(20*share, 9) - floor(round(20*share, 9)) as rest from c),
+ h as (select *, sum(rest) over (partition by user_id order by event_type) as hi from f),
+ k as (select *, (sure + ceil(round(hi, 9) - u) - ceil(round(hi - rest, 9) - u))::bigint as count from h)
+ select user_id, event_type, count, round(count/(share*20), 6) as weight from k where count > 0""")
 def residual_sample(spark, d):
-    return probability.draw(_posterior(spark, d).withColumn("n", F.lit(20)), ["user_id"], "event_type", "p", "n", seed=5, residual=True)
+    return probability.draw(_posterior(spark, d).withColumn("n", F.lit(20)), ["user_id"], "event_type", "p", "n", seed=5, residual=True).withColumn("weight", F.round("weight", 6))
 
 
 @query("with l as (select user_id, arg_max(value, (ts, event_id)) as v from events group by 1) select count(*) as weight, round(sum(v), 4) as total, round(avg(v), 6) as mean from l")

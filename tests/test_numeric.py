@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackwright.functions import geometry, kernels, optics
-from stackwright.operators import fourier, grid, likelihood, objectives, pairs, probability, quadrature, radial, robust, sequence
+from stackwright.operators import fourier, grid, likelihood, objectives, pairs, probability, quadrature, radial, robust, sampler_state, sequence
 from stackwright.plans import monitor, optimizer, reconstruct
 from stackwright.sources import mrc, star, synthetic, text_tables
 
@@ -77,12 +77,39 @@ def test_log_sum_exp_is_shift_invariant(spark):
     assert out[2] == float("-inf")
 
 
-def test_draws_repeat(spark):
-    df = spark.createDataFrame([(1, i, p, 100) for i, p in enumerate((0.5, 0.3, 0.2))], "k int, i int, p double, n int")
-    a, b = (sorted(map(tuple, probability.draw(df, ["k"], "i", "p", "n", 3).collect())) for _ in range(2))
-    assert a == b and sum(r[2] for r in a) == 100
-    c = probability.draw(df, ["k"], "i", "p", "n", 3, residual=True).agg(F.sum("count")).first()[0]
-    assert c == 100
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_draws_of_one_large_group(spark, monkeypatch, most):
+    """Counts are n times the share within one, their sum is n, weights make the estimate unbiased; a group may span ranges."""
+    monkeypatch.setattr(sequence, "WINDOW_ROWS", most)
+    rng = np.random.default_rng(0)
+    rows = [(1, i, float(p), 500) for i, p in enumerate(rng.random(3000) ** 4)] + [(2, 0, 0.5, 3), (2, 1, 0.5, 3), (2, 2, 0.0, 3), (None, 0, 1.0, 7)]
+    df = spark.createDataFrame(rows, "k int, i int, p double, n int").repartition(6)
+    total = sum(r[2] for r in rows[:3000])
+    for residual in (False, True):
+        a, b = (sorted(map(tuple, probability.draw(df, ["k"], "i", "p", "n", 3, residual).select("i", "count", "weight", F.coalesce("k", F.lit(0))).collect())) for _ in range(2))
+        assert a == b
+        assert [sum(r[1] for r in a if r[3] == k) for k in (0, 1, 2)] == [7, 500, 3]
+        for i, count, weight, k in a:
+            if k == 1:
+                expected = 500 * rows[i][2] / total
+                assert abs(count - expected) < 1 + 1e-6 and weight == pytest.approx(count / expected)
+                assert not residual or count >= math.floor(expected)
+            assert (k, i) != (2, 2)
+    drawn = [{r["i"]: r["count"] for r in probability.draw(df.where("k = 1"), ["k"], "i", "p", "n", s).collect()} for s in range(20)]
+    assert len({tuple(sorted(x.items())) for x in drawn}) == 20
+    heavy = max(range(3000), key=lambda i: rows[i][2])
+    assert np.mean([x.get(heavy, 0) for x in drawn]) == pytest.approx(500 * rows[heavy][2] / total, abs=0.5)
+    assert probability.draw(df.limit(0), ["k"], "i", "p", "n", 3).count() == 0
+
+
+def test_recorded_posteriors_are_freed_of_their_weights(spark):
+    """Sampled twice as often with half the density is the same distribution."""
+    rows = spark.createDataFrame([(1, 0, 0.2, 2.0), (1, 1, 0.1, 1.0), (1, 2, 0.8, 4.0)], "image int, point int, value double, weight double")
+    plain = {r["point"]: r["p"] for r in sampler_state.record_update(rows).collect()}
+    assert plain == pytest.approx({0: 0.25, 1: 0.25, 2: 0.5})
+    logs = {r["point"]: r["p"] for r in sampler_state.record_update(rows.withColumn("value", F.ln("value") - 5000), 2.0, log=True).collect()}
+    root = np.sqrt([0.1, 0.1, 0.2])
+    assert logs == pytest.approx(dict(enumerate(root / root.sum())))
 
 
 def test_shell_resolution_ends(spark):
