@@ -19,18 +19,20 @@ def runs(df: DataFrame, order: list[str], same: list[str], keys: list[str] | Non
         w = W.partitionBy(*keys).orderBy(*order)
         changed = (~F.struct(*same).eqNullSafe(F.lag(F.struct(*same)).over(w))).cast("int")
         return df.withColumn("_c", changed).withColumn(out, F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_c")
-    placed = numbered(df, order, "_at", part="_part")
-    w = W.partitionBy("_part").orderBy("_at")
+    own = free_name([*df.columns, out], "_r")  # no column of the input starts so
+    at, part, step, run, base = (f"{own}{x}" for x in ("at", "part", "step", "run", "base"))
+    placed = numbered(df, order, at, part=part)
+    w = W.partitionBy(part).orderBy(at)
     before = F.lag(F.struct(F.struct(*same).alias("s"))).over(w)  # null in the first row alone
-    local = placed.withColumn("_c", F.when(before.isNull(), 0).otherwise((~F.struct(*same).eqNullSafe(before["s"])).cast("int")))
-    local = local.withColumn("_run", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    ends = placed.groupBy("_part").agg(F.min_by(F.struct(*same), "_at").alias("first"), F.max_by(F.struct(*same), "_at").alias("last"))
-    ends = ends.join(local.groupBy("_part").agg(F.max("_run").alias("inner")), "_part")
-    line = W.orderBy("_part")  # one row per part
+    local = placed.withColumn(step, F.when(before.isNull(), 0).otherwise((~F.struct(*same).eqNullSafe(before["s"])).cast("int")))
+    local = local.withColumn(run, F.sum(step).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = placed.groupBy(part).agg(F.min_by(F.struct(*same), at).alias("first"), F.max_by(F.struct(*same), at).alias("last"))
+    ends = ends.join(local.groupBy(part).agg(F.max(run).alias("inner")), part)
+    line = W.orderBy(part)  # one row per part
     previous = F.lag(F.struct(F.col("last").alias("s"))).over(line)
     ends = ends.withColumn("edge", F.when(previous.isNull(), 0).otherwise((~F.col("first").eqNullSafe(previous["s"])).cast("int")))
-    base = F.sum(F.col("edge") + F.col("inner")).over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("inner")
-    return local.join(F.broadcast(ends.select("_part", base.alias("_base"))), "_part").withColumn(out, F.col("_run") + F.col("_base")).drop("_c", "_run", "_base", "_part", "_at")
+    before = F.sum(F.col("edge") + F.col("inner")).over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("inner")
+    return local.join(F.broadcast(ends.select(part, before.alias(base))), part).withColumn(out, F.col(run) + F.col(base)).drop(step, run, base, part, at)
 
 
 def moving_average(df: DataFrame, value: str, size: int, keys: list[str], order: list[str], out: str = "smooth") -> DataFrame:

@@ -17,25 +17,51 @@ Objective = Callable[[np.ndarray, int], tuple[float, np.ndarray]]
 
 @dataclass
 class RunningSum:
-    """Weighted mean of the latest value of each key; all weights fade with each update."""
+    """Weighted mean of the latest value of each key; all weights fade with each update. When the number of keys
+    changes, the mean so far stays as history: it counts with the weight it had, less the share of keys seen since."""
 
     decay: float = 1.0
     values: dict[int, np.ndarray] = field(default_factory=dict)
     weights: dict[int, float] = field(default_factory=dict)
+    n_keys: int = 0
+    history: tuple[float, np.ndarray, np.ndarray] | None = None
+
+    def expect(self, n_keys: int) -> None:
+        """The number of keys from now on."""
+        if n_keys != self.n_keys and self.total_weight() > 0:
+            self.history = self.total_weight(), self.mean(), self.mean_square()
+            self.values, self.weights = {}, {}
+        self.n_keys = n_keys
 
     def set(self, key: int, value: np.ndarray, weight: float = 1.0) -> None:
         for k in self.weights:
             self.weights[k] *= self.decay
         self.values[key], self.weights[key] = value, weight
+        if self.history:
+            self.history = None if len(self.values) >= self.n_keys else (self.decay * self.history[0], *self.history[1:])
+
+    def _old(self) -> float:
+        return self.history[0] * (self.n_keys - len(self.values)) / self.n_keys if self.history else 0.0
 
     def total_weight(self) -> float:
-        return sum(self.weights.values())
+        return sum(self.weights.values()) + self._old()
 
     def mean(self) -> np.ndarray:
-        return sum(w * self.values[k] for k, w in self.weights.items()) / self.total_weight()
+        old = self._old() * self.history[1] if self.history else 0.0
+        return (sum((w * self.values[k] for k, w in self.weights.items()), old)) / self.total_weight()
 
     def mean_square(self) -> np.ndarray:
-        return sum(w * self.values[k] ** 2 for k, w in self.weights.items()) / self.total_weight()
+        old = self._old() * self.history[2] if self.history else 0.0
+        return (sum((w * self.values[k] ** 2 for k, w in self.weights.items()), old)) / self.total_weight()
+
+
+def preconditioner(mean_square: np.ndarray, weight: float, prior_weight: float = 10.0, most: float = 1000.0) -> np.ndarray:
+    """Scales of the coordinates from running second moments of their gradients: 1 for the flattest. The moments are drawn to
+    their mean as by prior_weight observations, and held within a range."""
+    middle = mean_square.mean()
+    f = (middle * prior_weight + mean_square * weight) / (weight + prior_weight) if weight > 1 else np.full_like(mean_square, middle)
+    least = max(f.min(), f.max() / most)
+    return np.sqrt(least / np.maximum(least, f)) if least > 0 else np.ones_like(f)
 
 
 def fit_with_slope(x: np.ndarray, y: np.ndarray, slope: float, degree: int = 2) -> np.ndarray:
@@ -46,16 +72,17 @@ def fit_with_slope(x: np.ndarray, y: np.ndarray, slope: float, degree: int = 2)
     return np.concatenate([[y[0], slope], coefs])
 
 
-def find_lipschitz(f: Objective, x: np.ndarray, batch: int, loss: float, grad: np.ndarray, start: float, most: int = 20) -> float:
+def find_lipschitz(f: Objective, x: np.ndarray, batch: int, loss: float, grad: np.ndarray, start: float, most: int = 20, scale: np.ndarray | float = 1.0) -> float:
     """The smallest L seen for which a step of 1/L lowers the loss by |g|^2 / (2 L) at least. The last ten
-    probes are fitted to guess the next one; otherwise L is doubled, or halved while it holds."""
-    g2 = float((grad**2).sum())
+    probes are fitted to guess the next one; otherwise L is doubled, or halved while it holds. scale: a preconditioner,
+    whose square turns the gradient into the step."""
+    g2 = float((grad * grad * scale**2).sum())
     if g2 == 0:
         return start
     probes: deque[tuple[float, float]] = deque(maxlen=10)
     best, value = None, start
     for _ in range(most):
-        after = f(x - grad / value, batch)[0]
+        after = f(x - scale**2 * grad / value, batch)[0]
         probes.append((1 / value, after))
         if after <= loss - 0.5 * g2 / value:
             best = value if best is None else min(best, value)
@@ -75,13 +102,20 @@ def find_lipschitz(f: Objective, x: np.ndarray, batch: int, loss: float, grad: n
 
 @dataclass
 class AverageGradient:
-    """Averages the latest gradient of each minibatch; the step is learn_rate / L."""
+    """Averages the latest gradient of each minibatch; the step is learn_rate / L. saga: the average before the step, with the
+    change of this minibatch's gradient whole: without bias. precondition: coordinates are scaled by the running second
+    moments of their gradients, anew whenever L is searched for. n_batches: of the training set, which may change between
+    steps; the average so far then fades as minibatches come by."""
 
     learn_rate: float = 1.0
     momentum: float = 1.0
     lipschitz: float = 1.0
     search_every: int = 1
+    saga: bool = False
+    precondition: bool = False
+    n_batches: int = 0
     history: RunningSum = field(init=False)
+    scale: np.ndarray | float = 1.0
 
     def __post_init__(self):
         self.history = RunningSum(self.momentum)
@@ -89,13 +123,19 @@ class AverageGradient:
     def step(self, f: Objective, prior: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, batch: int, turn: int) -> tuple[np.ndarray, dict]:
         loss, grad = f(x, batch)
         prior_loss, prior_grad = prior(x)
+        self.history.expect(self.n_batches)
+        before, average = self.history.values.get(batch), self.history.mean() if self.history.total_weight() > 0 else None
+        self.history.set(batch, grad)
         if turn % self.search_every == 0:
+            if self.precondition:
+                self.scale = preconditioner(self.history.mean_square(), self.history.total_weight())
             both = lambda y, b: (f(y, b)[0] + prior(y)[0], None)
-            self.lipschitz = find_lipschitz(both, x, batch, loss + prior_loss, grad + prior_grad, self.lipschitz)
-        self.history.set(batch, grad)
-        move = self.history.mean() + prior_grad
-        after = x - self.learn_rate / self.lipschitz * move
-        return after, {"iteration": turn, "batch": batch, "loss": loss + prior_loss, "lipschitz": self.lipschitz, "step_size": float(np.linalg.norm(after - x)), "grad_size": float(np.linalg.norm(move))}
+            self.lipschitz = find_lipschitz(both, x, batch, loss + prior_loss, grad + prior_grad, self.lipschitz, scale=self.scale)
+        # a minibatch that comes for the first time has no change yet
+        like = average + grad - before if self.saga and before is not None else self.history.mean()
+        move = like + prior_grad
+        after = x - self.learn_rate / self.lipschitz * self.scale**2 * move
+        return after, {"iteration": turn, "batch": batch, "loss": loss + prior_loss, "lipschitz": self.lipschitz, "step_size": float(np.linalg.norm(after - x)), "grad_size": float(np.linalg.norm(move)), "scale_min": float(np.min(self.scale))}
 
 
 @dataclass

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackwright.operators import blocks, estep, probability, sampler_state
+from stackwright.operators import blocks, descent, estep, probability, sampler_state
 from stackwright.plans.registry import query, table
 
 #: Points of the domain: slices, turns, shifts; coefficients; noise variance. Distributions are drawn from elements of
@@ -82,3 +82,42 @@ def label_sums(spark, d):
     """Sums of whole vectors by label, in blocks of 24 elements."""
     sums = blocks.sum_arrays(table(spark, d, "embeddings").withColumnRenamed("embedding", "total"), ["label"], ["total"], 24)
     return blocks.elements(sums, ["label"], ["total"], 24).withColumn("total", F.round("total", 5))
+
+
+#: Minibatches of images by id, the one of the step, its rate; parts of 16 coordinates.
+N_B, NOW, RATE, SIZE = 5, 3, 0.5, 16
+STEP = f"""with e as (select vec_id % {N_B} as b, i, embedding[i + 1]::double as v from embeddings, (select unnest(range(64)) as i)),
+ m as (select b, i, avg(v) as m, count(*) as c from e group by all), x as (select i, m as x from m where b = 0),
+ g0 as (select b, i, -m*(1 + i)/8.0 as g, power(0.9::double, {N_B} - 1 - b) as w from m),
+ f as (select i, (x - m)*(1 + i)/8.0 as g from m join x using (i) where b = {NOW}),
+ g1 as (select b, i, g, 0.9::double*w as w from g0 where b <> {NOW} union all select {NOW}, i, g, 1.0 from f),
+ a0 as (select i, sum(g*w)/sum(w) as a from g0 group by 1), a1 as (select i, sum(g*w)/sum(w) as a, sum(g*g*w)/sum(w) as q, sum(w) as w from g1 group by 1),
+ h as (select i, ((avg(q) over ())*10 + q*w)/(w + 10) as h from a1), k as (select i, greatest((min(h) over ()), (max(h) over ())/1000) as least, h from h)"""
+
+
+def _gradients(spark, d):
+    """A separable quadratic whose coordinates are curved by 1/8 to 8: minibatch means, the gradients at 0 and x, the prior's at x."""
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % N_B).cast("int").alias("batch"), F.posexplode("embedding").alias("i", "v"))
+    means = rows.groupBy("batch", F.floor(F.col("i") / SIZE).cast("int").alias("part"), "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    packed = means.groupBy("batch", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    curve = lambda c, part: F.transform(c, lambda v, k: v * (1 + k + part * SIZE) / 8.0)
+    x = packed.where("batch = 0").select("part", F.col("m").alias("x"))
+    at_zero = packed.select("batch", "part", curve(F.transform("m", lambda v: -v), F.col("part")).alias("g"), F.pow(F.lit(0.9), N_B - 1 - F.col("batch")).alias("weight"))
+    fresh = packed.where(F.col("batch") == NOW).join(x, "part").select("part", curve(F.zip_with("x", "m", lambda a, b: a - b), F.col("part")).alias("g"))
+    return x, at_zero, fresh, x.select("part", F.transform("x", lambda v: v / 4.0).alias("p"))
+
+
+def _moved(x):
+    return x.select("part", F.posexplode("x").alias("k", "x")).select((F.col("part") * SIZE + F.col("k")).cast("int").alias("i"), F.round("x", 7).alias("x"))
+
+
+@query(f"{STEP} select i::int as i, round(x - {RATE}*(least/greatest(least, h))*(a0.a + f.g - g0.g + x/4), 7) as x from x join a0 using (i) join f using (i) join g0 using (i) join k using (i) where g0.b = {NOW}")
+def saga_step(spark, d):
+    x, latest, fresh, prior = _gradients(spark, d)
+    return _moved(descent.descend(x, latest, fresh, NOW, prior, RATE, 0.9))
+
+
+@query(f"{STEP} select i::int as i, round(x - {RATE}*(a1.a + x/4), 7) as x from x join a1 using (i)")
+def average_gradient_step(spark, d):
+    x, latest, fresh, prior = _gradients(spark, d)
+    return _moved(descent.descend(x, latest, fresh, NOW, prior, RATE, 0.9, saga=False, precondition=False))

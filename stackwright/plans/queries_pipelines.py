@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackwright.operators import fourier
 from stackwright.plans.registry import query, table
 from stackwright.staging import fresh_path
+from stackwright.streaming import keyed_sum
 
 
 def _packed(spark, d):
@@ -49,3 +50,51 @@ def running_sum_stream(spark, d):
     q = latest_per_key(stream, "user_id", "value", ["ts", "event_id"]).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{where}/state")
+
+
+#: Phases of a run by thirds of the events, each with its number of keys; events of 40 keys; fading of weights.
+PHASES, KEYS, FADE = (60, 50, 60), 40, 0.9995
+PHASE_SQL = f"""with e as (select event_type as g, event_id as o, value as v, user_id % {KEYS} as k, least(3*event_id // (select count(*) from events), 2) as phase from events),
+ r as (select *, [{', '.join(map(str, PHASES))}][phase + 1] as n, row_number() over (partition by g, phase order by o desc) - 1 as later from e),
+ l as (select g, phase, n, k, arg_max(v, o) as v, power({FADE}::double, min(later)) as w from r group by all),
+ s as (select g, phase, n, count(*) as keys, sum(w) as w, sum(w*v) as s, sum(w*v*v) as q from l group by all),
+ t as (select g, phase, count(*) as t from e group by all),
+ p as (select *, power({FADE}::double, t)*greatest(n - keys, 0)/n as h from s join t using (g, phase)),
+ a as (select g, w, s/w as m, q/w as q from p where phase = 0),
+ b as (select p.g, a.w*h + p.w as w, (a.w*h*m + s)/(a.w*h + p.w) as m, (a.w*h*a.q + p.q)/(a.w*h + p.w) as q from p join a using (g) where phase = 1),
+ c as (select p.g, b.w*h + p.w as w, (b.w*h*m + s)/(b.w*h + p.w) as m, (b.w*h*b.q + p.q)/(b.w*h + p.w) as q from p join b using (g) where phase = 2)
+ select g as event_type, (select count(*) from e where e.g = c.g) as updates, round(w, 6) as weight, round(m, 6) as mean, round(q, 5) as mean_square from c"""
+
+
+def phased(events, n):
+    """Events with the number of keys that their phase expects."""
+    phase = F.least(F.floor(3 * F.col("event_id") / n), F.lit(2)).cast("int")
+    return events.select("event_type", "event_id", "value", (F.col("user_id") % KEYS).alias("key"), F.get(F.array(*map(F.lit, PHASES)), phase).alias("n_keys"))
+
+
+def _rounded(sums):
+    return sums.select("event_type", "updates", F.round("weight", 6).alias("weight"), F.round("mean", 6).alias("mean"), F.round("mean_square", 5).alias("mean_square"))
+
+
+@query(PHASE_SQL)
+def running_sum_phases(spark, d):
+    events = table(spark, d, "events")
+    return _rounded(keyed_sum.running_sums(phased(events, events.count()), "event_type", "key", "value", "event_id", "n_keys", FADE))
+
+
+@query(PHASE_SQL)
+def running_sum_phases_stream(spark, d):
+    """The same from a stream that has read the whole table, by the state of Spark's store."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
+    where, name = fresh_path(spark, "sums"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, keyed_sum.PROVIDER)
+    try:
+        sums = keyed_sum.keep_running_sums(phased(stream, events.count()), "event_type", "key", "value", "event_id", "n_keys", FADE)
+        # each batch's rows of a group replace those before it: the latest number of updates counts
+        q = sums.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{where}/batch={i}")).option("checkpointLocation", f"{where}-log").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    return _rounded(keyed_sum.latest_rows(spark.read.parquet(where), "event_type"))
