@@ -9,7 +9,7 @@ own candidates on every axis, with the weights they were drawn with; an axis wit
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +24,20 @@ AXES = ("r", "i", "s")
 
 @dataclass(frozen=True)
 class Domain:
-    """slices (R, C) and phases (S, C) are complex. turn_at, turn_weight (I, C, K): each turned coefficient is a sum of K
-    weighted ones of the image. logw: three arrays of log quadrature weights. sigma2: noise variance, one or C."""
+    """slices (R, C) and phases (S, C) are complex; slices may be a function that makes them in the task, of a volume that is
+    smaller than they are. turn_at, turn_weight (I, C, K): each turned coefficient is a sum of K weighted ones of the
+    image. logw: three arrays of log quadrature weights. sigma2: noise variance, one or C."""
 
-    slices: np.ndarray
+    slices: np.ndarray | Callable[[], np.ndarray]
     phases: np.ndarray
     turn_at: np.ndarray
     turn_weight: np.ndarray
     logw: tuple[np.ndarray, np.ndarray, np.ndarray]
     sigma2: np.ndarray | float
 
+    def ready(self) -> Domain:
+        return replace(self, slices=self.slices()) if callable(self.slices) else self
+
     def turned(self, image: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(len(at), C): the image under the turns."""
         return (self.turn_weight[at] * image[self.turn_at[at]]).sum(axis=-1)
@@ -95,9 +99,10 @@ def e_step(images: DataFrame, key: str, domain: Domain) -> DataFrame:
     on_r, on_i, on_s if sampled). One narrow pass. The effective sizes are those of the posterior over the candidates."""
 
     def work(batches):
+        ready = domain.ready()
         for batch in batches:
             rows = []
-            for row, at, found in _images(batch, domain):
+            for row, at, found in _images(batch, ready):
                 sizes = [float(1 / np.exp(2 * phi).sum()) for phi in found["phi"]]
                 sums = [float(found[k].sum()) for k in ("error", "corr", "power")]
                 rows.append([row, float(found["nll"]), *sums, *(len(x) for x in at), *sizes, *(x.tolist() for x in at), *(x.tolist() for x in found["phi"])])
@@ -132,10 +137,11 @@ def e_step_sums(images: DataFrame, key: str, domain: Domain, spread: Callable[[n
     likelihoods with the number of images beside it. One row per task and block is shuffled, and merged in a tree."""
 
     def work(batches):
-        n_r, n_c = domain.slices.shape
+        ready = domain.ready()
+        n_r, n_c = ready.slices.shape
         grad, stats, total = np.zeros((n_r, n_c), complex), {k: np.zeros(n_c) for k in ("error", "corr", "power")}, np.zeros(2)
         for batch in batches:
-            for _, at, found in _images(batch, domain):
+            for _, at, found in _images(batch, ready):
                 grad[at[0]] += found["grad"]
                 for k, held in stats.items():
                     held += found[k]

@@ -8,8 +8,6 @@ statistics are reduced by Spark's partial aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,31 +78,6 @@ def summed_gradient(results: DataFrame) -> DataFrame:
     return rows.groupBy("at").agg(F.avg("g.grad_re").alias("re"), F.avg("g.grad_im").alias("im"))
 
 
-def summed(images: DataFrame, projections: np.ndarray, logw: np.ndarray, sigma2: float, spread: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(at, re, im): the sums over images of the gradients by each projection (P x C), handed to `spread` (linear)
-    in the task, and in the row at -1 the sum of nll and the number of images. Each image is looked at once, each
-    task gives one row per element, and Spark adds them up."""
-    energy = (np.abs(projections) ** 2).sum(axis=1)
-
-    def work(batches):
-        total, nll_sum, n = np.zeros(projections.shape, complex), 0.0, 0
-        for batch in batches:
-            f = np.stack([np.array(batch.column(c).to_pylist(), np.float64).reshape(batch.num_rows, -1) for c in ("re", "im")])
-            d = f[0] + 1j * f[1]
-            d2 = (np.abs(d) ** 2).sum(axis=1)[:, None] - 2 * (d @ projections.conj().T).real + energy[None, :]
-            e = logw[None, :] - d2 / (2 * sigma2)
-            nll = -_lse(e, 1)
-            p = np.exp(e + nll[:, None])
-            total += p.sum(axis=0)[:, None] * projections - p.T @ d
-            nll_sum, n = nll_sum + float(nll.sum()), n + len(nll)
-        if n:
-            out = spread(total / sigma2).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(out))), pa.array(np.concatenate([[nll_sum], out.real])), pa.array(np.concatenate([[float(n)], out.imag]))], names=["at", "re", "im"])
-
-    parts = images.select("re", "im").mapInArrow(work, "at long, re double, im double")
-    return parts.groupBy("at").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-
-
 def outside_power(coefficients: DataFrame, key: str, inside: Column) -> DataFrame:
     """(key, n, power) of the coefficients beyond the truncation radius: they enter as a constant."""
     out = coefficients.where(~inside)

@@ -466,13 +466,7 @@ def test_frequency_marching_and_held_out_images(spark):
     kept = []
     x, stats = reconstruct.reconstruct(images.where("image_id < 48"), 8, 0.5, 12, 4, np.zeros((8, 8, 8)), 10, 2, radius=lambda i: 0.5 if i < 4 else 2.0, each=lambda row, v: kept.append(v))
     assert len(kept) == 10 and np.abs(x).max() > 0
-    turns = reconstruct.direction_turns(12, 4).reshape(-1, 3, 3)
-    held = fourier.to_fourier(images.where("image_id >= 48"), "image_id", "px", 8, 2)
-
-    def loss(v):
-        f = fourier.centred_fft(v, 3)
-        slices = np.array([synthetic.slice_of(f, t).ravel() for t in turns])
-        row = likelihood.summed(held, slices, np.full(len(turns), -math.log(len(turns))), 0.25, lambda g: g).where("at = -1").first()
-        return row["re"] / row["im"]
+    from test_reconstruct import held_out_loss
 
+    loss = lambda v: held_out_loss(images.where("image_id >= 48"), 8, 0.5, v, 12, 4)
     assert loss(x) < loss(np.zeros((8, 8, 8)))
