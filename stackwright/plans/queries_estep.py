@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackwright.operators import blocks, descent, estep, probability, sampler_state
+from stackwright.operators import blocks, descent, estep, probability, sampler_state, tiles
 from stackwright.plans.registry import query, table
 
 #: Points of the domain: slices, turns, shifts; coefficients; noise variance. Distributions are drawn from elements of
@@ -121,3 +121,15 @@ def saga_step(spark, d):
 def average_gradient_step(spark, d):
     x, latest, fresh, prior = _gradients(spark, d)
     return _moved(descent.descend(x, latest, fresh, NOW, prior, RATE, 0.9, saga=False, precondition=False))
+
+
+@query("""with a as (select l_orderkey as r, l_partkey as c, l_quantity as v from lineitem), y as (select r, sum(v*p_retailprice) as y from a join part on c = p_partkey group by 1), z as (select c, sum(v*y) as z from a join y using (r) group by 1)
+ select 'y' as side, r as at, round(y, 2) as value from y where y <> 0 union all select 'z', c, round(z, 2) from z where z <> 0""")
+def tiled_products(spark, d):
+    """Orders by parts in tiles, times the prices, and the transposed matrix times the result: the tiles stay where they are."""
+    matrix = tiles.tiled(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_quantity", cells=100_000)
+    y = matrix.times(tiles.to_blocks(table(spark, d, "part"), "p_partkey", ["p_retailprice"]), ["p_retailprice"])
+    z = matrix.transposed_times(y, ["p_retailprice"])
+    rows = tiles.from_blocks(y, ["p_retailprice"]).select(F.lit("y").alias("side"), "at", F.round("p_retailprice", 2).alias("value"))
+    other = tiles.from_blocks(z, ["p_retailprice"]).select(F.lit("z").alias("side"), "at", F.round("p_retailprice", 2).alias("value"))
+    return rows.unionByName(other).where("value != 0")
