@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from stackwright.operators import fourier
 from stackwright.plans.registry import query, table
+from stackwright.sources import mrc, results, star
 from stackwright.staging import fresh_path
 from stackwright.streaming import keyed_sum
 
@@ -98,3 +101,40 @@ def running_sum_phases_stream(spark, d):
     finally:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
     return _rounded(keyed_sum.latest_rows(spark.read.parquet(where), "event_type"))
+
+
+def _local(path):
+    return path.removeprefix("file://")
+
+
+@query("select vec_id as image_id, i as at, round(embedding[i + 1]::double, 5) as v from embeddings, (select unnest(range(64))::int as i)")
+def mrc_round_trip(spark, d):
+    """The images written to one MRC file by all tasks and read from it."""
+    path = _local(fresh_path(spark, "stack")) + ".mrc"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    mrc.write_stack(table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("px")).repartition(4, "image_id"), path)
+    rows = spark.read.format("mrc").option("imagesPerPartition", "100").load(path).select("image_id", F.posexplode("px").alias("at", "v"))
+    return rows.withColumn("v", F.round(F.col("v").cast("double"), 5))
+
+
+@query("select p_partkey::double as p_partkey, round(p_retailprice, 4) as p_retailprice, replace(p_brand, '#', '_') as p_brand from part")
+def star_round_trip(spark, d):
+    """A table of particles' parameters written to STAR files in order and read from them."""
+    path = fresh_path(spark, "star")
+    rows = table(spark, d, "part").select("p_partkey", "p_retailprice", F.replace("p_brand", F.lit("#"), F.lit("_")).alias("p_brand"))
+    star.write_star(rows, path, "particles", "p_partkey", 3)
+    return star.read_star(spark, path).select("p_partkey", F.round("p_retailprice", 4).alias("p_retailprice"), "p_brand")
+
+
+@query("select event_id, user_id, round(value, 4) as value from events")
+def results_stream(spark, d):
+    """Events that come in files one after the other: each look takes the files that are new, so every row comes once."""
+    events, where = table(spark, d, "events").select("event_id", "user_id", "value"), fresh_path(spark, "results")
+    results.register(spark)
+    for turn in range(3):
+        events.where(F.col("event_id") % 3 == turn).repartition(2).write.mode("append").json(f"{where}/in")
+        stream = spark.readStream.format("results").option("pattern", "*.json").load(f"{where}/in")
+        lines = stream.select(F.explode(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: x != "")).alias("line"))
+        q = lines.select(F.from_json("line", events.schema).alias("r")).select("r.*").writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{where}/out").withColumn("value", F.round("value", 4))

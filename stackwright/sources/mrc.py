@@ -1,4 +1,4 @@
-"""Image stacks and volumes in MRC files: a Spark data source for reading, a function for writing.
+"""Image stacks and volumes in MRC files: a Spark data source that reads and writes them.
 
 Layout (fixed values of the format): 1024 bytes of header, 256 little-endian words: 0-2 nx ny nz, 3 mode
 (1 int16, 2 float32), 7-9 mx my mz, 10-12 cell lengths, 13-15 angles, 16-18 axis order, 19-21 min max
@@ -8,12 +8,15 @@ mean, 52 'MAP ', 53 machine stamp; then the data, x fastest.
 from __future__ import annotations
 
 import math
+import os
 import struct
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from stackwright.operators.fourier import resize
 
@@ -92,9 +95,78 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + k)), px], names=["image_id", "px"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """What a task has written: images, the largest id, and sums of the values for the header."""
+
+    images: int
+    last: int
+    pixels: int
+    low: float
+    high: float
+    total: float
+
+
+class _Writer(DataSourceArrowWriter):
+    """Every task writes its images at their places in one file beside the target, so tasks need no order and a task that
+    is repeated writes the same bytes. The driver adds up what the tasks say, writes the header and names the file; if a task
+    fails, an id is missing or comes twice, nothing stays."""
+
+    def __init__(self, path: str, pixel_size: float, overwrite: bool):
+        self.path, self.pixel_size, self.overwrite = path.removeprefix("file://"), pixel_size, overwrite
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        with open(self.part, "wb"):
+            pass
+
+    def write(self, iterator):
+        done = _Written(0, -1, 0, math.inf, -math.inf, 0.0)
+        with open(self.part, "r+b") as f:
+            for batch in iterator:
+                lists = batch.column("px")
+                ends = lists.offsets.to_numpy()
+                values = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+                sizes = np.diff(ends)
+                if len(sizes):
+                    size = done.pixels or int(sizes[0])
+                    if lists.null_count or (sizes != size).any() or math.isqrt(size) ** 2 != size:
+                        raise ValueError("images must be square, of one size and not null")
+                    done.pixels = size
+                    for i, k in enumerate(batch.column("image_id").to_pylist()):
+                        f.seek(HEADER_BYTES + k * size * 4)
+                        f.write(values[i * size : (i + 1) * size].tobytes())
+                        done.last = max(done.last, k)
+                    done.images += len(sizes)
+                    done.low, done.high = min(done.low, float(values.min())), max(done.high, float(values.max()))
+                    done.total += float(values.sum(dtype=np.float64))
+        return done
+
+    def commit(self, messages):
+        done = [m for m in messages if m is not None and m.images]
+        images, sizes = sum(m.images for m in done), {m.pixels for m in done}
+        if len(sizes) > 1 or images != max((m.last for m in done), default=-1) + 1:
+            self._remove()
+            raise ValueError("images must be of one size and their ids 0, 1, 2, ... each once")
+        n = math.isqrt(sizes.pop()) if sizes else 0
+        low, high = min((m.low for m in done), default=0.0), max((m.high for m in done), default=0.0)
+        with open(self.part, "r+b") as f:
+            f.write(build_header((n, n, images), self.pixel_size, low, high, sum(m.total for m in done) / max(1, images * n * n)))
+        if os.path.exists(self.path) and not self.overwrite:
+            self._remove()
+            raise FileExistsError(self.path)
+        os.replace(self.part, self.path)
+
+    def abort(self, messages):
+        self._remove()
+
+    def _remove(self):
+        if os.path.exists(self.part):
+            os.remove(self.part)
+
+
 class MrcDataSource(DataSource):
-    """spark.read.format("mrc").load(path): (image_id, px). The path must be open to all executors as a
-    file; files in other stores are read with read_binary."""
+    """spark.read.format("mrc").load(path): (image_id, px), and df.write.format("mrc").save(path) of such rows: float values,
+    ids from 0 without gaps; option pixelSize. The path must be open to all executors as a file; files in other stores are
+    read with read_binary."""
 
     @classmethod
     def name(cls):
@@ -106,6 +178,9 @@ class MrcDataSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"], int(self.options.get("imagesPerPartition", IMAGES_PER_PARTITION)))
 
+    def writer(self, schema, overwrite):
+        return _Writer(self.options["path"], float(self.options.get("pixelSize", 1.0)), overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -152,12 +227,19 @@ def image(stack: DataFrame, image_id: int) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, nx, ny, nz, mode) without the data, in column expressions."""
+    """(path, nx, ny, nz, mode) without the data, in column expressions. Files are read whole for that: for files that are open
+    by path, spark.read.format("mrc") reads the header alone."""
     files = spark.read.format("binaryFile").load(path)
     little = [F.conv(F.concat(*[F.hex(F.substring("content", 4 * i + 4 - k, 1)) for k in range(4)]), 16, 10).cast("int").alias(n) for i, n in enumerate(["nx", "ny", "nz", "mode"])]
     return files.select("path", *little)
 
 
+def write_stack(images: DataFrame, path: str, pixel_size: float = 1.0) -> None:
+    """Write images (image_id, px) to one file, by all tasks at once; an older file is replaced when all is written."""
+    register(images.sparkSession)
+    images.select(F.col("image_id").cast("long").alias("image_id"), F.col("px").cast("array<float>").alias("px")).write.format("mrc").option("pixelSize", pixel_size).mode("overwrite").save(path)
+
+
 def write(images: np.ndarray, path: str, pixel_size: float = 1.0) -> None:
     """Write one file from the driver: a volume or a small stack."""
     with open(path.removeprefix("file://"), "wb") as f:

@@ -63,15 +63,22 @@ def _labels(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["label"])
 
 
-def write_star(df: DataFrame, path: str, block: str = "images", order: str | None = None) -> None:
-    """One file with one loop; numbers as %20.6f."""
+def write_star(df: DataFrame, path: str, block: str = "images", order: str | None = None, files: int = 1) -> None:
+    """A folder of files with one loop each, which read_star reads together; numbers as %20.6f. With an order the rows are
+    ranged over the files and sorted in each. Every task writes its file's labels and rows, through Spark's writer."""
+    import pyarrow as pa
+
     kinds = dict(df.dtypes)
     cells = [F.format_string("%20.6f", F.col(c)) if kinds[c] in ("double", "float") else F.format_string("%20s", F.col(c).cast("string")) for c in df.columns]
-    body = df.select((F.col(order).cast("double") if order else F.monotonically_increasing_id().cast("double")).alias("_o"), F.concat_ws(" ", *cells).alias("value"))
     header = ["", f"data_{block}", "", "loop_", *[f"_{c} #{i + 1}" for i, c in enumerate(df.columns)]]
-    head = df.sparkSession.createDataFrame([(float(i) - 1e18, h) for i, h in enumerate(header)], "_o double, value string")
-    # spacing of doubles near 1e18 is 128, so the header's order is kept by a second key
-    head = head.withColumn("_k", F.monotonically_increasing_id())
-    body = body.withColumn("_k", F.lit(0).cast("long"))
-    head = head.withColumn("_o", F.lit(-1e18))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("_o", "_k").select("value").write.mode("overwrite").text(path)
+    placed = df.repartitionByRange(files, order).sortWithinPartitions(order) if order else df.repartition(files)
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(header, batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    placed.select(F.concat_ws(" ", *cells).alias("value")).mapInArrow(headed, "value string").write.mode("overwrite").text(path)
