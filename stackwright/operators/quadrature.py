@@ -126,9 +126,9 @@ def in_asymmetric_unit(name: str, x: Column, y: Column, z: Column, eps: float =
 
 def asymmetric_points(points: DataFrame, name: str) -> DataFrame:
     """The points of the asymmetric unit, their weights scaled to the same sum as before."""
-    whole = points.agg(F.sum("weight").alias("_all"))
-    part = points.where(in_asymmetric_unit(name, F.col("x"), F.col("y"), F.col("z")))
-    return part.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("weight") * F.col("_all") / F.sum("weight").over(W.partitionBy())).drop("_all")
+    inside = in_asymmetric_unit(name, F.col("x"), F.col("y"), F.col("z"))
+    sums = points.agg((F.sum("weight") / F.sum(F.when(inside, F.col("weight")))).alias("_share"))
+    return points.where(inside).crossJoin(F.broadcast(sums)).withColumn("weight", F.col("weight") * F.col("_share")).drop("_share")
 
 
 def asymmetric_labels(points: np.ndarray, name: str, resolution: float) -> np.ndarray:

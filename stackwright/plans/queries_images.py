@@ -193,9 +193,15 @@ def trilinear_sample(spark, d):
     return linear.sample_at(volumes(spark, d), _points(spark), 3, 4, key="vec_id").select("vec_id", "id", F.round("v", 6).alias("v"))
 
 
-@query(f"with {TRI} select id, x::int as x, y::int as y, z::int as z, round(w, 6) as weight from t where w <> 0 and x between -2 and 1 and y between -2 and 1 and z between -2 and 1")
+#: A point of each image: eight times its first three elements.
+OWN_POINT = "select vec_id as id, 8*embedding[1]::double as p0, 8*embedding[2]::double as p1, 8*embedding[3]::double as p2 from embeddings"
+
+
+@query(f"with q as ({OWN_POINT}), {TRI[TRI.index('o as'):]} select id, x::int as x, y::int as y, z::int as z, round(w, 6) as weight from t where w <> 0 and x between -2 and 1 and y between -2 and 1 and z between -2 and 1")
 def interpolation_matrix(spark, d):
-    return linear.interpolation_taps(_points(spark), 3, 4).withColumn("weight", F.round("weight", 6))
+    """The weights of a grid's cells in a point of each image."""
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[(8 * F.col("embedding")[k].cast("double")).alias(f"p{k}") for k in range(3)])
+    return linear.interpolation_taps(points, 3, 4).withColumn("weight", F.round("weight", 6))
 
 
 C4 = """r(op, a, b) as (values (0, 1, 0), (1, 0, -1), (2, -1, 0), (3, 0, 1)),

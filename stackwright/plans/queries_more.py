@@ -83,9 +83,11 @@ def ctf_scale_sign(spark, d):
     return out.join(optics.with_sign(rows, -1).withColumnRenamed("dscale", "negative"), "p_partkey").drop("dscale")
 
 
-@query("select i::int as i, round(i/(64*2.8::double), 8) as freq, round(exp(-125.0*power(i/(64*2.8::double), 2)), 8) as envelope from (select unnest(range(33)) as i)")
+@query("select p_partkey, (p_size % 33)::int as i, round((p_size % 33)/(64*2.8::double), 8) as freq, round(exp(-125.0*power((p_size % 33)/(64*2.8::double), 2)), 8) as envelope from part")
 def envelope_curve(spark, d):
-    return optics.envelope_curve(spark, 64, 2.8, 500.0).select("i", F.round("freq", 8).alias("freq"), F.round("envelope", 8).alias("envelope"))
+    """The envelope at each part's frequency, looked up on the curve."""
+    parts = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 33).cast("int").alias("i"))
+    return pairs.look_up(parts, optics.envelope_curve(spark, 64, 2.8, 500.0), "i").select("p_partkey", "i", F.round("freq", 8).alias("freq"), F.round("envelope", 8).alias("envelope"))
 
 
 @query("select s_suppkey, 'run_' || s_nationkey || '_sup_' || s_suppkey as name from supplier")
@@ -116,23 +118,33 @@ def fisher_kde_symmetric(spark, d):
     return out.withColumn("logp", F.round("logp", 5))
 
 
-DIRS = [(0, 0.0, 0.0, 1.0), (1, 0.0, 0.0, -1.0), (2, 1.0, 0.0, 0.0), (3, 0.6, 0.0, 0.8), (4, 0.48, -0.6, 0.64)]
 TAPS3 = "t as (select id, row, floor(p0) + a.o as x, floor(p1) + b.o as y, floor(p2) + e.o as z, (1 - abs(p0 - floor(p0) - a.o))*(1 - abs(p1 - floor(p1) - b.o))*(1 - abs(p2 - floor(p2) - e.o)) as w from q, o a, o b, o e)"
 
 
-@query(f"""with d0(id, dx, dy, dz) as (values {", ".join(map(str, DIRS))}), d as (select id, dx::double as dx, dy::double as dy, dz::double as dz from d0), {INSIDE},
+#: A direction of each image, from its first three elements.
+OWN_DIRECTION = "select vec_id as id, e[1]::double/r as dx, e[2]::double/r as dy, e[3]::double/r as dz from (select vec_id, embedding as e, sqrt(embedding[1]::double**2 + embedding[2]::double**2 + embedding[3]::double**2) as r from embeddings)"
+
+
+def own_directions(spark, d):
+    e = [F.col("embedding")[k].cast("double") for k in range(3)]
+    length = F.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2])
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[(x / length).alias(n) for x, n in zip(e, ("dx", "dy", "dz"), strict=True)])
+
+
+@query(f"""with d as ({OWN_DIRECTION}), {INSIDE},
  q as (select id, "at" as row, case when dz <= -1 then g.x else (1 - dx*dx/(1 + dz))*g.x - dx*dy/(1 + dz)*g.y end as p0, case when dz <= -1 then -g.y else -dx*dy/(1 + dz)*g.x + (1 - dy*dy/(1 + dz))*g.y end as p1, case when dz <= -1 then 0 else -dx*g.x - dy*g.y end as p2 from d, g),
  o as (select unnest([0, 1]) as o), {TAPS3} select id, row, x::int as x, y::int as y, z::int as z, round(w*sqrt(8), 6) as weight from t where abs(w) > 1e-9 and x between -4 and 3 and y between -4 and 3 and z between -4 and 3""")
 def projection_matrix(spark, d):
-    dirs = spark.createDataFrame(DIRS, "id int, dx double, dy double, dz double")
-    out = linear.projection_matrix(spark, dirs, 8, 0.75)
-    return out.where("abs(weight) > 3e-9").select("id", "row", "x", "y", "z", F.round("weight", 6).alias("weight"))
+    """The weights of a volume's coefficients in the central slice of each image's direction."""
+    out = linear.projection_matrix(spark, own_directions(spark, d), 8, 0.75)
+    return out.where(F.abs("weight") > 1e-9 * 8**0.5).select("id", "row", "x", "y", "z", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""with a0(id, t) as (values (0, 0.0), (1, 0.3), (2, 2.1)), a as (select id, t::double as t from a0), {INSIDE}, q as (select id, "at" as row, cos(t)*g.x - sin(t)*g.y as p0, sin(t)*g.x + cos(t)*g.y as p1 from a, g), o as (select unnest([0, 1]) as o),
+@query(f"""with a as (select vec_id as id, 10*embedding[1]::double as t from embeddings), {INSIDE}, q as (select id, "at" as row, cos(t)*g.x - sin(t)*g.y as p0, sin(t)*g.x + cos(t)*g.y as p1 from a, g), o as (select unnest([0, 1]) as o),
  t as (select id, row, floor(p0) + a.o as x, floor(p1) + b.o as y, (1 - abs(p0 - floor(p0) - a.o))*(1 - abs(p1 - floor(p1) - b.o)) as w from q, o a, o b) select id, row, x::int as x, y::int as y, round(w, 6) as weight from t where abs(w) > 1e-9 and x between -4 and 3 and y between -4 and 3""")
 def inplane_matrix(spark, d):
-    angles = spark.createDataFrame([(0, 0.0), (1, 0.3), (2, 2.1)], "id int, theta double")
+    """The weights of an image's coefficients in its turned ones, by each image's angle."""
+    angles = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (10 * F.col("embedding")[0].cast("double")).alias("theta"))
     return linear.inplane_matrix(spark, angles, 8, 0.75).where("abs(weight) > 1e-9").select("id", "row", "x", "y", F.round("weight", 6).alias("weight"))
 
 

@@ -318,25 +318,50 @@ def squared_distances(spark, d):
 SPIRAL = "h as (select i, -1 + i*2.0::double/199 as h from (select unnest(range(200)) as i)), t as (select i, h, sum(case when i between 1 and 198 then 3.6/sqrt(200)/sqrt(1 - h*h) else 0 end) over (order by i) as t from h), s as (select i, cos(case when i between 1 and 198 then t else 0 end)*sqrt(greatest(1 - h*h, 0)) as x, sin(case when i between 1 and 198 then t else 0 end)*sqrt(greatest(1 - h*h, 0)) as y, h as z, 4*pi()/200 as weight from t)"
 
 
-@query(f"with {SPIRAL} select i, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(weight, 6) as weight from s")
+@query(f"with {SPIRAL} select vec_id, i, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(weight, 6) as weight from embeddings join s on vec_id % 200 = i")
 def spiral_points(spark, d):
-    out = quadrature.spiral_sphere(spark, 200)
-    return out.select("i", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "weight")])
+    """The direction of a spiral that each image is given."""
+    images = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 200).cast("int").alias("i"))
+    return pairs.look_up(images, quadrature.spiral_sphere(spark, 200), "i").select("vec_id", "i", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "weight")])
 
 
-@query(f"with {SPIRAL}, a as (select * from s where atan2(y, x) >= -pi()/3 + 1e-8 and atan2(y, x) <= pi()/3 + 1e-8 and acos(greatest(-1, least(1, z/sqrt(x*x + y*y + z*z)))) <= pi()/2 + 1e-8) select i, round(weight*(select sum(weight) from s)/sum(weight) over (), 6) as weight from a")
+DIRECTION = "select vec_id as i, e[1]::double/r as x, e[2]::double/r as y, e[3]::double/r as z, 1.0 + label as weight from (select vec_id, label, embedding as e, sqrt(embedding[1]::double**2 + embedding[2]::double**2 + embedding[3]::double**2) as r from embeddings)"
+
+
+def directions(spark, d):
+    """(i, x, y, z, weight): a direction of each image."""
+    e = [F.col("embedding")[k].cast("double") for k in range(3)]
+    length = F.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2])
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), *[(v / length).alias(n) for v, n in zip(e, "xyz", strict=True)], (1.0 + F.col("label")).alias("weight"))
+
+
+@query(f"with s as ({DIRECTION}), a as (select * from s where atan2(y, x) >= -pi()/3 + 1e-8 and atan2(y, x) <= pi()/3 + 1e-8 and acos(greatest(-1, least(1, z/sqrt(x*x + y*y + z*z)))) <= pi()/2 + 1e-8) select i, round(weight*(select sum(weight) from s)/sum(weight) over (), 6) as weight from a")
 def asymmetric_unit(spark, d):
-    return quadrature.asymmetric_points(quadrature.spiral_sphere(spark, 200), "d3").select("i", F.round("weight", 6).alias("weight"))
+    """The images whose direction lies in one unit of D3, with weights that stand for all."""
+    return quadrature.asymmetric_points(directions(spark, d), "d3").select("i", F.round("weight", 6).alias("weight"))
 
 
-@query()
+ICOSPHERE = ", ".join(f"({i}, {x!r}::double, {y!r}::double, {z!r}::double)" for i, (x, y, z) in enumerate(quadrature.icosphere(2).tolist()))
+
+
+@query(f"with p(i, px, py, pz) as (values {ICOSPHERE}), s as ({DIRECTION}), m as (select s.i as vec_id, p.i, x*px + y*py + z*pz as cosine from s, p) select vec_id, arg_max(i, cosine)::int as i, round(max(cosine), 6) as cosine, round(4*pi()/162, 6) as weight from m group by 1")
 def icosphere_points(spark, d):
-    return quadrature.icosphere_points(spark, 2)
+    """The nearest vertex of an icosphere to each image's direction."""
+    vertices = quadrature.icosphere_points(spark, 2).select(F.col("i"), *[F.col(c).alias(f"p{c}") for c in "xyz"], F.col("weight").alias("w"))
+    both = directions(spark, d).select(F.col("i").alias("vec_id"), "x", "y", "z").crossJoin(F.broadcast(vertices))  # 162 vertices
+    best = both.groupBy("vec_id").agg(F.max(F.struct((F.col("x") * F.col("px") + F.col("y") * F.col("py") + F.col("z") * F.col("pz")).alias("cosine"), "i", "w")).alias("b"))
+    return best.select("vec_id", "b.i", F.round("b.cosine", 6).alias("cosine"), F.round("b.w", 6).alias("weight"))
 
 
 def _grid_sql(nodes, weights, extent):
     rows = ", ".join(f"({s!r}::double, {w!r}::double)" for s, w in zip(nodes, weights, strict=True))
-    return f"with l(s, w) as (values {rows}), b as (select a.s as sx, c.s as sy, a.w*c.w as w from l a, l c where a.s*a.s + c.s*c.s < {extent * extent!r}) select round(sx, 6) as sx, round(sy, 6) as sy, round(w/sum(w) over (), 6) as weight from b"
+    return f"with l(s, w) as (values {rows}), b as (select a.s as sx, c.s as sy, a.w*c.w as w from l a, l c where a.s*a.s + c.s*c.s < {extent * extent!r}), g as (select sx, sy, w/sum(w) over () as w from b) select p_partkey, round(sum(w*cos(2*pi()*(sx*p_size/100.0::double + sy*0.03))), 6) as blur from part, g group by 1"
+
+
+def _blur(spark, d, grid_points):
+    """The mean phase of each part's frequency over the shifts of a grid, whose points are a property of the domain."""
+    phase = F.cos(2 * PI * (F.col("sx") * F.col("p_size") / 100.0 + F.col("sy") * 0.03))
+    return table(spark, d, "part").crossJoin(F.broadcast(grid_points)).groupBy("p_partkey").agg(F.round(F.sum(F.col("weight") * phase), 6).alias("blur"))
 
 
 HERMITE, LEGENDRE = quadrature.shift_nodes("hermite", 7, 3.0, 9.0), quadrature.shift_nodes("legendre", 7, 3.0, 9.0)
@@ -344,19 +369,20 @@ HERMITE, LEGENDRE = quadrature.shift_nodes("hermite", 7, 3.0, 9.0), quadrature.s
 
 @query(_grid_sql(*HERMITE, 9.0))
 def shift_grid_hermite(spark, d):
-    out = quadrature.shift_grid(spark, *HERMITE, 9.0)
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    return _blur(spark, d, quadrature.shift_grid(spark, *HERMITE, 9.0))
 
 
 @query(_grid_sql(*LEGENDRE, 9.0))
 def shift_grid_legendre(spark, d):
-    out = quadrature.shift_grid(spark, *LEGENDRE, 9.0)
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    return _blur(spark, d, quadrature.shift_grid(spark, *LEGENDRE, 9.0))
 
 
-@query("select i::int as i, round((i + 0.5)*2*pi()/32, 6) as theta, round(2*pi()/32, 6) as weight from (select unnest(range(32)) as i)")
+@query("select p_partkey, i, round((i + 0.5)*2*pi()/32, 6) as theta, round(2*pi()/32, 6) as weight from (select p_partkey, floor((p_retailprice - 2*pi()*floor(p_retailprice/(2*pi())))/(2*pi()/32))::int as i from part)")
 def inplane_grid(spark, d):
-    return quadrature.circle_grid(spark, 0.2).select("i", F.round("theta", 6).alias("theta"), F.round("weight", 6).alias("weight"))
+    """The angle of the grid nearest to each part's."""
+    turn = F.col("p_retailprice") - 2 * PI * F.floor(F.col("p_retailprice") / (2 * PI))
+    parts = table(spark, d, "part").select("p_partkey", F.floor(turn / (2 * PI / 32)).cast("int").alias("i"))
+    return pairs.look_up(parts, quadrature.circle_grid(spark, 0.2), "i").select("p_partkey", "i", F.round("theta", 6).alias("theta"), F.round("weight", 6).alias("weight"))
 
 
 @query("select c_custkey, round(cos(a)*cos(b)*cos(g) - sin(a)*sin(g), 6) as r00, round(-cos(a)*cos(b)*sin(g) - sin(a)*cos(g), 6) as r01, round(cos(a)*sin(b), 6) as r02, round(sin(a)*sin(b), 6) as r12, round(-sin(b)*cos(g), 6) as r20, round(sin(b)*sin(g), 6) as r21, round(cos(b), 6) as r22 from (select c_custkey, c_custkey*0.1::double as a, c_nationkey*0.07::double as b, c_acctbal/1000 as g from customer)")
@@ -439,9 +465,10 @@ def outside_power(spark, d):
     return likelihood.outside_power(e, "vec_id", F.col("k") < 20).withColumn("power", F.round("power", 6))
 
 
-@query("with l(k, v, level) as (values ('rate', '1', 0), ('rate', '2', 2), ('size', '8', 0), ('size', '4', 1)) select k, arg_max(v, level) as v from l group by 1")
+@query("select c_nationkey as k, arg_max(c_name, c_custkey) as v from customer group by 1")
 def parameter_overlay(spark, d):
-    rows = spark.createDataFrame([("rate", "1", 0), ("rate", "2", 2), ("size", "8", 0), ("size", "4", 1)], "k string, v string, level int")
+    """Settings laid over each other: of each key the value of the highest level."""
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("v"), F.col("c_custkey").alias("level"))
     return pairs.latest(rows, "k", "v", F.col("level"))
 
 
@@ -498,6 +525,9 @@ def sampler_marginal(spark, d):
     return sampler_state.marginals(_sampler(spark, d), 4)[0].withColumn("p", F.round("p", 6))
 
 
-@query("select s.i*5 + t.i as point, s.i as slice, t.i as turn, round(4*pi()/12*2*pi()/5, 6) as weight from (select unnest(range(12))::int as i) s, (select unnest(range(5))::int as i) t")
+@query("select vec_id, s.i*5 + t.i as point, s.i as slice, t.i as turn, round(4*pi()/12*2*pi()/5, 6) as weight from embeddings, (select unnest(range(12))::int as i) s, (select unnest(range(5))::int as i) t where vec_id % 60 = s.i*5 + t.i")
 def product_domain(spark, d):
-    return sampler_state.product_domain(quadrature.spiral_sphere(spark, 12), quadrature.circle_grid(spark, 1.5)).withColumn("weight", F.round("weight", 6))
+    """The pose of the product domain that each image is given."""
+    domain = sampler_state.product_domain(quadrature.spiral_sphere(spark, 12), quadrature.circle_grid(spark, 1.5))
+    images = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 60).cast("int").alias("point"))
+    return pairs.look_up(images, domain, "point").select("vec_id", "point", "slice", "turn", F.round("weight", 6).alias("weight"))
