@@ -105,14 +105,14 @@ def white(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def noise_map(df: DataFrame, prior: float, base_variance: float, images: float) -> DataFrame:
+def noise_map(df: DataFrame, prior: float, base_variance: float, images: Column | float) -> DataFrame:
     """The noise estimate drawn to the base variance: it weighs as much as `prior` observations, the estimate
     as often as a coefficient was inside the mask, mask times the number of images."""
     weight = F.col("mask") * images
     return df.withColumn("noise", (F.col("sigma2") * weight + prior * base_variance) / (weight + prior))
 
 
-def envelope_map(df: DataFrame, prior: float, images: float, expected: Column | None = None, low: float | None = None, high: float | None = None, fixed: Column | None = None) -> DataFrame:
+def envelope_map(df: DataFrame, prior: float, images: Column | float, expected: Column | None = None, low: float | None = None, high: float | None = None, fixed: Column | None = None) -> DataFrame:
     """The envelope drawn to the expected one (1 if none): observations weigh mask times the number of images
     over the noise. Where `fixed` holds (low frequencies) it is 1; it is held within bounds."""
     weight = F.col("mask") * images / F.col("noise")

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackwright.operators import blocks, descent, estep, probability, sampler_state, tiles
+from stackwright.operators import blocks, descent, estep, histories, probability, sampler_state, tiles
 from stackwright.plans.registry import query, table
 
 #: Points of the domain: slices, turns, shifts; coefficients; noise variance. Distributions are drawn from elements of
@@ -133,3 +133,41 @@ def tiled_products(spark, d):
     rows = tiles.from_blocks(y, ["p_retailprice"]).select(F.lit("y").alias("side"), "at", F.round("p_retailprice", 2).alias("value"))
     other = tiles.from_blocks(z, ["p_retailprice"]).select(F.lit("z").alias("side"), "at", F.round("p_retailprice", 2).alias("value"))
     return rows.unionByName(other).where("value != 0")
+
+
+RING = "floor(sqrt(x*x + y*y))::int"
+HISTORY = f"""with px as (select vec_id % 2 as run, vec_id // 2 % 4 as batch, i // 8 - 4 as x, i % 8 - 4 as y, embedding[i + 1]::double as v, embedding[(i + 1) % 64 + 1]::double as u from embeddings, (select unnest(range(64)) as i)),
+ b as (select run, batch, x, y, avg(v*v) as error, avg(v*u) as corr, avg(u*u) as power from px group by all),
+ h as (select run, batch, x, y, case when batch % 2 = 0 then 0.5 else 1 end::double as k, case when x*x + y*y < case when batch % 2 = 0 then 16 else 9 end then 1.0 else 0.0 end as mask, error, corr, power from b),
+ m as (select run, x, y, avg(k*error) as error, avg(k*corr) as corr, avg(k*power) as power, avg(mask) as mask from h group by all),
+ l as (select *, {RING} as lo, sqrt(x*x + y*y) - {RING} as f from m),
+ s as (select run, lo as bin, 1 - f as w, * exclude (run, lo, f) from l where lo + 1 < 6 union all select run, lo + 1, f, * exclude (run, lo, f) from l where lo + 1 < 6),
+ p as (select run, bin, sum(w*error)/sum(w) as error, sum(w*corr)/sum(w) as corr, sum(w*power)/sum(w) as power, sum(w*mask) as mask from s group by all),
+ r as (select l.run, l.x, l.y, (1 - f)*a.error + f*b.error as error, (1 - f)*a.corr + f*b.corr as corr, (1 - f)*a.power + f*b.power as power, (1 - f)*a.mask + f*b.mask as mask
+       from l join p a on a.run = l.run and a.bin = least(lo, 5) join p b on b.run = l.run and b.bin = least(least(lo, 5) + 1, 5)),
+ n as (select *, (error*mask*4*25 + 30*0.02)/(mask*4*25 + 30) as noise from r)"""
+
+
+def _history(spark, d):
+    """Two generations: all minibatches within radius 3, then the even ones within radius 4 with halved sums."""
+    e = table(spark, d, "embeddings").withColumn("other", F.concat(F.slice("embedding", 2, 63), F.slice("embedding", 1, 1)))
+    cells = e.select((F.col("vec_id") % 2).alias("run"), (F.floor(F.col("vec_id") / 2) % 4).alias("batch"), F.posexplode(F.arrays_zip("embedding", "other")).alias("i", "p"))
+    cells = cells.select("run", "batch", (F.floor(F.col("i") / 8) - 4).alias("x"), (F.col("i") % 8 - 4).alias("y"), F.col("p.embedding").cast("double").alias("v"), F.col("p.other").cast("double").alias("u"))
+    first = cells.groupBy("run", "batch", "x", "y").agg(F.avg(F.col("v") * F.col("v")).alias("error"), F.avg(F.col("v") * F.col("u")).alias("corr"), F.avg(F.col("u") * F.col("u")).alias("power"))
+    inside = lambda r: ((F.col("x") * F.col("x") + F.col("y") * F.col("y")) < r * r).cast("double").alias("mask")
+    again = first.where("batch % 2 = 0").select("run", F.lit(1).alias("gen"), "batch", "x", "y", *[(0.5 * F.col(k)).alias(k) for k in histories.SUMS[:3]], inside(4))
+    return first.select("run", F.lit(0).alias("gen"), "batch", "x", "y", *histories.SUMS[:3], inside(3)).unionByName(again)
+
+
+@query(f"""{HISTORY} select run, x, y, round(noise, 7) as noise, round(least(greatest(case when x*x + y*y < 2 then 1 else (corr*mask*4*25/noise + exp(-(x*x + y*y)/40.0)*50)/(power*mask*4*25/noise + 50) end, 0.05), 0.9), 6) as envelope from n""")
+def noise_history(spark, d):
+    r2 = F.col("x") * F.col("x") + F.col("y") * F.col("y")
+    found = histories.noise_and_envelope(_history(spark, d), 8, 25.0, 0.02, 30.0, 50.0, F.exp(-r2 / 40.0), 0.05, 0.9, r2 < 2)
+    return found.select("run", "x", "y", F.round("noise", 7).alias("noise"), F.round("envelope", 6).alias("envelope"))
+
+
+@query(f"{HISTORY}, w as (select run, avg((error*mask*4*25 + 30*0.02)/(mask*4*25 + 30)) as noise from m group by 1) select run, x, y, round(noise, 7) as noise, round((corr*mask*4*25/noise + 50)/(power*mask*4*25/noise + 50), 6) as envelope from m join w using (run)")
+def white_noise_history(spark, d):
+    """Noise of one colour, frequency by frequency without rings."""
+    found = histories.noise_and_envelope(_history(spark, d), 8, 25.0, 0.02, 30.0, 50.0, white=True, rotational=False)
+    return found.select("run", "x", "y", F.round("noise", 7).alias("noise"), F.round("envelope", 6).alias("envelope"))

@@ -120,9 +120,9 @@ def square_mask(spark, d):
     return images(spark, d).where(grid.inside(8, 2, 0.75, "square")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
 
-@query("select vec_id, list_transform(embedding, lambda e: round(e::double, 6)) as v from embeddings")
+@query("select vec_id, i as pixel, round(embedding[i + 1]::double, 6) as v from embeddings, (select unnest(range(64))::int as i)")
 def pack_round_trip(spark, d):
-    return grid.pack_array(images(spark, d), 8, 2, ["vec_id"]).select("vec_id", F.transform("v", lambda e: F.round(e, 6)).alias("v"))
+    return grid.pack_array(images(spark, d), 8, 2, ["vec_id"]).select("vec_id", F.posexplode("v").alias("pixel", "v")).withColumn("v", F.round("v", 6))
 
 
 MOMENTS = ", ".join([f"round(sum(v*v*{a})/sum(v*v), 6) as m{a}" for a in "xyz"] + [f"round((sum(v*v*{a}*{b})/sum(v*v) - sum(v*v*{a})/sum(v*v)*sum(v*v*{b})/sum(v*v))/64, 8) as c{a}{b}" for i, a in enumerate("xyz") for b in "xyz"[i:]])

@@ -197,10 +197,10 @@ TAPS, PICK = fourier.blur_taps(0.5), fourier.nearest(8, 4)
 BLUR = ", ".join(f"({i - len(TAPS) // 2}, {float(t)!r}::double)" for i, t in enumerate(TAPS))
 
 
-@query(f"with {CELLS2}, k(d, w) as (values {BLUR}), a as (select vec_id, x + d as x, y, sum(w*v) as v from c, k group by all), b as (select vec_id, x, y + d as y, sum(w*v) as v from a, k group by all), p(i, place) as (values {', '.join(f'({i}, {int(a)})' for i, a in enumerate(PICK))}) select vec_id, list(round(v, 5) order by r.i*4 + s.i) as v from b join p r on b.x + 4 = r.place join p s on b.y + 4 = s.place group by 1")
+@query(f"with {CELLS2}, k(d, w) as (values {BLUR}), a as (select vec_id, x + d as x, y, sum(w*v) as v from c, k group by all), b as (select vec_id, x, y + d as y, sum(w*v) as v from a, k group by all), p(i, place) as (values {', '.join(f'({i}, {int(a)})' for i, a in enumerate(PICK))}) select vec_id, (r.i*4 + s.i)::int as pixel, round(v, 5) as v from b join p r on b.x + 4 = r.place join p s on b.y + 4 = s.place")
 def resized_images(spark, d):
     px = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("px"))
-    return fourier.resize(px, "vec_id", "px", 8, 4, 2).select("vec_id", F.transform("v", lambda e: F.round(e, 5)).alias("v"))
+    return fourier.resize(px, "vec_id", "px", 8, 4, 2).select("vec_id", F.posexplode("v").alias("pixel", "v")).withColumn("v", F.round("v", 5))
 
 
 @query(f"{RIS} select vec_id, round(-(max(e) + ln(sum(exp(e - m)))), 5) as nll from (select *, max(e) over (partition by vec_id) as m from e where i = 0) group by 1")

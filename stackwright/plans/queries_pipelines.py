@@ -26,10 +26,10 @@ def fourier_power(spark, d):
     return f.select("vec_id", F.round(power, 4).alias("power"), F.round(F.col("re")[36], 5).alias("dc"))
 
 
-@query("select vec_id, list_transform(embedding, lambda e: round(e::double, 5)) as v from embeddings")
+@query("select vec_id, i as pixel, round(embedding[i + 1]::double, 5) as v from embeddings, (select unnest(range(64))::int as i)")
 def fourier_round_trip(spark, d):
     f = fourier.to_fourier(_packed(spark, d), "vec_id", "px", 4, 3)
-    return fourier.to_real(f, "vec_id", 4, 3).select("vec_id", F.transform("v", lambda e: F.round(e, 5)).alias("v"))
+    return fourier.to_real(f, "vec_id", 4, 3).select("vec_id", F.posexplode("v").alias("pixel", "v")).withColumn("v", F.round("v", 5))
 
 
 @query()
