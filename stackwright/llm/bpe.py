@@ -21,20 +21,23 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from stackwright.llm.common import groups_of, list_array, texts_of
+from stackwright.llm.common import groups_of, list_array, texts_of, tidy
 from stackwright.llm.pieces import Ids, PieceEncoder
 
 #: The public pre-tokenizer pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Texts are worked on in groups of about so many characters, and decoded in groups of so many ids.
-GROUP_CHARS, GROUP_IDS = 2_000_000, 500_000
+GROUP_CHARS, GROUP_IDS = 500_000, 250_000
+#: Slots of the memo of pieces (see pieces.Memo).
+MEMO_SLOTS = 1 << 21
 #: Entries of the pair-compatibility table that a worker keeps.
-PAIRS = 200_000
+PAIRS = 100_000
 #: Words beside marks or digits that are remembered: their number and their longest length.
-SHORT_WORDS, SHORT = 50_000, 24
+SHORT_WORDS, SHORT = 25_000, 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -219,7 +222,7 @@ def load(path: str) -> BpeTable:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     table = load(path)
-    return PieceEncoder(lambda pieces: table.encode_many(" " + p for p in pieces), table.encode_many, table.data)
+    return PieceEncoder(lambda pieces: table.encode_many(" " + p for p in pieces), table.encode_many, table.data, MEMO_SLOTS)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,9 +234,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def work(batches):
         table, pieces = load(path), encoder(path)
         for batch in batches:
-            texts, doc_ids = texts_of(batch), batch.column(id_col)
-            for a, b in groups_of([len(t) for t in texts], GROUP_CHARS):
-                ids, counts = pieces.encode(texts[a:b])
+            doc_ids = batch.column(id_col)
+            for a, b in groups_of(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), GROUP_CHARS):
+                ids, counts = pieces.encode(texts_of(batch.slice(a, b - a)))
                 stops = np.cumsum(counts)
                 decoded = [table.decode(ids[e - n : e]) for n, e in zip(counts, stops, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -242,4 +245,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, docs[text_col].alias("text")).mapInArrow(work, f"{id_col} {kind}, n_tokens long, ids array<int>, decoded string")
+    return docs.select(id_col, docs[text_col].alias("text")).mapInArrow(tidy(work), f"{id_col} {kind}, n_tokens long, ids array<int>, decoded string")

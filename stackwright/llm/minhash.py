@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import bytes_of, drop, groups_of, list_array, stage
+from stackwright.llm.common import bytes_of, drop, groups_of, list_array, stage, tidy
 from stackwright.llm.graphs import components
 from stackwright.llm.hashing import mix
 from stackwright.llm.substrings import Words
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "key", "key2", "sig"],
             )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(work, "doc_id long, n_shingles long, key long, key2 long, sig array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(tidy(work), "doc_id long, n_shingles long, key long, key2 long, sig array<long>")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, fine: bool = False) -
 
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     rows = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].alias("text")).join(ids, "rep").select("key", "half", "key2", "text")
-    return rows.mapInArrow(work, "key long, shingles array<long>")
+    return rows.mapInArrow(tidy(work), "key long, shingles array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
