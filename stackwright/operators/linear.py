@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,6 +139,37 @@ def hermitian_residual(cells: DataFrame, dims: int, n: int) -> DataFrame:
     return rows.groupBy("id").agg(F.sqrt(F.sum((F.col("re") - F.col("_re")) ** 2 + (F.col("im") - F.col("_im")) ** 2)).alias("residual"))
 
 
+def _mirror_place(at: Column, dims: int, n: int) -> Column:
+    """The place in the packed array of a place's conjugate."""
+    out, half = F.lit(0).cast("long"), n // 2
+    for k in range(dims):
+        c = F.floor(at / n ** (dims - 1 - k)) % n - half
+        out = out * n + F.pmod(-c + half, F.lit(n))
+    return out
+
+
+def pack_hermitian(coefficients: DataFrame, dims: int, n: int, key: str = "id") -> DataFrame:
+    """(key, k, value): a real parameter vector for coefficients (key, at, re, im) of a real volume, at places of the packed array. Of each
+    conjugate pair the first place is kept, with the root of 2 as weight, so lengths and products stay; places that are their
+    own conjugates have a real part alone. Element 2 * at is a real part, 2 * at + 1 an imaginary one. The map is
+    orthogonal: gradients are packed by the same function."""
+    mirror = _mirror_place(F.col("at"), dims, n)
+    rows = coefficients.where(F.col("at") <= mirror).withColumn("_w", F.when(F.col("at") == mirror, 1.0).otherwise(math.sqrt(2)))
+    parts = F.inline(F.when(F.col("at") == mirror, F.array(F.struct((2 * F.col("at")).alias("k"), F.col("re").alias("value")))).otherwise(F.array(F.struct((2 * F.col("at")).alias("k"), (F.col("_w") * F.col("re")).alias("value")), F.struct((2 * F.col("at") + 1).alias("k"), (F.col("_w") * F.col("im")).alias("value")))))
+    return rows.select(key, parts)
+
+
+def unpack_hermitian(vector: DataFrame, dims: int, n: int, key: str = "id") -> DataFrame:
+    """(key, at, re, im) of all places: the inverse of pack_hermitian."""
+    at = F.floor(F.col("k") / 2)
+    rows = vector.groupBy(key, at.alias("at")).agg(F.sum(F.when(F.col("k") % 2 == 0, F.col("value"))).alias("re"), F.coalesce(F.sum(F.when(F.col("k") % 2 == 1, F.col("value"))), F.lit(0.0)).alias("im"))
+    mirror = _mirror_place(F.col("at"), dims, n)
+    w = math.sqrt(0.5)
+    both = F.array(F.struct(F.col("at").alias("at"), (w * F.col("re")).alias("re"), (w * F.col("im")).alias("im")), F.struct(mirror.alias("at"), (w * F.col("re")).alias("re"), (-w * F.col("im")).alias("im")))
+    alone = F.array(F.struct(F.col("at").alias("at"), F.col("re").alias("re"), F.lit(0.0).alias("im")))
+    return rows.select(key, F.inline(F.when(F.col("at") == mirror, alone).otherwise(both)))
+
+
 def separable_window(dims: int, n: int, kind: str, radius: float | None = None) -> Column:
     """Window of a volume: a product of tapers, a circle (of radius * n / 2, n / 2 - 1 by default), or a box
     that zeroes the three lines along the axes through the grid's first cell."""

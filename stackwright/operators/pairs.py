@@ -175,3 +175,43 @@ def decayed_sum(df: DataFrame, key: str, value: str, order: list[str], decay: fl
     later = F.row_number().over(W.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])) - 1
     w = F.exp(later * math.log(decay))
     return df.withColumn("_w", w).groupBy(key).agg(F.sum(F.col("_w") * F.col(value)).alias("total"), F.sum("_w").alias("weight"))
+
+
+def turned_quaternion(p: list[Column], q: list[Column]) -> list[Column]:
+    """The product of two quaternions (w, x, y, z): the rotation p after the rotation q."""
+    a, b, c, d = p
+    w, x, y, z = q
+    return [a * w - b * x - c * y - d * z, a * x + b * w + c * z - d * y, a * y - b * z + c * w + d * x, a * z + b * y - c * x + d * w]
+
+
+def other_hand(q: list[Column]) -> list[Column]:
+    """The orientation whose projection is the mirror image."""
+    return [q[1], -q[0], q[3], -q[2]]
+
+
+def bingham_kappa(resolution: float, dims: int, scale: float = 1.0) -> float:
+    """Concentration at which the kernel has fallen to 1 / (2**dims * scale) half a resolution away."""
+    return math.log(2**dims * scale) / (1 - math.cos(resolution / 2) ** 2)
+
+
+def bingham_density(points: DataFrame, samples: DataFrame, kappa: float, both_hands: bool = False, group: list[tuple[float, float, float, float]] | None = None, eps: float = 1e-14) -> DataFrame:
+    """(id, p) over orientations (id, p0..p3), unit quaternions: each sample (id, p0..p3, w) spreads with the Bingham kernel
+    exp(kappa * (cos^2 - 1)), for which a quaternion and its opposite are one orientation. With a group (quaternions of its
+    rotations, the identity among them) or both_hands the nearest of a sample's images counts. The kernel is cut off where it falls
+    below eps: orientations meet those in the cells around them on the 3-sphere, both signs of a sample being laid there.
+    Sums are eps at least."""
+    reach = 1 + math.log(eps) / kappa
+    if reach <= 0:
+        raise ValueError(f"a kernel as wide as kappa = {kappa} covers the whole sphere")
+    q = [F.col(f"p{k}") for k in range(4)]
+    images = [turned_quaternion([F.lit(float(x)) for x in g], q) for g in (group or [(1.0, 0.0, 0.0, 0.0)])]
+    images += [other_hand(i) for i in images] if both_hands else []
+    laid = F.explode(F.array(*[F.struct(*[(s * c).alias(f"p{k}") for k, c in enumerate(i)]) for i in images for s in (1, -1)]))
+    near = samples.select(F.struct("id", "w").alias("id"), laid.alias("_i")).select("id", "_i.*")
+    # |a - b|^2 = 2 - 2 cos, for the nearer of the two signs
+    pairs = near_pairs(points, near, 4, math.sqrt(2 - 2 * math.sqrt(reach)))
+    best = pairs.groupBy("id", "id2").agg(F.min("d2").alias("d2"))
+    cos = 1 - F.col("d2") / 2
+    sums = best.groupBy("id").agg(F.sum(F.col("id2.w") * F.exp(kappa * (cos * cos - 1))).alias("s"))
+    sums = points.select("id").join(sums, "id", "left").select("id", F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(eps)).alias("s"))
+    return sums.crossJoin(F.broadcast(sums.agg(F.sum("s").alias("_all")))).select("id", (F.col("s") / F.col("_all")).alias("p"))

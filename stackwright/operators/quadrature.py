@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stackwright.operators.pairs import near_pairs
+from stackwright.staging import stage
+
 
 def spiral_sphere(spark: SparkSession, n: int) -> DataFrame:
     """(i, x, y, z, weight): n points on a spiral from pole to pole, equal weights that sum to 4 pi."""
@@ -131,22 +134,34 @@ def asymmetric_points(points: DataFrame, name: str) -> DataFrame:
     return points.where(inside).crossJoin(F.broadcast(sums)).withColumn("weight", F.col("weight") * F.col("_share")).drop("_share")
 
 
-def asymmetric_labels(points: np.ndarray, name: str, resolution: float) -> np.ndarray:
-    """1 for points kept as the asymmetric unit, -1 for those that a rotation of the group brings within the
-    resolution of a kept one. Points are taken in turn, always the one nearest to those kept so far. For
-    domains of some thousand points, on the driver."""
-    turns, near = symmetry_rotations(name)[1:], math.cos(resolution)
-    labels = np.zeros(len(points), np.int64)
-    closeness = np.full(len(points), -np.inf)
-    at = 0
-    for _ in range(len(points)):
-        kept = points[labels == 1]
-        seen = len(kept) and any((kept @ (r @ points[at]) >= near).any() for r in turns)
-        labels[at] = -1 if seen else 1
-        if not seen:
-            closeness = np.maximum(closeness, points @ points[at])
-        at = int(np.where(labels == 0, closeness, -np.inf).argmax())
-    return labels
+def asymmetric_set(points: DataFrame, name: str, resolution: float) -> DataFrame:
+    """(i, label): 1 for directions (i, x, y, z) that are kept as the asymmetric unit, -1 for those that a rotation of the group
+    other than the identity brings within the resolution of a kept one. No two kept ones meet in this way.
+
+    Directions meet their images in cells, which gives the graph of who stands for whom. In each round a direction that comes
+    before all its undecided neighbours is kept and its neighbours go; those in the unit by its formula come first, then a hash
+    decides. Rounds grow with the logarithm of the number of points, and nothing but a count comes to the driver."""
+    turns = symmetry_rotations(name)[1:]
+    nodes = points.select("i", F.struct(~in_asymmetric_unit(name, F.col("x"), F.col("y"), F.col("z")), F.xxhash64("i"), "i").alias("rank"), F.col("x").alias("p0"), F.col("y").alias("p1"), F.col("z").alias("p2"))
+    left = stage(nodes.select("i", "rank"), "undecided")
+    labels: list[DataFrame] = []
+    if turns:
+        turned = F.explode(F.array(*[F.struct(*[sum((float(r[i][j]) * F.col(f"p{j}") for j in (1, 2)), float(r[i][0]) * F.col("p0")).alias(f"p{i}") for i in range(3)]) for r in turns]))
+        images = nodes.select(F.col("i").alias("id"), turned.alias("_t")).select("id", "_t.*")
+        met = near_pairs(nodes.withColumnRenamed("i", "id"), images, 3, 2 * math.sin(resolution / 2)).where("id != id2").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+        edges = stage(met.unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "orbits")
+        while not edges.isEmpty():
+            first = edges.join(left.select(F.col("i").alias("v"), "rank"), "v").groupBy("u").agg(F.min("rank").alias("other"))
+            kept = left.join(first, left["i"] == first["u"]).where(F.col("rank") < F.col("other")).select("i")
+            gone = edges.join(kept.withColumnRenamed("i", "u"), "u").select(F.col("v").alias("i")).distinct()
+            decided = stage(kept.withColumn("label", F.lit(1)).unionByName(gone.withColumn("label", F.lit(-1))), "decided")
+            labels.append(decided)
+            left = stage(left.join(decided, "i", "left_anti"), "undecided")
+            edges = stage(edges.join(decided.select(F.col("i").alias("u")), "u", "left_anti").join(decided.select(F.col("i").alias("v")), "v", "left_anti"), "orbits")
+    out = left.select("i", F.lit(1).alias("label"))  # those that meet nobody
+    for decided in labels:
+        out = out.unionByName(decided)
+    return out
 
 
 def symmetry_columns(name: Column) -> tuple[Column, Column]:

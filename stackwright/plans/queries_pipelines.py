@@ -7,7 +7,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackwright.operators import fourier
+from stackwright.operators import fourier, linear
 from stackwright.plans.registry import query, table
 from stackwright.sources import mrc, results, star
 from stackwright.staging import fresh_path
@@ -32,6 +32,26 @@ def fourier_round_trip(spark, d):
     return fourier.to_real(f, "vec_id", 4, 3).select("vec_id", F.posexplode("v").alias("pixel", "v")).withColumn("v", F.round("v", 5))
 
 
+def _hermitian(spark, d):
+    """The real parameter vector of each image's coefficients as a volume."""
+    f = fourier.to_fourier(_packed(spark, d), "vec_id", "px", 4, 3)
+    rows = f.select("vec_id", F.posexplode(F.arrays_zip("re", "im")).alias("at", "c")).select("vec_id", F.col("at").cast("long").alias("at"), "c.re", "c.im")
+    return linear.pack_hermitian(rows, 3, 4, "vec_id")
+
+
+@query("select vec_id, 64::bigint as n, round(list_sum(list_transform(embedding, lambda e: e::double*e::double)), 6) as norm from embeddings")
+def hermitian_norm(spark, d):
+    """As many real parameters as voxels, and as long as the volume."""
+    return _hermitian(spark, d).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"))
+
+
+@query("select vec_id, i as pixel, round(embedding[i + 1]::double, 5) as v from embeddings, (select unnest(range(64))::int as i)")
+def hermitian_round_trip(spark, d):
+    f = linear.unpack_hermitian(_hermitian(spark, d), 3, 4, "vec_id")
+    packed = f.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("at", "re", "im"))).alias("c")).select("vec_id", F.col("c.re").alias("re"), F.col("c.im").alias("im"))
+    return fourier.to_real(packed, "vec_id", 4, 3).select("vec_id", F.posexplode("v").alias("pixel", "v")).withColumn("v", F.round("v", 5))
+
+
 @query()
 def padded_fourier(spark, d):
     m = fourier.premultiplier(12, lambda x: np.maximum(1 - np.abs(x), 0), 1)

@@ -531,3 +531,39 @@ def product_domain(spark, d):
     domain = sampler_state.product_domain(quadrature.spiral_sphere(spark, 12), quadrature.circle_grid(spark, 1.5))
     images = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 60).cast("int").alias("point"))
     return pairs.look_up(images, domain, "point").select("vec_id", "point", "slice", "turn", F.round("weight", 6).alias("weight"))
+
+
+#: Orientations of the images: four elements as a unit quaternion.
+QUATERNION = "q as (select vec_id, 1.0 + label as w, list_transform(embedding[1:4], lambda e: e::double/sqrt(list_sum(list_transform(embedding[1:4], lambda f: f::double*f::double)))) as q from embeddings)"
+NARROW = 200.0
+
+
+def orientations(spark, d):
+    e = [F.col("embedding")[k].cast("double") for k in range(4)]
+    length = F.sqrt(sum((v * v for v in e[1:]), e[0] * e[0]))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[(v / length).alias(f"p{k}") for k, v in enumerate(e)], (1.0 + F.col("label")).alias("w"))
+
+
+def _bingham(images):
+    """SQL: the density when the best of a sample's images counts."""
+    best = "greatest(" + ", ".join(f"power({i}, 2)" for i in images) + ")" if len(images) > 1 else f"power({images[0]}, 2)"
+    return f"with {QUATERNION}, c as (select a.vec_id, b.w, {best} as c from q a, q b), s as (select vec_id, greatest(coalesce(sum(w*exp({NARROW}*(c - 1))) filter (c >= 1 + ln(1e-14)/{NARROW}), 0), 1e-14) as s from c group by 1) select vec_id, round(s/sum(s) over (), 8) as p from s"
+
+
+@query(_bingham(["list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1]*x[2]))"]))
+def bingham_density(spark, d):
+    points = orientations(spark, d)
+    return pairs.bingham_density(points.drop("w"), points, NARROW).select(F.col("id").alias("vec_id"), F.round("p", 8).alias("p"))
+
+
+@query(_bingham(["a.q[1]*b.q[1] + a.q[2]*b.q[2] + a.q[3]*b.q[3] + a.q[4]*b.q[4]", "-a.q[1]*b.q[4] - a.q[2]*b.q[3] + a.q[3]*b.q[2] + a.q[4]*b.q[1]", "a.q[1]*b.q[2] - a.q[2]*b.q[1] + a.q[3]*b.q[4] - a.q[4]*b.q[3]", "-a.q[1]*b.q[3] + a.q[2]*b.q[4] + a.q[3]*b.q[1] - a.q[4]*b.q[2]"]))
+def bingham_density_symmetric(spark, d):
+    """With a half turn about z and both hands: the nearest of four images of each sample counts."""
+    points = orientations(spark, d)
+    return pairs.bingham_density(points.drop("w"), points, NARROW, True, [(1, 0, 0, 0), (0, 0, 0, 1)]).select(F.col("id").alias("vec_id"), F.round("p", 8).alias("p"))
+
+
+@query()
+def asymmetric_set(spark, d):
+    """The images whose directions are kept as the unit of D3, found by who meets whom."""
+    return quadrature.asymmetric_set(directions(spark, d), "d3", 0.1)

@@ -372,16 +372,6 @@ def test_principal_axes():
     assert np.allclose(d, np.diag(np.diag(d))) and (np.diff(np.diag(d)) > 0).all() and np.linalg.det(v) == pytest.approx(1)
 
 
-def test_asymmetric_labels_leave_one_of_each_orbit():
-    rng = np.random.default_rng(4)
-    base = rng.normal(size=(12, 3))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    turns = quadrature.symmetry_rotations("c3")
-    points = np.vstack([base @ r.T for r in turns])
-    labels = quadrature.asymmetric_labels(points, "c3", 1e-6)
-    assert labels[0] == 1 and sorted(labels.reshape(3, 12).sum(axis=0)) == [-1] * 12
-
-
 def test_nearest_in_clusters(spark):
     rng = np.random.default_rng(6)
     p = np.vstack([rng.normal(size=(60, 2)) * 1e-3, rng.normal(size=(40, 2)) * 50, [[1e4, 1e4]], [[0.5, 0.5]] * 2])
