@@ -6,8 +6,9 @@ Positions are code points, end exclusive.
 
 Contextual: instances are base matches, whole, and the tokens between white space with a digit or @,
 without a name and = or : before them and marks around them. Seeds are the base matches and, as a kind
-of their own (`secret`), assigned random values: at least 16 letters, digits and +/_.~- in which digits
-and letters take turns three times, after a name and = or :. A secret gets a span wherever it occurs.
+of their own (`secret`), assigned random values whose hash is even: at least 16 letters, digits and
++/_.~- in which digits and letters take turns three times, after a name and = or :. The other half of
+such values are no seeds; only what the seeds' contexts teach finds them.
 
 An instance has up to three lexical patterns: the word before it (or before the run of instances that it
 stands in), that word with the = or : between them, and the two words before it. Over the graph of
@@ -16,11 +17,14 @@ what follows it, taken over its distinct instances and over all tokens of the co
 ordinary words too, whichever is less; so "the" never becomes a pattern. Seeds are certain. An unseen
 instance of at least LENGTH characters is, for a pattern, as likely as its uses after other words: the
 mean over them of the confidence of seeded patterns that reach CONFIDENT, none for others; all else
-counts as none. All are shares, so a table of the same make decides alike at any size, and a pattern
-needs nine different seeds for each instance that nothing else speaks for. Seeded patterns that reach
-CONFIDENT then discover the identifiers before which they stand elsewhere: tokens of at least LENGTH
-characters that no base match covers get a span of the kind of the pattern's seeds, named `like_<kind>`.
-Base spans always stay.
+counts as none. An unseen instance that stands after this word alone, and has the shape of one of the
+pattern's seeds (the same classes of characters, and a length of the same power of two), speaks neither
+for the pattern nor against it, up to VOUCHED such instances for each seed. All are shares, so a table of
+the same make decides alike at any size, and a pattern needs nine different seeds for each instance of
+another shape that nothing else speaks for. Seeded patterns that reach CONFIDENT then discover the
+identifiers before which they stand elsewhere: tokens of at least LENGTH characters that no base match
+covers get a span of the kind of the pattern's seeds, named `like_<kind>`. Seeds that are secrets, and
+what was discovered in the shape of one, get their spans wherever they occur. Base spans always stay.
 
 Null and empty texts have no spans. The context of an instance is looked up in the whole text before it,
 however long. Patterns are written so that a text's length costs in proportion, with neither backtracking
@@ -66,7 +70,7 @@ ASSIGNS = r"(?<!\S)[^\p{L}\s]*+\p{L}[\p{L}_]*+[=:]++(?=[^\s0-9@]*\p{L}[^\s0-9@]*
 VALUE, TURNS = r"^[0-9A-Za-z+/_.~-]{16,}={0,2}$", r"^[A-Za-z]*+(?:[^0-9A-Za-z]*+[0-9]++[^0-9A-Za-z]*+[A-Za-z]++){3}"
 SECRET = "secret"
 CONTEXT_TYPE = "struct<prev:string,word:string,rest:string>"
-CONFIDENT, LENGTH, ROUNDS = 0.9, 8, 3
+CONFIDENT, LENGTH, ROUNDS, VOUCHED = 0.9, 8, 3, 3
 #: Most patterns that are broadcast to where words are counted (strings of some 10 bytes); more are shuffled.
 BROADCAST_PATTERNS = 500_000
 #: Matches whose positions are summed up in one go.
@@ -197,7 +201,7 @@ def patterns_of(word: Column, sign: Column, prev: Column) -> Column:
 
 
 def candidates(base: DataFrame) -> DataFrame:
-    """(doc_id, key, start, end, word, sign, prev, lead, instance, kind): seeds with their kind, and tokens
+    """(doc_id, key, start, end, word, sign, prev, lead, instance, kind, shape): seeds with their kind, and tokens
     that none covers without, each with the words and the sign before it."""
 
     def seed(kind: str):
@@ -217,13 +221,19 @@ def candidates(base: DataFrame) -> DataFrame:
         "prev": F.coalesce(F.when(~F.col("t.lead"), "").when(~named, word_of(before["prev"])).when(F.btrim(before["rest"], F.lit(BLANKS)) == "", outer), F.lit("")),
     }).where("word is not null and word != ''")
     t = t.withColumn("over", F.filter("seeds", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))))
-    secret = (F.col("sign") != "") & F.regexp_like("core", F.lit(VALUE)) & F.regexp_like("core", F.lit(TURNS))
+    secret = (F.col("sign") != "") & F.regexp_like("core", F.lit(VALUE)) & F.regexp_like("core", F.lit(TURNS)) & (F.pmod(F.xxhash64("core"), F.lit(2)) == 0)
     token = F.array(F.struct(F.col("begin").alias("start"), (F.col("begin") + F.length("core")).alias("end"), F.col("core").alias("instance"), F.when(secret, SECRET).alias("kind")))
     # each base match once, by the token that it starts in
     base_rows = F.filter("over", lambda s: s["start"] >= F.col("t.start"))
     rows = F.when(F.size("over") == 0, token).when(secret, F.concat(base_rows, token)).otherwise(base_rows)
     t = t.select("doc_id", "key", "word", "sign", "prev", "lead", F.explode(rows).alias("r"))
-    return t.select("doc_id", "key", "r.start", "r.end", "word", "sign", "prev", "lead", "r.instance", "r.kind")
+    return t.select("doc_id", "key", "r.start", "r.end", "word", "sign", "prev", "lead", "r.instance", "r.kind", shape_of(F.col("r.instance")).alias("shape"))
+
+
+def shape_of(instance: Column) -> Column:
+    """The classes of characters of an instance, and the power of two below its length."""
+    classes = [F.when(F.regexp_like(instance, F.lit(c)), n).otherwise("") for c, n in (("[0-9]", "9"), ("[a-z]", "a"), ("[A-Z]", "A"), ("@", "@"), ("[^0-9A-Za-z@]", "-"))]
+    return F.concat(*classes, F.floor(F.log2(F.length(instance))).cast("string"))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -249,24 +259,35 @@ def occurrences(docs: DataFrame, able: DataFrame) -> DataFrame:
 def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(pattern, score, kind) of the patterns that are trusted."""
     context = ["word", "sign", "prev"]
-    edges = found.groupBy(*context, "instance").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("lead")).alias("free"))
+    edges = found.groupBy(*context, "instance").agg(F.max("kind").alias("kind"), F.first("shape").alias("shape"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("lead")).alias("free"))
     edges = stage(edges, "pii-edges")
     uses = edges.groupBy("instance").agg(F.sum("n").alias("uses"), (F.count("kind") > 0).alias("seed"))
     edges = edges.join(uses, "instance").withColumn("open", ~F.col("seed") & (F.length("instance") >= LENGTH))
+    words = edges.groupBy("instance").agg((F.count_distinct("word") == 1).alias("one_word"))
+    edges = edges.join(words, "instance")
     edges = stage(edges, "pii-graph")
     long = edges.withColumn("pattern", F.explode(patterns_of(*map(F.col, context))))
     # only seeded patterns with an unseen instance can discover one or speak for one
     able = long.groupBy("word", "pattern").agg(F.max("seed").alias("seeded"), F.max("open").alias("any")).where("seeded and any")
     able = stage(able.select("word", "pattern"), "pii-able")
-    long = stage(long.join(able.select("pattern"), "pattern", "left_semi"), "pii-patterns")
+    long = long.join(able.select("pattern").distinct(), "pattern", "left_semi")
+    # instances of the shape of one of the pattern's seeds
+    shapes = long.where("seed").select("pattern", "shape", F.lit(True).alias("alike")).distinct()
+    long = long.join(shapes, ["pattern", "shape"], "left").withColumn("neutral", F.col("open") & F.col("one_word") & F.coalesce("alike", F.lit(False)))
+    long = stage(long.drop("alike"), "pii-patterns")
     seen = stage(occurrences(docs, able), "pii-seen")
     rated = long.withColumn("confidence", F.col("seed").cast("double"))
     for turn in range(ROUNDS):
-        one = rated.groupBy("pattern", "instance").agg(F.first("confidence").alias("confidence"), F.sum("n").alias("n"), F.sum("free").alias("free"))
-        sums = one.groupBy("pattern").agg(F.avg("confidence").alias("distinct"), F.sum(F.col("n") * F.col("confidence")).alias("sure"), F.sum("n").alias("n"), F.sum("free").alias("free"))
-        every = F.greatest(F.col("n"), F.col("free") + F.coalesce("seen", F.lit(0)))
-        score = F.least("distinct", F.col("sure") / every)
-        trusted = stage(sums.join(seen, "pattern", "left").select("pattern", score.alias("score")).where(F.col("score") >= CONFIDENT), f"pii-trusted-{turn}")
+        one = rated.groupBy("pattern", "instance").agg(F.first("confidence").alias("confidence"), F.first("neutral").alias("neutral"), F.first("seed").alias("seed"), F.sum("n").alias("n"), F.sum("free").alias("free"))
+        counts = {"all": F.lit(1), "uses": F.col("n")}
+        sums = one.groupBy("pattern").agg(
+            F.sum("confidence").alias("sure_all"), F.sum(F.col("n") * F.col("confidence")).alias("sure_uses"), F.sum("free").alias("free"),
+            *[F.sum(c).alias(k) for k, c in counts.items()], *[F.sum(F.when(F.col(by), c).otherwise(0)).alias(f"{by}_{k}") for k, c in counts.items() for by in ("neutral", "seed")],
+        ).join(seen, "pattern", "left")
+        vouched = {k: F.least(F.col(f"neutral_{k}"), VOUCHED * F.col(f"seed_{k}")) for k in counts}
+        every = F.greatest(F.col("uses"), F.col("free") + F.coalesce("seen", F.lit(0)))
+        score = F.least(F.col("sure_all") / (F.col("all") - vouched["all"]), F.col("sure_uses") / (every - vouched["uses"]))
+        trusted = stage(sums.select("pattern", score.alias("score")).where(F.col("score") >= CONFIDENT), f"pii-trusted-{turn}")
         # what trusted patterns say of an instance, once for each of its uses, and the share of uses after each word
         best = long.where("open").join(trusted, "pattern").groupBy(*context, "instance").agg((F.max("score") * F.first("n")).alias("said"))
         by_word = edges.where("open").join(best, [*context, "instance"], "left").groupBy("instance", "word").agg(F.sum("n").alias("own"), F.sum(F.coalesce("said", F.lit(0.0))).alias("own_said"), F.first("uses").alias("uses"))
@@ -288,11 +309,17 @@ def find(docs: DataFrame) -> DataFrame:
     found = stage(candidates(base), "pii-candidates")
     trusted = learn_patterns(found, docs)
     unseen = found.where(F.col("kind").isNull() & (F.length("instance") >= LENGTH)).drop("kind")
-    secrets = found.where(F.col("kind") == SECRET).select("instance").distinct()
+    seeds = found.where(F.col("kind") == SECRET)
+    secrets = seeds.select("instance").distinct()
     place = ["doc_id", "key", "start", "end"]
     known = found.where(F.coalesce(F.col("kind") == SECRET, F.lit(True))).join(secrets, "instance", "left_semi").select(*place, F.lit(len(KINDS)).alias("rank"), F.lit(SECRET).alias("kind"))
-    like = unseen.join(secrets, "instance", "left_anti").withColumn("pattern", F.explode(patterns_of(F.col("word"), F.col("sign"), F.col("prev")))).join(trusted, "pattern")
-    like = like.groupBy(*place).agg(F.max_by("kind", F.struct("score", "pattern")).alias("kind"))
+    unseen = unseen.join(secrets, "instance", "left_anti")
+    like = unseen.withColumn("pattern", F.explode(patterns_of(F.col("word"), F.col("sign"), F.col("prev")))).join(trusted, "pattern")
+    like = stage(like.groupBy(*place).agg(F.max_by("kind", F.struct("score", "pattern")).alias("kind"), F.first("instance").alias("instance"), F.first("shape").alias("shape")), "pii-like")
+    # what was discovered as a secret, in the shape of a seed, is one wherever it stands
+    shaped = like.where(F.col("kind") == SECRET).join(seeds.select("shape").distinct(), "shape", "left_semi").select("instance").distinct()
+    again = unseen.join(shaped, "instance", "left_semi").select(*place, F.lit(SECRET).alias("again"))
+    like = like.select(*place, "kind").unionByName(again.withColumnRenamed("again", "kind")).groupBy(*place).agg(F.max("kind").alias("kind"))
     # numbered kinds sort as they are listed: base kinds, secrets, then what was discovered
     number = F.array_position(F.array(*map(F.lit, [*KINDS, SECRET])), F.col("kind")).cast("int") + len(KINDS)
     extra = known.unionByName(like.select(*place, number.alias("rank"), F.concat(F.lit("like_"), F.col("kind")).alias("kind")))
