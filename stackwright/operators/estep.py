@@ -8,13 +8,14 @@ own candidates on every axis, with the weights they were drawn with; an axis wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackwright.operators.blocks import BLOCK, flat, merge_blocks
@@ -158,3 +159,36 @@ def e_step_sums(images: DataFrame, key: str, domain: Domain, spread: Callable[[n
 
     parts = _prepared(images, key).mapInArrow(work, "what string, block int, _task int, re array<double>, im array<double>")
     return merge_blocks(parts, ["what"], ["re", "im"])
+
+
+def prepare(images: DataFrame, key: str, n: int, rad: float, sigma2: float, base_variance: float, pixel_size: float = 1.0, bfactor: float | None = None) -> DataFrame:
+    """Packed images (key, re, im, optics) of n x n coefficients made ready for the step, in one narrow pass: (key, at, re, im, optics,
+    n_used, outside, constant). The coefficients within rad of the band stay, with their places; their optics fall off with the
+    envelope exp(-bfactor / 4 * frequency^2) if there is one. outside: the power of the others, which are noise of the
+    base variance. constant: what that power and the normal distributions' factors add to the negative log likelihood."""
+    reach = (rad * n / 2) ** 2
+
+    def r2(i: Column) -> Column:
+        x, y = F.floor(i / n) - n // 2, i % n - n // 2
+        return x * x + y * y
+
+    within = lambda _, i: r2(i) < reach
+    power = F.zip_with("re", "im", lambda a, b: a * a + b * b)
+    fall = lambda v, i: v * F.exp(-bfactor / 4 * r2(i) / (pixel_size * n) ** 2) if bfactor else v
+    rows = images.withColumn("outside", F.aggregate(F.filter(power, lambda v, i: r2(i) >= reach), F.lit(0.0), lambda s, v: s + v))
+    rows = rows.withColumns({"at": F.filter(F.sequence(F.lit(0), F.lit(n * n - 1)), within), "optics": F.filter(F.transform("optics", fall), within), "re": F.filter("re", within), "im": F.filter("im", within)})
+    used = F.size("at")
+    constant = F.col("outside") / (2 * base_variance) + used / 2 * math.log(2 * math.pi * sigma2) + (n * n - used) / 2 * math.log(2 * math.pi * base_variance)
+    return rows.select(key, "at", "re", "im", "optics", used.alias("n_used"), "outside", constant.alias("constant"))
+
+
+def report(results: DataFrame, keys: list[str], sizes: dict[str, int], noise_variance: float, n: int) -> DataFrame:
+    """(keys, n, like, rmse, signal, and for each axis the effective size ess_ and the speed-up speed_ of sampling, speed_total): what a
+    minibatch's step says, in one aggregation. rmse and signal are roots of expected power a pixel, in units of the noise."""
+    count = F.count(F.lit(1))
+    part = {a: F.col(f"n_{a}") / size for a, size in sizes.items()}
+    total = part["r"] * part["i"] * part["s"]
+    return results.groupBy(*keys).agg(
+        count.alias("n"), F.avg("nll").alias("like"), (F.sqrt(F.avg("error")) / (n * math.sqrt(noise_variance))).alias("rmse"), (F.sqrt(F.avg("power")) / (n * math.sqrt(noise_variance))).alias("signal"),
+        *[F.avg(f"ess_{a}").alias(f"ess_{a}") for a in sizes], *[(count / F.sum(p)).alias(f"speed_{a}") for a, p in part.items()], (count / F.sum(total)).alias("speed_total"),
+    )

@@ -91,17 +91,19 @@ def centre_gradient(cells: DataFrame, weight: float, key: str = "id") -> DataFra
 def neighbour_errors(cells: DataFrame, n: int, width: float, key: str = "id") -> DataFrame:
     """Adds err: the value less its prediction, the Gaussian-weighted sum of the neighbours within three
     widths (rounded, half up). The kernel, without its centre, sums to 1; neighbours beyond the grid count as
-    0. Cells meet by an equi-join on moved coordinates."""
+    0. A Gaussian is a product of three, so values are spread along one axis after the other, and the
+    centre is taken off at the end: 3 * (2 * r + 1) rows a cell are shuffled, not (2 * r + 1)**3."""
     r = math.floor(3 * width + 0.5)
-    span = range(-r, r + 1)
-    kernel = {(a, b, c): math.exp(-(a * a + b * b + c * c) / (2 * width**2)) for a in span for b in span for c in span if (a, b, c) != (0, 0, 0)}
-    whole = sum(kernel.values())
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(w / whole).alias("w")) for (a, b, c), w in kernel.items()]))
-    sent = cells.withColumn("o", offsets).select(key, (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), (F.col("z") + F.col("o.c")).alias("z"), (F.col("o.w") * F.col("v")).alias("wv"))
+    line = {a: math.exp(-(a * a) / (2 * width**2)) for a in range(-r, r + 1)}
+    others = sum(line.values()) ** 3 - 1
     low, high = -(n // 2), n - n // 2 - 1
-    sent = sent.where(F.col("x").between(low, high) & F.col("y").between(low, high) & F.col("z").between(low, high))
-    predicted = sent.groupBy(key, "x", "y", "z").agg(F.sum("wv").alias("_p"))
-    return cells.join(predicted, [key, "x", "y", "z"], "left").withColumn("err", F.col("v") - F.coalesce("_p", F.lit(0.0))).drop("_p")
+    spread = cells.select(key, *"xyz", F.col("v").alias("_p"))
+    for axis in "xyz":
+        steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(w).alias("w")) for a, w in line.items()]))
+        sent = spread.withColumn("_o", steps).withColumns({axis: (F.col(axis) + F.col("_o.a")).cast("int"), "_p": F.col("_o.w") * F.col("_p")}).where(F.col(axis).between(low, high))
+        spread = sent.groupBy(key, *"xyz").agg(F.sum("_p").alias("_p"))
+    # a cell that only neighbours speak of has no row, as before
+    return cells.join(spread, [key, "x", "y", "z"], "left").withColumn("err", F.col("v") - F.coalesce((F.col("_p") - F.col("v")) / others, F.lit(0.0))).drop("_p")
 
 
 def neighbour_prior(cells: DataFrame, n: int, tau: float, width: float = 1.0, key: str = "id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stackwright.operators.probability import log_sum_exp
+from stackwright.staging import stage
 
 #: A dimension table is broadcast up to this many rows; beyond, Spark shuffles both sides.
 DIMENSION_ROWS = 100_000
@@ -88,9 +89,10 @@ def nearest_spacing(points: DataFrame, dims: int, alone: float) -> DataFrame:
     radius, left, out = max(reach / max(n, 1) ** (1 / dims), reach * 1e-6, 1e-12), points, None
     while n > 1:
         pairs = near_pairs(left, points, dims, radius).where("id != id2")
-        found = pairs.groupBy("id").agg(F.sqrt(F.min("d2")).alias("spacing"))
+        # both are written: a round reads what the last one left, not all rounds before it
+        found = stage(pairs.groupBy("id").agg(F.sqrt(F.min("d2")).alias("spacing")), "nearest")
         out = found if out is None else out.unionByName(found)
-        left = left.join(found, "id", "left_anti").persist()
+        left = stage(left.join(found, "id", "left_anti"), "alone")
         if radius >= reach or left.isEmpty():
             break
         radius *= 2

@@ -6,6 +6,7 @@ import json
 import subprocess
 import threading
 import time
+from collections import deque
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime
@@ -69,14 +70,16 @@ def newer_files(spark: SparkSession, path: str, since: datetime) -> DataFrame:
 
 class Background:
     """Calls `turn` until it returns False, in a thread of its own, which can be paused. Results go to `sink`
-    in a second thread, one after the other; an error in either is raised by `end`."""
+    in a second thread, one after the other. At most `most` of them wait: a slow sink holds the turns back. An error in
+    the sink ends the turns; an error in either is raised by `end`."""
 
-    def __init__(self, turn: Callable[[], object], sink: Callable[[object], None] | None = None):
+    def __init__(self, turn: Callable[[], object], sink: Callable[[object], None] | None = None, most: int = 4):
         self.turn, self.sink = turn, sink
         self.going, self.stopped = threading.Event(), False
         # one thread each: what is handed to the sink stays in order
         self.pool, self.saver = ThreadPoolExecutor(1), ThreadPoolExecutor(1)
-        self.jobs: list[Future] = []
+        self.jobs: deque[Future] = deque()
+        self.room = threading.Semaphore(most)
 
     def begin(self) -> None:
         self.going.set()
@@ -89,7 +92,16 @@ class Background:
             if found is False or found is None:
                 return
             if self.sink:
-                self.jobs.append(self.saver.submit(self.sink, found))
+                self.room.acquire()
+                while self.jobs and self.jobs[0].done():
+                    self.jobs.popleft().result()  # raises what the sink raised
+                self.jobs.append(self.saver.submit(self._save, found))
+
+    def _save(self, found: object) -> None:
+        try:
+            self.sink(found)
+        finally:
+            self.room.release()
 
     def pause(self) -> None:
         self.going.clear()

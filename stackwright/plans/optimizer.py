@@ -140,17 +140,34 @@ class AverageGradient:
 
 @dataclass
 class MomentumGradient:
-    """Gradient descent with momentum."""
+    """Gradient descent with momentum. average: the gradient is a moving average, in which the last one has so much. adapt: the learn
+    rate is over a Lipschitz constant, which grows by `increase` a turn and is searched for every search_every turns."""
 
     learn_rate: float = 0.1
     momentum: float = 0.9
+    average: float = 0.0
+    adapt: bool = False
+    lipschitz: float = 1.0
+    increase: float = 1.0
+    search_every: int = 1
     velocity: np.ndarray | None = None
+    mean: np.ndarray | None = None
 
     def step(self, f: Objective, prior, x: np.ndarray, batch: int, turn: int) -> tuple[np.ndarray, dict]:
         loss, grad = f(x, batch)
         prior_loss, prior_grad = prior(x)
-        self.velocity = self.momentum * (0 if self.velocity is None else self.velocity) - self.learn_rate * (grad + prior_grad)
-        return x + self.velocity, {"iteration": turn, "batch": batch, "loss": loss + prior_loss, "step_size": float(np.linalg.norm(self.velocity)), "grad_size": float(np.linalg.norm(grad + prior_grad))}
+        whole = move = grad + prior_grad
+        if self.average > 0:
+            move = self.mean = (1 - self.average) * whole + (0 if self.mean is None else self.average * self.mean)
+        rate = self.learn_rate
+        if self.adapt:
+            self.lipschitz *= self.increase if turn else 1.0
+            if turn % self.search_every == 0:
+                both = lambda y, b: (f(y, b)[0] + prior(y)[0], None)
+                self.lipschitz = find_lipschitz(both, x, batch, loss + prior_loss, whole, self.lipschitz, 20 if turn == 0 else 3)
+            rate = self.learn_rate / self.lipschitz
+        self.velocity = self.momentum * (0 if self.velocity is None else self.velocity) - rate * move
+        return x + self.velocity, {"iteration": turn, "batch": batch, "loss": loss + prior_loss, "step_size": float(np.linalg.norm(self.velocity)), "grad_size": float(np.linalg.norm(whole)), "lipschitz": self.lipschitz}
 
 
 ALGORITHMS = {"average": AverageGradient, "momentum": MomentumGradient}

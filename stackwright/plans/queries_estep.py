@@ -171,3 +171,28 @@ def white_noise_history(spark, d):
     """Noise of one colour, frequency by frequency without rings."""
     found = histories.noise_and_envelope(_history(spark, d), 8, 25.0, 0.02, 30.0, 50.0, white=True, rotational=False)
     return found.select("run", "x", "y", F.round("noise", 7).alias("noise"), F.round("envelope", 6).alias("envelope"))
+
+
+@query(f"""{SAMPLES}, o as (select q.vec_id, sum(q*(power(d.o*(b.pr*b.sr - b.pi*b.si) - d.dr, 2) + power(d.o*(b.pr*b.si + b.pi*b.sr) - d.di, 2))) as error, sum(q*d.o*d.o*(b.pr*b.pr + b.pi*b.pi)) as power from q join d using (vec_id, i) join b on q.r = b.r and q.s = b.s and d.c = b.c group by 1),
+ fr as (select vec_id, 1/sum(f*f) as ess from (select vec_id, sum(q) as f from q group by vec_id, r) group by 1), fi as (select vec_id, 1/sum(f*f) as ess from (select vec_id, sum(q) as f from q group by vec_id, i) group by 1), fs as (select vec_id, 1/sum(f*f) as ess from (select vec_id, sum(q) as f from q group by vec_id, s) group by 1)
+ select l.vec_id % 3 as batch, count(*) as n, round(avg(nll), 5) as like, round(sqrt(avg(error))/(8*sqrt(0.5::double)), 6) as rmse, round(sqrt(avg(power))/(8*sqrt(0.5::double)), 6) as signal, round(avg(fr.ess), 5) as ess_r, round(avg(fi.ess), 5) as ess_i, round(avg(fs.ess), 5) as ess_s,
+  round(count(*)/sum(n_r/{N_R}), 6) as speed_r, round(count(*)/sum(n_i/{N_I}), 6) as speed_i, round(count(*)/sum(n_s/{N_S}), 6) as speed_s, round(count(*)/sum(n_r/{N_R}*n_i/{N_I}*n_s/{N_S}), 6) as speed_total
+ from l join o using (vec_id) join fr using (vec_id) join fi using (vec_id) join fs using (vec_id) group by 1""")
+def sampling_report(spark, d):
+    """Likelihood, error, effective sizes and speed-ups of each minibatch."""
+    found = estep.e_step(sampled_images(spark, d), "vec_id", domain()).withColumn("batch", F.col("vec_id") % 3)
+    out = estep.report(found, ["batch"], {"r": N_R, "i": N_I, "s": N_S}, 0.5, 8)
+    return out.select("batch", "n", *[F.round(c, 5).alias(c) for c in ("like", "ess_r", "ess_i", "ess_s")], *[F.round(c, 6).alias(c) for c in ("rmse", "signal", "speed_r", "speed_i", "speed_s", "speed_total")])
+
+
+@query("""with p as (select vec_id, i, (i // 8 - 4)*(i // 8 - 4) + (i % 8 - 4)*(i % 8 - 4) as r2, embedding[i + 1]::double as re, embedding[(i + 1) % 64 + 1]::double as im, 1 + label as o from embeddings, (select unnest(range(64)) as i)),
+ s as (select vec_id, count(*) filter (r2 < 9) as n_used, sum(re*re + im*im) filter (r2 >= 9) as outside, sum(o*exp(-125.0*r2/power(2.8*8, 2))) filter (r2 < 9) as passed, sum((i + 1)*re) filter (r2 < 9) as kept from p group by 1)
+ select vec_id, n_used::int as n_used, round(outside, 6) as outside, round(outside/(2*0.02) + n_used/2*ln(2*pi()*0.015) + (64 - n_used)/2*ln(2*pi()*0.02), 5) as "constant", round(passed, 6) as passed, round(kept, 6) as kept from s""")
+def kernel_preparation(spark, d):
+    """Truncation, envelope and constants of each image's likelihood; sums of what stays."""
+    e = table(spark, d, "embeddings")
+    whole = F.transform("embedding", lambda v: v.cast("double"))
+    images = e.select("vec_id", whole.alias("re"), F.concat(F.slice(whole, 2, 63), F.slice(whole, 1, 1)).alias("im"), F.transform("embedding", lambda v: (1.0 + F.col("label"))).alias("optics"))
+    out = estep.prepare(images, "vec_id", 8, 0.75, 0.015, 0.02, 2.8, 500.0)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    return out.select("vec_id", "n_used", F.round("outside", 6).alias("outside"), F.round("constant", 5).alias("constant"), F.round(add(F.col("optics")), 6).alias("passed"), F.round(add(F.zip_with("at", "re", lambda i, v: (i + 1) * v)), 6).alias("kept"))

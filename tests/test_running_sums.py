@@ -149,3 +149,47 @@ def test_table_steps_are_the_drivers(spark):
         out = descent.descend(tables[0], latest, tables[1], batch, tables[2], 0.3, 0.9)
         got = {r["part"]: r["x"] for r in out.collect()}
         assert np.concatenate([got[p] for p in range(3)]) == pytest.approx(expected)
+
+
+def test_momentum_with_a_searched_rate():
+    """A rate that would diverge is brought down; averaged gradients descend too."""
+    f, excess, x = quadratic()
+    none = lambda y: (0.0, np.zeros_like(y))
+    start = excess(x)
+    fixed, _ = optimizer.minimise(f, none, x, 8, 20, optimizer.MomentumGradient(learn_rate=1.0, momentum=0.5), 1)
+    assert excess(fixed) > start
+    for options in ({}, {"average": 0.5}, {"increase": 0.9, "search_every": 4}):
+        out, stats = optimizer.minimise(f, none, x, 8, 200, optimizer.MomentumGradient(learn_rate=0.5, momentum=0.5, adapt=True, **options), 1)
+        assert excess(out) < start / 4 and stats[-1]["lipschitz"] > 100
+
+
+def test_a_slow_sink_holds_the_turns_back():
+    import time
+
+    from stackwright.plans import monitor
+
+    made, saved, waiting = [], [], []
+
+    def turn():
+        made.append(len(made))
+        waiting.append(len(made) - len(saved))
+        return len(made) if len(made) <= 12 else False
+
+    def sink(found):
+        time.sleep(0.02)
+        saved.append(found)
+
+    b = monitor.Background(turn, sink, most=2)
+    b.begin()
+    b.end()
+    assert saved == list(range(1, 13)) and max(waiting) <= 5
+
+    def broken(found):
+        raise OSError("disk full")
+
+    turns = []
+    b = monitor.Background(lambda: turns.append(1) or len(turns), broken, most=2)  # would never end by itself
+    b.begin()
+    with pytest.raises(OSError, match="disk full"):
+        b.end()
+    assert len(turns) < 100
