@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stackwright.operators.probability import log_sum_exp
+from stackwright.operators.sequence import numbered
 from stackwright.staging import stage
 
 #: A dimension table is broadcast up to this many rows; beyond, Spark shuffles both sides.
@@ -217,3 +218,8 @@ def bingham_density(points: DataFrame, samples: DataFrame, kappa: float, both_ha
     sums = best.groupBy("id").agg(F.sum(F.col("id2.w") * F.exp(kappa * (cos * cos - 1))).alias("s"))
     sums = points.select("id").join(sums, "id", "left").select("id", F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(eps)).alias("s"))
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("s").alias("_all")))).select("id", (F.col("s") / F.col("_all")).alias("p"))
+
+
+def in_order(stack: DataFrame, row_id: str) -> DataFrame:
+    """The rows of a combined stack with their place in its order: read by ranges of place, they come as one stack's would."""
+    return numbered(stack, [row_id], "place")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.operators import sequence
@@ -169,3 +169,15 @@ def revision() -> str:
         return subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=True).stdout.strip()
     except (OSError, subprocess.CalledProcessError):
         return "unknown"
+
+
+def append_log(rows: DataFrame, path: str, at: str, line: Column) -> None:
+    """Append a line for each row to a text log, with a number that orders the log; tasks write side by side."""
+    text = F.concat_ws("\t", F.lpad(F.col(at).cast("string"), 20, "0"), F.regexp_replace(line, "[\r\n]", " "))
+    rows.select(text.alias("value")).sortWithinPartitions("value").write.mode("append").text(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line) of a log."""
+    cut = F.instr("value", "\t")
+    return spark.read.text(path).select(F.left("value", cut - 1).cast("long").alias("at"), F.substring(F.col("value"), cut + 1, F.length("value")).alias("line"))

@@ -4,7 +4,7 @@ import pytest
 
 import compare
 from jobs import queries as job_queries  # noqa: F401
-from stackwright.plans import queries_estep, queries_images, queries_more, queries_pipelines, queries_tables, registry  # noqa: F401
+from stackwright.plans import queries_estep, queries_images, queries_more, queries_pipelines, queries_runs, queries_tables, registry  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
