@@ -261,32 +261,27 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     context = ["word", "sign", "prev"]
     edges = found.groupBy(*context, "instance").agg(F.max("kind").alias("kind"), F.first("shape").alias("shape"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("lead")).alias("free"))
     edges = stage(edges, "pii-edges")
-    uses = edges.groupBy("instance").agg(F.sum("n").alias("uses"), (F.count("kind") > 0).alias("seed"))
+    uses = edges.groupBy("instance").agg(F.sum("n").alias("uses"), (F.count("kind") > 0).alias("seed"), (F.min("word") == F.max("word")).alias("one_word"))
     edges = edges.join(uses, "instance").withColumn("open", ~F.col("seed") & (F.length("instance") >= LENGTH))
-    words = edges.groupBy("instance").agg((F.count_distinct("word") == 1).alias("one_word"))
-    edges = edges.join(words, "instance")
     edges = stage(edges, "pii-graph")
     long = edges.withColumn("pattern", F.explode(patterns_of(*map(F.col, context))))
-    # only seeded patterns with an unseen instance can discover one or speak for one
-    able = long.groupBy("word", "pattern").agg(F.max("seed").alias("seeded"), F.max("open").alias("any")).where("seeded and any")
-    able = stage(able.select("word", "pattern"), "pii-able")
-    long = long.join(able.select("pattern").distinct(), "pattern", "left_semi")
-    # instances of the shape of one of the pattern's seeds
-    shapes = long.where("seed").select("pattern", "shape", F.lit(True).alias("alike")).distinct()
-    long = long.join(shapes, ["pattern", "shape"], "left").withColumn("neutral", F.col("open") & F.col("one_word") & F.coalesce("alike", F.lit(False)))
-    long = stage(long.drop("alike"), "pii-patterns")
-    seen = stage(occurrences(docs, able), "pii-seen")
+    # only seeded patterns with an unseen instance can discover one or speak for one; shapes of their seeds are few
+    able = long.groupBy("word", "pattern").agg(F.max("seed").alias("seeded"), F.max("open").alias("any"), F.collect_set(F.when(F.col("seed"), F.col("shape"))).alias("shapes")).where("seeded and any")
+    able = stage(able.select("word", "pattern", "shapes"), "pii-able")
+    long = long.join(able, ["word", "pattern"]).withColumn("neutral", F.col("open") & F.col("one_word") & F.array_contains("shapes", F.col("shape")))
+    long = stage(long.drop("shapes", "shape"), "pii-patterns")
+    # what does not change between rounds, once for each pattern: how much its confidence is a share of
+    one = long.groupBy("pattern", "instance").agg(F.first("neutral").alias("neutral"), F.first("seed").alias("seed"), F.sum("n").alias("n"), F.sum("free").alias("free"))
+    counts = {"all": F.lit(1), "uses": F.col("n")}
+    whole = one.groupBy("pattern").agg(F.sum("free").alias("free"), *[F.sum(c).alias(k) for k, c in counts.items()], *[F.sum(F.when(F.col(by), c).otherwise(0)).alias(f"{by}_{k}") for k, c in counts.items() for by in ("neutral", "seed")])
+    vouched = {k: F.least(F.col(f"neutral_{k}"), VOUCHED * F.col(f"seed_{k}")) for k in counts}
+    every = F.greatest(F.col("uses"), F.col("free") + F.coalesce("seen", F.lit(0)))
+    shares = stage(whole.join(occurrences(docs, able.drop("shapes")), "pattern", "left").select("pattern", (F.col("all") - vouched["all"]).alias("of_all"), (every - vouched["uses"]).alias("of_uses")), "pii-shares")
     rated = long.withColumn("confidence", F.col("seed").cast("double"))
     for turn in range(ROUNDS):
-        one = rated.groupBy("pattern", "instance").agg(F.first("confidence").alias("confidence"), F.first("neutral").alias("neutral"), F.first("seed").alias("seed"), F.sum("n").alias("n"), F.sum("free").alias("free"))
-        counts = {"all": F.lit(1), "uses": F.col("n")}
-        sums = one.groupBy("pattern").agg(
-            F.sum("confidence").alias("sure_all"), F.sum(F.col("n") * F.col("confidence")).alias("sure_uses"), F.sum("free").alias("free"),
-            *[F.sum(c).alias(k) for k, c in counts.items()], *[F.sum(F.when(F.col(by), c).otherwise(0)).alias(f"{by}_{k}") for k, c in counts.items() for by in ("neutral", "seed")],
-        ).join(seen, "pattern", "left")
-        vouched = {k: F.least(F.col(f"neutral_{k}"), VOUCHED * F.col(f"seed_{k}")) for k in counts}
-        every = F.greatest(F.col("uses"), F.col("free") + F.coalesce("seen", F.lit(0)))
-        score = F.least(F.col("sure_all") / (F.col("all") - vouched["all"]), F.col("sure_uses") / (every - vouched["uses"]))
+        one = rated.groupBy("pattern", "instance").agg(F.first("confidence").alias("confidence"), F.sum("n").alias("n"))
+        sums = one.groupBy("pattern").agg(F.sum("confidence").alias("sure_all"), F.sum(F.col("n") * F.col("confidence")).alias("sure_uses")).join(shares, "pattern")
+        score = F.least(F.col("sure_all") / F.col("of_all"), F.col("sure_uses") / F.col("of_uses"))
         trusted = stage(sums.select("pattern", score.alias("score")).where(F.col("score") >= CONFIDENT), f"pii-trusted-{turn}")
         # what trusted patterns say of an instance, once for each of its uses, and the share of uses after each word
         best = long.where("open").join(trusted, "pattern").groupBy(*context, "instance").agg((F.max("score") * F.first("n")).alias("said"))
