@@ -139,8 +139,8 @@ def staged_count(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
 def cumulated(table: DataFrame, rows: int, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Adds _before and _all: the sum of a value over the rows of the group before a row, and over the whole group. table is
     staged and has so many rows. Beyond WINDOW_ROWS a group spans ranges of the order: each is summed by itself
-    and starts at the sum of those before it, so no group is held in one task. Sums run in the order, so that a run that is
-    repeated gives the same last digits."""
+    and starts at the sum of those before it, so no group is held in one task. Sums run in the order; where ranges are cut at other
+    places, the last digits of sums of fractions may differ."""
     group = W.partitionBy(*keys)
     if rows <= WINDOW_ROWS:
         w = group.orderBy(*order)
