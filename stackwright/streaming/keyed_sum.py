@@ -46,13 +46,15 @@ def running_sums(df: DataFrame, group: str, key: str, value: str, order: str, n_
 
 class RunningSums(StatefulProcessor):
     """One group's sum in Spark's state store: totals in a value state, the latest values in a map state. An update costs the same
-    however many keys there are: weights are told from how many updates ago a key was set."""
+    however many keys there are: weights are told from how many updates ago a key was set. idle: a group without rows for so
+    many milliseconds of event time is over: a timer drops its state, so that groups that end take no room."""
 
-    def __init__(self, columns: tuple[str, str, str, str, str], decay: float):
+    def __init__(self, columns: tuple[str, str, str, str, str], decay: float, time: str | None = None, idle: int | None = None):
         self.group, self.key, self.value, self.order, self.n_keys = columns
-        self.decay = decay
+        self.decay, self.time, self.idle = decay, time, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.totals = handle.getValueState("totals", "n long, t long, updates long, keys long, w double, s double, q double, hw double, hm double, hq double")
         self.latest = handle.getMapState("latest", "key long", "value double, t long")
 
@@ -81,6 +83,15 @@ class RunningSums(StatefulProcessor):
         for k, held in seen.items():
             self.latest.updateValue((k,), held)
         self.totals.update((n, t, updates, keys, w, s, q, hw, hm, hq))
+        if self.idle is not None:
+            # late rows may be older than what the running timer goes by
+            end = int(pd.to_datetime(batch[self.time]).max().timestamp() * 1000) + self.idle
+            known = [t for t in self.handle.listTimers()]
+            for earlier in known:
+                if earlier < end:
+                    self.handle.deleteTimer(earlier)
+            if all(earlier < end for earlier in known):
+                self.handle.registerTimer(end)
         weight, mean, square = _mean(n, keys, w, s, q, hw, hm, hq)
         yield pd.DataFrame({self.group: [key[0]], "updates": [updates], "weight": [weight], "mean": [mean], "mean_square": [square]})
 
@@ -89,6 +100,14 @@ class RunningSums(StatefulProcessor):
         row = initialState.iloc[0]
         self.totals.update((int(row["n"]), 0, 0, 0, 0.0, 0.0, 0.0, float(row["weight"]), float(row["mean"]), float(row["mean_square"])))
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The group is over: its last row is given once more, its state goes."""
+        n, _, updates, *sums = self.totals.get()
+        weight, mean, square = _mean(n, *sums)
+        self.totals.clear()
+        self.latest.clear()
+        yield pd.DataFrame({self.group: [key[0]], "updates": [updates], "weight": [weight], "mean": [mean], "mean_square": [square]})
+
     def close(self) -> None:
         pass
 
@@ -100,16 +119,19 @@ def _mean(n, keys, w, s, q, hw, hm, hq) -> tuple[float, float, float]:
     return weight, (history * hm + s) / weight, (history * hq + q) / weight
 
 
-def keep_running_sums(stream: DataFrame, group: str, key: str, value: str, order: str, n_keys: str, decay: float = 1.0, start: DataFrame | None = None) -> DataFrame:
+def keep_running_sums(stream: DataFrame, group: str, key: str, value: str, order: str, n_keys: str, decay: float = 1.0, start: DataFrame | None = None, time: str | None = None, idle: int | None = None) -> DataFrame:
     """(group, updates, weight, mean, mean_square) of each group that a micro-batch updates. Keys are long. Rows of one micro-batch
-    are taken in order; the session's state store must be PROVIDER. start: sums that go on, see RunningSums."""
+    are taken in order; the session's state store must be PROVIDER. start: sums that go on, see RunningSums. time, idle: a
+    timestamp column with a watermark, and after how many milliseconds without rows a group ends; one that comes
+    again later begins anew."""
     kind = stream.schema[group].dataType.simpleString()
-    rows = stream.select(group, F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value), order, F.col(n_keys).cast("long").alias(n_keys))
+    extra = [time] if time and time != order else []
+    rows = stream.select(group, F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value), order, F.col(n_keys).cast("long").alias(n_keys), *extra)
     return rows.groupBy(group).transformWithStateInPandas(
-        statefulProcessor=RunningSums((group, key, value, order, n_keys), decay),
+        statefulProcessor=RunningSums((group, key, value, order, n_keys), decay, time, idle),
         outputStructType=f"{group} {kind}, updates long, weight double, mean double, mean_square double",
         outputMode="Update",
-        timeMode="None",
+        timeMode="EventTime" if idle is not None else "None",
         initialState=start.groupBy(group) if start is not None else None,
     )
 

@@ -79,6 +79,28 @@ def test_sums_over_a_stream_that_is_stopped_and_goes_on(spark, tmp_path):
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def test_idle_groups_end(spark, tmp_path):
+    """A group without rows for an hour of event time loses its state; when it comes again it begins anew, others go on."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, keyed_sum.PROVIDER)
+    hours = lambda h: f"2024-01-01 {h:02d}:00:00"
+    turns = [[("a", 0, 1, 1.0, hours(0)), ("b", 1, 1, 5.0, hours(0))], [("b", 2, 2, 7.0, hours(1))], [("b", 3, 3, 9.0, hours(6))], [("b", 4, 1, 3.0, hours(6))], [("a", 5, 1, 2.0, hours(7)), ("b", 6, 2, 1.0, hours(7))]]
+    try:
+        for rows in turns:
+            spark.createDataFrame(rows, "g string, o long, k long, v double, ts string").selectExpr("g", "o", "k", "v", "4L as n", "cast(ts as timestamp) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("g string, o long, k long, v double, n long, ts timestamp").parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
+            sums = keyed_sum.keep_running_sums(stream, "g", "k", "v", "o", "n", 1.0, time="ts", idle=3_600_000)
+            q = sums.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    rows = sorted((r["g"], r["updates"], r["mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # a ends with its last row given once more, and begins anew; b's next row comes before the watermark passes its hour
+    assert [r for r in rows if r[0] == "a"] == [("a", 1, 1.0), ("a", 1, 1.0), ("a", 1, 2.0)]
+    assert max(r[1] for r in rows if r[0] == "b") == 5
+
+
 @pytest.mark.parametrize("decay", [1.0, 0.8])
 def test_sums_on_the_driver(decay):
     rows = [r for r in made(2) if r[0] == "a"]
