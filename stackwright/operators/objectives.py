@@ -32,6 +32,29 @@ def gaussian(sigma: float) -> Prior:
     return Prior(lambda v: 0.5 * v * v / sigma**2 + math.log(sigma) + 0.5 * math.log(2 * math.pi), lambda v: v / sigma**2)
 
 
+def gaussian_fourier(coefficients: DataFrame, sigma: float, images: float, key: str = "id") -> DataFrame:
+    """(key, loss) of complex coefficients (key, re, im) under a Gaussian, an image's share of it: the transform keeps lengths, so
+    this is the loss of the volume."""
+    power = F.sum(F.col("re") ** 2 + F.col("im") ** 2)
+    return coefficients.groupBy(key).agg(((power / (2 * sigma**2) + F.count(F.lit(1)) * (math.log(sigma) + 0.5 * math.log(2 * math.pi))) / images).alias("loss"))
+
+
+def gaussian_fourier_gradient(coefficients: DataFrame, sigma: float, images: float) -> DataFrame:
+    """Adds g_re, g_im: the derivative by each coefficient."""
+    return coefficients.withColumns({f"g_{p}": F.col(p) / (sigma**2 * images) for p in ("re", "im")})
+
+
+def gaussian_curvature(sigma: float, images: float) -> float:
+    """The second derivative by any coordinate, for preconditioners."""
+    return 1 / (sigma**2 * images)
+
+
+def learned_widths(cells: DataFrame, key: str = "id") -> DataFrame:
+    """(key, sigma, rate): the widths under which a volume's values are likeliest: the root of the mean square for the Gaussian,
+    one over the mean of the positive values for the sparsity prior."""
+    return cells.groupBy(key).agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("sigma"), F.try_divide(F.lit(1.0), F.avg(F.when(F.col("v") > 0, F.col("v")))).alias("rate"))
+
+
 def sparsity(rate: float, positive: bool = False) -> Prior:
     """Exponential of the size (of the value itself if it is taken to be positive), with its normaliser."""
     log_rate = math.log(rate) if rate > 0 else 0.0

@@ -7,7 +7,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackwright.operators import fourier, linear
+from stackwright.operators import fourier, linear, objectives
 from stackwright.plans.registry import query, table
 from stackwright.sources import mrc, results, star
 from stackwright.staging import fresh_path
@@ -52,6 +52,27 @@ def hermitian_round_trip(spark, d):
     return fourier.to_real(packed, "vec_id", 4, 3).select("vec_id", F.posexplode("v").alias("pixel", "v")).withColumn("v", F.round("v", 5))
 
 
+def _coefficients(spark, d):
+    f = fourier.to_fourier(_packed(spark, d), "vec_id", "px", 4, 3)
+    return f.select("vec_id", F.explode(F.arrays_zip("re", "im")).alias("c")).select("vec_id", "c.re", "c.im")
+
+
+@query("select vec_id, round((list_sum(list_transform(embedding, lambda e: e::double*e::double))/(2*0.3*0.3) + 64*(ln(0.3) + ln(2*pi())/2))/200, 6) as loss, round(sqrt(list_sum(list_transform(embedding, lambda e: e::double*e::double)))/(0.09*200), 6) as steep from embeddings")
+def prior_gaussian_fourier(spark, d):
+    """The Gaussian prior of a volume by its coefficients, and how steep it is."""
+    c = _coefficients(spark, d)
+    loss = objectives.gaussian_fourier(c, 0.3, 200.0, "vec_id")
+    steep = objectives.gaussian_fourier_gradient(c, 0.3, 200.0).groupBy("vec_id").agg(F.sqrt(F.sum(F.col("g_re") ** 2 + F.col("g_im") ** 2)).alias("steep"))
+    return loss.join(steep, "vec_id").select("vec_id", F.round("loss", 6).alias("loss"), F.round("steep", 6).alias("steep"))
+
+
+@query("select vec_id, round(sqrt(list_avg(list_transform(embedding, lambda e: e::double*e::double))), 6) as sigma, round(1/list_avg(list_filter(list_transform(embedding, lambda e: e::double), lambda e: e > 0)), 6) as rate from embeddings")
+def learned_widths(spark, d):
+    cells = table(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double"))
+    out = objectives.learned_widths(cells, "vec_id")
+    return out.select("vec_id", F.round("sigma", 6).alias("sigma"), F.round("rate", 6).alias("rate"))
+
+
 @query()
 def padded_fourier(spark, d):
     m = fourier.premultiplier(12, lambda x: np.maximum(1 - np.abs(x), 0), 1)
