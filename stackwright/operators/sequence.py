@@ -127,6 +127,8 @@ def free_name(columns: list[str], base: str) -> str:
 
 #: Rows up to which one window may cumulate; beyond, ranges of the order are cumulated apart.
 WINDOW_ROWS = 1 << 20
+#: Levels, and times that a value stands in its group, up to which all levels are looked at.
+FEW = 8
 
 
 def staged_count(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
@@ -182,7 +184,21 @@ def order_statistics(df: DataFrame, value: str, keys: list[str], levels: list[fl
     cumulated counts of distinct values. weight: a column with how often each row counts."""
     counts = value_counts(df, value, keys, weight)
     shares = F.transform(F.array(*map(F.lit, levels)), lambda q: F.struct(q.alias("level"), share_of_quantile(q).alias("_w")))
-    rows = counts.select(*keys, value, F.inline(F.filter(shares, lambda s: s["_w"] > 0)))
+    each = lambda rows: rows.select(*keys, value, F.inline(F.filter(shares, lambda s: s["_w"] > 0)))
+    if len(levels) <= FEW:
+        rows = each(counts)
+    else:
+        # values that stand a few times meet the wanted ranks by an equi-join; only the others look at all levels
+        rank = F.col("level") * (F.col("_size") - 1)
+        above = rank - F.floor(rank)
+        ends = F.array(F.struct(F.floor(rank).alias("_k"), (1 - above).alias("_w")), F.struct((F.floor(rank) + 1).alias("_k"), above.alias("_w")))
+        wanted = counts.groupBy(*keys).agg(F.max("_all").alias("_size")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+        wanted = wanted.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "level", F.inline(ends)).where("_w > 0")
+        few = counts.where(F.col("_n") <= FEW).select(*keys, value, F.explode(F.sequence("_before", F.col("_before") + F.col("_n") - 1)).alias("_rank"))
+        same = F.col("_rank") == F.col("_k")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_g{i}"))
+        rows = few.join(wanted, same).select(*keys, value, "level", "_w").unionByName(each(counts.where(F.col("_n") > FEW)))
     return rows.groupBy(*keys, "level").agg(F.sum(F.col("_w") * F.col(value)).alias("quantile"))
 
 

@@ -299,6 +299,9 @@ def test_order_statistics_of_hot_values(spark, monkeypatch, most):
         assert got[k] == pytest.approx((middle, 1.4826 * np.median(np.abs(v - middle)), len(v)))
     found = {(r["k"], r["level"]): r["quantile"] for r in sequence.order_statistics(df, "v", ["k"], [0.0, 0.1, 0.999, 1.0]).collect()}
     assert found == pytest.approx({(k, q): np.quantile(v, q) for k, v in groups.items() for q in (0.0, 0.1, 0.999, 1.0)})
+    many = [i / 40 for i in range(41)]
+    found = {(r["k"], r["level"]): r["quantile"] for r in sequence.order_statistics(df, "v", ["k"], many).collect()}
+    assert found == pytest.approx({(k, q): np.quantile(v, q) for k, v in groups.items() for q in many})
     alone = robust.mean_std(df.select("v"), "v", []).first()
     every = np.array([v for _, v in rows if v is not None])
     assert (alone["mean"], alone["n"]) == pytest.approx((np.median(every), len(every)))
