@@ -220,7 +220,8 @@ def symmetrise_c4(spark, d):
 @query(f"with {CELLS2}, m as (select vec_id, (d0 + d1*2)::int as corner, ((x - d0 + 4 + 8) % 8 - 4)::int as ox, ((y - d1 + 4 + 8) % 8 - 4)::int as oy, v from c, (select unnest([0, 1]) as d0) a, (select unnest([0, 1]) as d1) b) select vec_id as id, ox as x, oy as y, list_transform(list(v order by corner), lambda e: round(e, 6)) as corners from m group by all")
 def cell_layout(spark, d):
     out = linear.cell_corners(images(spark, d).withColumnRenamed("vec_id", "id"), 2, 8)
-    return out.select("id", "x", "y", F.transform("corners", lambda e: F.round(e, 6)).alias("corners"))
+    # a negative value that is rounded to zero keeps its sign: elements of arrays are told apart by it
+    return out.select("id", "x", "y", F.transform("corners", lambda e: F.when(F.round(e, 6) == 0, e * 0.0).otherwise(F.round(e, 6))).alias("corners"))
 
 
 @query(f"with {CELLS2}, h as (select vec_id, x, y, v as re, v*x as im from c), b as (select * from h union all select vec_id, ((-x + 4 + 8) % 8 - 4), ((-y + 4 + 8) % 8 - 4), re, -im from h) select vec_id as id, x::int as x, y::int as y, round(sum(re)/2, 6) as re, round(sum(im)/2, 6) as im from b group by all")

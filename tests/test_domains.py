@@ -80,3 +80,17 @@ def test_hermitian_vectors(spark, n, dims):
     assert len(back) == 2 * n**dims
     for k, f in enumerate((fa, fb)):
         assert [back[k, i] for i in range(n**dims)] == pytest.approx(f.tolist())
+
+
+def test_corners_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    """As the SQL's do: in arrays -0.0 and 0.0 are different elements."""
+    import compare
+    from stackwright.plans import queries_images, registry  # noqa: F401  registers the query
+
+    v = [[-1e-7, 1e-7, -0.0, 0.0, -6e-7, 6e-7, None, float("nan")] * 8, [0.5] * 64]
+    spark.createDataFrame([(i, x, 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {(r["id"], r["x"], r["y"]): repr(r["corners"]) for r in registry.QUERIES["cell_layout"](spark, str(tmp_path)).collect()}
+    sql = registry.ORACLES["cell_layout"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns, rows = compare.oracle("/root/testdata/sf0.001", sql)
+    assert found == {(r[0], r[1], r[2]): repr(r[3]) for r in rows}
+    assert any("-0.0" in c for c in found.values())
