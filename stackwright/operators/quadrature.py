@@ -7,11 +7,12 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stackwright.operators.pairs import near_pairs
+from stackwright.operators.pairs import BLOCK
 from stackwright.staging import stage
 
 
@@ -138,32 +139,72 @@ def asymmetric_set(points: DataFrame, name: str, resolution: float) -> DataFrame
     """(i, label): 1 for directions (i, x, y, z) that are kept as the asymmetric unit, -1 for those that a rotation of the group
     other than the identity brings within the resolution of a kept one. No two kept ones meet in this way.
 
-    Directions meet their images in cells, which gives the graph of who stands for whom. In each round a direction that comes
-    before all its undecided neighbours is kept and its neighbours go; those in the unit by its formula come first, then a hash
-    decides. Rounds grow with the logarithm of the number of points, and nothing but a count comes to the driver."""
-    turns = symmetry_rotations(name)[1:]
-    nodes = points.select("i", F.struct(~in_asymmetric_unit(name, F.col("x"), F.col("y"), F.col("z")), F.xxhash64("i"), "i").alias("rank"), F.col("x").alias("p0"), F.col("y").alias("p1"), F.col("z").alias("p2"))
-    left = stage(nodes.select("i", "rank"), "undecided")
-    labels: list[DataFrame] = []
-    if turns:
-        turned = F.explode(F.array(*[F.struct(*[sum((float(r[i][j]) * F.col(f"p{j}") for j in (1, 2)), float(r[i][0]) * F.col("p0")).alias(f"p{i}") for i in range(3)]) for r in turns]))
-        images = nodes.select(F.col("i").alias("id"), turned.alias("_t")).select("id", "_t.*")
-        met = near_pairs(nodes.withColumnRenamed("i", "id"), images, 3, 2 * math.sin(resolution / 2)).where("id != id2").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
-        edges = stage(met.unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "orbits")
-        while not edges.isEmpty():
-            first = edges.join(left.select(F.col("i").alias("v"), "rank"), "v").groupBy("u").agg(F.min("rank").alias("other"))
-            kept = left.join(first, left["i"] == first["u"]).where(F.col("rank") < F.col("other")).select("i")
-            gone = edges.join(kept.withColumnRenamed("i", "u"), "u").select(F.col("v").alias("i")).distinct()
-            decided = stage(kept.withColumn("label", F.lit(1)).unionByName(gone.withColumn("label", F.lit(-1))), "decided")
-            labels.append(decided)
-            left = stage(left.join(decided, "i", "left_anti"), "undecided")
-            edges = stage(edges.join(decided.select(F.col("i").alias("u")), "u", "left_anti").join(decided.select(F.col("i").alias("v")), "v", "left_anti"), "orbits")
-    out = left.select("i", F.lit(1).alias("label"))  # those that meet nobody
-    for decided in labels:
-        out = out.unionByName(decided)
+    In each round a direction that comes before all undecided ones that it meets is kept, and those that meet it go. Directions in the
+    unit by its formula come first, so they are decided among themselves; then a hash decides. Directions meet the others'
+    images in cells, and a task passes on the first one met, so no pair is written. Nothing but counts comes to the driver."""
+    turns = [r.tolist() for r in symmetry_rotations(name)[1:]]
+    if not turns:
+        return points.select("i", F.lit(1).alias("label"))
+    inside = F.coalesce(in_asymmetric_unit(name, F.col("x"), F.col("y"), F.col("z")), F.lit(False))
+    nodes = stage(points.select("i", (~inside).alias("outside"), F.xxhash64("i").alias("hash"), *[F.col(a).cast("double").alias(f"p{k}") for k, a in enumerate("xyz")]), "undecided")
+    radius, labels = 2 * math.sin(resolution / 2), []
+    for left in (nodes.where("not outside"), nodes.where("outside")):
+        for kept in [rows for rows, label in labels if label == 1]:
+            gone = stage(first_met(left, kept, turns, radius).select("i"), "decided")
+            labels.append((gone, -1))
+            left = stage(left.join(gone, "i", "left_anti"), "undecided")
+        while not left.isEmpty():
+            # whoever meets none before it is kept; the others keep waiting or go
+            first = first_met(left, left, turns, radius)
+            waiting = stage(left.join(first, "i").where(F.struct("outside", "hash", "i") > F.col("first")).drop("first"), "waiting")
+            kept = stage(left.join(waiting.select("i"), "i", "left_anti"), "decided")
+            gone = stage(first_met(waiting, kept, turns, radius).select("i"), "decided")
+            labels += [(kept, 1), (gone, -1)]
+            left = stage(waiting.join(gone, "i", "left_anti"), "undecided")
+    out = nodes.limit(0).select("i", F.lit(1).alias("label"))
+    for rows, label in labels:
+        out = out.unionByName(rows.select("i", F.lit(label).alias("label")))
     return out
 
 
+def first_met(points: DataFrame, others: DataFrame, turns: list[list[list[float]]], radius: float) -> DataFrame:
+    """(i, first): for the points (i, p0..p2) that a rotation brings one of the others (i, outside, hash, p0..p2) close to, the
+    first of those in order of (outside, hash, i). Points look around themselves in cells, images lie in theirs; cells with
+    many images are dealt on by a hash of both sides."""
+    at = ["p0", "p1", "p2"]
+    cell = [F.floor(F.col(a) / radius) for a in at]
+    turned = F.explode(F.array(*[F.struct(*[sum((r[i][j] * F.col(f"p{j}") for j in (1, 2)), r[i][0] * F.col("p0")).alias(f"p{i}") for i in range(3)]) for r in turns]))
+    images = others.dropna(subset=at).select("i", "outside", "hash", turned.alias("_t")).select("i", "outside", "hash", "_t.*").select("*", *[c.alias(f"c{k}") for k, c in enumerate(cell)])
+    parts = max(1, math.ceil((images.groupBy("c0", "c1", "c2").count().agg(F.max("count")).first()[0] or 0) / BLOCK))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    share = F.pmod(F.xxhash64("i"), F.lit(parts))
+    keys = ["c0", "c1", "c2", "u", "v"]
+    around = F.inline(F.array(*[F.struct(*[(cell[k] + (n // 3**k % 3 - 1)).alias(f"c{k}") for k in range(3)]) for n in range(27)]))
+    mine = points.dropna(subset=at).select("i", *at, around).select("i", *at, *keys[:3], share.alias("u"), F.explode(every).alias("v"))
+    theirs = images.select("i", "outside", "hash", *at, *keys[:3], share.alias("v"), F.explode(every).alias("u"))
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        first = np.full(len(left), -1)
+        if len(left) and len(right):
+            right = right.sort_by([("outside", "ascending"), ("hash", "ascending"), ("i", "ascending")])
+            a, b = (np.array([t.column(c).to_numpy() for c in at]) for t in (left, right))
+            ids, other = left.column("i").to_numpy(), right.column("i").to_numpy()
+            for i in range(0, len(left), 128):
+                for j in range(0, len(right), 512):
+                    d2 = sum(np.square(np.subtract.outer(x[i : i + 128], y[j : j + 512])) for x, y in zip(a, b, strict=True))
+                    met = (d2 <= radius * radius) & np.not_equal.outer(ids[i : i + 128], other[j : j + 512])
+                    found, now = met.argmax(axis=1), first[i : i + 128]
+                    new = met[np.arange(len(met)), found] & (now < 0)
+                    now[new] = found[new] + j
+        hit = np.flatnonzero(first >= 0)
+        best = right.take(first[hit])
+        return pa.table([left.column("i").take(hit), best.column("outside"), best.column("hash"), best.column("i")], names=["i", "outside", "hash", "other"])
+
+    kind = points.schema["i"].dataType.simpleString()
+    met = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(work, f"i {kind}, outside boolean, hash long, other {kind}")
+    return met.groupBy("i").agg(F.min(F.struct("outside", "hash", F.col("other").alias("i"))).alias("first"))
+
+
 def symmetry_columns(name: Column) -> tuple[Column, Column]:
     """parse_symmetry as columns: class letter and order; an empty name is C1, others that don't parse null."""
     text = F.when(F.trim(name) == "", "c1").otherwise(F.lower(F.trim(name)))
