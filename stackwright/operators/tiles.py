@@ -49,23 +49,30 @@ class Tiles:
         tiles = self.table.select("part", F.col(out).alias("to"), F.col(on).alias("from"), F.col(out_at).alias("to_at"), F.col(on_at).alias("from_at"), "v")
 
         def work(mine: pa.Table, blocks: pa.Table) -> pa.Table:
-            sums: dict[int, np.ndarray] = {}
+            found, sums = np.zeros(0, np.int64), np.zeros((len(values), 0, side))
             if len(mine) and len(blocks):
                 mine, blocks = mine.combine_chunks(), blocks.combine_chunks()
-                columns = [flat(_one(blocks.column(v))) for v in values]
-                held = {b: [data[at[i] : at[i + 1]] for data, at in columns] for i, b in enumerate(blocks.column("block").to_pylist())}
-                to_at, from_at, v = (flat(_one(mine.column(c))) for c in ("to_at", "from_at", "v"))
-                for i, (to, source) in enumerate(zip(mine.column("to").to_pylist(), mine.column("from").to_pylist(), strict=True)):
-                    if source in held:
-                        total = sums.setdefault(to, np.zeros((len(values), side)))
-                        a, b = to_at[1][i], to_at[1][i + 1]
-                        for row, x in zip(total, held[source], strict=True):
-                            full = np.zeros(side)
-                            full[: len(x)] = x
-                            row += np.bincount(to_at[0][a:b], v[0][a:b] * full[from_at[0][a:b]], side)
+                held, place = np.unique(blocks.column("block").to_numpy(), return_inverse=True)
+                vectors = np.zeros((len(values), len(held), side))
+                for full, v in zip(vectors, values, strict=True):
+                    data, at = flat(_one(blocks.column(v)))
+                    rows = np.repeat(np.arange(len(place)), np.diff(at))
+                    full[place[rows], np.arange(len(rows)) - (at[:-1] - at[0])[rows]] = data[at[0] : at[-1]]
+                (to_at, ends), (from_at, _), (v, _) = (flat(_one(mine.column(c))) for c in ("to_at", "from_at", "v"))
+                to_at, from_at, v = (x[ends[0] : ends[-1]] for x in (to_at, from_at, v))
+                # all cells of the part at once, for sparse tiles hold a few each; those that meet no block of the vector go
+                source = np.minimum(np.searchsorted(held, mine.column("from").to_numpy()), len(held) - 1)
+                known = held[source] == mine.column("from").to_numpy()
+                found, target = np.unique(mine.column("to").to_numpy()[known], return_inverse=True)
+                cells = np.diff(ends)
+                used = np.repeat(known, cells)
+                to = np.repeat(target, cells[known]) * side + to_at[used]
+                at, v = np.repeat(source[known], cells[known]) * side + from_at[used], v[used]
+                sums = np.array([np.bincount(to, v * full.ravel()[at], len(found) * side).reshape(-1, side) for full in vectors])
             part = mine.column("part")[0].as_py() if len(mine) else 0
-            arrays = [pa.array([x[k] for x in sums.values()], pa.list_(pa.float64())) for k in range(len(values))]
-            return pa.table([pa.array(list(sums), pa.int64()), pa.array([part] * len(sums), pa.int32()), *arrays], names=["block", "_task", *values])
+            ends = pa.array(np.arange(len(found) + 1) * side, pa.int32())
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in sums]
+            return pa.table([pa.array(found, pa.int64()), pa.array(np.full(len(found), part), pa.int32()), *arrays], names=["block", "_task", *values])
 
         parts = tiles.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(work, ", ".join(["block long, _task int", *(f"{v} array<double>" for v in values)]))
         return merge_blocks(parts, [], values)
