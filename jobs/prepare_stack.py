@@ -35,21 +35,25 @@ def run(spark: SparkSession, input: str, output: str, side: int, id_column: str,
     if clash := sorted(set(source.columns) & set(ADDED)):
         raise ValueError(f"columns that the job adds are in the input: {clash}")
     with scope(spark):
-        images = source.withColumn("image", F.transform(pixel_column, lambda v: v.cast("double"))).where(F.size("image") == side * side)
-        floated = packed.float_packed(images, "image", side, radius)
+        whole = source.where(F.size(pixel_column) == side * side)
+
+        def floated(images: DataFrame) -> DataFrame:
+            return packed.float_packed(images.withColumn("image", F.transform(pixel_column, lambda v: v.cast("double"))), "image", side, radius)
+
         # the numbers of the whole stack: two narrow reads and one shuffle of counted values
         totals = source.agg(F.count(F.lit(1)).alias("read"), F.count_if(F.coalesce(F.size(pixel_column), F.lit(-1)) == side * side).alias("whole")).first()
         LOG.info("read %d images of %s, %d of them with %d x %d pixels", totals["read"], input, totals["whole"], side, side)
-        numbers = robust.snr(packed.data_variance_packed(floated, "image"), packed.noise_variance_packed(floated, "image", side, noise, radius)).first()
+        numbers = robust.snr(packed.data_variance_packed(floated(whole), "image"), packed.noise_variance_packed(floated(whole), "image", side, noise, radius)).first()
         if not numbers or not numbers["noise"]:
             raise ValueError("the corners hold no noise to scale by")
         n_test = min(test_images, totals["whole"])
         n_train = totals["whole"] - n_test
-        scaled = floated.withColumn("image", F.transform("image", lambda v: v / F.lit(numbers["noise"] ** 0.5)))
-        placed = sequence.split_test(scaled, id_column, n_test, seed)
+        # rows are put in order as they were read: the sort neither makes nor carries the images
+        placed = sequence.split_test(whole, id_column, n_test, seed)
+        scaled = floated(placed).withColumn("image", F.transform("image", lambda v: v / F.lit(numbers["noise"] ** 0.5)))
         batch = F.when(F.col("place") < n_test, F.lit(0)).otherwise(sequence.batch_of(F.col("place") - n_test, n_train, batch_size) if n_train else F.lit(0))
         # rows lie in order of place, so a task holds whole neighbouring batches
-        rows, seen = counted(placed.withColumn("batch", batch.cast("int")))
+        rows, seen = counted(scaled.withColumn("batch", batch.cast("int")))
         rows.write.mode("overwrite").partitionBy("split", "batch").parquet(f"{output}/images")
         summary = {"images": seen.get["rows"], "left_out": totals["read"] - totals["whole"], "test": n_test, "train": n_train, "batches": max(1, n_train // batch_size) if n_train else 0, "data_variance": numbers["data"], "noise_variance": numbers["noise"], "signal_percent": numbers["percent"]}
         spark.createDataFrame([summary]).coalesce(1).write.mode("overwrite").json(f"{output}/summary")

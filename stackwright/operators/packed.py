@@ -25,8 +25,10 @@ def mean_of(values: Column) -> Column:
 
 
 def float_packed(images: DataFrame, px: str, n: int, rad: float = 0.99) -> DataFrame:
-    """Subtract each image's mean corner value."""
-    return images.withColumn("_c", mean_of(corner_values(F.col(px), n, rad))).withColumn(px, F.transform(px, lambda v: v - F.col("_c"))).drop("_c")
+    """Subtract each image's mean corner value. The mean is an argument of zip_with: in a lambda's body Spark would make it
+    anew for each pixel, which is quadratic in the pixels, also if it is a column of its own before."""
+    mean = mean_of(corner_values(F.col(px), n, rad))
+    return images.withColumn(px, F.zip_with(px, F.array_repeat(mean, F.size(px)), lambda v, c: v - c))
 
 
 def noise_variance_packed(images: DataFrame, px: str, n: int, kind: str = "robust", rad: float = 1.0) -> DataFrame:
